@@ -7,17 +7,28 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_PLACEHOLDER = re.compile(r"\{(\w+)\}")
+_TOKEN = re.compile(r"\{\{|\}\}|\{(\w+)\}")
 
 
 def _pieces(template: str):
-    """Split a template into (literal, name) pairs; ``{{``/``}}`` are braces."""
-    parts = _PLACEHOLDER.split(template)
-    for i, part in enumerate(parts):
-        if i % 2 == 0:
-            yield "lit", part.replace("{{", "{").replace("}}", "}")
+    """Split a template into ("lit", text) / ("var", name) pieces, reading it
+    left to right like ``str.format``: ``{{`` and ``}}`` are literal braces."""
+    pos, buf = 0, []
+    for m in _TOKEN.finditer(template):
+        buf.append(template[pos:m.start()])
+        pos = m.end()
+        if m.group(1) is None:
+            buf.append(m.group(0)[0])
         else:
-            yield "var", part
+            yield "lit", "".join(buf)
+            buf = []
+            yield "var", m.group(1)
+    buf.append(template[pos:])
+    yield "lit", "".join(buf)
+
+
+def template_variables(template: str) -> set[str]:
+    return {piece for kind, piece in _pieces(template) if kind == "var"}
 
 
 def render(template: str, **values: Column) -> Column:

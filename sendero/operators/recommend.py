@@ -106,3 +106,20 @@ def no_candidates(subjects: DataFrame, key: str, candidates: DataFrame, message:
     return subjects.select(key).join(candidates.select(key), key, "left_anti").select(
         key, F.lit(message).alias("mensaje")
     )
+
+
+def config_sweep(candidates: DataFrame, grid: list[tuple[int, int]]) -> DataFrame:
+    """Baseline lists for every (K, N) of ``grid`` from one retrieval at
+    the largest K (exact: the first K of a longer ranking are the top K).
+    Each candidate row is expanded only into the configurations it belongs
+    to (a generator over a literal array, no join)."""
+    cfgs = F.array(*[F.struct(F.lit(k).alias("top_k"), F.lit(n).alias("top_n")) for k, n in grid])
+    rows = candidates.select(
+        U, "rank", URL,
+        F.explode(F.filter(cfgs, lambda c: F.col("rank") <= F.least(c["top_k"], c["top_n"]))).alias("cfg"),
+    ).select(F.col("cfg.top_k").alias("top_k"), F.col("cfg.top_n").alias("top_n"), U, "rank", URL)
+    tile = F.ntile(3).over(Window.partitionBy("top_k", "top_n", U).orderBy("rank"))
+    levels = fixed.AFFINITY_LEVELS
+    return rows.withColumn(
+        "nivel_afinidad", F.when(tile == 1, levels[0]).when(tile == 2, levels[1]).otherwise(levels[2])
+    )

@@ -319,3 +319,16 @@ SELECT t.url_sitio, t.rank, t.id_usuario, t.nombre, t.tipo_viajero,
 FROM {t} t JOIN site_contexts s ON s.url_sitio = t.url_sitio
 WHERE t.rank <= {n}
 """, t, "site_contexts")
+
+
+# --- prompts and answers -------------------------------------------------------------------
+def struct_sql(fields: dict[str, str]) -> str:
+    return "struct_pack(" + ", ".join(f"{dst} := {src}" for dst, src in fields.items()) + ")"
+
+
+def candidate_json_fragment(name: str, source: str, subject: str, fields: dict[str, str]) -> None:
+    fragment(name, f"""
+SELECT {subject}, cast(count(*) AS INTEGER) AS n_candidatos,
+  to_json(list({struct_sql(fields)} ORDER BY rank)) AS candidates_json
+FROM {source} GROUP BY {subject}
+""", source)

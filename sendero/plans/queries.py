@@ -305,3 +305,114 @@ def _no_candidates(p: Pipeline) -> DataFrame:
     i = R.no_candidates(p.site_contexts, "url_sitio", p.topk_users(10), fixed.NO_USER_CANDIDATES)
     return d.select(F.lit("directa").alias("direccion"), F.col("id_usuario").alias("sujeto"), "mensaje").unionByName(
         i.select(F.lit("inversa").alias("direccion"), F.col("url_sitio").alias("sujeto"), "mensaje"))
+
+
+# --- prompts, generation, answers ------------------------------------------------------------
+from sendero.operators import generate as G  # noqa: E402
+from sendero.operators import prompts as PR  # noqa: E402
+
+O.candidate_json_fragment("direct_lists", O.topk_places_fragment(6), "id_usuario", PR.DIRECT_FIELDS)
+O.candidate_json_fragment("inverse_lists", O.topk_users_fragment(10), "url_sitio", PR.INVERSE_FIELDS)
+
+
+@register("prompt_direct", O.sql(f"""
+SELECT l.id_usuario, '{fixed.DEFAULT_GENERATOR}' AS modelo_usado, l.n_candidatos, l.candidates_json,
+  {render_sql(fixed.DIRECT_PROMPT_TEMPLATE, top_n="'3'", user_context='u.contexto', candidates_json='l.candidates_json')} AS prompt
+FROM direct_lists l JOIN user_texts u ON u.id_usuario = l.id_usuario""", "direct_lists", "user_texts"))
+def _prompt_direct(p: Pipeline) -> DataFrame:
+    """Direct prompt of every user (K=6, N=3)."""
+    return PR.direct_prompts(p.user_texts, p.topk_places(6), 3)
+
+
+@register("prompt_inverse", O.sql(f"""
+SELECT l.url_sitio, '{fixed.DEFAULT_GENERATOR}' AS modelo_usado, l.n_candidatos, l.candidates_json,
+  {render_sql(fixed.INVERSE_PROMPT_TEMPLATE, top_n="'3'", place_context='s.contexto', candidates_json='l.candidates_json')} AS prompt
+FROM inverse_lists l JOIN site_contexts s ON s.url_sitio = l.url_sitio""", "inverse_lists", "site_contexts"))
+def _prompt_inverse(p: Pipeline) -> DataFrame:
+    """M2/P10: inverse prompt of every site (K=10, N=3)."""
+    return PR.inverse_prompts(p.site_contexts, p.topk_users(10), 3)
+
+
+@register("generate_stub")
+def _generate_stub(p: Pipeline) -> DataFrame:
+    """M3: batch generation over the prompt table with a caller-supplied
+    callable (here the deterministic stub) through mapInPandas."""
+    prompts = PR.direct_prompts(p.user_texts, p.topk_places(6), 3)
+    return G.generate(prompts, "id_usuario", G.stub_generator("direct", 3))
+
+
+def _parsed_sql(key: str, baseline_sql: str, fields: list[str], cand: str, cand_col: str) -> str:
+    cols = ", ".join(f"b.{f}" for f in fields)
+    return f"""
+WITH b AS ({baseline_sql})
+SELECT b.{key}, '{fixed.DEFAULT_GENERATOR}' AS modelo_usado, cast(b.rank AS INTEGER) AS posicion, {cols},
+  CASE WHEN EXISTS (SELECT 1 FROM ({cand}) c WHERE c.{key} = b.{key} AND c.{cand_col} = b.{cand_col}) THEN 1 ELSE 0 END AS en_candidatos
+FROM b"""
+
+
+@register("parse_direct", _parsed_sql(
+    "id_usuario", O.baseline_direct_sql(6, 3), fixed.DIRECT_RESPONSE_FIELDS,
+    O.sql(f"SELECT * FROM {O.topk_places_fragment(6)}", O.topk_places_fragment(6)), "nombre_sitio"))
+def _parse_direct(p: Pipeline) -> DataFrame:
+    """Answers (from the deterministic responder) parsed against
+    the contract, capped to N, exploded, and flagged when grounded."""
+    topk = p.topk_places(6)
+    answers = G.responses_from_baseline(R.baseline_direct(topk, 3), "id_usuario", "direct")
+    items, _ = G.parse_responses(answers, "id_usuario", "direct", 3)
+    return G.grounded(items, topk, "id_usuario", "nombre_sitio")
+
+
+@register("parse_inverse", _parsed_sql(
+    "url_sitio", O.baseline_inverse_sql(10, 3), fixed.INVERSE_RESPONSE_FIELDS,
+    O.sql(f"SELECT * FROM {O.topk_users_fragment(10)}", O.topk_users_fragment(10)), "id_usuario"))
+def _parse_inverse(p: Pipeline) -> DataFrame:
+    """M5: inverse answers parsed and flagged when grounded."""
+    topk = p.topk_users(10)
+    answers = G.responses_from_baseline(R.baseline_inverse(topk, p.site_contexts, 3), "url_sitio", "inverse")
+    items, _ = G.parse_responses(answers, "url_sitio", "inverse", 3)
+    return G.grounded(items, topk, "url_sitio", "id_usuario")
+
+
+@register("result_envelope", O.sql(f"""
+SELECT u.id_usuario AS user_id, '{fixed.DEFAULT_GENERATOR}' AS modelo_usado, u.contexto AS contexto_usado,
+  c.n_candidatos,
+  c.candidatos_json,
+  r.resultado_json
+FROM user_texts u
+JOIN (SELECT id_usuario, cast(count(*) AS INTEGER) AS n_candidatos,
+        to_json(list(struct_pack(nombre_sitio := nombre_sitio, categoria_sitio := categoria_sitio,
+          ubicacion := ubicacion, url_sitio := url_sitio, similitud_vectorial := similitud_vectorial) ORDER BY rank)) AS candidatos_json
+      FROM {O.topk_places_fragment(6)} GROUP BY id_usuario) c ON c.id_usuario = u.id_usuario
+JOIN (SELECT id_usuario, to_json(struct_pack({fixed.DIRECT_RESPONSE_LIST} := list(struct_pack(
+          {', '.join(f'{f} := {f}' for f in fixed.DIRECT_RESPONSE_FIELDS)}) ORDER BY rank))) AS resultado_json
+      FROM ({O.baseline_direct_sql(6, 3)}) GROUP BY id_usuario) r ON r.id_usuario = u.id_usuario
+""", "user_texts", O.topk_places_fragment(6)))
+def _result_envelope(p: Pipeline) -> DataFrame:
+    """One envelope per user: model, context, candidates and result."""
+    topk = p.topk_places(6)
+    cands = PR.candidate_json(topk, "id_usuario", {
+        "nombre_sitio": "nombre_sitio", "categoria_sitio": "categoria_sitio", "ubicacion": "ubicacion",
+        "url_sitio": "url_sitio", "similitud_vectorial": "similitud_vectorial"})
+    result = G.responses_from_baseline(R.baseline_direct(topk, 3), "id_usuario", "direct")
+    return (
+        p.user_texts.select(F.col("id_usuario").alias("user_id"), F.col("contexto").alias("contexto_usado"))
+        .join(cands.withColumnRenamed("id_usuario", "user_id").withColumnRenamed("candidates_json", "candidatos_json"), "user_id")
+        .join(result.select(F.col("id_usuario").alias("user_id"), "modelo_usado", F.col("respuesta").alias("resultado_json")), "user_id")
+        .select("user_id", "modelo_usado", "contexto_usado", "n_candidatos", "candidatos_json", "resultado_json")
+    )
+
+
+SWEEP = sorted({(k, n) for n in (3, 5, 10) for k in (n, -(-5 * n // 2), 20)})
+
+
+@register("config_sweep", O.sql(f"""
+SELECT cfg.k AS top_k, cfg.n AS top_n, t.id_usuario, t.rank, t.url_sitio,
+  CASE ntile(3) OVER (PARTITION BY cfg.k, cfg.n, t.id_usuario ORDER BY t.rank)
+    WHEN 1 THEN '{fixed.AFFINITY_LEVELS[0]}' WHEN 2 THEN '{fixed.AFFINITY_LEVELS[1]}' ELSE '{fixed.AFFINITY_LEVELS[2]}' END AS nivel_afinidad
+FROM {O.topk_places_fragment(max(k for k, _ in SWEEP))} t
+JOIN (VALUES {', '.join(f'({k}, {n})' for k, n in SWEEP)}) cfg(k, n) ON t.rank <= least(cfg.k, cfg.n)
+""", O.topk_places_fragment(max(k for k, _ in SWEEP))))
+def _config_sweep(p: Pipeline) -> DataFrame:
+    """The baseline at every (K, N) of a grid (K ~ 2.5 N among
+    them), from one retrieval at the largest K; N is capped by K."""
+    return R.config_sweep(p.topk_places(max(k for k, _ in SWEEP)), SWEEP)
