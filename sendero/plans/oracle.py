@@ -100,7 +100,7 @@ FROM interacciones WHERE trim(id_usuario) <> ''
 # --- aggregates ----------------------------------------------------------------------
 fragment("first_rows", """
 SELECT url_sitio, nombre_sitio, categoria_sitio, ubicacion FROM (
-  SELECT *, row_number() OVER (PARTITION BY url_sitio ORDER BY id_interaccion) AS rn FROM inter
+  SELECT *, CAST(row_number() OVER (PARTITION BY url_sitio ORDER BY id_interaccion) AS INTEGER) AS rn FROM inter
 ) WHERE rn = 1
 """, "inter")
 
@@ -132,13 +132,13 @@ SELECT id_usuario, id_interaccion, nombre_sitio, 'rated' AS kind FROM inter
 
 fragment("picks", """
 SELECT id_usuario, kind, val, rn FROM (
-  SELECT id_usuario, kind, val, row_number() OVER (PARTITION BY id_usuario, kind ORDER BY n DESC, val) AS rn
+  SELECT id_usuario, kind, val, CAST(row_number() OVER (PARTITION BY id_usuario, kind ORDER BY n DESC, val) AS INTEGER) AS rn
   FROM freq_counts
 ) WHERE rn <= CASE kind WHEN 'loc' THEN 2 ELSE 3 END
 UNION ALL
 SELECT id_usuario, kind, val, rn FROM (
   SELECT id_usuario, kind, nombre_sitio AS val,
-         row_number() OVER (PARTITION BY id_usuario, kind ORDER BY id_interaccion) AS rn
+         CAST(row_number() OVER (PARTITION BY id_usuario, kind ORDER BY id_interaccion) AS INTEGER) AS rn
   FROM first_kinds
 ) WHERE rn <= 3
 """, "freq_counts", "first_kinds")
@@ -268,7 +268,7 @@ def topk_places_fragment(k: int) -> str:
 SELECT s.qid AS id_usuario, s.rank, c.url_sitio, c.nombre_sitio, c.categoria_sitio, c.ubicacion,
   round(s.sim, 4) AS similitud_vectorial
 FROM (
-  SELECT qid, iid, sim, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, iid) AS rank
+  SELECT qid, iid, sim, CAST(row_number() OVER (PARTITION BY qid ORDER BY sim DESC, iid) AS INTEGER) AS rank
   FROM direct_pairs p
   WHERE NOT EXISTS (SELECT 1 FROM consumed x WHERE x.id_usuario = p.qid AND x.url_sitio = p.iid)
 ) s JOIN catalog c ON c.url_sitio = s.iid
@@ -284,7 +284,7 @@ def topk_users_fragment(k: int) -> str:
 SELECT s.qid AS url_sitio, s.rank, u.id_usuario, u.nombre, u.nacionalidad, u.tipo_viajero,
   u.presupuesto_viaje, round(s.sim, 4) AS similitud_vectorial, u.resumen_perfil
 FROM (
-  SELECT qid, iid, sim, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, iid) AS rank
+  SELECT qid, iid, sim, CAST(row_number() OVER (PARTITION BY qid ORDER BY sim DESC, iid) AS INTEGER) AS rank
   FROM inverse_pairs p
   WHERE NOT EXISTS (SELECT 1 FROM inter x WHERE x.url_sitio = p.qid AND x.id_usuario = p.iid)
 ) s JOIN user_index_rows u ON u.id_usuario = s.iid
@@ -329,6 +329,6 @@ def struct_sql(fields: dict[str, str]) -> str:
 def candidate_json_fragment(name: str, source: str, subject: str, fields: dict[str, str]) -> None:
     fragment(name, f"""
 SELECT {subject}, cast(count(*) AS INTEGER) AS n_candidatos,
-  to_json(list({struct_sql(fields)} ORDER BY rank)) AS candidates_json
+  CAST(to_json(list({struct_sql(fields)} ORDER BY rank)) AS VARCHAR) AS candidates_json
 FROM {source} GROUP BY {subject}
 """, source)

@@ -104,7 +104,7 @@ def _freq_sql(column: str, k: int) -> str:
     return O.sql(f"""
 SELECT id_usuario, rank, {column}, n FROM (
   SELECT id_usuario, {column}, count(*) AS n,
-         row_number() OVER (PARTITION BY id_usuario ORDER BY count(*) DESC, {column}) AS rank
+         CAST(row_number() OVER (PARTITION BY id_usuario ORDER BY count(*) DESC, {column}) AS INTEGER) AS rank
   FROM inter WHERE {column} IS NOT NULL GROUP BY id_usuario, {column}
 ) WHERE rank <= {k}""", "inter")
 
@@ -124,7 +124,7 @@ def _user_top_locations(p: Pipeline) -> DataFrame:
 def _first_sql(kind: str) -> str:
     return O.sql(f"""
 SELECT id_usuario, rank, nombre_sitio FROM (
-  SELECT id_usuario, nombre_sitio, row_number() OVER (PARTITION BY id_usuario ORDER BY id_interaccion) AS rank
+  SELECT id_usuario, nombre_sitio, CAST(row_number() OVER (PARTITION BY id_usuario ORDER BY id_interaccion) AS INTEGER) AS rank
   FROM first_kinds WHERE kind = '{kind}'
 ) WHERE rank <= 3""", "first_kinds")
 
@@ -256,7 +256,7 @@ def _selector_labels(p: Pipeline) -> DataFrame:
 
 @register("users_preview", O.sql("""
 SELECT id_usuario, nombre, edad, nacionalidad, tipo_viajero,
-  row_number() OVER (ORDER BY id_usuario) AS posicion
+  CAST(row_number() OVER (ORDER BY id_usuario) AS INTEGER) AS posicion
 FROM (SELECT * FROM prof ORDER BY id_usuario LIMIT 10)""", "prof"))
 def _users_preview(p: Pipeline) -> DataFrame:
     """Preview of the first 10 profiles with their positions."""
@@ -380,11 +380,11 @@ SELECT u.id_usuario AS user_id, '{fixed.DEFAULT_GENERATOR}' AS modelo_usado, u.c
   r.resultado_json
 FROM user_texts u
 JOIN (SELECT id_usuario, cast(count(*) AS INTEGER) AS n_candidatos,
-        to_json(list(struct_pack(nombre_sitio := nombre_sitio, categoria_sitio := categoria_sitio,
-          ubicacion := ubicacion, url_sitio := url_sitio, similitud_vectorial := similitud_vectorial) ORDER BY rank)) AS candidatos_json
+        CAST(to_json(list(struct_pack(nombre_sitio := nombre_sitio, categoria_sitio := categoria_sitio,
+          ubicacion := ubicacion, url_sitio := url_sitio, similitud_vectorial := similitud_vectorial) ORDER BY rank)) AS VARCHAR) AS candidatos_json
       FROM {O.topk_places_fragment(6)} GROUP BY id_usuario) c ON c.id_usuario = u.id_usuario
-JOIN (SELECT id_usuario, to_json(struct_pack({fixed.DIRECT_RESPONSE_LIST} := list(struct_pack(
-          {', '.join(f'{f} := {f}' for f in fixed.DIRECT_RESPONSE_FIELDS)}) ORDER BY rank))) AS resultado_json
+JOIN (SELECT id_usuario, CAST(to_json(struct_pack({fixed.DIRECT_RESPONSE_LIST} := list(struct_pack(
+          {', '.join(f'{f} := {f}' for f in fixed.DIRECT_RESPONSE_FIELDS)}) ORDER BY rank))) AS VARCHAR) AS resultado_json
       FROM ({O.baseline_direct_sql(6, 3)}) GROUP BY id_usuario) r ON r.id_usuario = u.id_usuario
 """, "user_texts", O.topk_places_fragment(6)))
 def _result_envelope(p: Pipeline) -> DataFrame:
@@ -416,3 +416,92 @@ def _config_sweep(p: Pipeline) -> DataFrame:
     """The baseline at every (K, N) of a grid (K ~ 2.5 N among
     them), from one retrieval at the largest K; N is capped by K."""
     return R.config_sweep(p.topk_places(max(k for k, _ in SWEEP)), SWEEP)
+
+
+# --- vector collections ---------------------------------------------------------------------
+from sendero.session import scratch_path  # noqa: E402
+from sendero.sources import index as IX  # noqa: E402
+from sendero.streaming.incremental_index import start_place_index_stream  # noqa: E402
+
+_PLACE_INDEX_SQL = O.sql(f"""
+SELECT t.url_sitio AS id, t.documento AS document,
+  coalesce(t.nombre_sitio, '{fixed.DEFAULT_NAME}') AS nombre_sitio,
+  coalesce(t.categoria_sitio, '{fixed.DEFAULT_FIELD}') AS categoria_sitio,
+  coalesce(t.ubicacion, '{fixed.DEFAULT_FIELD}') AS ubicacion,
+  t.url_sitio, {O.DIM} AS dims, round(sqrt(n.nn), 6) AS norma
+FROM place_texts t JOIN place_vec_norm n ON n.id = t.url_sitio""", "place_texts", "place_vec_norm")
+
+
+def _place_rows(p: Pipeline) -> DataFrame:
+    return IX.place_index_rows(p.place_texts, p.place_vectors)
+
+
+def _user_rows(p: Pipeline) -> DataFrame:
+    return IX.user_index_rows(p.user_index_rows, p.user_document_vectors)
+
+
+@register("place_index", _PLACE_INDEX_SQL)
+def _place_index(p: Pipeline) -> DataFrame:
+    """Place collection rows (vector shown as dims and norm)."""
+    return IX.index_summary(_place_rows(p))
+
+
+@register("user_index", O.sql(f"""
+SELECT u.id_usuario AS id, u.resumen_perfil AS document, u.id_usuario, u.nombre, u.nacionalidad,
+  u.tipo_viajero, u.presupuesto_viaje, {O.DIM} AS dims, round(sqrt(n.nn), 6) AS norma
+FROM user_index_rows u JOIN udoc_vec_norm n ON n.id = u.id_usuario""", "user_index_rows", "udoc_vec_norm"))
+def _user_index(p: Pipeline) -> DataFrame:
+    """User collection rows, written with overwrite (drop and
+    recreate) and read back."""
+    idx = IX.VectorIndex(p.spark, scratch_path(p.spark, IX.USERS), IX.USER_METADATA)
+    idx.overwrite(_user_rows(p))
+    return IX.index_summary(idx.read())
+
+
+@register("index_upsert", _PLACE_INDEX_SQL)
+def _index_upsert(p: Pipeline) -> DataFrame:
+    """The same batch upserted twice leaves the collection unchanged."""
+    idx = IX.VectorIndex(p.spark, scratch_path(p.spark, IX.PLACES), IX.PLACE_METADATA).get_or_create()
+    rows = _place_rows(p)
+    idx.upsert(rows)
+    idx.upsert(rows)
+    return IX.index_summary(idx.read())
+
+
+@register("index_new_only", O.sql("""
+SELECT id_usuario AS id, narrativa_explicita AS document FROM user_texts WHERE trim(documento) <> ''""",
+    "user_texts"))
+def _index_new_only(p: Pipeline) -> DataFrame:
+    """A stale collection (explicit-only documents of users with
+    history) receives only the ids it lacks; existing rows are kept."""
+    idx = IX.VectorIndex(p.spark, scratch_path(p.spark, IX.USERS), IX.USER_METADATA)
+    stale_rows = p.user_index_rows.join(p.interactions.select("id_usuario"), "id_usuario", "left_semi").join(
+        p.user_texts.select("id_usuario", "narrativa_explicita"), "id_usuario"
+    ).withColumn("resumen_perfil", F.col("narrativa_explicita")).drop("narrativa_explicita")
+    stale = IX.user_index_rows(stale_rows, p.embedder(stale_rows, "id_usuario", "resumen_perfil"))
+    idx.overwrite(stale)
+    idx.ingest(_user_rows(p), force=False)
+    return idx.read().select("id", "document")
+
+
+@register("index_listing", O.sql(f"""
+SELECT coalesce(nombre_sitio, '{fixed.DEFAULT_NAME}') AS nombre_sitio,
+  coalesce(categoria_sitio, '{fixed.DEFAULT_FIELD}') AS categoria_sitio,
+  coalesce(ubicacion, '{fixed.DEFAULT_FIELD}') AS ubicacion, url_sitio, documento AS documento_indexado
+FROM place_texts""", "place_texts"))
+def _index_listing(p: Pipeline) -> DataFrame:
+    """Full scan of the written place collection: metadata + document."""
+    idx = IX.VectorIndex(p.spark, scratch_path(p.spark, IX.PLACES), IX.PLACE_METADATA)
+    idx.ingest(_place_rows(p))
+    return idx.listing()
+
+
+@register("place_index_stream", _PLACE_INDEX_SQL)
+def _place_index_stream(p: Pipeline) -> DataFrame:
+    """S7 over a stream: the events file is consumed by a file stream source
+    and every micro-batch inserts the sites the collection lacks."""
+    path = scratch_path(p.spark, IX.PLACES + "-stream")
+    q = start_place_index_stream(p.spark, p.sf_dir, p.sf_dir, path, state_path=path + "-state",
+                                 file_pattern="events.parquet")
+    q.awaitTermination()
+    return IX.index_summary(IX.VectorIndex(p.spark, path, IX.PLACE_METADATA).read())

@@ -59,8 +59,9 @@ def perfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 _COMMENT_KEYS = 200
 
 
-def interacciones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+def interacciones(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """``events`` may be given (e.g. one micro-batch of a stream)."""
+    e = events if events is not None else table(spark, sf_dir, "events")
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     d = (
