@@ -108,54 +108,66 @@ fragment("catalog", """
 SELECT * FROM first_rows WHERE url_sitio IS NOT NULL AND nombre_sitio IS NOT NULL
 """, "first_rows")
 
-fragment("consumed", """
-SELECT DISTINCT id_usuario, url_sitio FROM inter WHERE url_sitio IS NOT NULL
-""", "inter")
+def _optional(template: str, column: str) -> str:
+    return f"CASE WHEN {column} IS NOT NULL THEN {render_sql(template, items=column)} END"
 
-fragment("freq_counts", """
+
+_MULTI = "coalesce(trim(replace({c}, '|', ', '), ', '), '')"
+_EXPLICIT_SQL = render_sql(
+    fixed.EXPLICIT_TEMPLATE,
+    **{c: c for c in [
+        "genero", "edad", "nacionalidad", "idioma_principal", "ocupacion", "tipo_viajero",
+        "presupuesto_viaje", "compania_viaje", "duracion_estadia_promedio", "epoca_preferida",
+        "destino_frecuente", "alojamiento_preferido", "nivel_actividad"]},
+    intereses=_MULTI.format(c="intereses_principales"),
+    actividades=_MULTI.format(c="actividades_preferidas"),
+)
+
+
+def user_chain(s: str = "", src: str = "inter") -> None:
+    """User-side fragments (history picks, narratives, consumed set) over the
+    interaction fragment ``src``; names carry the suffix ``s``."""
+    if f"user_texts{s}" in _FRAGMENTS:
+        return
+    fragment(f"consumed{s}", f"""
+SELECT DISTINCT id_usuario, url_sitio FROM {src} WHERE url_sitio IS NOT NULL
+""", src)
+    fragment(f"freq_counts{s}", f"""
 SELECT id_usuario, kind, val, count(*) AS n FROM (
-  SELECT id_usuario, 'cat' AS kind, categoria_sitio AS val FROM inter
-  UNION ALL SELECT id_usuario, 'loc' AS kind, ubicacion AS val FROM inter
+  SELECT id_usuario, 'cat' AS kind, categoria_sitio AS val FROM {src}
+  UNION ALL SELECT id_usuario, 'loc' AS kind, ubicacion AS val FROM {src}
 ) WHERE val IS NOT NULL GROUP BY id_usuario, kind, val
-""", "inter")
-
-fragment("first_kinds", f"""
-SELECT id_usuario, id_interaccion, nombre_sitio, 'booked' AS kind FROM inter
+""", src)
+    fragment(f"first_kinds{s}", f"""
+SELECT id_usuario, id_interaccion, nombre_sitio, 'booked' AS kind FROM {src}
   WHERE lower(tipo_interaccion) = '{fixed.BOOKING_KIND}' AND nombre_sitio IS NOT NULL
 UNION ALL
-SELECT id_usuario, id_interaccion, nombre_sitio, 'favourite' AS kind FROM inter
+SELECT id_usuario, id_interaccion, nombre_sitio, 'favourite' AS kind FROM {src}
   WHERE lower(tipo_interaccion) = '{fixed.FAVOURITE_KIND}' AND nombre_sitio IS NOT NULL
 UNION ALL
-SELECT id_usuario, id_interaccion, nombre_sitio, 'rated' AS kind FROM inter
+SELECT id_usuario, id_interaccion, nombre_sitio, 'rated' AS kind FROM {src}
   WHERE TRY_CAST(calificacion AS DOUBLE) >= {fixed.TOP_RATED_MIN} AND nombre_sitio IS NOT NULL
-""", "inter")
-
-fragment("picks", """
+""", src)
+    fragment(f"picks{s}", f"""
 SELECT id_usuario, kind, val, rn FROM (
   SELECT id_usuario, kind, val, CAST(row_number() OVER (PARTITION BY id_usuario, kind ORDER BY n DESC, val) AS INTEGER) AS rn
-  FROM freq_counts
+  FROM freq_counts{s}
 ) WHERE rn <= CASE kind WHEN 'loc' THEN 2 ELSE 3 END
 UNION ALL
 SELECT id_usuario, kind, val, rn FROM (
   SELECT id_usuario, kind, nombre_sitio AS val,
          CAST(row_number() OVER (PARTITION BY id_usuario, kind ORDER BY id_interaccion) AS INTEGER) AS rn
-  FROM first_kinds
+  FROM first_kinds{s}
 ) WHERE rn <= 3
-""", "freq_counts", "first_kinds")
-
-
-def _optional(template: str, column: str) -> str:
-    return f"CASE WHEN {column} IS NOT NULL THEN {render_sql(template, items=column)} END"
-
-
-fragment("implicit", f"""
+""", f"freq_counts{s}", f"first_kinds{s}")
+    fragment(f"implicit{s}", f"""
 SELECT h.id_usuario, p.cats, p.locs, p.booked, p.favs, p.rated,
   concat_ws(' ',
     {render_sql(fixed.HISTORY_TEMPLATE, cats=f"coalesce(p.cats, '{fixed.DEFAULT_CATEGORIES}')", lugares=f"coalesce(p.locs, '{fixed.DEFAULT_LOCATIONS}')")},
     {_optional(fixed.BOOKED_TEMPLATE, 'p.booked')},
     {_optional(fixed.FAVOURITE_TEMPLATE, 'p.favs')},
     {_optional(fixed.TOP_RATED_TEMPLATE, 'p.rated')}) AS narrativa_implicita
-FROM (SELECT DISTINCT id_usuario FROM inter) h
+FROM (SELECT DISTINCT id_usuario FROM {src}) h
 LEFT JOIN (
   SELECT id_usuario,
     string_agg(val, ', ' ORDER BY rn) FILTER (WHERE kind = 'cat') AS cats,
@@ -163,22 +175,10 @@ LEFT JOIN (
     string_agg(val, ', ' ORDER BY rn) FILTER (WHERE kind = 'booked') AS booked,
     string_agg(val, ', ' ORDER BY rn) FILTER (WHERE kind = 'favourite') AS favs,
     string_agg(val, ', ' ORDER BY rn) FILTER (WHERE kind = 'rated') AS rated
-  FROM picks GROUP BY id_usuario
+  FROM picks{s} GROUP BY id_usuario
 ) p ON p.id_usuario = h.id_usuario
-""", "inter", "picks")
-
-_MULTI = "coalesce(trim(replace({c}, '|', ', '), ', '), '')"
-_EXPLICIT_SQL = render_sql(
-    fixed.EXPLICIT_TEMPLATE,
-    **{c: c for c in [
-        "genero", "edad", "nacionalidad", "idioma_principal", "ocupacion", "tipo_viajero",
-        "presupuesto_viaje", "compania_viaje", "duracion_estadia_promedio", "epoca_preferida",
-        "destino_frecuente", "alojamiento_preferido", "nivel_actividad"]},
-    intereses=_MULTI.format(c="intereses_principales"),
-    actividades=_MULTI.format(c="actividades_preferidas"),
-)
-
-fragment("user_texts", f"""
+""", src, f"picks{s}")
+    fragment(f"user_texts{s}", f"""
 SELECT id_usuario, nombre, nacionalidad, tipo_viajero, presupuesto_viaje,
   narrativa_explicita, narrativa_implicita,
   CASE WHEN narrativa_implicita <> '' THEN concat(narrativa_explicita, ' ', narrativa_implicita)
@@ -189,9 +189,12 @@ FROM (
   SELECT pr.id_usuario, pr.nombre, pr.nacionalidad, pr.tipo_viajero, pr.presupuesto_viaje,
     {_EXPLICIT_SQL} AS narrativa_explicita,
     coalesce(im.narrativa_implicita, '') AS narrativa_implicita
-  FROM prof pr LEFT JOIN implicit im ON im.id_usuario = pr.id_usuario
+  FROM prof pr LEFT JOIN implicit{s} im ON im.id_usuario = pr.id_usuario
 )
-""", "prof", "implicit")
+""", "prof", f"implicit{s}")
+
+
+user_chain()
 
 
 def _place_sql(template: str) -> str:
@@ -261,19 +264,23 @@ cosine_all_pairs("direct_pairs", "uctx_vec", "place_vec")
 cosine_all_pairs("inverse_pairs", "site_vec", "udoc_vec")
 
 
-def topk_places_fragment(k: int) -> str:
-    name = f"topk_places_{k}"
+def topk_places_fragment(k: int, s: str = "") -> str:
+    """Direct top-k over the user chain with suffix ``s`` (see user_chain)."""
+    name = f"topk_places_{k}{s}"
     if name not in _FRAGMENTS:
+        if s:
+            vector_fragment(f"uctx_vec{s}", f"user_texts{s}", "id_usuario", "contexto")
+            cosine_all_pairs(f"direct_pairs{s}", f"uctx_vec{s}", "place_vec")
         fragment(name, f"""
 SELECT s.qid AS id_usuario, s.rank, c.url_sitio, c.nombre_sitio, c.categoria_sitio, c.ubicacion,
   round(s.sim, 4) AS similitud_vectorial
 FROM (
   SELECT qid, iid, sim, CAST(row_number() OVER (PARTITION BY qid ORDER BY sim DESC, iid) AS INTEGER) AS rank
-  FROM direct_pairs p
-  WHERE NOT EXISTS (SELECT 1 FROM consumed x WHERE x.id_usuario = p.qid AND x.url_sitio = p.iid)
+  FROM direct_pairs{s} p
+  WHERE NOT EXISTS (SELECT 1 FROM consumed{s} x WHERE x.id_usuario = p.qid AND x.url_sitio = p.iid)
 ) s JOIN catalog c ON c.url_sitio = s.iid
 WHERE s.rank <= {k}
-""", "direct_pairs", "consumed", "catalog")
+""", f"direct_pairs{s}", f"consumed{s}", "catalog")
     return name
 
 
@@ -332,3 +339,53 @@ SELECT {subject}, cast(count(*) AS INTEGER) AS n_candidatos,
   CAST(to_json(list({struct_sql(fields)} ORDER BY rank)) AS VARCHAR) AS candidates_json
 FROM {source} GROUP BY {subject}
 """, source)
+
+
+# --- evaluation ------------------------------------------------------------------------------
+fragment("cutoff", """
+SELECT min(fecha_interaccion)
+  + CAST(floor(date_diff('day', min(fecha_interaccion), max(fecha_interaccion)) * 0.8) AS INTEGER) AS c
+FROM inter""", "inter")
+fragment("inter_tt", "SELECT * FROM inter WHERE fecha_interaccion < (SELECT c FROM cutoff)", "inter", "cutoff")
+fragment("rel_tt", """
+SELECT id_usuario, url_sitio FROM inter WHERE url_sitio IS NOT NULL
+GROUP BY id_usuario, url_sitio HAVING min(fecha_interaccion) >= (SELECT c FROM cutoff)""", "inter", "cutoff")
+fragment("rel_loo", """
+SELECT id_usuario, arg_max(url_sitio, f) AS url_sitio FROM (
+  SELECT id_usuario, url_sitio, min(id_interaccion) AS f FROM inter WHERE url_sitio IS NOT NULL
+  GROUP BY id_usuario, url_sitio
+) GROUP BY id_usuario""", "inter")
+fragment("inter_loo", """
+SELECT * FROM inter i WHERE NOT EXISTS (
+  SELECT 1 FROM rel_loo h WHERE h.id_usuario = i.id_usuario AND h.url_sitio = i.url_sitio)""", "inter", "rel_loo")
+user_chain("_tt", "inter_tt")
+user_chain("_loo", "inter_loo")
+
+PROTOCOLS = {"temporal": "_tt", "leave_one_out": "_loo"}
+METRIC_NAMES = ("hit_rate", "ndcg", "mrr", "precision", "recall")
+
+
+def ranking_metrics_sql(recs: str, rel: str, label_col: str, label: str, n: int) -> str:
+    """Metric rows for a recommendation fragment against a relevant set."""
+    per_user = f"""
+SELECT u.id_usuario, u.n_rel, count(h.rank) AS h, min(h.rank) AS min_rank,
+  coalesce(sum(1.0 / log2(h.rank + 1)), 0) AS dcg
+FROM (SELECT id_usuario, count(*) AS n_rel FROM {rel}
+      WHERE id_usuario IN (SELECT id_usuario FROM prof) GROUP BY id_usuario) u
+LEFT JOIN (SELECT r.id_usuario, r.rank FROM {recs} r JOIN {rel} x
+           ON x.id_usuario = r.id_usuario AND x.url_sitio = r.url_sitio) h
+  ON h.id_usuario = u.id_usuario
+GROUP BY u.id_usuario, u.n_rel"""
+    exprs = {
+        "hit_rate": "CASE WHEN h > 0 THEN 1.0 ELSE 0.0 END",
+        "ndcg": f"dcg / list_sum(list_transform(range(1, least(n_rel, {n}) + 1), lambda i: 1.0 / log2(i + 1)))",
+        "mrr": "coalesce(1.0 / min_rank, 0.0)",
+        "precision": f"h / {float(n)}",
+        "recall": "h / n_rel",
+    }
+    parts = [
+        f"SELECT '{label}' AS {label_col}, '{m}' AS metrica, {n} AS k, round(avg({e}), 6) AS valor, "
+        f"count(*) AS usuarios FROM pu"
+        for m, e in exprs.items()
+    ]
+    return f"WITH pu AS ({per_user})\n" + "\nUNION ALL\n".join(parts)

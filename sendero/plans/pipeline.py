@@ -31,6 +31,17 @@ class Pipeline:
         self.embedder = embedder or HashedTokenEmbedder()
         self.blocking = blocking
 
+    def for_training(self, train: DataFrame) -> "Pipeline":
+        """A pipeline whose histories, narratives and consumed sets come from
+        ``train`` while profiles and the catalogue stay those of the full
+        data (items first seen in the test period remain recommendable)."""
+        q = Pipeline(self.spark, self.sf_dir, self.embedder, **self.blocking)
+        q.__dict__["profiles"] = self.profiles
+        q.__dict__["interactions"] = train
+        q.__dict__["catalog"] = self.catalog
+        q.__dict__["selector"] = self.selector
+        return q
+
     # -- inputs ---------------------------------------------------------------
     @cached_property
     def profiles(self) -> DataFrame:

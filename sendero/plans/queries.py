@@ -505,3 +505,332 @@ def _place_index_stream(p: Pipeline) -> DataFrame:
                                  file_pattern="events.parquet")
     q.awaitTermination()
     return IX.index_summary(IX.VectorIndex(p.spark, path, IX.PLACE_METADATA).read())
+
+
+# --- offline evaluation ------------------------------------------------------------------------
+from sendero.operators import evaluate as E  # noqa: E402
+from sendero.operators import graph as GR  # noqa: E402
+from sendero.operators import text_signals as TS  # noqa: E402
+from sendero.sources.tables import table  # noqa: E402
+
+EVAL_N = 10
+RERANK_K = -(-5 * EVAL_N // 2)  # K ~ 2.5 N (E21)
+
+
+def _protocol_data(p: Pipeline, protocol: str):
+    """(training pipeline, relevant pairs) of a protocol."""
+    if protocol == "temporal":
+        cutoff = E.temporal_cutoff(p.interactions)
+        return p.for_training(E.temporal_train(p.interactions, cutoff)), E.temporal_relevant(p.interactions, cutoff)
+    held, train = E.leave_one_out(p.interactions)
+    return p.for_training(train), held
+
+
+def _metrics(p: Pipeline, n: int = EVAL_N) -> DataFrame:
+    out = None
+    for protocol in O.PROTOCOLS:
+        tp, rel = _protocol_data(p, protocol)
+        m = E.ranking_metrics(E.user_ranking_stats(tp.topk_places(n), rel, p.profiles), n, protocol)
+        out = m if out is None else out.unionByName(m)
+    return out
+
+
+def _metrics_sql(metric: str, n: int = EVAL_N) -> str:
+    parts, needs = [], []
+    for protocol, s in O.PROTOCOLS.items():
+        recs = O.topk_places_fragment(n, s)
+        rel = f"rel{s}"
+        needs += [recs, rel, "prof"]
+        parts.append(f"SELECT * FROM ({O.ranking_metrics_sql(recs, rel, 'protocolo', protocol, n)}) "
+                     f"WHERE metrica = '{metric}'")
+    return O.sql("\nUNION ALL\n".join(f"({x})" for x in parts), *needs)
+
+
+@register("split_temporal", O.sql("""
+SELECT id_interaccion, id_usuario, url_sitio, fecha_interaccion,
+  CASE WHEN fecha_interaccion < (SELECT c FROM cutoff) THEN 'train' ELSE 'test' END AS particion
+FROM inter""", "inter", "cutoff"))
+def _split_temporal(p: Pipeline) -> DataFrame:
+    """Every interaction tagged train/test by the temporal cutoff."""
+    return E.split_temporal(p.interactions, E.temporal_cutoff(p.interactions))
+
+
+@register("split_leave_one_out", O.sql("SELECT * FROM rel_loo", "rel_loo"))
+def _split_leave_one_out(p: Pipeline) -> DataFrame:
+    """Per user, the held-out site (latest first-time visit)."""
+    held, _ = E.leave_one_out(p.interactions)
+    return held
+
+
+def _metric_query(metric: str, doc: str):
+    def fn(p: Pipeline) -> DataFrame:
+        return _metrics(p).where(F.col("metrica") == metric)
+
+    fn.__doc__ = doc
+    register(f"metric_{metric}", _metrics_sql(metric))(fn)
+
+
+_metric_query("hit_rate", "E3: Hit Rate@10 under both protocols.")
+_metric_query("ndcg", "E4: NDCG@10 under both protocols.")
+_metric_query("mrr", "E5: MRR (within the top-10) under both protocols.")
+_metric_query("precision", "E6: Precision@10 under both protocols.")
+_metric_query("recall", "E7: Recall@10 under both protocols.")
+
+
+@register("metric_coverage", O.sql(f"""
+SELECT count(DISTINCT r.url_sitio) AS recomendados, (SELECT count(*) FROM catalog) AS catalogo,
+  round(count(DISTINCT r.url_sitio) / (SELECT count(*) FROM catalog), 6) AS cobertura
+FROM {O.topk_places_fragment(EVAL_N)} r""", O.topk_places_fragment(EVAL_N), "catalog"))
+def _metric_coverage(p: Pipeline) -> DataFrame:
+    """Catalogue coverage of everyone's top-10."""
+    return E.coverage(p.topk_places(EVAL_N), p.catalog)
+
+
+@register("metric_ild", O.sql(f"""
+SELECT round(avg(ild), 6) AS diversidad, count(*) AS usuarios FROM (
+  SELECT a.id_usuario, 1 - avg(
+    coalesce(d.dot, 0) / (sqrt(na.nn) * sqrt(nb.nn))) AS ild
+  FROM {O.topk_places_fragment(EVAL_N)} a
+  JOIN {O.topk_places_fragment(EVAL_N)} b ON a.id_usuario = b.id_usuario AND a.url_sitio < b.url_sitio
+  JOIN place_vec_norm na ON na.id = a.url_sitio
+  JOIN place_vec_norm nb ON nb.id = b.url_sitio
+  LEFT JOIN (SELECT x.id AS i, y.id AS j, sum(x.n * y.n) AS dot FROM place_vec x JOIN place_vec y ON x.b = y.b
+             GROUP BY x.id, y.id) d ON d.i = a.url_sitio AND d.j = b.url_sitio
+  GROUP BY a.id_usuario
+)""", O.topk_places_fragment(EVAL_N), "place_vec_norm"))
+def _metric_ild(p: Pipeline) -> DataFrame:
+    """Mean intra-list diversity (1 - cosine) of the top-10 lists,
+    computed from per-list vector sums (no pair enumeration)."""
+    return E.intra_list_diversity(p.topk_places(EVAL_N), p.place_vectors)
+
+
+@register("metric_novelty", O.sql(f"""
+SELECT round(avg(CASE WHEN c IS NOT NULL THEN -log2(c / (SELECT count(DISTINCT id_usuario) FROM consumed)) END), 6) AS novedad,
+  CAST(sum(CASE WHEN c IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS sin_historial, count(*) AS recomendaciones
+FROM {O.topk_places_fragment(EVAL_N)} r
+LEFT JOIN (SELECT url_sitio, count(*) AS c FROM consumed GROUP BY url_sitio) p ON p.url_sitio = r.url_sitio
+""", O.topk_places_fragment(EVAL_N), "consumed"))
+def _metric_novelty(p: Pipeline) -> DataFrame:
+    """Mean self-information of recommended sites."""
+    return E.novelty(p.topk_places(EVAL_N), p.consumed)
+
+
+@register("metric_faithfulness", O.sql(f"""
+SELECT count(DISTINCT id_usuario) AS respuestas, count(*) AS items, round(avg(en_candidatos), 6) AS fidelidad
+FROM ({_parsed_sql("id_usuario", O.baseline_direct_sql(6, 3), fixed.DIRECT_RESPONSE_FIELDS,
+                   O.sql(f"SELECT * FROM {O.topk_places_fragment(6)}", O.topk_places_fragment(6)), "nombre_sitio")})"""))
+def _metric_faithfulness(p: Pipeline) -> DataFrame:
+    """Share of parsed answer items that name one of their candidates."""
+    items = _parse_direct(p)
+    return items.agg(
+        F.count_distinct("id_usuario").alias("respuestas"),
+        F.count(F.lit(1)).alias("items"),
+        F.round(F.avg("en_candidatos"), 6).alias("fidelidad"),
+    )
+
+
+def _rerank_sql(s: str) -> str:
+    t = O.topk_places_fragment(RERANK_K, s)
+    src = f"inter{s}"
+    name = f"graph_rerank{s}"
+    if name not in O._FRAGMENTS:
+        O.fragment(name, f"""
+SELECT t.id_usuario, t.url_sitio, CAST(row_number() OVER (PARTITION BY t.id_usuario
+  ORDER BY coalesce(sp.s, 0) DESC, t.rank) AS INTEGER) AS rank
+FROM {t} t LEFT JOIN (
+  SELECT c.id_usuario, c.url_sitio, sum(a.soporte) AS s
+  FROM (SELECT id_usuario, url_sitio, 'categoría' AS via, categoria_sitio AS nodo FROM {t}
+        UNION ALL SELECT id_usuario, url_sitio, 'ubicación', ubicacion FROM {t}) c
+  JOIN (SELECT id_usuario, via, nodo, count(DISTINCT url_sitio) AS soporte FROM (
+          SELECT id_usuario, url_sitio, 'categoría' AS via, categoria_sitio AS nodo FROM {src} WHERE url_sitio IS NOT NULL
+          UNION ALL SELECT id_usuario, url_sitio, 'ubicación', ubicacion FROM {src} WHERE url_sitio IS NOT NULL)
+        WHERE nodo IS NOT NULL GROUP BY id_usuario, via, nodo) a
+    ON a.id_usuario = c.id_usuario AND a.via = c.via AND a.nodo = c.nodo
+  GROUP BY c.id_usuario, c.url_sitio
+) sp ON sp.id_usuario = t.id_usuario AND sp.url_sitio = t.url_sitio""", t, src)
+    return name
+
+
+def _compare_sql() -> str:
+    s = O.PROTOCOLS["temporal"]
+    vec = O.topk_places_fragment(EVAL_N, s)
+    rr = _rerank_sql(s)
+    a = O.ranking_metrics_sql(vec, f"rel{s}", "sistema", "vectorial", EVAL_N)
+    b = O.ranking_metrics_sql(f"(SELECT * FROM {rr} WHERE rank <= {EVAL_N})", f"rel{s}", "sistema", "grafo", EVAL_N)
+    return O.sql(f"({a})\nUNION ALL\n({b})", vec, rr, f"rel{s}", "prof")
+
+
+@register("compare_baselines", _compare_sql())
+def _compare_baselines(p: Pipeline) -> DataFrame:
+    """Temporal-protocol metrics of the vector baseline against the
+    hybrid list (K = 2.5 N retrieved, re-ranked by history-path support)."""
+    tp, rel = _protocol_data(p, "temporal")
+    vec = E.ranking_metrics(E.user_ranking_stats(tp.topk_places(EVAL_N), rel, p.profiles), EVAL_N, "vectorial")
+    cand = tp.topk_places(RERANK_K)
+    rr = GR.graph_rerank(cand, GR.history_paths(tp.interactions, cand), EVAL_N)
+    hyb = E.ranking_metrics(E.user_ranking_stats(rr, rel, p.profiles), EVAL_N, "grafo")
+    return vec.unionByName(hyb).withColumnRenamed("protocolo", "sistema")
+
+
+# --- knowledge graph ---------------------------------------------------------------------------
+def _lexicon_values(words: dict | list) -> str:
+    if isinstance(words, dict):
+        return ", ".join(f"('{w}', '{a}')" for a, ws in words.items() for w in ws)
+    return ", ".join(f"('{w}')" for w in words)
+
+
+O.fragment("comment_words", """
+SELECT id_interaccion, url_sitio, regexp_replace(lower(tok), '[^\\p{L}]', '', 'g') AS w FROM (
+  SELECT id_interaccion, url_sitio, unnest(string_split(lower(comentario), ' ')) AS tok
+  FROM inter WHERE comentario IS NOT NULL)""", "inter")
+O.fragment("aspect_mentions", f"""
+SELECT m.id_interaccion, m.url_sitio, m.aspecto, CAST(sign(c.pos - c.neg) AS INTEGER) AS polaridad
+FROM (SELECT DISTINCT w.id_interaccion, w.url_sitio, l.aspecto FROM comment_words w
+      JOIN (VALUES {_lexicon_values(TS.ASPECT_LEXICON)}) l(palabra, aspecto) ON l.palabra = w.w) m
+JOIN (SELECT id_interaccion, url_sitio,
+        sum(CASE WHEN w IN (SELECT * FROM (VALUES {_lexicon_values(TS.POSITIVE)})) THEN 1 ELSE 0 END) AS pos,
+        sum(CASE WHEN w IN (SELECT * FROM (VALUES {_lexicon_values(TS.NEGATIVE)})) THEN 1 ELSE 0 END) AS neg
+      FROM comment_words GROUP BY id_interaccion, url_sitio) c
+  ON c.id_interaccion = m.id_interaccion AND c.url_sitio IS NOT DISTINCT FROM m.url_sitio""", "comment_words")
+
+
+def _site_aspects(p: Pipeline) -> DataFrame:
+    return TS.site_aspects(TS.aspect_mentions(p.interactions))
+
+
+@register("graph_nodes", O.sql(f"""
+SELECT DISTINCT nodo, tipo FROM (
+  SELECT id_usuario AS nodo, 'Usuario' AS tipo FROM prof
+  UNION ALL SELECT url_sitio, 'Sitio' FROM catalog
+  UNION ALL SELECT ubicacion, 'Ciudad' FROM catalog
+  UNION ALL SELECT r.r_name, 'Region' FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey
+  UNION ALL SELECT categoria_sitio, 'Categoria' FROM catalog
+  UNION ALL SELECT tipo_viajero, 'TipoViajero' FROM prof
+  UNION ALL SELECT unnest([{', '.join(repr(a) for a in TS.ASPECT_LEXICON)}]), 'Aspecto'
+) WHERE nodo IS NOT NULL""", "prof", "catalog"))
+def _graph_nodes(p: Pipeline) -> DataFrame:
+    """Graph nodes of every kind."""
+    cities = GR.city_regions(table(p.spark, p.sf_dir, "nation"), table(p.spark, p.sf_dir, "region"))
+    return GR.nodes(p.profiles, p.catalog, cities, TS.aspect_nodes(p.spark))
+
+
+@register("graph_edges", O.sql("""
+SELECT id_usuario AS origen, url_sitio AS destino, 'VISITO' AS relacion, calificacion,
+  fecha_interaccion AS fecha, CAST(NULL AS INTEGER) AS polaridad
+FROM inter WHERE url_sitio IS NOT NULL
+UNION ALL
+SELECT DISTINCT url_sitio, ubicacion, 'UBICADO_EN', CAST(NULL AS DOUBLE), CAST(NULL AS DATE), CAST(NULL AS INTEGER)
+FROM catalog WHERE ubicacion IS NOT NULL
+UNION ALL
+SELECT DISTINCT n.n_name, r.r_name, 'UBICADO_EN', CAST(NULL AS DOUBLE), CAST(NULL AS DATE), CAST(NULL AS INTEGER)
+FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey
+WHERE n.n_name IN (SELECT ubicacion FROM catalog)
+UNION ALL
+SELECT DISTINCT url_sitio, categoria_sitio, 'PERTENECE_A', CAST(NULL AS DOUBLE), CAST(NULL AS DATE), CAST(NULL AS INTEGER)
+FROM catalog WHERE categoria_sitio IS NOT NULL
+UNION ALL
+SELECT url_sitio, aspecto, 'OFRECE_ASPECTO', CAST(NULL AS DOUBLE), CAST(NULL AS DATE), CAST(sum(polaridad) AS INTEGER)
+FROM aspect_mentions GROUP BY url_sitio, aspecto""", "inter", "catalog", "aspect_mentions"))
+def _graph_edges(p: Pipeline) -> DataFrame:
+    """VISITO, UBICADO_EN, PERTENECE_A and OFRECE_ASPECTO edges."""
+    cities = GR.city_regions(table(p.spark, p.sf_dir, "nation"), table(p.spark, p.sf_dir, "region"))
+    return GR.edges(p.interactions, p.catalog, cities, _site_aspects(p))
+
+
+def _paths_fragment() -> str:
+    t = O.topk_places_fragment(6)
+    if "graph_paths" not in O._FRAGMENTS:
+        O.fragment("graph_paths", f"""
+SELECT c.id_usuario, c.url_sitio, c.rank, c.nombre_sitio, c.via, c.nodo, a.soporte
+FROM (SELECT id_usuario, url_sitio, rank, nombre_sitio, 'categoría' AS via, categoria_sitio AS nodo FROM {t}
+      UNION ALL SELECT id_usuario, url_sitio, rank, nombre_sitio, 'ubicación', ubicacion FROM {t}) c
+JOIN (SELECT id_usuario, via, nodo, count(DISTINCT url_sitio) AS soporte FROM (
+        SELECT id_usuario, url_sitio, 'categoría' AS via, categoria_sitio AS nodo FROM inter WHERE url_sitio IS NOT NULL
+        UNION ALL SELECT id_usuario, url_sitio, 'ubicación', ubicacion FROM inter WHERE url_sitio IS NOT NULL)
+      WHERE nodo IS NOT NULL GROUP BY id_usuario, via, nodo) a
+  ON a.id_usuario = c.id_usuario AND a.via = c.via AND a.nodo = c.nodo
+WHERE c.nodo IS NOT NULL""", t, "inter")
+    return "graph_paths"
+
+
+@register("graph_paths", O.sql("SELECT * FROM graph_paths", _paths_fragment()))
+def _graph_paths(p: Pipeline) -> DataFrame:
+    """2-hop paths from each user's history to each retrieved site."""
+    return GR.history_paths(p.interactions, p.topk_places(6))
+
+
+@register("graph_context", O.sql(f"""
+SELECT id_usuario, CAST(count(*) AS INTEGER) AS caminos,
+  concat(string_agg({render_sql(GR.PATH_TEMPLATE, nombre_sitio='nombre_sitio', via='via', nodo='nodo', soporte='soporte')},
+                    '. ' ORDER BY rank, via), '.') AS contexto_grafo
+FROM graph_paths GROUP BY id_usuario""", _paths_fragment()))
+def _graph_context(p: Pipeline) -> DataFrame:
+    """Path sentences per user, ready to be injected into a prompt."""
+    return GR.graph_context(GR.history_paths(p.interactions, p.topk_places(6)))
+
+
+# --- text signals ---------------------------------------------------------------------------------
+@register("implicit_vectors", O.sql(f"""
+SELECT t.id_usuario, t.bucket, round(t.t / n.c, 6) AS valor FROM (
+  SELECT id_usuario, {O.bucket_sql('tok')} AS bucket, count(*) AS t FROM (
+    SELECT id_usuario, unnest(string_split(lower(comentario), ' ')) AS tok FROM inter WHERE comentario IS NOT NULL)
+  GROUP BY id_usuario, bucket) t
+JOIN (SELECT id_usuario, count(*) AS c FROM inter WHERE comentario IS NOT NULL GROUP BY id_usuario) n
+  ON n.id_usuario = t.id_usuario""", "inter"))
+def _implicit_vectors(p: Pipeline) -> DataFrame:
+    """Implicit-only user vectors from whole comment texts."""
+    return TS.implicit_vectors(p.interactions)
+
+
+def _enrichment_texts(p: Pipeline) -> DataFrame:
+    b = table(p.spark, p.sf_dir, "benchmark")
+    return b.select(F.concat(F.lit("site/"), F.col("item_id").cast("string")).alias("url_sitio"),
+                    F.col("text").alias("texto"))
+
+
+@register("item_enrichment", O.sql("""
+SELECT t.url_sitio, CAST(b.text IS NOT NULL AS INTEGER) AS enriquecido,
+  CASE WHEN b.text IS NOT NULL THEN concat_ws(' ', t.documento, b.text) ELSE t.documento END AS documento_enriquecido,
+  CAST(len(string_split(lower(CASE WHEN b.text IS NOT NULL THEN concat_ws(' ', t.documento, b.text) ELSE t.documento END), ' ')) AS INTEGER) AS tokens
+FROM place_texts t LEFT JOIN benchmark b ON concat('site/', CAST(b.item_id AS VARCHAR)) = t.url_sitio""", "place_texts"))
+def _item_enrichment(p: Pipeline) -> DataFrame:
+    """Site documents extended with the external passage of the site."""
+    return TS.item_enrichment(p.place_texts, _enrichment_texts(p))
+
+
+@register("aspect_polarity", O.sql("SELECT * FROM aspect_mentions", "aspect_mentions"))
+def _aspect_polarity(p: Pipeline) -> DataFrame:
+    """Aspect mentions in whole comments with comment polarity."""
+    return TS.aspect_mentions(p.interactions)
+
+
+@register("geo_grounding", O.sql(f"""
+SELECT r.id_usuario, r.rank, r.url_sitio, r.ubicacion,
+  CAST(instr(u.contexto, r.ubicacion) > 0 AS INTEGER) AS fundamentado
+FROM {O.topk_places_fragment(6)} r JOIN user_texts u ON u.id_usuario = r.id_usuario""",
+    O.topk_places_fragment(6), "user_texts"))
+def _geo_grounding(p: Pipeline) -> DataFrame:
+    """Is each recommended location named in the user's own context."""
+    return TS.geo_grounding(p.topk_places(6), p.user_texts)
+
+
+@register("narrative_stats", O.sql("""
+SELECT forma, count(*) AS n, round(avg(length(texto)), 4) AS caracteres_medios,
+  CAST(max(length(texto)) AS INTEGER) AS caracteres_max,
+  round(avg(len(string_split(lower(texto), ' '))), 4) AS tokens_medios
+FROM (SELECT 'explicita' AS forma, narrativa_explicita AS texto FROM user_texts
+      UNION ALL SELECT 'implicita', narrativa_implicita FROM user_texts
+      UNION ALL SELECT 'documento', documento FROM user_texts
+      UNION ALL SELECT 'contexto', contexto FROM user_texts
+      UNION ALL SELECT 'sitio', documento FROM place_texts)
+WHERE texto IS NOT NULL AND texto <> '' GROUP BY forma""", "user_texts", "place_texts"))
+def _narrative_stats(p: Pipeline) -> DataFrame:
+    """Length and token statistics of every narrative form."""
+    t = p.user_texts
+    return TS.narrative_stats({
+        "explicita": t.select(F.col("narrativa_explicita").alias("texto")),
+        "implicita": t.select(F.col("narrativa_implicita").alias("texto")),
+        "documento": t.select(F.col("documento").alias("texto")),
+        "contexto": t.select(F.col("contexto").alias("texto")),
+        "sitio": p.place_texts.select(F.col("documento").alias("texto")),
+    })
