@@ -61,7 +61,7 @@ def _select_topk(S: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return idx, vals
 
 
-def _kernel(k: int):
+def _kernel(k: int, metric: str = "cosine"):
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         queries = left[left["ex"].isna()]
         if queries.empty or right.empty:
@@ -85,9 +85,12 @@ def _kernel(k: int):
         for lo in range(0, len(q_ids), step):
             hi = min(lo + step, len(q_ids))
             dot = Q[lo:hi] @ P.T
-            denom = q_norm[lo:hi, None] * p_norm[None, :]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                S = np.where(denom > 0, dot / denom, -np.inf)
+            if metric == "dot":
+                S = dot
+            else:
+                denom = q_norm[lo:hi, None] * p_norm[None, :]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    S = np.where(denom > 0, dot / denom, -np.inf)
             sel = (ex_q >= lo) & (ex_q < hi)
             S[ex_q[sel] - lo, ex_i[sel]] = -np.inf
             idx, vals = _select_topk(S, k)
@@ -125,13 +128,15 @@ def similarity_topk(
     exclude: DataFrame | None = None,
     query_block_rows: int = 200_000,
     item_block_rows: int = 200_000,
+    metric: str = "cosine",
 ) -> DataFrame:
     """Top-k items per query by cosine similarity, excluded pairs removed.
 
     ``queries``: (qid, embedding); ``items``: (iid, embedding);
     ``exclude``: (qid, iid) pairs that may not be returned.  Ids are strings
     and unique within their side.  Result: (qid, iid, sim, rank) with ranks
-    1..min(k, available) per query.
+    1..min(k, available) per query.  ``metric="dot"`` ranks by the plain
+    inner product (factor models) instead of the cosine.
     """
     spark = queries.sparkSession
     q = queries.select(F.col("qid").cast("string"), F.col("embedding").cast("array<double>"))
@@ -158,7 +163,7 @@ def similarity_topk(
     hits = (
         left.groupBy("blk", "grp")
         .cogroup(right.groupBy("blk", "grp"))
-        .applyInPandas(_kernel(k), RESULT_SCHEMA)
+        .applyInPandas(_kernel(k, metric), RESULT_SCHEMA)
     )
     if blocks == 1:
         return hits

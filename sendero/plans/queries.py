@@ -834,3 +834,53 @@ def _narrative_stats(p: Pipeline) -> DataFrame:
         "contexto": t.select(F.col("contexto").alias("texto")),
         "sitio": p.place_texts.select(F.col("documento").alias("texto")),
     })
+
+
+# --- collaborative baseline, calibration, latency ------------------------------------------------
+from sendero.operators import collaborative as CF  # noqa: E402
+from sendero.plans import runlog  # noqa: E402
+
+
+@register("cf_als")
+def _cf_als(p: Pipeline) -> DataFrame:
+    """E23 (learned variant): implicit ALS factors, exact top-10 by inner
+    product with consumed sites excluded."""
+    return CF.cf_recommendations(p.interactions, p.consumed, EVAL_N)
+
+
+@register("json_valid_rate", O.sql(f"""
+SELECT cfg.k AS top_k, cfg.n AS top_n, count(DISTINCT t.id_usuario) AS respuestas,
+  count(DISTINCT t.id_usuario) AS validas,
+  round(count(DISTINCT t.id_usuario) / count(DISTINCT t.id_usuario), 6) AS tasa
+FROM {O.topk_places_fragment(max(k for k, _ in SWEEP))} t
+JOIN (VALUES {', '.join(f'({k}, {n})' for k, n in SWEEP)}) cfg(k, n) ON t.rank <= least(cfg.k, cfg.n)
+GROUP BY cfg.k, cfg.n""", O.topk_places_fragment(max(k for k, _ in SWEEP))))
+def _json_valid_rate(p: Pipeline) -> DataFrame:
+    """Share of well-formed answers per (K, N) configuration; answers
+    come from the deterministic responder and are validated by the parser."""
+    sweep = R.config_sweep(p.topk_places(max(k for k, _ in SWEEP)), SWEEP).join(
+        p.catalog.select("url_sitio", "nombre_sitio", "categoria_sitio", "ubicacion"), "url_sitio")
+    sweep = sweep.withColumn("justificacion", F.lit("")).withColumn(
+        "cfg_user", F.concat_ws("|", "top_k", "top_n", "id_usuario"))
+    answers = G.responses_from_baseline(sweep, "cfg_user", "direct")
+    _, rejected = G.parse_responses(answers, "cfg_user", "direct")
+    status = answers.select("cfg_user").join(
+        rejected.select("cfg_user", F.lit(1).alias("bad")), "cfg_user", "left")
+    parts = F.split("cfg_user", r"\|")
+    return status.groupBy(parts[0].cast("int").alias("top_k"), parts[1].cast("int").alias("top_n")).agg(
+        F.count(F.lit(1)).alias("respuestas"),
+        F.count(F.when(F.col("bad").isNull(), 1)).alias("validas"),
+    ).withColumn("tasa", F.round(F.col("validas") / F.col("respuestas"), 6))
+
+
+@register("latency_summary")
+def _latency_summary(p: Pipeline) -> DataFrame:
+    """Retrieval and generation stages of the direct pipeline run
+    for every user, timed per stage and model, summarised by model."""
+    log = runlog.RunLog(p.spark)
+    for model in fixed.GENERATOR_CHOICES[:2]:
+        cands = p.topk_places(6)
+        log.time("retrieval", model, lambda: runlog.run_fully(cands))
+        prompts = PR.direct_prompts(p.user_texts, cands, 3, model=model)
+        log.time("generacion", model, lambda: runlog.run_fully(G.generate(prompts, "id_usuario", G.stub_generator("direct", 3))))
+    return log.summary()
