@@ -75,10 +75,16 @@ def implicit_profile(inter: DataFrame) -> DataFrame:
     """
     base = inter.select(U, "id_interaccion", "nombre_sitio", "categoria_sitio", "ubicacion",
                         "tipo_interaccion", "calificacion")
+    # One pass over the rows for the frequency counts (category, location and
+    # a per-user marker) and one for the "first items" kinds.
+    freq_rows = F.array(
+        F.struct(F.lit("cat").alias("kind"), F.col("categoria_sitio").alias("val")),
+        F.struct(F.lit("loc").alias("kind"), F.col("ubicacion").alias("val")),
+        F.struct(F.lit("any").alias("kind"), F.lit("").alias("val")),
+    )
     freq = (
-        base.select(U, F.lit("cat").alias("kind"), F.col("categoria_sitio").alias("val"))
-        .unionByName(base.select(U, F.lit("loc").alias("kind"), F.col("ubicacion").alias("val")))
-        .unionByName(base.select(U, F.lit("any").alias("kind"), F.lit("").alias("val")))
+        base.select(U, F.explode(freq_rows).alias("r"))
+        .select(U, "r.kind", "r.val")
         .where(F.col("val").isNotNull())
         .groupBy(U, "kind", "val")
         .agg(F.count(F.lit(1)).alias("n"))

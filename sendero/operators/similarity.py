@@ -30,6 +30,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sendero.session import checkpoint_dir
+
 RESULT_SCHEMA = "qid string, iid string, sim double, rank int"
 # Cells of one similarity chunk held at a time inside the kernel (~64 MB).
 _CHUNK_CELLS = 8_000_000
@@ -61,11 +63,21 @@ def _select_topk(S: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return idx, vals
 
 
+def _empty_result() -> pd.DataFrame:
+    return pd.DataFrame({
+        "qid": pd.Series([], dtype=object),
+        "iid": pd.Series([], dtype=object),
+        "sim": pd.Series([], dtype=np.float64),
+        "rank": pd.Series([], dtype=np.int32),
+    })
+
+
 def _kernel(k: int, metric: str = "cosine"):
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         queries = left[left["ex"].isna()]
         if queries.empty or right.empty:
-            return pd.DataFrame({"qid": [], "iid": [], "sim": [], "rank": []})
+            # Typed empty columns: a group may hold exclusions but no query.
+            return _empty_result()
         right = right.sort_values("iid", kind="stable")
         item_ids = right["iid"].to_numpy()
         P = np.stack(right["embedding"].to_numpy()).astype(np.float64)
@@ -111,13 +123,10 @@ def _kernel(k: int, metric: str = "cosine"):
     return run
 
 
-def plan_blocks(n_queries: int, n_items: int, parallelism: int,
-                query_block_rows: int, item_block_rows: int) -> tuple[int, int]:
-    """(item blocks, query groups) so that every kernel input is bounded."""
-    blocks = max(1, math.ceil(n_items / item_block_rows))
-    groups = max(math.ceil(n_queries / query_block_rows), parallelism)
-    groups = max(1, min(groups, n_queries))
-    return blocks, groups
+def plan_blocks(n_items: int, item_block_rows: int, groups: int) -> tuple[int, int]:
+    """(item blocks, query groups): item blocks are bounded by
+    ``item_block_rows``; query groups spread the queries over the cluster."""
+    return max(1, math.ceil(n_items / item_block_rows)), max(1, groups)
 
 
 def similarity_topk(
@@ -126,8 +135,8 @@ def similarity_topk(
     k: int,
     *,
     exclude: DataFrame | None = None,
-    query_block_rows: int = 200_000,
     item_block_rows: int = 200_000,
+    query_groups: int | None = None,
     metric: str = "cosine",
 ) -> DataFrame:
     """Top-k items per query by cosine similarity, excluded pairs removed.
@@ -140,10 +149,17 @@ def similarity_topk(
     """
     spark = queries.sparkSession
     q = queries.select(F.col("qid").cast("string"), F.col("embedding").cast("array<double>"))
-    it = items.select(F.col("iid").cast("string"), F.col("embedding").cast("array<double>"))
-    blocks, groups = plan_blocks(
-        q.count(), it.count(), spark.sparkContext.defaultParallelism, query_block_rows, item_block_rows
-    )
+    # The item side is materialised once in the shared checkpoint folder: its
+    # size fixes the number of blocks, and the join then reads the
+    # checkpoint instead of recomputing the item pipeline.
+    checkpoint_dir(spark)
+    it = items.select(F.col("iid").cast("string"), F.col("embedding").cast("array<double>")).checkpoint(eager=True)
+    # Query groups need no count: each query is one row, so groups of
+    # hashed ids are balanced; their number follows the shuffle width.
+    if query_groups is None:
+        query_groups = max(spark.sparkContext.defaultParallelism,
+                           int(spark.conf.get("spark.sql.shuffle.partitions")))
+    blocks, groups = plan_blocks(it.count(), item_block_rows, query_groups)
 
     def spread(n: int) -> F.Column:
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1))) if n > 1 else F.lit(0)
