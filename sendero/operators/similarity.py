@@ -123,10 +123,18 @@ def _kernel(k: int, metric: str = "cosine"):
     return run
 
 
-def plan_blocks(n_items: int, item_block_rows: int, groups: int) -> tuple[int, int]:
-    """(item blocks, query groups): item blocks are bounded by
-    ``item_block_rows``; query groups spread the queries over the cluster."""
-    return max(1, math.ceil(n_items / item_block_rows)), max(1, groups)
+def plan_blocks(n_queries: int, n_items: int, parallelism: int,
+                query_block_rows: int, item_block_rows: int) -> tuple[int, int]:
+    """(item blocks C, query groups G).
+
+    Item blocks are bounded by ``item_block_rows`` and query groups by
+    ``query_block_rows``.  Every item row is shuffled once per query group and
+    every query row once per item block, so G is only raised above
+    ceil(Q / query_block_rows) as far as needed for G x C >= parallelism.
+    """
+    blocks = max(1, math.ceil(n_items / item_block_rows))
+    groups = max(math.ceil(n_queries / query_block_rows), math.ceil(parallelism / blocks))
+    return blocks, max(1, min(groups, max(n_queries, 1)))
 
 
 def similarity_topk(
@@ -135,6 +143,7 @@ def similarity_topk(
     k: int,
     *,
     exclude: DataFrame | None = None,
+    query_block_rows: int = 200_000,
     item_block_rows: int = 200_000,
     query_groups: int | None = None,
     metric: str = "cosine",
@@ -148,18 +157,18 @@ def similarity_topk(
     inner product (factor models) instead of the cosine.
     """
     spark = queries.sparkSession
-    q = queries.select(F.col("qid").cast("string"), F.col("embedding").cast("array<double>"))
-    # The item side is materialised once in the shared checkpoint folder: its
-    # size fixes the number of blocks, and the join then reads the
-    # checkpoint instead of recomputing the item pipeline.
     checkpoint_dir(spark)
-    it = items.select(F.col("iid").cast("string"), F.col("embedding").cast("array<double>")).checkpoint(eager=True)
-    # Query groups need no count: each query is one row, so groups of
-    # hashed ids are balanced; their number follows the shuffle width.
-    if query_groups is None:
-        query_groups = max(spark.sparkContext.defaultParallelism,
-                           int(spark.conf.get("spark.sql.shuffle.partitions")))
-    blocks, groups = plan_blocks(it.count(), item_block_rows, query_groups)
+    # Both sides are materialised once in the shared checkpoint folder: their
+    # sizes fix the blocking, and the join then reads the checkpoints instead
+    # of recomputing the text and vector pipelines (and restarts from them if
+    # an executor is lost during the quadratic stage).  Vectors travel as
+    # float32; the kernel computes in float64.
+    q = queries.select(F.col("qid").cast("string"), F.col("embedding").cast("array<float>")).checkpoint(eager=True)
+    it = items.select(F.col("iid").cast("string"), F.col("embedding").cast("array<float>")).checkpoint(eager=True)
+    parallelism = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    blocks, groups = plan_blocks(q.count(), it.count(), parallelism, query_block_rows, item_block_rows)
+    if query_groups is not None:
+        groups = query_groups
 
     def spread(n: int) -> F.Column:
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1))) if n > 1 else F.lit(0)
@@ -171,7 +180,7 @@ def similarity_topk(
     if exclude is not None:
         ex = exclude.select(F.col("qid").cast("string"), F.col("iid").cast("string").alias("ex"))
         left = left.unionByName(
-            ex.select("qid", F.lit(None).cast("array<double>").alias("embedding"), "ex", bucket("ex", blocks).alias("blk"))
+            ex.select("qid", F.lit(None).cast("array<float>").alias("embedding"), "ex", bucket("ex", blocks).alias("blk"))
         )
     left = left.withColumn("grp", bucket("qid", groups))
     right = it.select("iid", "embedding", bucket("iid", blocks).alias("blk"), spread(groups).alias("grp"))
