@@ -18,6 +18,7 @@ from sendero.operators import aggregates as A
 from sendero.operators import recommend as R
 from sendero.operators.clean import clean_interactions, clean_profiles
 from sendero.operators.embed import HashedTokenEmbedder
+from sendero.session import checkpoint_dir
 from sendero.sources import bindings
 
 U = "id_usuario"
@@ -38,8 +39,8 @@ class Pipeline:
         q = Pipeline(self.spark, self.sf_dir, self.embedder, **self.blocking)
         q.__dict__["profiles"] = self.profiles
         q.__dict__["interactions"] = train
-        q.__dict__["catalog"] = self.catalog
         q.__dict__["selector"] = self.selector
+        q.__dict__["catalog"] = self.catalog
         return q
 
     # -- inputs ---------------------------------------------------------------
@@ -53,24 +54,32 @@ class Pipeline:
 
     # -- aggregates -------------------------------------------------------------
     @cached_property
-    def catalog(self) -> DataFrame:
-        return A.place_catalog(self.interactions)
+    def summary(self) -> DataFrame:
+        """One scan + one shuffle of the interactions for all small keyed
+        aggregates, materialised once in the shared checkpoint folder so the
+        fact table is not rescanned by each derived table."""
+        checkpoint_dir(self.spark)
+        return A.interaction_summary(self.interactions).checkpoint(eager=True)
 
     @cached_property
     def selector(self) -> DataFrame:
-        return A.place_selector(self.interactions)
+        return A.summary_sites(self.summary)
+
+    @cached_property
+    def catalog(self) -> DataFrame:
+        return self.selector.na.drop(subset=[URL, "nombre_sitio"])
 
     @cached_property
     def consumed(self) -> DataFrame:
-        return A.consumed_sites(self.interactions)
+        return A.summary_pairs(self.summary)
 
     @cached_property
     def visitors(self) -> DataFrame:
-        return A.site_visitors(self.interactions)
+        return self.consumed.select(URL, U)
 
     @cached_property
     def implicit(self) -> DataFrame:
-        return A.implicit_profile(self.interactions)
+        return A.implicit_profile(self.interactions, A.summary_frequencies(self.summary))
 
     # -- narratives -------------------------------------------------------------
     @cached_property
