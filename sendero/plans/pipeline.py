@@ -18,6 +18,7 @@ from sendero.operators import aggregates as A
 from sendero.operators import recommend as R
 from sendero.operators.clean import clean_interactions, clean_profiles
 from sendero.operators.embed import HashedTokenEmbedder
+from sendero.operators.prompts import check_k_n
 from sendero.session import checkpoint_dir
 from sendero.sources import bindings
 
@@ -26,17 +27,22 @@ URL = "url_sitio"
 
 
 class Pipeline:
-    def __init__(self, spark: SparkSession, sf_dir: str, embedder=None, **blocking):
+    """``embedder`` (U2) maps (df, id_col, text_col) to (id, embedding);
+    ``user_document`` (U1) builds the indexed user text from the explicit
+    and implicit narrative columns (default N6)."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, embedder=None, user_document=None, **blocking):
         self.spark = spark
         self.sf_dir = sf_dir
         self.embedder = embedder or HashedTokenEmbedder()
+        self.user_document = user_document or N.full_narrative
         self.blocking = blocking
 
     def for_training(self, train: DataFrame) -> "Pipeline":
         """A pipeline whose histories, narratives and consumed sets come from
         ``train`` while profiles and the catalogue stay those of the full
         data (items first seen in the test period remain recommendable)."""
-        q = Pipeline(self.spark, self.sf_dir, self.embedder, **self.blocking)
+        q = Pipeline(self.spark, self.sf_dir, self.embedder, self.user_document, **self.blocking)
         q.__dict__["profiles"] = self.profiles
         q.__dict__["interactions"] = train
         q.__dict__["selector"] = self.selector
@@ -97,7 +103,7 @@ class Pipeline:
         exp_, imp_ = F.col("narrativa_explicita"), F.col("narrativa_implicita")
         return j.select(
             "*",
-            N.full_narrative(exp_, imp_).alias("documento"),
+            self.user_document(exp_, imp_).alias("documento"),
             N.user_context(exp_, imp_).alias("contexto"),
         )
 
@@ -160,7 +166,15 @@ class Pipeline:
         )
 
     def recommend_direct(self, k: int = fixed.DIRECT_TOP_K, n: int = fixed.TOP_N) -> DataFrame:
-        return R.baseline_direct(self.topk_places(k), n)
+        return R.baseline_direct(self.topk_places(k), check_k_n(k, n))
 
     def recommend_inverse(self, k: int = fixed.INVERSE_TOP_K, n: int = fixed.TOP_N) -> DataFrame:
-        return R.baseline_inverse(self.topk_users(k), self.site_contexts, n)
+        return R.baseline_inverse(self.topk_users(k), self.site_contexts, check_k_n(k, n))
+
+    def lookup_user(self, user_id: str, k: int = fixed.DIRECT_TOP_K, n: int = fixed.TOP_N) -> DataFrame:
+        """The single-user call of the reference as a filter on the batch
+        plan; an unknown id raises (P2)."""
+        uid = str(user_id).strip()
+        if self.profiles.where(F.col(U) == uid).limit(1).count() == 0:
+            raise ValueError(f"user {uid!r} not found")
+        return self.recommend_direct(k, n).where(F.col(U) == uid)
