@@ -87,10 +87,13 @@ def _kernel(k: int, metric: str = "cosine"):
         q_norm = np.sqrt((Q * Q).sum(axis=1))
 
         excl = left[left["ex"].notna()]
-        ex_q = pd.Index(q_ids).get_indexer(excl["qid"]) if not excl.empty else np.empty(0, int)
-        ex_i = pd.Index(item_ids).get_indexer(excl["ex"]) if not excl.empty else np.empty(0, int)
-        keep = (ex_q >= 0) & (ex_i >= 0)
-        ex_q, ex_i = ex_q[keep], ex_i[keep]
+        if excl.empty:
+            ex_q = ex_i = np.empty(0, dtype=np.int64)
+        else:
+            # Merge-based mapping tolerates repeated ids on either side.
+            m = excl[["qid", "ex"]].merge(pd.DataFrame({"qid": q_ids, "r": np.arange(len(q_ids))}), on="qid")
+            m = m.merge(pd.DataFrame({"ex": item_ids, "c": np.arange(len(item_ids))}), on="ex")
+            ex_q, ex_i = m["r"].to_numpy(), m["c"].to_numpy()
 
         step = max(1, _CHUNK_CELLS // max(1, len(item_ids)))
         out_q, out_i, out_s, out_r = [], [], [], []
