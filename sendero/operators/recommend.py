@@ -25,21 +25,24 @@ def retrieve_places(user_vectors: DataFrame, place_vectors: DataFrame, consumed:
     user_vectors (id_usuario, embedding); place_vectors (url_sitio, embedding);
     consumed (id_usuario, url_sitio); catalog (url_sitio, nombre_sitio, ...).
     """
+    # Site metadata (three short texts) rides with the site vectors through
+    # the kernel (J6), so the k-per-user output needs no join by site - a
+    # join that would be skewed towards the most recommended sites.
+    fields = ("nombre_sitio", "categoria_sitio", "ubicacion")
+    items = place_vectors.join(catalog.select(URL, *fields), URL).select(F.col(URL).alias("iid"), "embedding", *fields)
     hits = similarity_topk(
         user_vectors.select(F.col(U).alias("qid"), "embedding"),
-        place_vectors.select(F.col(URL).alias("iid"), "embedding"),
+        items,
         k,
         exclude=consumed.select(F.col(U).alias("qid"), F.col(URL).alias("iid")),
+        item_payload=fields,
         **blocking,
     )
-    # Metadata is attached after the top-k, to k rows per user only.
-    return hits.join(catalog, hits.iid == catalog[URL]).select(
+    return hits.select(
         F.col("qid").alias(U),
         "rank",
-        URL,
-        "nombre_sitio",
-        "categoria_sitio",
-        "ubicacion",
+        F.col("iid").alias(URL),
+        *fields,
         F.round("sim", 4).alias("similitud_vectorial"),
     )
 

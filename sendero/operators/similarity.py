@@ -63,23 +63,26 @@ def _select_topk(S: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return idx, vals
 
 
-def _empty_result() -> pd.DataFrame:
-    return pd.DataFrame({
+def _empty_result(payload: tuple[str, ...] = ()) -> pd.DataFrame:
+    cols = {
         "qid": pd.Series([], dtype=object),
         "iid": pd.Series([], dtype=object),
         "sim": pd.Series([], dtype=np.float64),
         "rank": pd.Series([], dtype=np.int32),
-    })
+    }
+    cols.update({c: pd.Series([], dtype=object) for c in payload})
+    return pd.DataFrame(cols)
 
 
-def _kernel(k: int, metric: str = "cosine"):
+def _kernel(k: int, metric: str = "cosine", payload: tuple[str, ...] = ()):
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         queries = left[left["ex"].isna()]
         if queries.empty or right.empty:
             # Typed empty columns: a group may hold exclusions but no query.
-            return _empty_result()
+            return _empty_result(payload)
         right = right.sort_values("iid", kind="stable")
         item_ids = right["iid"].to_numpy()
+        item_payload = {c: right[c].to_numpy(dtype=object) for c in payload}
         P = np.stack(right["embedding"].to_numpy()).astype(np.float64)
         p_norm = np.sqrt((P * P).sum(axis=1))
         q_ids = queries["qid"].to_numpy()
@@ -97,6 +100,7 @@ def _kernel(k: int, metric: str = "cosine"):
 
         step = max(1, _CHUNK_CELLS // max(1, len(item_ids)))
         out_q, out_i, out_s, out_r = [], [], [], []
+        out_p = {c: [] for c in payload}
         for lo in range(0, len(q_ids), step):
             hi = min(lo + step, len(q_ids))
             dot = Q[lo:hi] @ P.T
@@ -116,12 +120,16 @@ def _kernel(k: int, metric: str = "cosine"):
             out_i.append(item_ids[idx[valid]])
             out_s.append(vals[valid])
             out_r.append(rank[valid])
-        return pd.DataFrame({
+            for c in payload:
+                out_p[c].append(item_payload[c][idx[valid]])
+        result = {
             "qid": np.concatenate(out_q),
             "iid": np.concatenate(out_i),
             "sim": np.concatenate(out_s),
             "rank": np.concatenate(out_r).astype(np.int32),
-        })
+        }
+        result.update({c: np.concatenate(v) for c, v in out_p.items()})
+        return pd.DataFrame(result)
 
     return run
 
@@ -150,6 +158,7 @@ def similarity_topk(
     item_block_rows: int = 200_000,
     query_groups: int | None = None,
     metric: str = "cosine",
+    item_payload: tuple[str, ...] = (),
 ) -> DataFrame:
     """Top-k items per query by cosine similarity, excluded pairs removed.
 
@@ -157,7 +166,9 @@ def similarity_topk(
     ``exclude``: (qid, iid) pairs that may not be returned.  Ids are strings
     and unique within their side.  Result: (qid, iid, sim, rank) with ranks
     1..min(k, available) per query.  ``metric="dot"`` ranks by the plain
-    inner product (factor models) instead of the cosine.
+    inner product (factor models) instead of the cosine.  ``item_payload``
+    names small text columns of ``items`` carried through the kernel into the
+    result, which saves a join of the k-per-query output with the items.
     """
     spark = queries.sparkSession
     checkpoint_dir(spark)
@@ -167,7 +178,11 @@ def similarity_topk(
     # an executor is lost during the quadratic stage).  Vectors travel as
     # float32; the kernel computes in float64.
     q = queries.select(F.col("qid").cast("string"), F.col("embedding").cast("array<float>")).checkpoint(eager=True)
-    it = items.select(F.col("iid").cast("string"), F.col("embedding").cast("array<float>")).checkpoint(eager=True)
+    payload = tuple(item_payload)
+    it = items.select(
+        F.col("iid").cast("string"), F.col("embedding").cast("array<float>"),
+        *[F.col(c).cast("string") for c in payload],
+    ).checkpoint(eager=True)
     parallelism = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     blocks, groups = plan_blocks(q.count(), it.count(), parallelism, query_block_rows, item_block_rows)
     if query_groups is not None:
@@ -186,12 +201,12 @@ def similarity_topk(
             ex.select("qid", F.lit(None).cast("array<float>").alias("embedding"), "ex", bucket("ex", blocks).alias("blk"))
         )
     left = left.withColumn("grp", bucket("qid", groups))
-    right = it.select("iid", "embedding", bucket("iid", blocks).alias("blk"), spread(groups).alias("grp"))
+    right = it.select("iid", "embedding", *payload, bucket("iid", blocks).alias("blk"), spread(groups).alias("grp"))
 
     hits = (
         left.groupBy("blk", "grp")
         .cogroup(right.groupBy("blk", "grp"))
-        .applyInPandas(_kernel(k, metric), RESULT_SCHEMA)
+        .applyInPandas(_kernel(k, metric, payload), RESULT_SCHEMA + "".join(f", `{c}` string" for c in payload))
     )
     if blocks == 1:
         return hits
