@@ -21,6 +21,7 @@ from sendero.operators.embed import HashedTokenEmbedder
 from sendero.operators.prompts import check_k_n
 from sendero.session import checkpoint_dir
 from sendero.sources import bindings
+from sendero.sources.csv import read_interactions_csv, read_profiles_csv
 
 U = "id_usuario"
 URL = "url_sitio"
@@ -31,13 +32,28 @@ class Pipeline:
     ``user_document`` (U1) builds the indexed user text from the explicit
     and implicit narrative columns (default N6)."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, embedder=None, user_document=None, **blocking):
+    def __init__(self, spark: SparkSession, sf_dir: str | None, embedder=None, user_document=None, **blocking):
         self.spark = spark
         self.sf_dir = sf_dir
         self.embedder = embedder or HashedTokenEmbedder()
         self.user_document = user_document or N.full_narrative
         self.blocking = blocking
 
+    @classmethod
+    def from_frames(cls, spark: SparkSession, profiles: DataFrame, interactions: DataFrame, **kw) -> "Pipeline":
+        """A pipeline over caller-supplied raw profile and interaction frames
+        (any column types; they are cleaned and typed here)."""
+        p = cls(spark, None, **kw)
+        p.__dict__["profiles"] = clean_profiles(profiles)
+        p.__dict__["interactions"] = clean_interactions(interactions)
+        return p
+
+    @classmethod
+    def from_csv(cls, spark: SparkSession, profiles_path: str, interactions_path: str, **kw) -> "Pipeline":
+        """A pipeline over the two CSV inputs (header row, Latin-1)."""
+        return cls.from_frames(spark, read_profiles_csv(spark, profiles_path),
+                               read_interactions_csv(spark, interactions_path), **kw)
+
     def for_training(self, train: DataFrame) -> "Pipeline":
         """A pipeline whose histories, narratives and consumed sets come from
         ``train`` while profiles and the catalogue stay those of the full
