@@ -128,6 +128,9 @@ def intra_list_diversity(recs: DataFrame, vectors: DataFrame) -> DataFrame:
             lambda x: x / F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, y: a + y * y)),
         ).alias("v"),
     )
+    # One row per vector element, summed per (user, element): the partial
+    # aggregate runs map-side where a user's list already sits, so about one
+    # row per user and element crosses the shuffle.
     el = recs.select(U, URL).join(unit, URL).select(U, F.posexplode("v").alias("i", "x"))
     sums = el.groupBy(U, "i").agg(F.sum("x").alias("s"))
     sq = sums.groupBy(U).agg(F.sum(F.col("s") * F.col("s")).alias("s2"))
