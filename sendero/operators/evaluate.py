@@ -121,13 +121,9 @@ def intra_list_diversity(recs: DataFrame, vectors: DataFrame) -> DataFrame:
     """E9 without enumerating pairs: for unit vectors v_1..v_n of one list,
     sum_{i<j} cos(v_i, v_j) = (|sum v_i|^2 - n) / 2, so the mean pairwise
     distance is 1 - (|s|^2 - n) / (n (n - 1)).  Lists of one item are skipped."""
-    unit = vectors.select(
-        URL,
-        F.transform(
-            "embedding",
-            lambda x: x / F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, y: a + y * y)),
-        ).alias("v"),
-    )
+    normed = vectors.select(URL, "embedding",
+                            F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, y: a + y * y)).alias("nrm"))
+    unit = normed.select(URL, F.transform("embedding", lambda x: x / F.col("nrm")).alias("v"))
     # One row per vector element, summed per (user, element): the partial
     # aggregate runs map-side where a user's list already sits, so about one
     # row per user and element crosses the shuffle.
