@@ -99,3 +99,41 @@ def test_dot_metric(spark):
     i = spark.createDataFrame([(a, v.tolist()) for a, v in iv.items()], "iid string, embedding array<double>")
     rows = similarity_topk(q, i, 2, metric="dot").orderBy("rank").collect()
     assert [r.iid for r in rows] == ["a", "b"] and rows[0].sim == 10.0
+
+
+def _frames(spark, qv, iv, ex=()):
+    q = spark.createDataFrame([(a, v.tolist()) for a, v in qv.items()], "qid string, embedding array<double>")
+    i = spark.createDataFrame([(a, v.tolist()) for a, v in iv.items()], "iid string, embedding array<double>")
+    e = spark.createDataFrame(sorted(ex), "qid string, iid string") if ex else None
+    return q, i, e
+
+
+def test_role_symmetry(spark):
+    qv, iv, _ = _data(6, 8, 9, ties=False)
+    q, i, _ = _frames(spark, qv, iv)
+    fwd = {(r.qid, r.iid): r.sim for r in similarity_topk(q, i, 50).collect()}
+    bwd = {(r.iid, r.qid): r.sim for r in similarity_topk(
+        i.withColumnRenamed("iid", "qid"), q.withColumnRenamed("qid", "iid"), 50).collect()}
+    assert fwd.keys() == bwd.keys()
+    assert all(abs(fwd[k] - bwd[k]) < 1e-12 for k in fwd)
+
+
+def test_exclusion_equals_over_fetch_then_skip(spark):
+    qv, iv, ex = _data(7, 10, 25)
+    q, i, e = _frames(spark, qv, iv, ex)
+    k = 4
+    anti = sorted((r.qid, r.iid) for r in similarity_topk(q, i, k, exclude=e).collect())
+    over = similarity_topk(q, i, k + len(iv)).collect()
+    skipped = {}
+    for r in sorted(over, key=lambda r: (r.qid, r.rank)):
+        lst = skipped.setdefault(r.qid, [])
+        if (r.qid, r.iid) not in ex and len(lst) < k:
+            lst.append(r.iid)
+    assert anti == sorted((a, b) for a, lst in skipped.items() for b in lst)
+
+
+def test_multi_block_merge_uses_window_group_limit(spark):
+    qv, iv, _ = _data(8, 5, 30)
+    q, i, _ = _frames(spark, qv, iv)
+    plan = similarity_topk(q, i, 3, item_block_rows=10)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "FlatMapCoGroupsInPandas" in plan
