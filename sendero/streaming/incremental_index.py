@@ -6,6 +6,11 @@ embedded, and ids the index lacks are inserted (``foreachBatch`` keyed
 merge).  Progress lives in the checkpoint location, so a restarted job
 resumes after the last committed batch; re-running a batch is harmless
 because insert-new-only is idempotent.
+
+With files arriving in id order this equals the batch build; one edge
+differs: a site whose earliest row has no name is dropped from the batch
+catalogue for good, while a later batch may still insert it (the stale-index
+rule D11 of the batch ingest).
 """
 
 from __future__ import annotations

@@ -44,3 +44,26 @@ def test_stream_build_equals_batch_build(spark, tmpdir_path):
     q.awaitTermination()
     streamed = index_summary(VectorIndex(spark, path, PLACE_METADATA).read())
     assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_stream_over_several_batches(spark, tmpdir_path):
+    import os
+    import time
+
+    events = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    src = os.path.join(tmpdir_path, "events_in")
+    os.makedirs(src)
+    bounds = [0, 300, 700, 10**9]
+    for n, (lo, hi) in enumerate(zip(bounds, bounds[1:])):
+        part = events.where((F.col("event_id") >= lo) & (F.col("event_id") < hi)).toPandas()
+        part.to_parquet(os.path.join(src, f"part-{n}.parquet"), index=False,
+                        coerce_timestamps="us", allow_truncated_timestamps=True)
+        time.sleep(0.05)  # distinct modification times keep the batch order
+    path = f"{tmpdir_path}/stream-index-3"
+    q = start_place_index_stream(spark, SF_SMALL, src, path, state_path=f"{tmpdir_path}/state3")
+    q.awaitTermination()
+    assert len(q.recentProgress) >= 3
+    p = Pipeline(spark, SF_SMALL)
+    batch = index_summary(place_index_rows(p.place_texts, p.place_vectors))
+    streamed = index_summary(VectorIndex(spark, path, PLACE_METADATA).read())
+    assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, batch.collect()))
