@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 from sendero.sources.schemas import INTERACTION_COLUMNS, PROFILE_COLUMNS, all_strings
 
-# Cells that count as missing, compared after trimming and upper-casing.
-NULL_TOKENS = ["", "NA", "N/A", "NONE", "NAN", "NULL"]
+# --- fixed values: cells read as missing (the default missing-value words of
+# pandas' CSV reader, which the reference uses); matched exactly. ---
+NULL_TOKENS = [
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+]
 
 
 def strip_headers(df: DataFrame) -> DataFrame:
@@ -22,7 +26,7 @@ def null_tokens(df: DataFrame) -> DataFrame:
     for field in df.schema.fields:
         c = F.col(field.name)
         if field.dataType.simpleString() == "string":
-            c = F.when(F.upper(F.trim(c)).isin(NULL_TOKENS), F.lit(None)).otherwise(c)
+            c = F.when(c.isin(NULL_TOKENS), F.lit(None)).otherwise(c)
         out.append(c.alias(field.name))
     return df.select(*out)
 
