@@ -7,14 +7,14 @@ co-occurrence self-join would list every pair of sites inside each user's
 history, which grows quadratically with the largest history; the factor
 model avoids it.)
 
-ALS needs integer ids: sites get a dense index from ``zipWithIndex`` over the
-distinct urls (distributed); user ids are indexed the same way.
+ALS needs integer ids: users and sites get a dense index computed JVM-side
+(``dense_index``).
 """
 
 from __future__ import annotations
 
 from pyspark.ml.recommendation import ALS
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sendero.operators.similarity import similarity_topk
@@ -23,18 +23,33 @@ U = "id_usuario"
 URL = "url_sitio"
 
 
-def _index(df: DataFrame, col: str, name: str) -> DataFrame:
-    keys = df.select(col).distinct()
-    rdd = keys.rdd.map(lambda r: r[0]).zipWithIndex().map(lambda t: (t[0], int(t[1])))
-    return df.sparkSession.createDataFrame(rdd, f"`{col}` string, {name} int")
+def dense_index(df: DataFrame, col: str, name: str) -> DataFrame:
+    """(col, name) with ``name`` = 0..n-1 over the distinct values of ``col``.
+
+    Distinct keys are checkpointed (fixing their partitions), numbered inside
+    each partition, and shifted by the running count of earlier partitions;
+    only one count per partition reaches the driver.
+    """
+    keys = df.select(F.col(col)).distinct().checkpoint(eager=True)
+    with_pid = keys.select(col, F.spark_partition_id().alias("pid"))
+    w = Window.partitionBy("pid").orderBy(col)
+    numbered = with_pid.withColumn("rn", F.row_number().over(w) - 1)
+    counts = sorted((r["pid"], r["c"]) for r in with_pid.groupBy("pid").agg(F.count(F.lit(1)).alias("c")).collect())
+    offsets, total = [], 0
+    for pid, c in counts:
+        offsets.append((pid, total))
+        total += c
+    spark = df.sparkSession
+    off = spark.createDataFrame(offsets or [(0, 0)], "pid int, off long")
+    return numbered.join(F.broadcast(off), "pid").select(col, (F.col("off") + F.col("rn")).cast("int").alias(name))
 
 
 def als_factors(inter: DataFrame, rank: int = 16, max_iter: int = 10, reg: float = 0.1,
                 alpha: float = 1.0, seed: int = 42):
     """(user factors (id_usuario, embedding), item factors (url_sitio, embedding))."""
     counts = inter.where(F.col(URL).isNotNull()).groupBy(U, URL).agg(F.count(F.lit(1)).cast("float").alias("r"))
-    users = _index(counts, U, "u")
-    items = _index(counts, URL, "i")
+    users = dense_index(counts, U, "u")
+    items = dense_index(counts, URL, "i")
     data = counts.join(users, U).join(items, URL).select("u", "i", "r")
     als = ALS(rank=rank, maxIter=max_iter, regParam=reg, alpha=alpha, implicitPrefs=True, userCol="u",
               itemCol="i", ratingCol="r", seed=seed, checkpointInterval=5, coldStartStrategy="drop")

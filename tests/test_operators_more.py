@@ -87,3 +87,12 @@ def test_custom_user_document_and_lookup(spark):
     assert {r["id_usuario"] for r in one} == {"3"} and len(one) == 3
     with pytest.raises(ValueError):
         Pipeline(spark, SF_SMALL).lookup_user("no-such-user")
+
+
+def test_dense_index(spark):
+    from sendero.operators.collaborative import dense_index
+
+    df = spark.range(0, 500).select((F.col("id") % 137).cast("string").alias("k")).repartition(7)
+    idx = dense_index(df, "k", "i").collect()
+    assert sorted(r["i"] for r in idx) == list(range(137))
+    assert len({r["k"] for r in idx}) == 137
