@@ -64,13 +64,6 @@ def multi_value_text(c: Column) -> Column:
     return F.coalesce(F.btrim(F.replace(c, F.lit("|"), F.lit(", ")), F.lit(", ")), F.lit(""))
 
 
-def multi_value_array(c: Column) -> Column:
-    """``a|b|c`` -> array of trimmed, non-empty values."""
-    return F.filter(F.transform(F.split(c, r"\|"), lambda x: F.trim(x)), lambda x: x != "")
-
-
-def trimmed_text(c: Column) -> Column:
-    return F.trim(c.cast("string"))
 
 
 def blank_to_null(c: Column) -> Column:
@@ -78,9 +71,6 @@ def blank_to_null(c: Column) -> Column:
     return F.when(t == "", F.lit(None)).otherwise(t)
 
 
-def join_values(arr: Column, sep: str = ", ") -> Column:
-    return F.array_join(arr, sep)
-
 
 def fill_template(template: Column | str, **values: Column) -> Column:
     """Fill ``{name}`` slots of a template held in a column (prompt templates).

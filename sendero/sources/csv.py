@@ -53,7 +53,3 @@ def read_profiles_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def read_interactions_csv(spark: SparkSession, path: str) -> DataFrame:
     return _read(spark, path, INTERACTION_COLUMNS)
-
-
-def declared_schema_profiles():
-    return all_strings(PROFILE_COLUMNS)
