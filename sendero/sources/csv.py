@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sendero.sources.schemas import INTERACTION_COLUMNS, PROFILE_COLUMNS, all_strings
+from sendero.sources.schemas import INTERACTION_COLUMNS, PROFILE_COLUMNS
 
 # --- fixed values: cells read as missing (the default missing-value words of
 # pandas' CSV reader, which the reference uses); matched exactly. ---
