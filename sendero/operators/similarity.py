@@ -180,6 +180,8 @@ def similarity_topk(
     names small text columns of ``items`` carried through the kernel into the
     result, which saves a join of the k-per-query output with the items.
     """
+    if k < 1:
+        raise ValueError("k must be at least 1")
     spark = queries.sparkSession
     checkpoint_dir(spark)
     # Both sides are materialised once in the shared checkpoint folder: their
@@ -187,16 +189,18 @@ def similarity_topk(
     # of recomputing the text and vector pipelines (and restarts from them if
     # an executor is lost during the quadratic stage).  Vectors travel as
     # float32; the kernel computes in float64.
-    q = queries.select(F.col("qid").cast("string"), F.col("embedding").cast("array<float>")).checkpoint(eager=True)
+    # Rows without an id or a vector can never be ranked (D17) and are left out.
+    q = queries.select(F.col("qid").cast("string"), F.col("embedding").cast("array<float>")).where(
+        F.col("qid").isNotNull() & F.col("embedding").isNotNull()).checkpoint(eager=True)
     payload = tuple(item_payload)
     it = items.select(
         F.col("iid").cast("string"), F.col("embedding").cast("array<float>"),
         *[F.col(c).cast("string") for c in payload],
-    ).checkpoint(eager=True)
+    ).where(F.col("iid").isNotNull() & F.col("embedding").isNotNull()).checkpoint(eager=True)
     parallelism = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     n_items = it.count()
     dim = (it.select(F.size("embedding")).first() or [0])[0] if n_items else 0
-    n_excluded = exclude.count() if exclude is not None else 0
+    n_excluded = exclude.where(F.col("iid").isNotNull()).count() if exclude is not None else 0
     blocks, groups = plan_blocks(q.count(), n_items, parallelism, query_block_rows, item_block_rows, dim,
                                  n_excluded=n_excluded)
     if query_groups is not None:
@@ -210,7 +214,8 @@ def similarity_topk(
 
     left = q.select("qid", "embedding", F.lit(None).cast("string").alias("ex"), spread(blocks).alias("blk"))
     if exclude is not None:
-        ex = exclude.select(F.col("qid").cast("string"), F.col("iid").cast("string").alias("ex"))
+        ex = exclude.select(F.col("qid").cast("string"), F.col("iid").cast("string").alias("ex")).where(
+            F.col("qid").isNotNull() & F.col("ex").isNotNull())
         left = left.unionByName(
             ex.select("qid", F.lit(None).cast("array<float>").alias("embedding"), "ex", bucket("ex", blocks).alias("blk"))
         )

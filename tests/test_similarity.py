@@ -137,3 +137,15 @@ def test_multi_block_merge_uses_window_group_limit(spark):
     q, i, _ = _frames(spark, qv, iv)
     plan = similarity_topk(q, i, 3, item_block_rows=10)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "FlatMapCoGroupsInPandas" in plan
+
+
+def test_null_ids_and_vectors_are_ignored(spark):
+    import pytest
+
+    q = spark.createDataFrame([("a", [1.0, 0.0]), (None, [1.0, 0.0]), ("b", None)], "qid string, embedding array<double>")
+    i = spark.createDataFrame([("x", [1.0, 0.0]), ("y", None), (None, [0.0, 1.0])], "iid string, embedding array<double>")
+    e = spark.createDataFrame([("a", None), (None, "x")], "qid string, iid string")
+    rows = [(r.qid, r.iid, r.rank) for r in similarity_topk(q, i, 3, exclude=e).collect()]
+    assert rows == [("a", "x", 1)]
+    with pytest.raises(ValueError):
+        similarity_topk(q, i, 0)
