@@ -35,7 +35,7 @@ def generate(prompts: DataFrame, key: str, generator: Generator) -> DataFrame:
     """M3: (key, modelo_usado, respuesta) for every prompt row.
 
     ``generator`` receives a pandas batch with the prompt table's columns
-    (prompt, modelo_usado, candidates_json, ...) and returns one response
+    (prompt, modelo_usado, opciones, candidates_json, ...) and returns one response
     text per row; it is supplied by the caller (a model client, a service
     call, or the deterministic stub below)."""
 

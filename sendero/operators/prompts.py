@@ -8,6 +8,8 @@ user data stay as they are.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,8 +58,15 @@ def _model(model: str | None) -> Column:
     return F.lit(model or fixed.DEFAULT_GENERATOR)
 
 
+def _options(options: dict | None) -> Column:
+    """Generation options handed to the generator with each prompt."""
+    return F.lit(json.dumps(options if options is not None else fixed.GENERATION_OPTIONS,
+                            separators=(",", ":"), sort_keys=True))
+
+
 def direct_prompts(user_texts: DataFrame, candidates: DataFrame, top_n: int = fixed.TOP_N,
-                   template: str | None = None, model: str | None = None) -> DataFrame:
+                   template: str | None = None, model: str | None = None,
+                   options: dict | None = None) -> DataFrame:
     """M1: one prompt per user with candidates."""
     template = validate_template(template) if template else fixed.DIRECT_PROMPT_TEMPLATE
     lists = candidate_json(candidates, "id_usuario", DIRECT_FIELDS)
@@ -65,6 +74,7 @@ def direct_prompts(user_texts: DataFrame, candidates: DataFrame, top_n: int = fi
     return j.select(
         "id_usuario",
         _model(model).alias("modelo_usado"),
+        _options(options).alias("opciones"),
         "n_candidatos",
         "candidates_json",
         render(template, top_n=F.lit(str(top_n)), user_context=F.col("contexto"),
@@ -73,13 +83,14 @@ def direct_prompts(user_texts: DataFrame, candidates: DataFrame, top_n: int = fi
 
 
 def inverse_prompts(site_contexts: DataFrame, candidates: DataFrame, top_n: int = fixed.TOP_N,
-                    model: str | None = None) -> DataFrame:
+                    model: str | None = None, options: dict | None = None) -> DataFrame:
     """M2: one prompt per site with user candidates (fixed template)."""
     lists = candidate_json(candidates, "url_sitio", INVERSE_FIELDS)
     j = lists.join(site_contexts.select("url_sitio", "contexto"), "url_sitio")
     return j.select(
         "url_sitio",
         _model(model).alias("modelo_usado"),
+        _options(options).alias("opciones"),
         "n_candidatos",
         "candidates_json",
         render(fixed.INVERSE_PROMPT_TEMPLATE, top_n=F.lit(str(top_n)), place_context=F.col("contexto"),

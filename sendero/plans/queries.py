@@ -4,6 +4,7 @@ bindings) and covers the whole of them."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -311,12 +312,13 @@ def _no_candidates(p: Pipeline) -> DataFrame:
 from sendero.operators import generate as G  # noqa: E402
 from sendero.operators import prompts as PR  # noqa: E402
 
+_OPTIONS_JSON = json.dumps(fixed.GENERATION_OPTIONS, separators=(",", ":"), sort_keys=True)
 O.candidate_json_fragment("direct_lists", O.topk_places_fragment(6), "id_usuario", PR.DIRECT_FIELDS)
 O.candidate_json_fragment("inverse_lists", O.topk_users_fragment(10), "url_sitio", PR.INVERSE_FIELDS)
 
 
 @register("prompt_direct", O.sql(f"""
-SELECT l.id_usuario, '{fixed.DEFAULT_GENERATOR}' AS modelo_usado, l.n_candidatos, l.candidates_json,
+SELECT l.id_usuario, '{fixed.DEFAULT_GENERATOR}' AS modelo_usado, '{_OPTIONS_JSON}' AS opciones, l.n_candidatos, l.candidates_json,
   {render_sql(fixed.DIRECT_PROMPT_TEMPLATE, top_n="'3'", user_context='u.contexto', candidates_json='l.candidates_json')} AS prompt
 FROM direct_lists l JOIN user_texts u ON u.id_usuario = l.id_usuario""", "direct_lists", "user_texts"))
 def _prompt_direct(p: Pipeline) -> DataFrame:
@@ -325,7 +327,7 @@ def _prompt_direct(p: Pipeline) -> DataFrame:
 
 
 @register("prompt_inverse", O.sql(f"""
-SELECT l.url_sitio, '{fixed.DEFAULT_GENERATOR}' AS modelo_usado, l.n_candidatos, l.candidates_json,
+SELECT l.url_sitio, '{fixed.DEFAULT_GENERATOR}' AS modelo_usado, '{_OPTIONS_JSON}' AS opciones, l.n_candidatos, l.candidates_json,
   {render_sql(fixed.INVERSE_PROMPT_TEMPLATE, top_n="'3'", place_context='s.contexto', candidates_json='l.candidates_json')} AS prompt
 FROM inverse_lists l JOIN site_contexts s ON s.url_sitio = l.url_sitio""", "inverse_lists", "site_contexts"))
 def _prompt_inverse(p: Pipeline) -> DataFrame:
