@@ -54,11 +54,15 @@ PREVIEW_COLUMNS = [U, "nombre", "edad", "nacionalidad", "tipo_viajero"]
 
 
 def users_preview(profiles: DataFrame, n: int = 10) -> DataFrame:
-    """The first n profiles by id with their position; the limit
-    is the feature (a preview), Spark plans it as a TakeOrdered top-n."""
+    """The first n profiles by id with their position, the total
+    number of profiles and the id column's type; the limit is the feature (a
+    preview), Spark plans it as a TakeOrdered top-n."""
     cols = [c for c in PREVIEW_COLUMNS if c in profiles.columns]
+    total = profiles.count()  # a scalar
     top = profiles.select(*cols).orderBy(U).limit(n)
-    return top.withColumn("posicion", F.row_number().over(Window.orderBy(U)))
+    return top.withColumn("posicion", F.row_number().over(Window.orderBy(U))).withColumn(
+        "total", F.lit(total).cast("bigint")
+    ).withColumn("tipo_id", F.lit(profiles.schema[U].dataType.simpleString()))
 
 
 def cold_start_users(profiles: DataFrame, implicit: DataFrame) -> DataFrame:

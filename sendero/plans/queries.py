@@ -257,7 +257,8 @@ def _selector_labels(p: Pipeline) -> DataFrame:
 
 @register("users_preview", O.sql("""
 SELECT id_usuario, nombre, edad, nacionalidad, tipo_viajero,
-  CAST(row_number() OVER (ORDER BY id_usuario) AS INTEGER) AS posicion
+  CAST(row_number() OVER (ORDER BY id_usuario) AS INTEGER) AS posicion,
+  (SELECT count(*) FROM prof) AS total, 'string' AS tipo_id
 FROM (SELECT * FROM prof ORDER BY id_usuario LIMIT 10)""", "prof"))
 def _users_preview(p: Pipeline) -> DataFrame:
     """Preview of the first 10 profiles with their positions."""
