@@ -194,3 +194,10 @@ class Pipeline:
         if self.profiles.where(F.col(U) == uid).limit(1).count() == 0:
             raise ValueError(f"user {uid!r} not found")
         return self.recommend_direct(k, n).where(F.col(U) == uid)
+
+    def lookup_site(self, url: str, k: int = fixed.INVERSE_TOP_K, n: int = fixed.TOP_N) -> DataFrame:
+        """The single-site call (P3): trimmed url, unknown urls raise."""
+        key = str(url).strip()
+        if self.selector.where(F.col(URL) == key).limit(1).count() == 0:
+            raise ValueError(f"site {key!r} not found")
+        return self.recommend_inverse(k, n).where(F.col(URL) == key)

@@ -87,6 +87,10 @@ def test_custom_user_document_and_lookup(spark):
     assert {r["id_usuario"] for r in one} == {"3"} and len(one) == 3
     with pytest.raises(ValueError):
         Pipeline(spark, SF_SMALL).lookup_user("no-such-user")
+    site = Pipeline(spark, SF_SMALL).lookup_site(" site/3 ", 10, 2).collect()
+    assert {r["url_sitio"] for r in site} == {"site/3"} and len(site) == 2
+    with pytest.raises(ValueError):
+        Pipeline(spark, SF_SMALL).lookup_site("site/none")
 
 
 def test_dense_index(spark):
