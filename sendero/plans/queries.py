@@ -887,3 +887,31 @@ def _latency_summary(p: Pipeline) -> DataFrame:
         prompts = PR.direct_prompts(p.user_texts, cands, 3, model=model)
         log.time("generacion", model, lambda: runlog.run_fully(G.generate(prompts, "id_usuario", G.stub_generator("direct", 3))))
     return log.summary()
+
+
+# --- precomputed vector table --------------------------------------------------------------------
+from sendero.operators.similarity import similarity_topk  # noqa: E402
+
+
+@register("vector_neighbours", O.sql("""
+SELECT qid AS vec_id, rank, iid AS vecino, round(sim, 4) AS similitud_vectorial FROM (
+  SELECT qid, iid, sim, CAST(row_number() OVER (PARTITION BY qid ORDER BY sim DESC, iid) AS INTEGER) AS rank FROM (
+    SELECT CAST(a.vec_id AS VARCHAR) AS qid, CAST(b.vec_id AS VARCHAR) AS iid,
+      list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))
+        / (sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])))
+           * sqrt(list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])))) AS sim
+    FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id
+  )
+) WHERE rank <= 10"""))
+def _vector_neighbours(p: Pipeline) -> DataFrame:
+    """V1(a)/V4/K1 on the stored vector table: the 10 nearest other vectors
+    of every vector (self pairs passed as exclusions)."""
+    emb = table(p.spark, p.sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("id"), "embedding")
+    hits = similarity_topk(
+        emb.select(F.col("id").alias("qid"), "embedding"),
+        emb.select(F.col("id").alias("iid"), "embedding"),
+        10,
+        exclude=emb.select(F.col("id").alias("qid"), F.col("id").alias("iid")),
+    )
+    return hits.select(F.col("qid").alias("vec_id"), "rank", F.col("iid").alias("vecino"),
+                       F.round("sim", 4).alias("similitud_vectorial"))
