@@ -134,27 +134,20 @@ def _kernel(k: int, metric: str = "cosine", payload: tuple[str, ...] = ()):
     return run
 
 
-# Multiply-adds one kernel group is worth (about a second of numpy).
-_GROUP_WORK = 2_000_000_000
-
-
 def plan_blocks(n_queries: int, n_items: int, parallelism: int,
-                query_block_rows: int, item_block_rows: int, dim: int = 64,
-                group_work: int = _GROUP_WORK, n_excluded: int = 0) -> tuple[int, int]:
+                query_block_rows: int, item_block_rows: int, n_excluded: int = 0) -> tuple[int, int]:
     """(item blocks C, query groups G).
 
     Item blocks are bounded by ``item_block_rows``; the left side of a group
     (its queries plus their exclusion pairs falling in the block, about
-    (Q + E / C) / G rows) by ``query_block_rows`` (memory).  Beyond that, G only grows while there is
-    work to spread: up to G x C = parallelism, and no further than one group
-    per ``group_work`` multiply-adds.  Every item row is shuffled once per
-    query group and every query row once per item block, so G and C are kept
-    as small as these bounds allow.
+    (Q + E / C) / G rows) by ``query_block_rows``.  G is at least what
+    spreads the G x C groups over the cluster parallelism, so the join never
+    runs as a single group.  Every item row is shuffled once per query group
+    and every query row once per item block, so neither is raised further.
     """
     blocks = max(1, math.ceil(n_items / item_block_rows))
     by_memory = math.ceil((n_queries + n_excluded / blocks) / query_block_rows)
-    by_work = math.ceil(n_queries * n_items * max(dim, 1) / (blocks * group_work))
-    groups = max(by_memory, min(math.ceil(parallelism / blocks), by_work))
+    groups = max(by_memory, math.ceil(parallelism / blocks))
     return blocks, max(1, min(groups, max(n_queries, 1)))
 
 
@@ -198,10 +191,8 @@ def similarity_topk(
         *[F.col(c).cast("string") for c in payload],
     ).where(F.col("iid").isNotNull() & F.col("embedding").isNotNull()).checkpoint(eager=True)
     parallelism = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    n_items = it.count()
-    dim = (it.select(F.size("embedding")).first() or [0])[0] if n_items else 0
     n_excluded = exclude.where(F.col("iid").isNotNull()).count() if exclude is not None else 0
-    blocks, groups = plan_blocks(q.count(), n_items, parallelism, query_block_rows, item_block_rows, dim,
+    blocks, groups = plan_blocks(q.count(), it.count(), parallelism, query_block_rows, item_block_rows,
                                  n_excluded=n_excluded)
     if query_groups is not None:
         groups = query_groups
