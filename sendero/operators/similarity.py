@@ -190,7 +190,9 @@ def similarity_topk(
         F.col("iid").cast("string"), F.col("embedding").cast("array<float>"),
         *[F.col(c).cast("string") for c in payload],
     ).where(F.col("iid").isNotNull() & F.col("embedding").isNotNull()).checkpoint(eager=True)
-    parallelism = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # Total task slots of the cluster (executor cores); the shuffle-partition
+    # setting is often much larger and would only inflate item replication.
+    parallelism = spark.sparkContext.defaultParallelism
     n_excluded = exclude.where(F.col("iid").isNotNull()).count() if exclude is not None else 0
     blocks, groups = plan_blocks(q.count(), it.count(), parallelism, query_block_rows, item_block_rows,
                                  n_excluded=n_excluded)
