@@ -47,9 +47,15 @@ def generate(prompts: DataFrame, key: str, generator: Generator) -> DataFrame:
     return prompts.mapInPandas(run, f"`{key}` string, modelo_usado string, respuesta string")
 
 
+# Our texts for the deterministic stand-in generator.
+STUB_DIRECT_REASON = "Candidato recuperado en la posición {pos}."
+STUB_INVERSE_REASON = "Usuario recuperado en la posición {pos}."
+
+
 def stub_generator(kind: str, top_n: int = fixed.TOP_N) -> Generator:
     """Deterministic stand-in for a model: answers with the first top_n
-    candidates of the prompt, in the answer contract of ``kind``."""
+    candidates of the prompt, in the answer contract of ``kind``; the
+    affinity of item i of n picked is level min(2, 3 i / n)."""
     name, fields = CONTRACTS[kind]
     levels = fixed.AFFINITY_LEVELS
 
@@ -60,9 +66,9 @@ def stub_generator(kind: str, top_n: int = fixed.TOP_N) -> Generator:
             item = {f: c.get(f) for f in fields if f in c}
             if kind == "direct":
                 item["nivel_afinidad"] = levels[min(2, i * 3 // max(1, len(picked)))]
-                item["justificacion"] = "Candidato recuperado en la posición %d." % (i + 1)
+                item["justificacion"] = STUB_DIRECT_REASON.format(pos=i + 1)
             else:
-                item["justificacion_target"] = "Usuario recuperado en la posición %d." % (i + 1)
+                item["justificacion_target"] = STUB_INVERSE_REASON.format(pos=i + 1)
             items.append(item)
         return json.dumps({name: items}, ensure_ascii=False)
 

@@ -915,3 +915,44 @@ def _vector_neighbours(p: Pipeline) -> DataFrame:
     )
     return hits.select(F.col("qid").alias("vec_id"), "rank", F.col("iid").alias("vecino"),
                        F.round("sim", 4).alias("similitud_vectorial"))
+
+
+# --- end-to-end generation path (retrieval -> prompt -> generator -> parsed answer) --------------
+def _rag_sql(key: str, topk: str, fields: dict[str, str], reason: str, reason_col: str,
+             item_col: str, direct: bool) -> str:
+    """Parsed answers of the deterministic stub: the first 3 candidates, with
+    the stub's affinity rule and reason text, all grounded."""
+    a, b, c = fixed.AFFINITY_LEVELS
+    level = (f", CASE least(2, CAST(floor((t.rank - 1) * 3 / least(3, n.c)) AS INTEGER)) "
+             f"WHEN 0 THEN '{a}' WHEN 1 THEN '{b}' ELSE '{c}' END AS nivel_afinidad") if direct else ""
+    cols = ", ".join(f"t.{src} AS {dst}" for dst, src in fields.items())
+    return O.sql(f"""
+SELECT t.{key}, '{fixed.DEFAULT_GENERATOR}' AS modelo_usado, t.rank AS posicion, {cols}{level},
+  {render_sql(reason, pos='t.rank')} AS {reason_col}, 1 AS en_candidatos
+FROM {topk} t JOIN (SELECT {key}, count(*) AS c FROM {topk} GROUP BY {key}) n ON n.{key} = t.{key}
+WHERE t.rank <= 3""", topk)
+
+
+@register("rag_direct", _rag_sql(
+    "id_usuario", O.topk_places_fragment(6),
+    {"nombre_sitio": "nombre_sitio", "categoria_sitio": "categoria_sitio", "ubicacion": "ubicacion"},
+    G.STUB_DIRECT_REASON, "justificacion", "nombre_sitio", True))
+def _rag_direct(p: Pipeline) -> DataFrame:
+    """M7 through the generator path: V5 -> M1 -> M3 (mapInPandas, stub
+    generator) -> M4 -> E11, for every user."""
+    topk = p.topk_places(6)
+    answers = G.generate(PR.direct_prompts(p.user_texts, topk, 3), "id_usuario", G.stub_generator("direct", 3))
+    items, _ = G.parse_responses(answers, "id_usuario", "direct", 3)
+    return G.grounded(items, topk, "id_usuario", "nombre_sitio")
+
+
+@register("rag_inverse", _rag_sql(
+    "url_sitio", O.topk_users_fragment(10),
+    {"id_usuario": "id_usuario", "nombre": "nombre", "tipo_viajero": "tipo_viajero"},
+    G.STUB_INVERSE_REASON, "justificacion_target", "id_usuario", False))
+def _rag_inverse(p: Pipeline) -> DataFrame:
+    """M8 through the generator path for every site."""
+    topk = p.topk_users(10)
+    answers = G.generate(PR.inverse_prompts(p.site_contexts, topk, 3), "url_sitio", G.stub_generator("inverse", 3))
+    items, _ = G.parse_responses(answers, "url_sitio", "inverse", 3)
+    return G.grounded(items, topk, "url_sitio", "id_usuario")
