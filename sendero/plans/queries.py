@@ -336,7 +336,29 @@ def _prompt_inverse(p: Pipeline) -> DataFrame:
     return PR.inverse_prompts(p.site_contexts, p.topk_users(10), 3)
 
 
-@register("generate_stub")
+def _stub_json_sql() -> str:
+    """The stub's answer text as Python's json.dumps writes it."""
+    a, b, c = fixed.AFFINITY_LEVELS
+
+    def j(x: str) -> str:
+        return f"coalesce(CAST(to_json({x}) AS VARCHAR), 'null')"
+
+    level = (f"CASE least(2, CAST(floor((t.rank - 1) * 3 / least(3, n.c)) AS INTEGER)) "
+             f"WHEN 0 THEN '{a}' WHEN 1 THEN '{b}' ELSE '{c}' END")
+    reason = render_sql(G.STUB_DIRECT_REASON, pos="t.rank")
+    item = (f"""'{{"nombre_sitio": ' || {j('t.nombre_sitio')} || ', "categoria_sitio": ' || {j('t.categoria_sitio')}"""
+            f""" || ', "ubicacion": ' || {j('t.ubicacion')} || ', "nivel_afinidad": ' || {j(level)}"""
+            f""" || ', "justificacion": ' || {j(reason)} || '}}'""")
+    t = O.topk_places_fragment(6)
+    return O.sql(f"""
+SELECT t.id_usuario, '{fixed.DEFAULT_GENERATOR}' AS modelo_usado,
+  '{{"{fixed.DIRECT_RESPONSE_LIST}": [' || string_agg({item}, ', ' ORDER BY t.rank) || ']}}' AS respuesta
+FROM {t} t JOIN (SELECT id_usuario, count(*) AS c FROM {t} GROUP BY id_usuario) n ON n.id_usuario = t.id_usuario
+WHERE t.rank <= 3
+GROUP BY t.id_usuario""", t)
+
+
+@register("generate_stub", _stub_json_sql())
 def _generate_stub(p: Pipeline) -> DataFrame:
     """M3: batch generation over the prompt table with a caller-supplied
     callable (here the deterministic stub) through mapInPandas."""
