@@ -53,3 +53,24 @@ def test_cli_recommend_and_index(spark, tmpdir_path):
     main(["recommend", "--profiles", p_csv, "--interactions", i_csv, "--out", out, "--k", "3", "--n", "2"])
     recs = spark.read.parquet(os.path.join(out, "recomendaciones")).collect()
     assert recs and max(r["rank"] for r in recs) <= 2
+
+
+def test_cli_other_commands(spark, tmpdir_path):
+    p_csv, i_csv = _write(tmpdir_path)
+    base = ["--profiles", p_csv, "--interactions", i_csv]
+    out = os.path.join(tmpdir_path, "cli")
+    main(["inverse", *base, "--out", out, "--k", "2", "--n", "1"])
+    inv = spark.read.parquet(os.path.join(out, "usuarios_recomendados")).collect()
+    assert inv and all(r["rank"] == 1 for r in inv)
+    main(["index", *base, "--out", out])
+    assert spark.read.parquet(os.path.join(out, "lugares_turisticos")).count() == 4
+    assert spark.read.parquet(os.path.join(out, "perfiles_usuarios")).count() == 3
+    tpl = os.path.join(tmpdir_path, "t.txt")
+    with open(tpl, "w", encoding="utf-8") as f:
+        f.write("N={top_n} U={user_context} C={candidates_json}")
+    main(["prompts", *base, "--out", out, "--template", tpl, "--model", "m1"])
+    pr = spark.read.parquet(os.path.join(out, "prompts")).collect()
+    assert pr and all(r["prompt"].startswith("N=3 U=") and r["modelo_usado"] == "m1" for r in pr)
+    main(["evaluate", *base, "--out", out, "--n", "2"])
+    m = spark.read.parquet(os.path.join(out, "metricas")).collect()
+    assert {r["protocolo"] for r in m} == {"temporal", "leave_one_out"}
