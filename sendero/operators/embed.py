@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sendero.session import ship_package
+
 
 def token_bucket(token: Column, dim: int) -> Column:
     return F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("bigint") % dim
@@ -70,6 +72,7 @@ class PandasEmbedder:
     fn: Callable[[list[str]], list[list[float]]]
 
     def __call__(self, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+        ship_package(df.sparkSession)
         fn = self.fn
 
         def run(batches):

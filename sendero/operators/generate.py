@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sendero.functions import fixed
+from sendero.session import ship_package
 
 Generator = Callable[[pd.DataFrame], list[str]]
 
@@ -39,6 +40,8 @@ def generate(prompts: DataFrame, key: str, generator: Generator) -> DataFrame:
     text per row; it is supplied by the caller (a model client, a service
     call, or the deterministic stub below)."""
 
+    ship_package(prompts.sparkSession)
+
     def run(batches):
         for pdf in batches:
             out = generator(pdf)

@@ -19,7 +19,7 @@ from sendero.operators import recommend as R
 from sendero.operators.clean import clean_interactions, clean_profiles
 from sendero.operators.embed import HashedTokenEmbedder
 from sendero.operators.prompts import check_k_n
-from sendero.session import checkpoint_dir
+from sendero.session import checkpoint_dir, ship_package
 from sendero.sources import bindings
 from sendero.sources.csv import read_interactions_csv, read_profiles_csv
 
@@ -34,6 +34,7 @@ class Pipeline:
 
     def __init__(self, spark: SparkSession, sf_dir: str | None, embedder=None, user_document=None, **blocking):
         self.spark = spark
+        ship_package(spark)
         self.sf_dir = sf_dir
         self.embedder = embedder or HashedTokenEmbedder()
         self.user_document = user_document or N.full_narrative

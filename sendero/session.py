@@ -47,12 +47,42 @@ def get_session(
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``sendero`` importable in the Python workers of this application
+    (what ``--py-files`` does): the package is zipped once on the driver and
+    added with ``addPyFile``, so tasks find it whatever the executors have
+    installed and whatever the driver's working directory is."""
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    import zipfile
+
+    import sendero
+
+    pkg = os.path.dirname(os.path.abspath(sendero.__file__))
+    root = os.path.dirname(pkg)
+    target = os.path.join(tempfile.mkdtemp(prefix="sendero-pkg-"), "sendero.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(pkg):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(dirpath, name)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(target)
+    _SHIPPED.add(app)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this is set by the deployment to a shared file system and is
     only read here.  When it is unset (local tests) a private folder is made.
     """
+    ship_package(spark)
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         current = tempfile.mkdtemp(prefix="sendero-ckpt-")
