@@ -100,3 +100,20 @@ def test_dense_index(spark):
     idx = dense_index(df, "k", "i").collect()
     assert sorted(r["i"] for r in idx) == list(range(137))
     assert len({r["k"] for r in idx}) == 137
+
+
+def test_custom_batch_embedder(spark):
+    from sendero.operators.embed import PandasEmbedder, TableEmbedder
+
+    def letters(texts):
+        return [[float(t.lower().count(c)) for c in "aeiou"] for t in texts]
+
+    p = Pipeline(spark, SF_SMALL, embedder=PandasEmbedder(letters))
+    recs = p.topk_places(3).collect()
+    assert recs and {r["rank"] for r in recs} <= {1, 2, 3}
+    plan = p.place_vectors._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" in plan
+    vecs = spark.createDataFrame([("a", [1.0, 2.0])], "k string, embedding array<float>")
+    rows = spark.createDataFrame([("u1", "a"), ("u2", "b")], "id string, k string")
+    got = TableEmbedder(vecs, "k")(rows, "id").collect()
+    assert [(r["id"], r["embedding"]) for r in got] == [("u1", [1.0, 2.0])]
