@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 
 from pyspark.sql import SparkSession
 
@@ -48,6 +49,7 @@ def get_session(
 
 
 _SHIPPED: set[str] = set()
+_SHIP_LOCK = threading.Lock()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -59,21 +61,30 @@ def ship_package(spark: SparkSession) -> None:
     app = sc.applicationId
     if app in _SHIPPED:
         return
-    import zipfile
-
-    import sendero
-
-    pkg = os.path.dirname(os.path.abspath(sendero.__file__))
-    root = os.path.dirname(pkg)
-    target = os.path.join(tempfile.mkdtemp(prefix="sendero-pkg-"), "sendero.zip")
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-        for dirpath, _, files in os.walk(pkg):
-            for name in files:
-                if name.endswith(".py"):
-                    full = os.path.join(dirpath, name)
-                    z.write(full, os.path.relpath(full, root))
-    sc.addPyFile(target)
-    _SHIPPED.add(app)
+    with _SHIP_LOCK:
+        if app in _SHIPPED:
+            return
+        import zipfile
+
+        import sendero
+
+        pkg = os.path.dirname(os.path.abspath(sendero.__file__))
+        root = os.path.dirname(pkg)
+        target = os.path.join(tempfile.mkdtemp(prefix="sendero-pkg-"), "sendero.zip")
+        with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+            for dirpath, _, files in os.walk(pkg):
+                for name in files:
+                    if name.endswith(".py"):
+                        full = os.path.join(dirpath, name)
+                        z.write(full, os.path.relpath(full, root))
+        try:
+            sc.addPyFile(target)
+        except Exception as exc:  # noqa: BLE001
+            # Already registered for this application (e.g. by another copy of
+            # this module): the workers can import the package either way.
+            if "already registered" not in str(exc):
+                raise
+        _SHIPPED.add(app)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
