@@ -1,980 +1,6 @@
-"""Registered queries: name -> (spark, sf_dir) -> DataFrame, and the oracle
-SQL of each.  Every query reads the base tables of ``sf_dir`` (through the
-bindings) and covers the whole of them."""
+"""Registered queries and their oracle SQL (see ``sendero.plans.registered``)."""
 
-from __future__ import annotations
+from sendero.plans import registered  # noqa: F401  (fills the registry)
+from sendero.plans.registry import ORACLE, QUERIES, register
 
-import json
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from sendero.functions import fixed
-from sendero.functions.text import render_sql
-from sendero.operators import aggregates as A
-from sendero.operators import lookups as L
-from sendero.operators import recommend as R
-from sendero.operators.embed import cosine
-from sendero.plans import oracle as O
-from sendero.plans.pipeline import Pipeline
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
-
-
-def register(name: str, oracle_sql: str | None = None):
-    def deco(fn: Callable[[Pipeline], DataFrame]) -> Callable[[Pipeline], DataFrame]:
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(Pipeline(spark, sf_dir))
-
-        run.__name__ = name
-        run.__doc__ = fn.__doc__
-        QUERIES[name] = run
-        if oracle_sql is not None:
-            ORACLE[name] = oracle_sql
-        return fn
-
-    return deco
-
-
-# --- retrieval and the vector-only baseline ------------------------------------------
-@register("topk_places", O.sql(f"SELECT * FROM {O.topk_places_fragment(6)}", O.topk_places_fragment(6)))
-def _topk_places(p: Pipeline) -> DataFrame:
-    """Top-6 unconsumed sites per user."""
-    return p.topk_places(6)
-
-
-@register("topk_users", O.sql(f"SELECT * FROM {O.topk_users_fragment(10)}", O.topk_users_fragment(10)))
-def _topk_users(p: Pipeline) -> DataFrame:
-    """Top-10 users per site among those who never visited it."""
-    return p.topk_users(10)
-
-
-@register("baseline_direct", O.baseline_direct_sql(6, 3))
-def _baseline_direct(p: Pipeline) -> DataFrame:
-    """M6 direct: first 3 of 6 retrieved sites with affinity and reason."""
-    return p.recommend_direct(6, 3)
-
-
-@register("baseline_inverse", O.baseline_inverse_sql(10, 3))
-def _baseline_inverse(p: Pipeline) -> DataFrame:
-    """M6 inverse: first 3 of 10 retrieved users with a reason."""
-    return p.recommend_inverse(10, 3)
-
-
-@register("recommend_direct", O.baseline_direct_sql(20, 10))
-def _recommend_direct(p: Pipeline) -> DataFrame:
-    """M7 for every user at the demo configuration (K=20, N=10)."""
-    return p.recommend_direct(20, 10)
-
-
-@register("recommend_inverse", O.baseline_inverse_sql(20, 10))
-def _recommend_inverse(p: Pipeline) -> DataFrame:
-    """M8 for every site at K=20, N=10."""
-    return p.recommend_inverse(20, 10)
-
-
-# --- inputs, cleaning, aggregates ------------------------------------------------------
-@register("profiles_clean", O.sql("SELECT * FROM prof", "prof"))
-def _profiles_clean(p: Pipeline) -> DataFrame:
-    """Typed profiles with trimmed ids."""
-    return p.profiles
-
-
-@register("interactions_clean", O.sql("SELECT * FROM inter", "inter"))
-def _interactions_clean(p: Pipeline) -> DataFrame:
-    """Typed interactions, trimmed ids and urls, no blank users."""
-    return p.interactions
-
-
-@register("place_catalog", O.sql("SELECT * FROM catalog", "catalog"))
-def _place_catalog(p: Pipeline) -> DataFrame:
-    """A1: first row per url, then null url/name dropped."""
-    return p.catalog
-
-
-@register("place_selector", O.sql("SELECT * FROM first_rows", "first_rows"))
-def _place_selector(p: Pipeline) -> DataFrame:
-    """A2: first row per url without the null filter."""
-    return p.selector
-
-
-def _freq_sql(column: str, k: int) -> str:
-    return O.sql(f"""
-SELECT id_usuario, rank, {column}, n FROM (
-  SELECT id_usuario, {column}, count(*) AS n,
-         CAST(row_number() OVER (PARTITION BY id_usuario ORDER BY count(*) DESC, {column}) AS INTEGER) AS rank
-  FROM inter WHERE {column} IS NOT NULL GROUP BY id_usuario, {column}
-) WHERE rank <= {k}""", "inter")
-
-
-@register("user_top_categories", _freq_sql("categoria_sitio", 3))
-def _user_top_categories(p: Pipeline) -> DataFrame:
-    """A3/K3: three most frequent categories per user."""
-    return A.top_frequent(p.interactions, "categoria_sitio", 3)
-
-
-@register("user_top_locations", _freq_sql("ubicacion", 2))
-def _user_top_locations(p: Pipeline) -> DataFrame:
-    """A4: two most frequent locations per user."""
-    return A.top_frequent(p.interactions, "ubicacion", 2)
-
-
-def _first_sql(kind: str) -> str:
-    return O.sql(f"""
-SELECT id_usuario, rank, nombre_sitio FROM (
-  SELECT id_usuario, nombre_sitio, CAST(row_number() OVER (PARTITION BY id_usuario ORDER BY id_interaccion) AS INTEGER) AS rank
-  FROM first_kinds WHERE kind = '{kind}'
-) WHERE rank <= 3""", "first_kinds")
-
-
-@register("user_bookings", _first_sql("booked"))
-def _user_bookings(p: Pipeline) -> DataFrame:
-    """First three booked sites per user (duplicates kept)."""
-    return A.first_items(p.interactions, "booked")
-
-
-@register("user_favorites", _first_sql("favourite"))
-def _user_favorites(p: Pipeline) -> DataFrame:
-    """First three favourites per user."""
-    return A.first_items(p.interactions, "favourite")
-
-
-@register("user_top_rated", _first_sql("rated"))
-def _user_top_rated(p: Pipeline) -> DataFrame:
-    """First three sites rated 4 or more per user."""
-    return A.first_items(p.interactions, "rated")
-
-
-@register("consumed_sites", O.sql("SELECT * FROM consumed", "consumed"))
-def _consumed_sites(p: Pipeline) -> DataFrame:
-    """Distinct consumed (user, url) pairs."""
-    return p.consumed
-
-
-@register("site_visitors", O.sql(
-    "SELECT DISTINCT url_sitio, id_usuario FROM inter WHERE url_sitio IS NOT NULL", "inter"))
-def _site_visitors(p: Pipeline) -> DataFrame:
-    """Distinct (url, user) visitor pairs."""
-    return p.visitors
-
-
-# --- narratives -------------------------------------------------------------------------
-@register("explicit_narrative", O.sql("SELECT id_usuario, narrativa_explicita FROM user_texts", "user_texts"))
-def _explicit_narrative(p: Pipeline) -> DataFrame:
-    """Declared-profile narrative of every user."""
-    return p.user_texts.select("id_usuario", "narrativa_explicita")
-
-
-@register("implicit_narrative", O.sql("SELECT id_usuario, narrativa_implicita FROM implicit", "implicit"))
-def _implicit_narrative(p: Pipeline) -> DataFrame:
-    """History narrative of every user with interactions."""
-    return p.implicit.select("id_usuario", "narrativa_implicita")
-
-
-@register("user_documents", O.sql("SELECT id_usuario, documento FROM user_texts", "user_texts"))
-def _user_documents(p: Pipeline) -> DataFrame:
-    """Profile left-joined with its history text, indexed form."""
-    return p.user_texts.select("id_usuario", "documento")
-
-
-@register("user_context", O.sql("SELECT id_usuario, contexto FROM user_texts", "user_texts"))
-def _user_context(p: Pipeline) -> DataFrame:
-    """Query context (recent-behaviour or cold-start form)."""
-    return p.user_texts.select("id_usuario", "contexto")
-
-
-@register("place_narratives", O.sql("""
-SELECT t.url_sitio, t.narrativa_catalogo, t.documento, s.contexto
-FROM place_texts t JOIN site_contexts s ON s.url_sitio = t.url_sitio""", "place_texts", "site_contexts"))
-def _place_narratives(p: Pipeline) -> DataFrame:
-    """The three site text forms of every catalogued site."""
-    return p.place_texts.select("url_sitio", "narrativa_catalogo", "documento").join(
-        p.site_contexts.select("url_sitio", "contexto"), "url_sitio"
-    )
-
-
-# --- vectors ------------------------------------------------------------------------------
-@register("hashed_embeddings", O.sql("SELECT id AS id_usuario, b AS bucket, n FROM udoc_vec", "udoc_vec"))
-def _hashed_embeddings(p: Pipeline) -> DataFrame:
-    """V1(b): sparse hashed token counts of every indexed user document."""
-    docs = p.user_texts.where(F.trim(F.col("documento")) != "")
-    return p.embedder.sparse(docs, "id_usuario", "documento")
-
-
-@register("cosine_pairs", O.sql("""
-SELECT c.id_usuario, c.url_sitio,
-  round(coalesce(d.dot, 0) / (sqrt(un.nn) * sqrt(pn.nn)), 4) AS similitud_vectorial
-FROM consumed c
-JOIN uctx_vec_norm un ON un.id = c.id_usuario
-JOIN place_vec_norm pn ON pn.id = c.url_sitio
-LEFT JOIN (
-  SELECT u.id AS uid, v.id AS pid, sum(u.n * v.n) AS dot
-  FROM uctx_vec u JOIN place_vec v ON u.b = v.b
-  WHERE EXISTS (SELECT 1 FROM consumed x WHERE x.id_usuario = u.id AND x.url_sitio = v.id)
-  GROUP BY u.id, v.id
-) d ON d.uid = c.id_usuario AND d.pid = c.url_sitio""", "consumed", "uctx_vec_norm", "place_vec_norm"))
-def _cosine_pairs(p: Pipeline) -> DataFrame:
-    """V4: cosine of each user's context to each site the user consumed
-    (a keyed join on existing pairs, JVM-side vector arithmetic)."""
-    u = p.user_context_vectors.select("id_usuario", F.col("embedding").alias("u"))
-    s = p.place_vectors.select("url_sitio", F.col("embedding").alias("s"))
-    return p.consumed.join(u, "id_usuario").join(s, "url_sitio").select(
-        "id_usuario", "url_sitio", F.round(cosine(F.col("u"), F.col("s")), 4).alias("similitud_vectorial")
-    )
-
-
-# --- lookups, labels, previews, counts ------------------------------------------------------
-@register("unknown_users", O.sql("""
-SELECT DISTINCT trim(id_usuario) AS id_usuario FROM inter
-WHERE trim(id_usuario) NOT IN (SELECT id_usuario FROM prof)""", "inter", "prof"))
-def _unknown_users(p: Pipeline) -> DataFrame:
-    """User ids referenced by interactions that have no profile."""
-    return L.unknown_users(p.interactions, p.profiles)
-
-
-@register("unknown_places", O.sql("""
-SELECT DISTINCT url_sitio FROM inter
-WHERE url_sitio IS NOT NULL AND url_sitio NOT IN (SELECT url_sitio FROM catalog)""", "inter", "catalog"))
-def _unknown_places(p: Pipeline) -> DataFrame:
-    """Referenced urls that did not make it into the catalogue."""
-    return L.unknown_places(p.interactions, p.catalog)
-
-
-@register("selector_labels", O.sql(f"""
-SELECT 'usuario' AS tipo, etiqueta, trim(split_part(etiqueta, '{fixed.USER_LABEL_SEPARATOR}', 1)) AS id_parseado
-FROM (SELECT {render_sql('{id}' + fixed.USER_LABEL_SEPARATOR + '{nombre}', id='id_usuario', nombre='nombre')} AS etiqueta FROM prof)
-UNION ALL
-SELECT 'sitio' AS tipo, etiqueta, trim(string_split(etiqueta, '{fixed.PLACE_LABEL_SEPARATOR}')[-1]) AS id_parseado
-FROM (SELECT {render_sql('{n} ({c} - {u})' + fixed.PLACE_LABEL_SEPARATOR + '{url}', n='nombre_sitio', c='categoria_sitio', u='ubicacion', url='url_sitio')} AS etiqueta FROM first_rows)
-""", "prof", "first_rows"))
-def _selector_labels(p: Pipeline) -> DataFrame:
-    """Selector labels for users and sites and the ids parsed back."""
-    return L.user_labels(p.profiles).unionByName(L.place_labels(p.selector))
-
-
-@register("users_preview", O.sql("""
-SELECT id_usuario, nombre, edad, nacionalidad, tipo_viajero,
-  CAST(row_number() OVER (ORDER BY id_usuario) AS INTEGER) AS posicion,
-  (SELECT count(*) FROM prof) AS total, 'string' AS tipo_id
-FROM (SELECT * FROM prof ORDER BY id_usuario LIMIT 10)""", "prof"))
-def _users_preview(p: Pipeline) -> DataFrame:
-    """Preview of the first 10 profiles with their positions."""
-    return L.users_preview(p.profiles, 10)
-
-
-@register("cold_start_users", O.sql("""
-SELECT id_usuario FROM prof WHERE id_usuario NOT IN (SELECT id_usuario FROM inter)""", "prof", "inter"))
-def _cold_start_users(p: Pipeline) -> DataFrame:
-    """Profiles without history (cold start)."""
-    return L.cold_start_users(p.profiles, p.implicit)
-
-
-@register("dataset_counts", O.sql("""
-SELECT 'perfiles' AS tabla, count(*) AS filas FROM prof
-UNION ALL SELECT 'interacciones', count(*) FROM inter
-UNION ALL SELECT 'lugares_turisticos', count(*) FROM catalog
-UNION ALL SELECT 'perfiles_usuarios', count(*) FROM user_index_rows""", "prof", "inter", "catalog", "user_index_rows"))
-def _dataset_counts(p: Pipeline) -> DataFrame:
-    """Row counts of profiles, interactions and the two collections."""
-    return L.dataset_counts(
-        perfiles=p.profiles, interacciones=p.interactions,
-        lugares_turisticos=p.catalog, perfiles_usuarios=p.user_index_rows,
-    )
-
-
-@register("recommend_subset", O.sql(f"""
-SELECT * FROM {O.topk_places_fragment(6)} WHERE id_usuario IN (SELECT id_usuario FROM inter)""",
-    O.topk_places_fragment(6), "inter"))
-def _recommend_subset(p: Pipeline) -> DataFrame:
-    """Retrieval restricted to requested users (here: users with history)
-    by a left-semi join."""
-    return p.topk_places(6).join(p.interactions.select("id_usuario"), "id_usuario", "left_semi")
-
-
-@register("no_candidates", O.sql(f"""
-SELECT 'directa' AS direccion, id_usuario AS sujeto, '{fixed.NO_PLACE_CANDIDATES}' AS mensaje
-FROM prof WHERE id_usuario NOT IN (SELECT id_usuario FROM {O.topk_places_fragment(6)})
-UNION ALL
-SELECT 'inversa', url_sitio, '{fixed.NO_USER_CANDIDATES}'
-FROM site_contexts WHERE url_sitio NOT IN (SELECT url_sitio FROM {O.topk_users_fragment(10)})""",
-    "prof", O.topk_places_fragment(6), "site_contexts", O.topk_users_fragment(10)))
-def _no_candidates(p: Pipeline) -> DataFrame:
-    """M9: subjects whose retrieval is empty, with the outcome message."""
-    d = R.no_candidates(p.profiles, "id_usuario", p.topk_places(6), fixed.NO_PLACE_CANDIDATES)
-    i = R.no_candidates(p.site_contexts, "url_sitio", p.topk_users(10), fixed.NO_USER_CANDIDATES)
-    return d.select(F.lit("directa").alias("direccion"), F.col("id_usuario").alias("sujeto"), "mensaje").unionByName(
-        i.select(F.lit("inversa").alias("direccion"), F.col("url_sitio").alias("sujeto"), "mensaje"))
-
-
-# --- prompts, generation, answers ------------------------------------------------------------
-from sendero.operators import generate as G  # noqa: E402
-from sendero.operators import prompts as PR  # noqa: E402
-
-_OPTIONS_JSON = json.dumps(fixed.GENERATION_OPTIONS, separators=(",", ":"), sort_keys=True)
-O.candidate_json_fragment("direct_lists", O.topk_places_fragment(6), "id_usuario", PR.DIRECT_FIELDS)
-O.candidate_json_fragment("inverse_lists", O.topk_users_fragment(10), "url_sitio", PR.INVERSE_FIELDS)
-
-
-@register("prompt_direct", O.sql(f"""
-SELECT l.id_usuario, '{fixed.DEFAULT_GENERATOR}' AS modelo_usado, '{_OPTIONS_JSON}' AS opciones, l.n_candidatos, l.candidates_json,
-  {render_sql(fixed.DIRECT_PROMPT_TEMPLATE, top_n="'3'", user_context='u.contexto', candidates_json='l.candidates_json')} AS prompt
-FROM direct_lists l JOIN user_texts u ON u.id_usuario = l.id_usuario""", "direct_lists", "user_texts"))
-def _prompt_direct(p: Pipeline) -> DataFrame:
-    """Direct prompt of every user (K=6, N=3)."""
-    return PR.direct_prompts(p.user_texts, p.topk_places(6), 3)
-
-
-@register("prompt_inverse", O.sql(f"""
-SELECT l.url_sitio, '{fixed.DEFAULT_GENERATOR}' AS modelo_usado, '{_OPTIONS_JSON}' AS opciones, l.n_candidatos, l.candidates_json,
-  {render_sql(fixed.INVERSE_PROMPT_TEMPLATE, top_n="'3'", place_context='s.contexto', candidates_json='l.candidates_json')} AS prompt
-FROM inverse_lists l JOIN site_contexts s ON s.url_sitio = l.url_sitio""", "inverse_lists", "site_contexts"))
-def _prompt_inverse(p: Pipeline) -> DataFrame:
-    """M2/P10: inverse prompt of every site (K=10, N=3)."""
-    return PR.inverse_prompts(p.site_contexts, p.topk_users(10), 3)
-
-
-def _stub_json_sql() -> str:
-    """The stub's answer text as Python's json.dumps writes it."""
-    a, b, c = fixed.AFFINITY_LEVELS
-
-    def j(x: str) -> str:
-        return f"coalesce(CAST(to_json({x}) AS VARCHAR), 'null')"
-
-    level = (f"CASE least(2, CAST(floor((t.rank - 1) * 3 / least(3, n.c)) AS INTEGER)) "
-             f"WHEN 0 THEN '{a}' WHEN 1 THEN '{b}' ELSE '{c}' END")
-    reason = render_sql(G.STUB_DIRECT_REASON, pos="t.rank")
-    item = (f"""'{{"nombre_sitio": ' || {j('t.nombre_sitio')} || ', "categoria_sitio": ' || {j('t.categoria_sitio')}"""
-            f""" || ', "ubicacion": ' || {j('t.ubicacion')} || ', "nivel_afinidad": ' || {j(level)}"""
-            f""" || ', "justificacion": ' || {j(reason)} || '}}'""")
-    t = O.topk_places_fragment(6)
-    return O.sql(f"""
-SELECT t.id_usuario, '{fixed.DEFAULT_GENERATOR}' AS modelo_usado,
-  '{{"{fixed.DIRECT_RESPONSE_LIST}": [' || string_agg({item}, ', ' ORDER BY t.rank) || ']}}' AS respuesta
-FROM {t} t JOIN (SELECT id_usuario, count(*) AS c FROM {t} GROUP BY id_usuario) n ON n.id_usuario = t.id_usuario
-WHERE t.rank <= 3
-GROUP BY t.id_usuario""", t)
-
-
-@register("generate_stub", _stub_json_sql())
-def _generate_stub(p: Pipeline) -> DataFrame:
-    """M3: batch generation over the prompt table with a caller-supplied
-    callable (here the deterministic stub) through mapInPandas."""
-    prompts = PR.direct_prompts(p.user_texts, p.topk_places(6), 3)
-    return G.generate(prompts, "id_usuario", G.stub_generator("direct", 3))
-
-
-def _parsed_sql(key: str, baseline_sql: str, fields: list[str], cand: str, cand_col: str) -> str:
-    cols = ", ".join(f"b.{f}" for f in fields)
-    return f"""
-WITH b AS ({baseline_sql})
-SELECT b.{key}, '{fixed.DEFAULT_GENERATOR}' AS modelo_usado, cast(b.rank AS INTEGER) AS posicion, {cols},
-  CASE WHEN EXISTS (SELECT 1 FROM ({cand}) c WHERE c.{key} = b.{key} AND c.{cand_col} = b.{cand_col}) THEN 1 ELSE 0 END AS en_candidatos
-FROM b"""
-
-
-@register("parse_direct", _parsed_sql(
-    "id_usuario", O.baseline_direct_sql(6, 3), fixed.DIRECT_RESPONSE_FIELDS,
-    O.sql(f"SELECT * FROM {O.topk_places_fragment(6)}", O.topk_places_fragment(6)), "nombre_sitio"))
-def _parse_direct(p: Pipeline) -> DataFrame:
-    """Answers (from the deterministic responder) parsed against
-    the contract, capped to N, exploded, and flagged when grounded."""
-    topk = p.topk_places(6)
-    answers = G.responses_from_baseline(R.baseline_direct(topk, 3), "id_usuario", "direct")
-    items, _ = G.parse_responses(answers, "id_usuario", "direct", 3)
-    return G.grounded(items, topk, "id_usuario", "nombre_sitio")
-
-
-@register("parse_inverse", _parsed_sql(
-    "url_sitio", O.baseline_inverse_sql(10, 3), fixed.INVERSE_RESPONSE_FIELDS,
-    O.sql(f"SELECT * FROM {O.topk_users_fragment(10)}", O.topk_users_fragment(10)), "id_usuario"))
-def _parse_inverse(p: Pipeline) -> DataFrame:
-    """M5: inverse answers parsed and flagged when grounded."""
-    topk = p.topk_users(10)
-    answers = G.responses_from_baseline(R.baseline_inverse(topk, p.site_contexts, 3), "url_sitio", "inverse")
-    items, _ = G.parse_responses(answers, "url_sitio", "inverse", 3)
-    return G.grounded(items, topk, "url_sitio", "id_usuario")
-
-
-@register("result_envelope", O.sql(f"""
-SELECT u.id_usuario AS user_id, '{fixed.DEFAULT_GENERATOR}' AS modelo_usado, u.contexto AS contexto_usado,
-  c.n_candidatos,
-  c.candidatos_json,
-  r.resultado_json
-FROM user_texts u
-JOIN (SELECT id_usuario, cast(count(*) AS INTEGER) AS n_candidatos,
-        CAST(to_json(list(struct_pack(nombre_sitio := nombre_sitio, categoria_sitio := categoria_sitio,
-          ubicacion := ubicacion, url_sitio := url_sitio, similitud_vectorial := similitud_vectorial) ORDER BY rank)) AS VARCHAR) AS candidatos_json
-      FROM {O.topk_places_fragment(6)} GROUP BY id_usuario) c ON c.id_usuario = u.id_usuario
-JOIN (SELECT id_usuario, CAST(to_json(struct_pack({fixed.DIRECT_RESPONSE_LIST} := list(struct_pack(
-          {', '.join(f'{f} := {f}' for f in fixed.DIRECT_RESPONSE_FIELDS)}) ORDER BY rank))) AS VARCHAR) AS resultado_json
-      FROM ({O.baseline_direct_sql(6, 3)}) GROUP BY id_usuario) r ON r.id_usuario = u.id_usuario
-""", "user_texts", O.topk_places_fragment(6)))
-def _result_envelope(p: Pipeline) -> DataFrame:
-    """One envelope per user: model, context, candidates and result."""
-    topk = p.topk_places(6)
-    cands = PR.candidate_json(topk, "id_usuario", {
-        "nombre_sitio": "nombre_sitio", "categoria_sitio": "categoria_sitio", "ubicacion": "ubicacion",
-        "url_sitio": "url_sitio", "similitud_vectorial": "similitud_vectorial"})
-    result = G.responses_from_baseline(R.baseline_direct(topk, 3), "id_usuario", "direct")
-    return (
-        p.user_texts.select(F.col("id_usuario").alias("user_id"), F.col("contexto").alias("contexto_usado"))
-        .join(cands.withColumnRenamed("id_usuario", "user_id").withColumnRenamed("candidates_json", "candidatos_json"), "user_id")
-        .join(result.select(F.col("id_usuario").alias("user_id"), "modelo_usado", F.col("respuesta").alias("resultado_json")), "user_id")
-        .select("user_id", "modelo_usado", "contexto_usado", "n_candidatos", "candidatos_json", "resultado_json")
-    )
-
-
-SWEEP = sorted({(k, n) for n in (3, 5, 10) for k in (n, -(-5 * n // 2), 20)})
-
-
-@register("config_sweep", O.sql(f"""
-SELECT cfg.k AS top_k, cfg.n AS top_n, t.id_usuario, t.rank, t.url_sitio,
-  CASE ntile(3) OVER (PARTITION BY cfg.k, cfg.n, t.id_usuario ORDER BY t.rank)
-    WHEN 1 THEN '{fixed.AFFINITY_LEVELS[0]}' WHEN 2 THEN '{fixed.AFFINITY_LEVELS[1]}' ELSE '{fixed.AFFINITY_LEVELS[2]}' END AS nivel_afinidad
-FROM {O.topk_places_fragment(max(k for k, _ in SWEEP))} t
-JOIN (VALUES {', '.join(f'({k}, {n})' for k, n in SWEEP)}) cfg(k, n) ON t.rank <= least(cfg.k, cfg.n)
-""", O.topk_places_fragment(max(k for k, _ in SWEEP))))
-def _config_sweep(p: Pipeline) -> DataFrame:
-    """The baseline at every (K, N) of a grid (K ~ 2.5 N among
-    them), from one retrieval at the largest K; N is capped by K."""
-    return R.config_sweep(p.topk_places(max(k for k, _ in SWEEP)), SWEEP)
-
-
-# --- vector collections ---------------------------------------------------------------------
-from sendero.session import scratch_path  # noqa: E402
-from sendero.sources import index as IX  # noqa: E402
-from sendero.streaming.incremental_index import start_place_index_stream  # noqa: E402
-
-_PLACE_INDEX_SQL = O.sql(f"""
-SELECT t.url_sitio AS id, t.documento AS document,
-  coalesce(t.nombre_sitio, '{fixed.DEFAULT_NAME}') AS nombre_sitio,
-  coalesce(t.categoria_sitio, '{fixed.DEFAULT_FIELD}') AS categoria_sitio,
-  coalesce(t.ubicacion, '{fixed.DEFAULT_FIELD}') AS ubicacion,
-  t.url_sitio, {O.DIM} AS dims, round(sqrt(n.nn), 6) AS norma
-FROM place_texts t JOIN place_vec_norm n ON n.id = t.url_sitio""", "place_texts", "place_vec_norm")
-
-
-def _place_rows(p: Pipeline) -> DataFrame:
-    return IX.place_index_rows(p.place_texts, p.place_vectors)
-
-
-def _user_rows(p: Pipeline) -> DataFrame:
-    return IX.user_index_rows(p.user_index_rows, p.user_document_vectors)
-
-
-@register("place_index", _PLACE_INDEX_SQL)
-def _place_index(p: Pipeline) -> DataFrame:
-    """Place collection rows (vector shown as dims and norm)."""
-    return IX.index_summary(_place_rows(p))
-
-
-@register("user_index", O.sql(f"""
-SELECT u.id_usuario AS id, u.resumen_perfil AS document, u.id_usuario, u.nombre, u.nacionalidad,
-  u.tipo_viajero, u.presupuesto_viaje, {O.DIM} AS dims, round(sqrt(n.nn), 6) AS norma
-FROM user_index_rows u JOIN udoc_vec_norm n ON n.id = u.id_usuario""", "user_index_rows", "udoc_vec_norm"))
-def _user_index(p: Pipeline) -> DataFrame:
-    """User collection rows, written with overwrite (drop and
-    recreate) and read back."""
-    idx = IX.VectorIndex(p.spark, scratch_path(p.spark, IX.USERS), IX.USER_METADATA)
-    idx.overwrite(_user_rows(p))
-    return IX.index_summary(idx.read())
-
-
-@register("index_upsert", _PLACE_INDEX_SQL)
-def _index_upsert(p: Pipeline) -> DataFrame:
-    """The same batch upserted twice leaves the collection unchanged."""
-    idx = IX.VectorIndex(p.spark, scratch_path(p.spark, IX.PLACES), IX.PLACE_METADATA).get_or_create()
-    rows = _place_rows(p)
-    idx.upsert(rows)
-    idx.upsert(rows)
-    return IX.index_summary(idx.read())
-
-
-@register("index_new_only", O.sql("""
-SELECT id_usuario AS id, narrativa_explicita AS document FROM user_texts WHERE trim(documento) <> ''""",
-    "user_texts"))
-def _index_new_only(p: Pipeline) -> DataFrame:
-    """A stale collection (explicit-only documents of users with
-    history) receives only the ids it lacks; existing rows are kept."""
-    idx = IX.VectorIndex(p.spark, scratch_path(p.spark, IX.USERS), IX.USER_METADATA)
-    stale_rows = p.user_index_rows.join(p.interactions.select("id_usuario"), "id_usuario", "left_semi").join(
-        p.user_texts.select("id_usuario", "narrativa_explicita"), "id_usuario"
-    ).withColumn("resumen_perfil", F.col("narrativa_explicita")).drop("narrativa_explicita")
-    stale = IX.user_index_rows(stale_rows, p.embedder(stale_rows, "id_usuario", "resumen_perfil"))
-    idx.overwrite(stale)
-    idx.ingest(_user_rows(p), force=False)
-    return idx.read().select("id", "document")
-
-
-@register("index_listing", O.sql(f"""
-SELECT coalesce(nombre_sitio, '{fixed.DEFAULT_NAME}') AS nombre_sitio,
-  coalesce(categoria_sitio, '{fixed.DEFAULT_FIELD}') AS categoria_sitio,
-  coalesce(ubicacion, '{fixed.DEFAULT_FIELD}') AS ubicacion, url_sitio, documento AS documento_indexado
-FROM place_texts""", "place_texts"))
-def _index_listing(p: Pipeline) -> DataFrame:
-    """Full scan of the written place collection: metadata + document."""
-    idx = IX.VectorIndex(p.spark, scratch_path(p.spark, IX.PLACES), IX.PLACE_METADATA)
-    idx.ingest(_place_rows(p))
-    return idx.listing()
-
-
-@register("place_index_stream", _PLACE_INDEX_SQL)
-def _place_index_stream(p: Pipeline) -> DataFrame:
-    """S7 over a stream: the events file is consumed by a file stream source
-    and every micro-batch inserts the sites the collection lacks."""
-    path = scratch_path(p.spark, IX.PLACES + "-stream")
-    q = start_place_index_stream(p.spark, p.sf_dir, p.sf_dir, path, state_path=path + "-state",
-                                 file_pattern="events.parquet")
-    q.awaitTermination()
-    return IX.index_summary(IX.VectorIndex(p.spark, path, IX.PLACE_METADATA).read())
-
-
-# --- offline evaluation ------------------------------------------------------------------------
-from sendero.operators import evaluate as E  # noqa: E402
-from sendero.operators import graph as GR  # noqa: E402
-from sendero.operators import text_signals as TS  # noqa: E402
-from sendero.sources.tables import table  # noqa: E402
-
-EVAL_N = 10
-RERANK_K = -(-5 * EVAL_N // 2)  # K ~ 2.5 N (E21)
-
-
-def _protocol_data(p: Pipeline, protocol: str):
-    """(training pipeline, relevant pairs) of a protocol."""
-    if protocol == "temporal":
-        cutoff = E.temporal_cutoff(p.interactions)
-        return p.for_training(E.temporal_train(p.interactions, cutoff)), E.temporal_relevant(p.interactions, cutoff)
-    held, train = E.leave_one_out(p.interactions)
-    return p.for_training(train), held
-
-
-def _metrics(p: Pipeline, n: int = EVAL_N) -> DataFrame:
-    out = None
-    for protocol in O.PROTOCOLS:
-        tp, rel = _protocol_data(p, protocol)
-        m = E.ranking_metrics(E.user_ranking_stats(tp.topk_places(n), rel, p.profiles), n, protocol)
-        out = m if out is None else out.unionByName(m)
-    return out
-
-
-def _metrics_sql(metric: str, n: int = EVAL_N) -> str:
-    parts, needs = [], []
-    for protocol, s in O.PROTOCOLS.items():
-        recs = O.topk_places_fragment(n, s)
-        rel = f"rel{s}"
-        needs += [recs, rel, "prof"]
-        parts.append(f"SELECT * FROM ({O.ranking_metrics_sql(recs, rel, 'protocolo', protocol, n)}) "
-                     f"WHERE metrica = '{metric}'")
-    return O.sql("\nUNION ALL\n".join(f"({x})" for x in parts), *needs)
-
-
-@register("split_temporal", O.sql("""
-SELECT id_interaccion, id_usuario, url_sitio, fecha_interaccion,
-  CASE WHEN fecha_interaccion < (SELECT c FROM cutoff) THEN 'train' ELSE 'test' END AS particion
-FROM inter""", "inter", "cutoff"))
-def _split_temporal(p: Pipeline) -> DataFrame:
-    """Every interaction tagged train/test by the temporal cutoff."""
-    return E.split_temporal(p.interactions, E.temporal_cutoff(p.interactions))
-
-
-@register("split_leave_one_out", O.sql("SELECT * FROM rel_loo", "rel_loo"))
-def _split_leave_one_out(p: Pipeline) -> DataFrame:
-    """Per user, the held-out site (latest first-time visit)."""
-    held, _ = E.leave_one_out(p.interactions)
-    return held
-
-
-def _metric_query(metric: str, doc: str):
-    def fn(p: Pipeline) -> DataFrame:
-        return _metrics(p).where(F.col("metrica") == metric)
-
-    fn.__doc__ = doc
-    register(f"metric_{metric}", _metrics_sql(metric))(fn)
-
-
-_metric_query("hit_rate", "E3: Hit Rate@10 under both protocols.")
-_metric_query("ndcg", "E4: NDCG@10 under both protocols.")
-_metric_query("mrr", "E5: MRR (within the top-10) under both protocols.")
-_metric_query("precision", "E6: Precision@10 under both protocols.")
-_metric_query("recall", "E7: Recall@10 under both protocols.")
-
-
-@register("metric_coverage", O.sql(f"""
-SELECT count(DISTINCT r.url_sitio) AS recomendados, (SELECT count(*) FROM catalog) AS catalogo,
-  round(count(DISTINCT r.url_sitio) / (SELECT count(*) FROM catalog), 6) AS cobertura
-FROM {O.topk_places_fragment(EVAL_N)} r""", O.topk_places_fragment(EVAL_N), "catalog"))
-def _metric_coverage(p: Pipeline) -> DataFrame:
-    """Catalogue coverage of everyone's top-10."""
-    return E.coverage(p.topk_places(EVAL_N), p.catalog)
-
-
-@register("metric_ild", O.sql(f"""
-SELECT round(avg(ild), 6) AS diversidad, count(*) AS usuarios FROM (
-  SELECT a.id_usuario, 1 - avg(
-    coalesce(d.dot, 0) / (sqrt(na.nn) * sqrt(nb.nn))) AS ild
-  FROM {O.topk_places_fragment(EVAL_N)} a
-  JOIN {O.topk_places_fragment(EVAL_N)} b ON a.id_usuario = b.id_usuario AND a.url_sitio < b.url_sitio
-  JOIN place_vec_norm na ON na.id = a.url_sitio
-  JOIN place_vec_norm nb ON nb.id = b.url_sitio
-  LEFT JOIN (SELECT x.id AS i, y.id AS j, sum(x.n * y.n) AS dot FROM place_vec x JOIN place_vec y ON x.b = y.b
-             GROUP BY x.id, y.id) d ON d.i = a.url_sitio AND d.j = b.url_sitio
-  GROUP BY a.id_usuario
-)""", O.topk_places_fragment(EVAL_N), "place_vec_norm"))
-def _metric_ild(p: Pipeline) -> DataFrame:
-    """Mean intra-list diversity (1 - cosine) of the top-10 lists,
-    computed from per-list vector sums (no pair enumeration)."""
-    return E.intra_list_diversity(p.topk_places(EVAL_N), p.place_vectors)
-
-
-@register("metric_novelty", O.sql(f"""
-SELECT round(avg(CASE WHEN c IS NOT NULL THEN -log2(c / (SELECT count(DISTINCT id_usuario) FROM consumed)) END), 6) AS novedad,
-  CAST(sum(CASE WHEN c IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS sin_historial, count(*) AS recomendaciones
-FROM {O.topk_places_fragment(EVAL_N)} r
-LEFT JOIN (SELECT url_sitio, count(*) AS c FROM consumed GROUP BY url_sitio) p ON p.url_sitio = r.url_sitio
-""", O.topk_places_fragment(EVAL_N), "consumed"))
-def _metric_novelty(p: Pipeline) -> DataFrame:
-    """Mean self-information of recommended sites."""
-    return E.novelty(p.topk_places(EVAL_N), p.consumed)
-
-
-@register("metric_faithfulness", O.sql(f"""
-SELECT count(DISTINCT id_usuario) AS respuestas, count(*) AS items, round(avg(en_candidatos), 6) AS fidelidad
-FROM ({_parsed_sql("id_usuario", O.baseline_direct_sql(6, 3), fixed.DIRECT_RESPONSE_FIELDS,
-                   O.sql(f"SELECT * FROM {O.topk_places_fragment(6)}", O.topk_places_fragment(6)), "nombre_sitio")})"""))
-def _metric_faithfulness(p: Pipeline) -> DataFrame:
-    """Share of parsed answer items that name one of their candidates."""
-    items = _parse_direct(p)
-    return items.agg(
-        F.count_distinct("id_usuario").alias("respuestas"),
-        F.count(F.lit(1)).alias("items"),
-        F.round(F.avg("en_candidatos"), 6).alias("fidelidad"),
-    )
-
-
-def _rerank_sql(s: str) -> str:
-    t = O.topk_places_fragment(RERANK_K, s)
-    src = f"inter{s}"
-    name = f"graph_rerank{s}"
-    if name not in O._FRAGMENTS:
-        O.fragment(name, f"""
-SELECT t.id_usuario, t.url_sitio, CAST(row_number() OVER (PARTITION BY t.id_usuario
-  ORDER BY coalesce(sp.s, 0) DESC, t.rank) AS INTEGER) AS rank
-FROM {t} t LEFT JOIN (
-  SELECT c.id_usuario, c.url_sitio, sum(a.soporte) AS s
-  FROM (SELECT id_usuario, url_sitio, 'categoría' AS via, categoria_sitio AS nodo FROM {t}
-        UNION ALL SELECT id_usuario, url_sitio, 'ubicación', ubicacion FROM {t}) c
-  JOIN (SELECT id_usuario, via, nodo, count(DISTINCT url_sitio) AS soporte FROM (
-          SELECT id_usuario, url_sitio, 'categoría' AS via, categoria_sitio AS nodo FROM {src} WHERE url_sitio IS NOT NULL
-          UNION ALL SELECT id_usuario, url_sitio, 'ubicación', ubicacion FROM {src} WHERE url_sitio IS NOT NULL)
-        WHERE nodo IS NOT NULL GROUP BY id_usuario, via, nodo) a
-    ON a.id_usuario = c.id_usuario AND a.via = c.via AND a.nodo = c.nodo
-  GROUP BY c.id_usuario, c.url_sitio
-) sp ON sp.id_usuario = t.id_usuario AND sp.url_sitio = t.url_sitio""", t, src)
-    return name
-
-
-def _compare_sql() -> str:
-    s = O.PROTOCOLS["temporal"]
-    vec = O.topk_places_fragment(EVAL_N, s)
-    rr = _rerank_sql(s)
-    a = O.ranking_metrics_sql(vec, f"rel{s}", "sistema", "vectorial", EVAL_N)
-    b = O.ranking_metrics_sql(f"(SELECT * FROM {rr} WHERE rank <= {EVAL_N})", f"rel{s}", "sistema", "grafo", EVAL_N)
-    return O.sql(f"({a})\nUNION ALL\n({b})", vec, rr, f"rel{s}", "prof")
-
-
-@register("compare_baselines", _compare_sql())
-def _compare_baselines(p: Pipeline) -> DataFrame:
-    """Temporal-protocol metrics of the vector baseline against the
-    hybrid list (K = 2.5 N retrieved, re-ranked by history-path support)."""
-    tp, rel = _protocol_data(p, "temporal")
-    vec = E.ranking_metrics(E.user_ranking_stats(tp.topk_places(EVAL_N), rel, p.profiles), EVAL_N, "vectorial")
-    cand = tp.topk_places(RERANK_K)
-    rr = GR.graph_rerank(cand, GR.history_paths(tp.interactions, cand), EVAL_N)
-    hyb = E.ranking_metrics(E.user_ranking_stats(rr, rel, p.profiles), EVAL_N, "grafo")
-    return vec.unionByName(hyb).withColumnRenamed("protocolo", "sistema")
-
-
-# --- knowledge graph ---------------------------------------------------------------------------
-def _lexicon_values(words: dict | list) -> str:
-    if isinstance(words, dict):
-        return ", ".join(f"('{w}', '{a}')" for a, ws in words.items() for w in ws)
-    return ", ".join(f"('{w}')" for w in words)
-
-
-O.fragment("comment_words", """
-SELECT id_interaccion, url_sitio, regexp_replace(lower(tok), '[^\\p{L}]', '', 'g') AS w FROM (
-  SELECT id_interaccion, url_sitio, unnest(string_split(lower(comentario), ' ')) AS tok
-  FROM inter WHERE comentario IS NOT NULL)""", "inter")
-O.fragment("aspect_mentions", f"""
-SELECT m.id_interaccion, m.url_sitio, m.aspecto, CAST(sign(c.pos - c.neg) AS INTEGER) AS polaridad
-FROM (SELECT DISTINCT w.id_interaccion, w.url_sitio, l.aspecto FROM comment_words w
-      JOIN (VALUES {_lexicon_values(TS.ASPECT_LEXICON)}) l(palabra, aspecto) ON l.palabra = w.w) m
-JOIN (SELECT id_interaccion, url_sitio,
-        sum(CASE WHEN w IN (SELECT * FROM (VALUES {_lexicon_values(TS.POSITIVE)})) THEN 1 ELSE 0 END) AS pos,
-        sum(CASE WHEN w IN (SELECT * FROM (VALUES {_lexicon_values(TS.NEGATIVE)})) THEN 1 ELSE 0 END) AS neg
-      FROM comment_words GROUP BY id_interaccion, url_sitio) c
-  ON c.id_interaccion = m.id_interaccion AND c.url_sitio IS NOT DISTINCT FROM m.url_sitio""", "comment_words")
-
-
-def _site_aspects(p: Pipeline) -> DataFrame:
-    return TS.site_aspects(TS.aspect_mentions(p.interactions))
-
-
-@register("graph_nodes", O.sql(f"""
-SELECT DISTINCT nodo, tipo FROM (
-  SELECT id_usuario AS nodo, 'Usuario' AS tipo FROM prof
-  UNION ALL SELECT url_sitio, 'Sitio' FROM catalog
-  UNION ALL SELECT ubicacion, 'Ciudad' FROM catalog
-  UNION ALL SELECT r.r_name, 'Region' FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey
-  UNION ALL SELECT categoria_sitio, 'Categoria' FROM catalog
-  UNION ALL SELECT tipo_viajero, 'TipoViajero' FROM prof
-  UNION ALL SELECT unnest([{', '.join(repr(a) for a in TS.ASPECT_LEXICON)}]), 'Aspecto'
-) WHERE nodo IS NOT NULL""", "prof", "catalog"))
-def _graph_nodes(p: Pipeline) -> DataFrame:
-    """Graph nodes of every kind."""
-    cities = GR.city_regions(table(p.spark, p.sf_dir, "nation"), table(p.spark, p.sf_dir, "region"))
-    return GR.nodes(p.profiles, p.catalog, cities, TS.aspect_nodes(p.spark))
-
-
-@register("graph_edges", O.sql("""
-SELECT id_usuario AS origen, url_sitio AS destino, 'VISITO' AS relacion, calificacion,
-  fecha_interaccion AS fecha, CAST(NULL AS INTEGER) AS polaridad
-FROM inter WHERE url_sitio IS NOT NULL
-UNION ALL
-SELECT DISTINCT url_sitio, ubicacion, 'UBICADO_EN', CAST(NULL AS DOUBLE), CAST(NULL AS DATE), CAST(NULL AS INTEGER)
-FROM catalog WHERE ubicacion IS NOT NULL
-UNION ALL
-SELECT DISTINCT n.n_name, r.r_name, 'UBICADO_EN', CAST(NULL AS DOUBLE), CAST(NULL AS DATE), CAST(NULL AS INTEGER)
-FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey
-WHERE n.n_name IN (SELECT ubicacion FROM catalog)
-UNION ALL
-SELECT DISTINCT url_sitio, categoria_sitio, 'PERTENECE_A', CAST(NULL AS DOUBLE), CAST(NULL AS DATE), CAST(NULL AS INTEGER)
-FROM catalog WHERE categoria_sitio IS NOT NULL
-UNION ALL
-SELECT url_sitio, aspecto, 'OFRECE_ASPECTO', CAST(NULL AS DOUBLE), CAST(NULL AS DATE), CAST(sum(polaridad) AS INTEGER)
-FROM aspect_mentions GROUP BY url_sitio, aspecto""", "inter", "catalog", "aspect_mentions"))
-def _graph_edges(p: Pipeline) -> DataFrame:
-    """VISITO, UBICADO_EN, PERTENECE_A and OFRECE_ASPECTO edges."""
-    cities = GR.city_regions(table(p.spark, p.sf_dir, "nation"), table(p.spark, p.sf_dir, "region"))
-    return GR.edges(p.interactions, p.catalog, cities, _site_aspects(p))
-
-
-def _paths_fragment() -> str:
-    t = O.topk_places_fragment(6)
-    if "graph_paths" not in O._FRAGMENTS:
-        O.fragment("graph_paths", f"""
-SELECT c.id_usuario, c.url_sitio, c.rank, c.nombre_sitio, c.via, c.nodo, a.soporte
-FROM (SELECT id_usuario, url_sitio, rank, nombre_sitio, 'categoría' AS via, categoria_sitio AS nodo FROM {t}
-      UNION ALL SELECT id_usuario, url_sitio, rank, nombre_sitio, 'ubicación', ubicacion FROM {t}) c
-JOIN (SELECT id_usuario, via, nodo, count(DISTINCT url_sitio) AS soporte FROM (
-        SELECT id_usuario, url_sitio, 'categoría' AS via, categoria_sitio AS nodo FROM inter WHERE url_sitio IS NOT NULL
-        UNION ALL SELECT id_usuario, url_sitio, 'ubicación', ubicacion FROM inter WHERE url_sitio IS NOT NULL)
-      WHERE nodo IS NOT NULL GROUP BY id_usuario, via, nodo) a
-  ON a.id_usuario = c.id_usuario AND a.via = c.via AND a.nodo = c.nodo
-WHERE c.nodo IS NOT NULL""", t, "inter")
-    return "graph_paths"
-
-
-@register("graph_paths", O.sql("SELECT * FROM graph_paths", _paths_fragment()))
-def _graph_paths(p: Pipeline) -> DataFrame:
-    """2-hop paths from each user's history to each retrieved site."""
-    return GR.history_paths(p.interactions, p.topk_places(6))
-
-
-@register("graph_context", O.sql(f"""
-SELECT id_usuario, CAST(count(*) AS INTEGER) AS caminos,
-  concat(string_agg({render_sql(GR.PATH_TEMPLATE, nombre_sitio='nombre_sitio', via='via', nodo='nodo', soporte='soporte')},
-                    '. ' ORDER BY rank, via), '.') AS contexto_grafo
-FROM graph_paths GROUP BY id_usuario""", _paths_fragment()))
-def _graph_context(p: Pipeline) -> DataFrame:
-    """Path sentences per user, ready to be injected into a prompt."""
-    return GR.graph_context(GR.history_paths(p.interactions, p.topk_places(6)))
-
-
-# --- text signals ---------------------------------------------------------------------------------
-@register("implicit_vectors", O.sql(f"""
-SELECT t.id_usuario, t.bucket, round(t.t / n.c, 6) AS valor FROM (
-  SELECT id_usuario, {O.bucket_sql('tok')} AS bucket, count(*) AS t FROM (
-    SELECT id_usuario, unnest(string_split(lower(comentario), ' ')) AS tok FROM inter WHERE comentario IS NOT NULL)
-  GROUP BY id_usuario, bucket) t
-JOIN (SELECT id_usuario, count(*) AS c FROM inter WHERE comentario IS NOT NULL GROUP BY id_usuario) n
-  ON n.id_usuario = t.id_usuario""", "inter"))
-def _implicit_vectors(p: Pipeline) -> DataFrame:
-    """Implicit-only user vectors from whole comment texts."""
-    return TS.implicit_vectors(p.interactions)
-
-
-def _enrichment_texts(p: Pipeline) -> DataFrame:
-    b = table(p.spark, p.sf_dir, "benchmark")
-    return b.select(F.concat(F.lit("site/"), F.col("item_id").cast("string")).alias("url_sitio"),
-                    F.col("text").alias("texto"))
-
-
-@register("item_enrichment", O.sql("""
-SELECT t.url_sitio, CAST(b.text IS NOT NULL AS INTEGER) AS enriquecido,
-  CASE WHEN b.text IS NOT NULL THEN concat_ws(' ', t.documento, b.text) ELSE t.documento END AS documento_enriquecido,
-  CAST(len(string_split(lower(CASE WHEN b.text IS NOT NULL THEN concat_ws(' ', t.documento, b.text) ELSE t.documento END), ' ')) AS INTEGER) AS tokens
-FROM place_texts t LEFT JOIN benchmark b ON concat('site/', CAST(b.item_id AS VARCHAR)) = t.url_sitio""", "place_texts"))
-def _item_enrichment(p: Pipeline) -> DataFrame:
-    """Site documents extended with the external passage of the site."""
-    return TS.item_enrichment(p.place_texts, _enrichment_texts(p))
-
-
-@register("aspect_polarity", O.sql("SELECT * FROM aspect_mentions", "aspect_mentions"))
-def _aspect_polarity(p: Pipeline) -> DataFrame:
-    """Aspect mentions in whole comments with comment polarity."""
-    return TS.aspect_mentions(p.interactions)
-
-
-@register("geo_grounding", O.sql(f"""
-SELECT r.id_usuario, r.rank, r.url_sitio, r.ubicacion,
-  CAST(instr(u.contexto, r.ubicacion) > 0 AS INTEGER) AS fundamentado
-FROM {O.topk_places_fragment(6)} r JOIN user_texts u ON u.id_usuario = r.id_usuario""",
-    O.topk_places_fragment(6), "user_texts"))
-def _geo_grounding(p: Pipeline) -> DataFrame:
-    """Is each recommended location named in the user's own context."""
-    return TS.geo_grounding(p.topk_places(6), p.user_texts)
-
-
-@register("narrative_stats", O.sql("""
-SELECT forma, count(*) AS n, round(avg(length(texto)), 4) AS caracteres_medios,
-  CAST(max(length(texto)) AS INTEGER) AS caracteres_max,
-  round(avg(len(string_split(lower(texto), ' '))), 4) AS tokens_medios
-FROM (SELECT 'explicita' AS forma, narrativa_explicita AS texto FROM user_texts
-      UNION ALL SELECT 'implicita', narrativa_implicita FROM user_texts
-      UNION ALL SELECT 'documento', documento FROM user_texts
-      UNION ALL SELECT 'contexto', contexto FROM user_texts
-      UNION ALL SELECT 'sitio', documento FROM place_texts)
-WHERE texto IS NOT NULL AND texto <> '' GROUP BY forma""", "user_texts", "place_texts"))
-def _narrative_stats(p: Pipeline) -> DataFrame:
-    """Length and token statistics of every narrative form."""
-    t = p.user_texts
-    return TS.narrative_stats({
-        "explicita": t.select(F.col("narrativa_explicita").alias("texto")),
-        "implicita": t.select(F.col("narrativa_implicita").alias("texto")),
-        "documento": t.select(F.col("documento").alias("texto")),
-        "contexto": t.select(F.col("contexto").alias("texto")),
-        "sitio": p.place_texts.select(F.col("documento").alias("texto")),
-    })
-
-
-# --- collaborative baseline, calibration, latency ------------------------------------------------
-from sendero.operators import collaborative as CF  # noqa: E402
-from sendero.plans import runlog  # noqa: E402
-
-
-@register("cf_als")
-def _cf_als(p: Pipeline) -> DataFrame:
-    """E23 (learned variant): implicit ALS factors, exact top-10 by inner
-    product with consumed sites excluded."""
-    return CF.cf_recommendations(p.interactions, p.consumed, EVAL_N)
-
-
-@register("json_valid_rate", O.sql(f"""
-SELECT cfg.k AS top_k, cfg.n AS top_n, count(DISTINCT t.id_usuario) AS respuestas,
-  count(DISTINCT t.id_usuario) AS validas,
-  round(count(DISTINCT t.id_usuario) / count(DISTINCT t.id_usuario), 6) AS tasa
-FROM {O.topk_places_fragment(max(k for k, _ in SWEEP))} t
-JOIN (VALUES {', '.join(f'({k}, {n})' for k, n in SWEEP)}) cfg(k, n) ON t.rank <= least(cfg.k, cfg.n)
-GROUP BY cfg.k, cfg.n""", O.topk_places_fragment(max(k for k, _ in SWEEP))))
-def _json_valid_rate(p: Pipeline) -> DataFrame:
-    """Share of well-formed answers per (K, N) configuration; answers
-    come from the deterministic responder and are validated by the parser."""
-    sweep = R.config_sweep(p.topk_places(max(k for k, _ in SWEEP)), SWEEP).join(
-        p.catalog.select("url_sitio", "nombre_sitio", "categoria_sitio", "ubicacion"), "url_sitio")
-    sweep = sweep.withColumn("justificacion", F.lit("")).withColumn(
-        "cfg_user", F.concat_ws("|", "top_k", "top_n", "id_usuario"))
-    answers = G.responses_from_baseline(sweep, "cfg_user", "direct")
-    _, rejected = G.parse_responses(answers, "cfg_user", "direct")
-    status = answers.select("cfg_user").join(
-        rejected.select("cfg_user", F.lit(1).alias("bad")), "cfg_user", "left")
-    parts = F.split("cfg_user", r"\|")
-    return status.groupBy(parts[0].cast("int").alias("top_k"), parts[1].cast("int").alias("top_n")).agg(
-        F.count(F.lit(1)).alias("respuestas"),
-        F.count(F.when(F.col("bad").isNull(), 1)).alias("validas"),
-    ).withColumn("tasa", F.round(F.col("validas") / F.col("respuestas"), 6))
-
-
-@register("latency_summary")
-def _latency_summary(p: Pipeline) -> DataFrame:
-    """Retrieval and generation stages of the direct pipeline run
-    for every user, timed per stage and model, summarised by model."""
-    log = runlog.RunLog(p.spark)
-    for model in fixed.GENERATOR_CHOICES[:2]:
-        cands = p.topk_places(6)
-        log.time("retrieval", model, lambda: runlog.run_fully(cands))
-        prompts = PR.direct_prompts(p.user_texts, cands, 3, model=model)
-        log.time("generacion", model, lambda: runlog.run_fully(G.generate(prompts, "id_usuario", G.stub_generator("direct", 3))))
-    return log.summary()
-
-
-# --- precomputed vector table --------------------------------------------------------------------
-from sendero.operators.similarity import similarity_topk  # noqa: E402
-
-
-@register("vector_neighbours", O.sql("""
-SELECT qid AS vec_id, rank, iid AS vecino, round(sim, 4) AS similitud_vectorial FROM (
-  SELECT qid, iid, sim, CAST(row_number() OVER (PARTITION BY qid ORDER BY sim DESC, iid) AS INTEGER) AS rank FROM (
-    SELECT CAST(a.vec_id AS VARCHAR) AS qid, CAST(b.vec_id AS VARCHAR) AS iid,
-      list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))
-        / (sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])))
-           * sqrt(list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])))) AS sim
-    FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id
-  )
-) WHERE rank <= 10"""))
-def _vector_neighbours(p: Pipeline) -> DataFrame:
-    """V1(a)/V4/K1 on the stored vector table: the 10 nearest other vectors
-    of every vector (self pairs passed as exclusions)."""
-    emb = table(p.spark, p.sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("id"), "embedding")
-    hits = similarity_topk(
-        emb.select(F.col("id").alias("qid"), "embedding"),
-        emb.select(F.col("id").alias("iid"), "embedding"),
-        10,
-        exclude=emb.select(F.col("id").alias("qid"), F.col("id").alias("iid")),
-    )
-    return hits.select(F.col("qid").alias("vec_id"), "rank", F.col("iid").alias("vecino"),
-                       F.round("sim", 4).alias("similitud_vectorial"))
-
-
-# --- end-to-end generation path (retrieval -> prompt -> generator -> parsed answer) --------------
-def _rag_sql(key: str, topk: str, fields: dict[str, str], reason: str, reason_col: str,
-             item_col: str, direct: bool) -> str:
-    """Parsed answers of the deterministic stub: the first 3 candidates, with
-    the stub's affinity rule and reason text, all grounded."""
-    a, b, c = fixed.AFFINITY_LEVELS
-    level = (f", CASE least(2, CAST(floor((t.rank - 1) * 3 / least(3, n.c)) AS INTEGER)) "
-             f"WHEN 0 THEN '{a}' WHEN 1 THEN '{b}' ELSE '{c}' END AS nivel_afinidad") if direct else ""
-    cols = ", ".join(f"t.{src} AS {dst}" for dst, src in fields.items())
-    return O.sql(f"""
-SELECT t.{key}, '{fixed.DEFAULT_GENERATOR}' AS modelo_usado, t.rank AS posicion, {cols}{level},
-  {render_sql(reason, pos='t.rank')} AS {reason_col}, 1 AS en_candidatos
-FROM {topk} t JOIN (SELECT {key}, count(*) AS c FROM {topk} GROUP BY {key}) n ON n.{key} = t.{key}
-WHERE t.rank <= 3""", topk)
-
-
-@register("rag_direct", _rag_sql(
-    "id_usuario", O.topk_places_fragment(6),
-    {"nombre_sitio": "nombre_sitio", "categoria_sitio": "categoria_sitio", "ubicacion": "ubicacion"},
-    G.STUB_DIRECT_REASON, "justificacion", "nombre_sitio", True))
-def _rag_direct(p: Pipeline) -> DataFrame:
-    """M7 through the generator path: V5 -> M1 -> M3 (mapInPandas, stub
-    generator) -> M4 -> E11, for every user."""
-    topk = p.topk_places(6)
-    answers = G.generate(PR.direct_prompts(p.user_texts, topk, 3), "id_usuario", G.stub_generator("direct", 3))
-    items, _ = G.parse_responses(answers, "id_usuario", "direct", 3)
-    return G.grounded(items, topk, "id_usuario", "nombre_sitio")
-
-
-@register("rag_inverse", _rag_sql(
-    "url_sitio", O.topk_users_fragment(10),
-    {"id_usuario": "id_usuario", "nombre": "nombre", "tipo_viajero": "tipo_viajero"},
-    G.STUB_INVERSE_REASON, "justificacion_target", "id_usuario", False))
-def _rag_inverse(p: Pipeline) -> DataFrame:
-    """M8 through the generator path for every site."""
-    topk = p.topk_users(10)
-    answers = G.generate(PR.inverse_prompts(p.site_contexts, topk, 3), "url_sitio", G.stub_generator("inverse", 3))
-    items, _ = G.parse_responses(answers, "url_sitio", "inverse", 3)
-    return G.grounded(items, topk, "url_sitio", "id_usuario")
+__all__ = ["ORACLE", "QUERIES", "register"]
