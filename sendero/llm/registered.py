@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sendero.llm import decontaminate, exact_dedup, line_dedup, mixing, simhash
+from sendero.llm import (decontaminate, exact_dedup, license_scan, line_dedup, lm_score, mixing, quality, secret_scan,
+                         simhash, toxicity)
 from sendero.llm.common import table
 
 
@@ -14,6 +15,14 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_scan(table(spark, sf_dir, "documents"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -28,11 +37,25 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.array_join("starts", ",").alias("run_starts"))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.lm_scores(table(spark, sf_dir, "documents"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_decontamination, op5_simhash, op6_line_dedup, op9_mixing)}
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_exact_dedup, op2_secret_scan, op3_toxicity, op4_decontamination, op5_simhash, op6_line_dedup, op7_lm_score,
+    op8_quality, op9_mixing, op10_license_scan)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -100,4 +123,19 @@ y AS (SELECT *, CAST(sum(step) OVER (PARTITION BY source ORDER BY size DESC, doc
 SELECT doc_id, size, source_size, target, (upto // 1000000000 - (upto - step) // 1000000000) * size AS taken FROM y
 """
 
-ORACLE = {"op1_exact_dedup": _OP1, "op4_decontamination": _OP4, "op6_line_dedup": _OP6, "op9_mixing": _OP9}
+_OP7 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+t AS (SELECT r, i, w[i] AS w, CASE WHEN i > 1 THEN w[i - 1] END AS p FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+n AS (SELECT count(*) AS n FROM t),
+c1 AS (SELECT w, count(*) AS c FROM t GROUP BY w), o1 AS (SELECT r, w, count(*) AS c FROM t GROUP BY r, w),
+c2 AS (SELECT p, w, count(*) AS c FROM t WHERE i > 1 GROUP BY p, w), o2 AS (SELECT r, p, w, count(*) AS c FROM t WHERE i > 1 GROUP BY r, p, w),
+x AS (SELECT t.r, t.i, greatest(c1.c - o1.c, 0.5) / greatest(n - len(d.w), 1) AS one, c2.c - o2.c AS two, cp.c - op.c AS ctx
+      FROM t JOIN d ON d.r = t.r CROSS JOIN n JOIN c1 ON c1.w = t.w JOIN o1 ON o1.r = t.r AND o1.w = t.w
+      LEFT JOIN c2 ON c2.p = t.p AND c2.w = t.w LEFT JOIN o2 ON o2.r = t.r AND o2.p = t.p AND o2.w = t.w
+      LEFT JOIN c1 cp ON cp.w = t.p LEFT JOIN o1 op ON op.r = t.r AND op.w = t.p),
+s AS (SELECT r, sum(CASE WHEN i = 1 THEN ln(one) WHEN two > 0 THEN ln(two / ctx) ELSE ln(CAST(0.4 AS DOUBLE)) + ln(one) END) AS s FROM x GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, round(coalesce(s, 0), 6) AS score,
+       CASE WHEN len(w) > 0 THEN round(s / len(w), 6) END AS mean_score FROM d LEFT JOIN s USING (r)
+"""
+
+ORACLE = {"op1_exact_dedup": _OP1, "op4_decontamination": _OP4, "op6_line_dedup": _OP6, "op7_lm_score": _OP7, "op9_mixing": _OP9}
