@@ -46,6 +46,13 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str,
     return materialise(sample.select(F.col("_doc").alias("doc_id"), "text", "positive", "unlabelled"), f"sample-{label}")
 
 
+def labelled_share(labels: DataFrame, label: str) -> float | None:
+    """The class prior as labels outside the held-out rows tell it: the share
+    of 1 among them.  None if they hold no 0 (positives only) or no 1."""
+    one, rows = labels.where(~held_out()).agg(F.sum(label), F.count(label)).first()
+    return one / rows if rows and 0 < one < rows else None
+
+
 def gather(sample: DataFrame, featurise) -> tuple[list, np.ndarray, np.ndarray]:
     """Features (as ``featurise`` gives them for a text: bytes), and which rows
     are positive and unlabelled, in the order of doc_id.  The sample is
@@ -134,9 +141,10 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int
 
 
 def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, **how) -> float:
-    """The share of positives in the unlabelled rows: the smallest ratio of
-    unlabelled to positive mass above a threshold, on the half of the rows
-    that a plain positive-against-unlabelled fit has not seen."""
+    """The share of positives in the unlabelled rows where no label is 0:
+    the smallest ratio of unlabelled to positive mass above a threshold, on
+    the half of the rows that a plain positive-against-unlabelled fit has not
+    seen."""
     if not len(positive) or not len(unlabelled):
         return 0.5
     model = fit(positive[::2], unlabelled[::2], 0.5, **how)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from sendero.llm.common import packed, text_bytes
 from sendero.llm.pu_learning import (MAX_POSITIVE, MAX_UNLABELLED, Network, estimate_prior, fit, gather, held_out,
-                                     sigmoid, training_sample)
+                                     labelled_share, sigmoid, training_sample)
 
 BAR = 0.3
 HIDDEN = 16
@@ -75,7 +75,7 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
     x = np.frombuffer(b"".join(rows), dtype=np.float32).reshape(-1, WIDTH)
     if not p.any() or not u.any():
         return None, 0.5
-    prior = estimate_prior(x[p], x[u], hidden=HIDDEN)
+    prior = labelled_share(labels, "quality") or estimate_prior(x[p], x[u], hidden=HIDDEN)
     return fit(x[p], x[u], prior, hidden=HIDDEN), prior
 
 

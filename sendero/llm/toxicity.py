@@ -1,8 +1,8 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 Confirmed toxic documents are the positives, any text of the training rows is
-the unlabelled rest.  Features are words and the character n-grams inside
-words that stand in clearly more positive than unlabelled documents of the
+the unlabelled rest.  Features are words, and the character n-grams that words
+begin or end with, that stand in clearly more positive than unlabelled documents of the
 training sample; a linear numpy classifier over their presence minimises the
 class-prior-corrected risk, and so gives the probability that a document is
 toxic whatever its length.
@@ -24,14 +24,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sendero.llm.common import packed, text_bytes
-from sendero.llm.pu_learning import (MAX_POSITIVE, MAX_UNLABELLED, estimate_prior, fit, gather, held_out, sigmoid,
-                                     training_sample)
+from sendero.llm.pu_learning import (MAX_POSITIVE, MAX_UNLABELLED, estimate_prior, fit, gather, held_out, labelled_share,
+                                     sigmoid, training_sample)
 
 BAR = 0.5
 GRAM_SIZES = (4, 5, 6)
 MAX_FEATURES = 512
-MIN_RATIO = 2.0
+MIN_PURITY = 0.6
 MIN_Z = 4.0
+MIN_SUPPORT = 0.02  # share of the positives, and at least
+MIN_DOCS = 4
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _CACHED_WORDS = 500_000
 _HELD_GRAMS = 1_000_000
@@ -42,10 +44,12 @@ def words(text: bytes) -> set[bytes]:
 
 
 def grams(word: bytes) -> set[bytes]:
-    """The word itself, marked as whole, and its character n-grams (in bytes)."""
+    """The whole word, its beginnings and its ends (in bytes)."""
     out = {b"<" + word + b">"}
     for n in GRAM_SIZES:
-        out.update(word[i:i + n] for i in range(len(word) - n + 1))
+        if len(word) > n:
+            out.add(b"<" + word[:n])
+            out.add(word[-n:] + b">")
     return out
 
 
@@ -72,10 +76,11 @@ def _gram_counts(batches):
     yield flush()
 
 
-def choose_features(sample: DataFrame, max_features: int = MAX_FEATURES) -> list[bytes]:
-    """The n-grams whose document share among positives is at least MIN_RATIO
-    times that among the unlabelled, and higher by MIN_Z standard errors; the
-    ``max_features`` furthest ones."""
+def choose_features(sample: DataFrame, prior: float, max_features: int = MAX_FEATURES) -> list[bytes]:
+    """The n-grams in enough positives, of whose documents at least the share MIN_PURITY is
+    positive (prior x share among positives / share among the unlabelled), and
+    whose shares differ by MIN_Z standard errors; the ``max_features`` furthest
+    ones."""
     totals = sample.agg(F.count_if("positive"), F.count_if("unlabelled")).first()
     n_p, n_u = totals[0], totals[1]
     if not n_p or not n_u:
@@ -83,7 +88,7 @@ def choose_features(sample: DataFrame, max_features: int = MAX_FEATURES) -> list
     counts = sample.mapInArrow(_gram_counts, "gram binary, p long, u long").groupBy("gram").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
     share_p, share_u = F.col("p") / n_p, (F.col("u") + 0.5) / (n_u + 1)
     z = (share_p - share_u) / F.sqrt(share_u * (1 - share_u) * (1 / n_p + 1 / n_u))
-    found = counts.where((F.col("p") >= 2) & (share_u < 1) & (share_p >= MIN_RATIO * share_u)).select("gram", z.alias("z")).where(F.col("z") >= MIN_Z)
+    found = counts.where((F.col("p") >= max(MIN_DOCS, MIN_SUPPORT * n_p)) & (share_u < 1) & (prior * share_p >= MIN_PURITY * share_u)).select("gram", z.alias("z")).where(F.col("z") >= MIN_Z)
     return [bytes(r.gram) for r in found.orderBy(F.col("z").desc(), "gram").limit(max_features).collect()]
 
 
@@ -109,7 +114,8 @@ def _present(index: dict[bytes, int]):
 def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED):
     """(feature -> number, weights, bias, prior)."""
     sample = training_sample(docs, labels, "toxic", max_positive, max_unlabelled)
-    chosen = choose_features(sample)
+    prior = labelled_share(labels, "toxic")
+    chosen = choose_features(sample, prior or 0.1)
     index = {g: i for i, g in enumerate(chosen)}
     if not index:
         return {}, np.zeros(0), -30.0, 0.0
@@ -119,7 +125,8 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
     x = np.zeros((len(rows), len(index)), dtype=np.float32)
     for i, hits in enumerate(rows):
         x[i, np.frombuffer(hits, dtype=np.int32)] = 1
-    prior = estimate_prior(x[p], x[u], standardise=False, rate=0.1)
+    if prior is None:
+        prior = estimate_prior(x[p], x[u], standardise=False, rate=0.1)
     model = fit(x[p], x[u], prior, standardise=False, rate=0.1)
     return index, model.weights[0], float(model.weights[1][0]), prior
 
