@@ -3,7 +3,7 @@
 Base spans (assigned values, access keys, hexadecimal runs) are found by
 pattern.  Two first-order Markov models over characters are trained from
 labelled samples: the strings in base spans of sampled documents stand for
-random strings, the other long words of sampled documents for ordinary
+random strings, the long words that recur in sampled documents for ordinary
 identifiers.  Any further token of ``TOKEN_LENGTH`` or more characters whose
 mean log-likelihood ratio per transition reaches ``BAR`` is a span of kind
 ``markov``, unless it overlaps a base span.
@@ -39,6 +39,7 @@ TOKEN_LENGTH = 20
 TOKEN = rf"[A-Za-z0-9+/_=-]{{{TOKEN_LENGTH},}}"
 WORD = r"[A-Za-z0-9+/_=-]{8,}"
 BAR = 0.7
+SMOOTH = 10.0
 SAMPLE_DOCS = 20_000  # documents whose base spans are samples of random strings
 SAMPLE_WORD_DOCS = 4_000  # documents whose words are samples of identifiers
 _STATES = 128
@@ -91,30 +92,40 @@ def _sample(docs: DataFrame, rows: int) -> DataFrame:
 
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_word_docs: int = SAMPLE_WORD_DOCS) -> list[float]:
-    """Log-likelihood ratio (random over ordinary) of each character pair,
-    with add-one smoothing over the characters of tokens."""
+    """Log-likelihood ratio (random over ordinary) of each character pair."""
     text = F.col("text")
     gates = _gates(text)
     spans = F.concat(*[F.transform(_matches(text, k, gates[k]), lambda x: x["part"]) for k in KINDS[:3]])
-    random = _sample(docs, sample_docs).select(F.explode(spans).alias("token")).where(F.length("token") >= MIN_ASSIGNED).select(F.lit(True).alias("random"), "token")
+    random = _sample(docs, sample_docs).select(F.explode(spans).alias("token")).where(F.length("token") >= MIN_ASSIGNED).select(
+        F.lit(True).alias("random"), "token", F.lit(1).cast("long").alias("docs"))
     words = F.filter(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: ~w.rlike(HEX) & ~F.contains(w, F.lit("AKIA")))
-    ordinary = _sample(docs, sample_word_docs).where(~gates["assign"]).select(F.explode(words).alias("token")).select(F.lit(False).alias("random"), "token")
-    pairs = random.unionByName(ordinary).select("random", F.explode(_transitions(F.col("token"))).alias("pair"))
+    ordinary = _sample(docs, sample_word_docs).select(F.explode(F.array_distinct(words)).alias("token"))
+    # Identifiers recur; a random string that no pattern knows stands in one document.
+    ordinary = ordinary.groupBy("token").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1").select(
+        F.lit(False).alias("random"), "token", "docs")
+    pairs = random.unionByName(ordinary).select("random", "docs", F.explode(_transitions(F.col("token"))).alias("pair"))
     counts = {True: {}, False: {}}
-    for r in pairs.groupBy("random", "pair").agg(F.count(F.lit(1)).alias("n")).collect():  # two 128 x 128 tables
+    for r in pairs.groupBy("random", "pair").agg(F.sum("docs").alias("n")).collect():  # two 128 x 128 tables
         counts[r["random"]][r["pair"]] = r["n"]
     return log_ratios(counts[True], counts[False])
 
 
+def _model(counts: dict[int, int], alphabet: list[int]) -> dict[int, float]:
+    """Probability of each pair's second character after its first: counts,
+    smoothed by the characters' own frequencies (add-one) with weight ``SMOOTH``."""
+    single = {b: sum(counts.get(a * _STATES + b, 0) for a in alphabet) for b in alphabet}
+    every = sum(single.values()) + len(alphabet)
+    after = {a: sum(counts.get(a * _STATES + b, 0) for b in alphabet) for a in alphabet}
+    return {a * _STATES + b: (counts.get(a * _STATES + b, 0) + SMOOTH * (single[b] + 1) / every) / (after[a] + SMOOTH)
+            for a in alphabet for b in alphabet}
+
+
 def log_ratios(random: dict[int, int], ordinary: dict[int, int]) -> list[float]:
     alphabet = [ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"]
+    p, q = _model(random, alphabet), _model(ordinary, alphabet)
     out = [0.0] * (_STATES * _STATES)
-    for a in alphabet:
-        n_random = sum(random.get(a * _STATES + b, 0) for b in alphabet) + len(alphabet)
-        n_ordinary = sum(ordinary.get(a * _STATES + b, 0) for b in alphabet) + len(alphabet)
-        for b in alphabet:
-            pair = a * _STATES + b
-            out[pair] = math.log((random.get(pair, 0) + 1) / n_random) - math.log((ordinary.get(pair, 0) + 1) / n_ordinary)
+    for pair in p:
+        out[pair] = math.log(p[pair]) - math.log(q[pair])
     return out
 
 
