@@ -115,6 +115,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
     hit = materialise(hit.dropDuplicates(["_doc", "_digest"]), "bench-hits")
     rows = packed(docs)
     same = (digest == F.col("_digest")) & F.col("_id").eqNullSafe(F.col("_doc"))
+    hit = hit.hint("merge")  # grows with the corpus: joined by shuffle at every size
     if mode == "documents":
         return rows.join(hit, same, "left_anti").select("_row.*")
     words, between = F.regexp_extract_all("_text", F.lit(RAW_WORD), F.lit(0)), F.split("_text", RAW_WORD)

@@ -146,7 +146,8 @@ def cut_documents(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Da
     rows = packed(docs)
     same = F.col("_id").eqNullSafe(F.col("_doc")) & (F.md5(F.coalesce("_text", F.lit(""))) == F.col("_digest"))
     kind = rows.schema["_row"].dataType.simpleString()
-    return rows.join(cuts, same, "left").select("_row", "_text", "_starts").mapInArrow(
+    # The list of cuts grows with the corpus: joined by shuffle at every size.
+    return rows.join(cuts.hint("merge"), same, "left").select("_row", "_text", "_starts").mapInArrow(
         _cut(gram + window - 1), f"_row {kind}, text string, n_lines long, n_removed long, starts array<long>")
 
 

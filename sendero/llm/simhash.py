@@ -225,6 +225,7 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int =
 
     rows = packed(docs)
     same = F.col("_id").eqNullSafe(F.col("_doc")) & (F.md5(F.coalesce("_text", F.lit(""))) == F.col("_kept"))
-    once = rows.join(kept.where("_rows = 1"), same)
+    # The kept rows grow with the corpus: joined by shuffle at every size.
+    once = rows.join(kept.where("_rows = 1").hint("merge"), same)
     repeated = rows.join(kept.where("_rows > 1"), same).dropDuplicates(["_doc", "_kept"])
     return once.select("_row.*").unionByName(repeated.select("_row.*"))
