@@ -103,12 +103,16 @@ def repeated_runs(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Da
     ``gram + window - 1`` lines from ``start`` (counted without blank lines)."""
     prints = materialise(fingerprints(docs, gram, window), "line-prints")
     shared = prints.groupBy("fp").agg(F.count(F.lit(1)).alias("places")).where("places > 1").select("fp")
+    # Written, so that adaptive execution can split the join at a hot line: it
+    # can't where a side comes straight from an aggregation.
+    shared = materialise(shared, "line-shared")
     runs = prints.join(shared, "fp").mapInArrow(
         _extend(gram + window - 1), "run binary, doc_id long, digest binary, start long")
     runs = materialise(runs, "line-runs")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", "start")
     firsts = runs.groupBy("run").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
-    return runs.join(firsts.select("run", "first"), "run").where(place != F.col("first")).select("doc_id", "digest", "start")
+    firsts = materialise(firsts.select("run", "first"), "line-firsts")
+    return runs.join(firsts, "run").where(place != F.col("first")).select("doc_id", "digest", "start")
 
 
 def cut_lines(text: str | None, starts: list[int], length: int) -> tuple[str | None, int, int]:
