@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import threading
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -17,9 +18,6 @@ _ENGINE_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # Text and vector work expands rows after small shuffles; smaller minimum
-    # partitions keep that CPU work spread over the cores.
-    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Checkpoint files of unreferenced data are removed by the context cleaner.
@@ -91,11 +89,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this is set by the deployment to a shared file system and is
-    only read here.  When it is unset (local tests) a private folder is made.
+    only read here.  When it is unset a private folder is made, for a local
+    master alone: on a cluster each executor would write to its own disk.
     """
     ship_package(spark)
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="sendero-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -105,15 +106,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh table location under the shared checkpoint folder."""
-    base = checkpoint_dir(spark)
-    return os.path.join(base, "tables", f"{name}-{os.getpid()}-{next(_SEQ)}")
+    return f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
 
 
-def _counter():
-    n = 0
-    while True:
-        n += 1
-        yield n
-
-
-_SEQ = _counter()
+def write_once(df, name: str):
+    """Write a derived table to the shared folder and read it back, so that
+    every consumer reads the columns it needs instead of planning it anew."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
