@@ -69,27 +69,3 @@ def multi_value_text(c: Column) -> Column:
 def blank_to_null(c: Column) -> Column:
     t = F.trim(c.cast("string"))
     return F.when(t == "", F.lit(None)).otherwise(t)
-
-
-
-def fill_template(template: Column | str, **values: Column) -> Column:
-    """Fill ``{name}`` slots of a template held in a column (prompt templates).
-
-    Literal braces ``{{``/``}}`` are resolved first through sentinels and the
-    user values are substituted last, so braces inside user data are kept as
-    they are.
-    """
-    t = F.lit(template) if isinstance(template, str) else template
-    t = F.replace(t, F.lit("{{"), F.lit("\u0001"))
-    t = F.replace(t, F.lit("}}"), F.lit("\u0002"))
-    # Slots are first marked with sentinels that cannot occur in data, then
-    # every sentinel is replaced by its value in one left-to-right pass per
-    # value; values never pass through a later replacement of another slot.
-    names = list(values)
-    for i, name in enumerate(names):
-        t = F.replace(t, F.lit("{" + name + "}"), F.lit(f"\u0003{i}\u0004"))
-    t = F.replace(t, F.lit("\u0001"), F.lit("{"))
-    t = F.replace(t, F.lit("\u0002"), F.lit("}"))
-    for i, name in enumerate(names):
-        t = F.replace(t, F.lit(f"\u0003{i}\u0004"), F.coalesce(values[name].cast("string"), F.lit("")))
-    return t

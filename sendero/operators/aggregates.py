@@ -13,62 +13,33 @@ from pyspark.sql import functions as F
 
 from sendero.functions import fixed
 from sendero.functions.narratives import implicit_from_parts
+from sendero.operators.clean import ORDER
 
 U = "id_usuario"
 URL = "url_sitio"
 SITE_FIELDS = ["nombre_sitio", "categoria_sitio", "ubicacion"]
 
 
-def interaction_summary(inter: DataFrame) -> DataFrame:
-    """Every small keyed aggregate of the pipeline from one scan and one shuffle.
-
-    Each interaction row is expanded into tagged keys and a single grouping on
-    (kind, k1, k2) produces:
-      site: (url)            -> first row's site fields (min_by over the id)
-      pair: (user, url)      -> distinct consumed pairs
-      cat/loc: (user, value) -> frequency counts
-      any: (user)            -> one marker per user with history
-    The aggregation combines map-side, so a hot user or site is reduced before
-    the shuffle; the result is far smaller than the interaction table.
-    """
-    site = F.struct(*SITE_FIELDS)
+def frequencies(inter: DataFrame) -> DataFrame:
+    """(id_usuario, kind, val, n): counts of categories (cat) and locations
+    (loc) per user, and one row per user with history (any).  One scan, one
+    hash aggregation with a map-side partial step."""
     keys = F.array(
-        F.struct(F.lit("site").alias("kind"), F.col(URL).alias("k1"), F.lit("").alias("k2")),
-        F.struct(F.lit("pair").alias("kind"), F.col(U).alias("k1"), F.col(URL).alias("k2")),
-        F.struct(F.lit("cat").alias("kind"), F.col(U).alias("k1"), F.col("categoria_sitio").alias("k2")),
-        F.struct(F.lit("loc").alias("kind"), F.col(U).alias("k1"), F.col("ubicacion").alias("k2")),
-        F.struct(F.lit("any").alias("kind"), F.col(U).alias("k1"), F.lit("").alias("k2")),
-    )
-    rows = inter.select("id_interaccion", site.alias("site"), F.explode(keys).alias("key")).select(
-        "id_interaccion", "site", "key.kind", "key.k1", "key.k2"
-    ).where((F.col("kind") == "site") | (F.col("k1").isNotNull() & F.col("k2").isNotNull()))
-    first = F.min_by(F.when(F.col("kind") == "site", F.col("site")), F.col("id_interaccion"))
-    return rows.groupBy("kind", "k1", "k2").agg(F.count(F.lit(1)).alias("n"), first.alias("first"))
-
-
-def summary_sites(summary: DataFrame) -> DataFrame:
-    """A2 from the summary: (url_sitio, site fields) of every url."""
-    return summary.where(F.col("kind") == "site").select(
-        F.col("k1").alias(URL), *[F.col(f"first.{c}").alias(c) for c in SITE_FIELDS]
-    )
-
-
-def summary_pairs(summary: DataFrame) -> DataFrame:
-    """A8 from the summary: distinct (id_usuario, url_sitio)."""
-    return summary.where(F.col("kind") == "pair").select(F.col("k1").alias(U), F.col("k2").alias(URL))
-
-
-def summary_frequencies(summary: DataFrame) -> DataFrame:
-    """(id_usuario, kind, val, n) for kinds cat / loc / any."""
-    return summary.where(F.col("kind").isin("cat", "loc", "any")).select(
-        F.col("k1").alias(U), "kind", F.col("k2").alias("val"), "n"
+        F.struct(F.lit("cat").alias("kind"), F.col("categoria_sitio").alias("val")),
+        F.struct(F.lit("loc").alias("kind"), F.col("ubicacion").alias("val")),
+        F.struct(F.lit("any").alias("kind"), F.lit("").alias("val")),
     )
+    rows = inter.select(U, F.explode(keys).alias("key")).select(U, "key.kind", "key.val").where(F.col("val").isNotNull())
+    return rows.groupBy(U, "kind", "val").agg(F.count(F.lit(1)).alias("n"))
 
 
 def first_row_per_site(inter: DataFrame) -> DataFrame:
-    """First interaction row (by id) of every url, as (url_sitio, fields...)."""
-    first = F.min_by(F.struct(*SITE_FIELDS), F.col("id_interaccion"))
-    return inter.groupBy(URL).agg(first.alias("f")).select(URL, *[F.col(f"f.{c}").alias(c) for c in SITE_FIELDS])
+    """First interaction row (by ``orden``) of every url, as (url_sitio,
+    fields...).  ``row_number() = 1`` keeps one row per url and task before
+    the shuffle (partial WindowGroupLimit)."""
+    first = Window.partitionBy(URL).orderBy(ORDER, *SITE_FIELDS)
+    rows = inter.select(URL, ORDER, *SITE_FIELDS).withColumn("_rn", F.row_number().over(first))
+    return rows.where(F.col("_rn") == 1).select(URL, *SITE_FIELDS)
 
 
 def place_catalog(inter: DataFrame) -> DataFrame:
@@ -104,13 +75,13 @@ def _kinds(inter: DataFrame):
 def first_items(inter: DataFrame, kind: str, k: int = fixed.FIRST_ITEMS) -> DataFrame:
     """First k named sites per user of one kind, in row order."""
     rows = inter.where(F.col("nombre_sitio").isNotNull()).select(
-        U, "id_interaccion", "nombre_sitio", F.explode(_kinds(inter)).alias("kind")
+        U, ORDER, "nombre_sitio", F.explode(_kinds(inter)).alias("kind")
     ).where(F.col("kind") == kind)
-    w = Window.partitionBy(U).orderBy("id_interaccion")
+    w = Window.partitionBy(U).orderBy(ORDER)
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(U, "rank", "nombre_sitio")
 
 
-def implicit_profile(inter: DataFrame, frequencies: DataFrame | None = None) -> DataFrame:
+def implicit_profile(inter: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """Per user with history: the five picks and the implicit narrative.
 
     One plan for all components: frequency counts and "first items" rows are
@@ -119,19 +90,17 @@ def implicit_profile(inter: DataFrame, frequencies: DataFrame | None = None) ->
     small entries.  A marker row per user keeps users whose picks are all
     empty (their text uses the defaults).
     """
-    base = inter.select(U, "id_interaccion", "nombre_sitio", "categoria_sitio", "ubicacion",
+    base = inter.select(U, ORDER, "nombre_sitio", "categoria_sitio", "ubicacion",
                         "tipo_interaccion", "calificacion")
     # Frequency counts (category, location and a per-user marker) come from
-    # the interaction summary when given, else from one pass over the rows;
-    # the "first items" kinds take a second pass.
-    if frequencies is None:
-        frequencies = summary_frequencies(interaction_summary(inter))
-    freq = frequencies.select(U, "kind", "val", (-F.col("n")).alias("o1"), F.col("val").alias("o2"))
+    # ``counts`` when given, else from one pass over the rows; the "first
+    # items" kinds take a second pass.
+    freq = (frequencies(inter) if counts is None else counts).select(U, "kind", "val", (-F.col("n")).alias("o1"), F.col("val").alias("o2"))
     firsts = base.where(F.col("nombre_sitio").isNotNull()).select(
         U,
         F.explode(_kinds(base)).alias("kind"),
         F.col("nombre_sitio").alias("val"),
-        F.col("id_interaccion").alias("o1"),
+        F.col(ORDER).alias("o1"),
         F.lit("").alias("o2"),
     )
     w = Window.partitionBy(U, "kind").orderBy("o1", "o2")

@@ -34,22 +34,22 @@ def tokens(text: Column) -> Column:
 class HashedTokenEmbedder:
     dim: int = 64
 
+    def _rows(self, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+        # The buckets are a column of their own, hashed once per row.
+        buckets = F.transform(tokens(F.col(text_col)), lambda t: token_bucket(t, self.dim))
+        return df.where(F.col(text_col).isNotNull()).select(F.col(id_col), buckets.alias("_buckets"))
+
     def sparse(self, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        """(id, bucket, count) rows; the grouping combines map-side, so each
-        text contributes at most ``dim`` rows to the shuffle."""
-        exploded = df.select(F.col(id_col), F.explode(tokens(F.col(text_col))).alias("tok"))
-        return exploded.groupBy(id_col, token_bucket(F.col("tok"), self.dim).alias("bucket")).agg(
-            F.count(F.lit(1)).alias("n")
-        )
+        """(id, bucket, count) rows of the non-empty buckets."""
+        rows = self._rows(df, id_col, text_col).select(id_col, "_buckets", F.explode(F.array_distinct("_buckets")).alias("bucket"))
+        return rows.select(id_col, "bucket", F.size(F.filter("_buckets", lambda b: b == F.col("bucket"))).cast("long").alias("n"))
 
     def __call__(self, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        counts = self.sparse(df, id_col, text_col)
-        folded = counts.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("m"))
         dense = F.transform(
             F.sequence(F.lit(0), F.lit(self.dim - 1)),
-            lambda i: F.coalesce(F.try_element_at(F.col("m"), i.cast("bigint")), F.lit(0)).cast("double"),
+            lambda i: F.size(F.filter("_buckets", lambda b: b == i)).cast("double"),
         )
-        return folded.select(F.col(id_col), dense.alias("embedding"))
+        return self._rows(df, id_col, text_col).select(F.col(id_col), dense.alias("embedding"))
 
 
 @dataclass(frozen=True)

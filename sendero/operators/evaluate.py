@@ -18,9 +18,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sendero.operators.clean import ORDER
+
 U = "id_usuario"
 URL = "url_sitio"
 TRAIN_FRACTION = 0.8
@@ -54,8 +56,9 @@ def temporal_relevant(inter: DataFrame, cutoff) -> DataFrame:
 
 def leave_one_out(inter: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(held-out (user, url) pairs, training rows)."""
-    first = inter.where(F.col(URL).isNotNull()).groupBy(U, URL).agg(F.min("id_interaccion").alias("f"))
-    held = first.groupBy(U).agg(F.max_by(URL, "f").alias(URL))
+    first = inter.where(F.col(URL).isNotNull()).groupBy(U, URL).agg(F.min(ORDER).alias("f"))
+    last = Window.partitionBy(U).orderBy(F.desc("f"), URL)
+    held = first.withColumn("_rn", F.row_number().over(last)).where(F.col("_rn") == 1).select(U, URL)
     train = inter.join(held, [U, URL], "left_anti")
     return held, train
 

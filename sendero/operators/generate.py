@@ -33,21 +33,32 @@ def response_schema(kind: str) -> str:
 
 
 def generate(prompts: DataFrame, key: str, generator: Generator) -> DataFrame:
-    """M3: (key, modelo_usado, respuesta) for every prompt row.
+    """M3: (key, modelo_usado, respuesta, error) for every prompt row.
 
     ``generator`` receives a pandas batch with the prompt table's columns
     (prompt, modelo_usado, opciones, candidates_json, ...) and returns one response
     text per row; it is supplied by the caller (a model client, a service
-    call, or the deterministic stub below)."""
+    call, or the deterministic stub below).  If the call for a batch fails,
+    its rows are called one by one; a row that fails alone has no answer but
+    the error's text, and the others are not lost with it."""
 
     ship_package(prompts.sparkSession)
 
     def run(batches):
         for pdf in batches:
-            out = generator(pdf)
-            yield pd.DataFrame({key: pdf[key], "modelo_usado": pdf["modelo_usado"], "respuesta": list(out)})
+            try:
+                out, errors = list(generator(pdf)), [None] * len(pdf)
+            except Exception:  # noqa: BLE001  whatever the caller's client raises
+                out, errors = zip(*[one(pdf.iloc[i:i + 1]) for i in range(len(pdf))])
+            yield pd.DataFrame({key: pdf[key], "modelo_usado": pdf["modelo_usado"], "respuesta": list(out), "error": list(errors)})
 
-    return prompts.mapInPandas(run, f"`{key}` string, modelo_usado string, respuesta string")
+    def one(row: pd.DataFrame):
+        try:
+            return list(generator(row))[0], None
+        except Exception as failed:  # noqa: BLE001
+            return None, f"{type(failed).__name__}: {failed}"
+
+    return prompts.mapInPandas(run, f"`{key}` string, modelo_usado string, respuesta string, error string")
 
 
 # Our texts for the deterministic stand-in generator.
@@ -85,13 +96,15 @@ def parse_responses(responses: DataFrame, key: str, kind: str, top_n: int = fixe
     """M4/M5: (accepted items, rejected responses).
 
     status: ``json_invalido`` (not JSON), ``sin_lista`` (list missing or of
-    the wrong type), ``lista_vacia``, or ``ok``.  Accepted lists are capped
-    to ``top_n`` items (D10)."""
+    the wrong type), ``lista_vacia``, ``sin_respuesta`` (the call failed) or
+    ``ok``.  Accepted lists are capped to ``top_n`` items (D10); the items
+    beyond are in the rejected output as ``excedente``."""
     name, fields = CONTRACTS[kind]
     parsed = F.from_json(F.col("respuesta"), response_schema(kind))
     lst = parsed[name]
     status = (
-        F.when(F.get_json_object(F.col("respuesta"), "$").isNull(), F.lit("json_invalido"))
+        F.when(F.col("respuesta").isNull(), F.lit("sin_respuesta"))
+        .when(F.get_json_object(F.col("respuesta"), "$").isNull(), F.lit("json_invalido"))
         .when(lst.isNull(), F.lit("sin_lista"))
         .when(F.size(lst) == 0, F.lit("lista_vacia"))
         .otherwise(F.lit("ok"))
@@ -101,7 +114,10 @@ def parse_responses(responses: DataFrame, key: str, kind: str, top_n: int = fixe
         key, "modelo_usado", F.posexplode(F.slice(F.col("lst"), 1, top_n)).alias("pos", "item")
     ).select(key, "modelo_usado", (F.col("pos") + 1).alias("posicion"), *[F.col(f"item.{f}").alias(f) for f in fields])
     rejected = tagged.where(F.col("estado") != "ok").select(key, "modelo_usado", "estado", "respuesta")
-    return accepted, rejected
+    surplus = tagged.where((F.col("estado") == "ok") & (F.size("lst") > top_n)).select(
+        key, "modelo_usado", F.lit("excedente").alias("estado"),
+        F.to_json(F.slice("lst", top_n + 1, F.size("lst"))).alias("respuesta"))
+    return accepted, rejected.unionByName(surplus)
 
 
 def grounded(items: DataFrame, candidates: DataFrame, key: str, item_col: str) -> DataFrame:
@@ -111,6 +127,18 @@ def grounded(items: DataFrame, candidates: DataFrame, key: str, item_col: str) -
     return j.select(items["*"], F.coalesce(F.col("_hit"), F.lit(0)).alias("en_candidatos"))
 
 
+def envelopes(direction: str, key: str, subjects: DataFrame, candidates: DataFrame, answers: DataFrame, message: str) -> DataFrame:
+    """One row per subject (key, contexto): its candidates as JSON
+    (n_candidatos, candidates_json) and its answer (modelo_usado, respuesta),
+    or, where there are no candidates, nulls and the message."""
+    rows = subjects.select(key, "contexto").join(candidates, key, "left").join(answers.select(key, "modelo_usado", "respuesta"), key, "left")
+    return rows.select(
+        F.lit(direction).alias("direccion"), F.col(key).alias("sujeto"),
+        F.coalesce("modelo_usado", F.lit(fixed.DEFAULT_GENERATOR)).alias("modelo_usado"), F.col("contexto").alias("contexto_usado"),
+        F.coalesce("n_candidatos", F.lit(0)).alias("n_candidatos"), F.col("candidates_json").alias("candidatos_json"),
+        F.col("respuesta").alias("resultado_json"), F.when(F.col("n_candidatos").isNull(), F.lit(message)).alias("mensaje"))
+
+
 def responses_from_baseline(baseline: DataFrame, key: str, kind: str) -> DataFrame:
     """A deterministic, JVM-side responder for offline evaluation: each
     subject's answer is its baseline list written in the answer contract."""

@@ -9,6 +9,7 @@ user data stay as they are.
 from __future__ import annotations
 
 import json
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,10 +37,11 @@ def validate_template(template: str, required=tuple(fixed.TEMPLATE_VARIABLES)) -
 
 
 def check_k_n(top_k: int, top_n: int) -> int:
-    """N larger than K is allowed (warning in the reference) and is
-    capped by K."""
+    """N larger than K is allowed, with a warning, and capped by K."""
     if top_k < 1 or top_n < 1:
         raise ValueError("top_k and top_n must be positive")
+    if top_n > top_k:
+        warnings.warn(f"top_n={top_n} is larger than top_k={top_k}; {top_k} results are given", stacklevel=2)
     return min(top_n, top_k)
 
 
@@ -66,11 +68,16 @@ def _options(options: dict | None) -> Column:
 
 def direct_prompts(user_texts: DataFrame, candidates: DataFrame, top_n: int = fixed.TOP_N,
                    template: str | None = None, model: str | None = None,
-                   options: dict | None = None) -> DataFrame:
-    """M1: one prompt per user with candidates."""
+                   options: dict | None = None, context: DataFrame | None = None) -> DataFrame:
+    """M1: one prompt per user with candidates.  ``context`` (id_usuario,
+    contexto_grafo) adds a text to the user's context, e.g. the paths of the
+    graph (E20); users without one keep theirs."""
     template = validate_template(template) if template else fixed.DIRECT_PROMPT_TEMPLATE
     lists = candidate_json(candidates, "id_usuario", DIRECT_FIELDS)
     j = lists.join(user_texts.select("id_usuario", "contexto"), "id_usuario")
+    if context is not None:
+        j = j.join(context.select("id_usuario", "contexto_grafo"), "id_usuario", "left").withColumn(
+            "contexto", F.concat_ws("\n", "contexto", "contexto_grafo"))
     return j.select(
         "id_usuario",
         _model(model).alias("modelo_usado"),

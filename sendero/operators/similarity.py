@@ -2,7 +2,7 @@
 
 Plan
 ----
-Items are hashed into ``C`` blocks of bounded size and queries into ``G``
+Items are hashed into ``C`` blocks of bounded bytes and queries into ``G``
 groups.  Each query row is replicated once per item block and each item row
 once per query group; a single cogroup shuffle on (block, group) then brings
 one query group and one item block together, where a numpy kernel computes the
@@ -35,32 +35,27 @@ from sendero.session import checkpoint_dir
 RESULT_SCHEMA = "qid string, iid string, sim double, rank int"
 # Cells of one similarity chunk held at a time inside the kernel (~64 MB).
 _CHUNK_CELLS = 8_000_000
+# Bytes of float64 vectors on one side of a group.
+BLOCK_BYTES = 128 << 20
+GROUPS_PER_SLOT = 3
 
 
 def _select_topk(S: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Best k columns per row of S ordered by (value desc, column asc)."""
     n_rows, n_cols = S.shape
-    kk = min(k, n_cols)
-    if kk < n_cols:
-        part = np.argpartition(-S, kk - 1, axis=1)[:, :kk]
+    k = min(k, n_cols)
+    if k == n_cols:
+        chosen = np.broadcast_to(np.arange(n_cols), (n_rows, n_cols))
     else:
-        part = np.broadcast_to(np.arange(n_cols), (n_rows, n_cols)).copy()
-    part.sort(axis=1)
-    vals = np.take_along_axis(S, part, 1)
-    order = np.argsort(-vals, axis=1, kind="stable")
-    idx = np.take_along_axis(part, order, 1)
-    vals = np.take_along_axis(vals, order, 1)
-    if kk < n_cols:
-        # argpartition breaks ties at the k-th value arbitrarily; rows with
-        # such ties are redone exactly (smallest column ids win).
-        kth = vals[:, -1]
-        tied = np.nonzero((S >= kth[:, None]).sum(axis=1) > kk)[0]
-        for r in tied:
-            cand = np.nonzero(S[r] >= kth[r])[0]
-            best = cand[np.argsort(-S[r, cand], kind="stable")[:kk]]
-            idx[r] = best
-            vals[r] = S[r, best]
-    return idx, vals
+        # All above the k-th value, and of those equal to it the first ones:
+        # exactly k columns in each row.
+        kth = np.partition(S, n_cols - k, axis=1)[:, n_cols - k, None]
+        above, equal = S > kth, S == kth
+        free = k - above.sum(axis=1, keepdims=True)
+        chosen = np.nonzero(above | (equal & (equal.cumsum(axis=1) <= free)))[1].reshape(n_rows, k)
+    values = np.take_along_axis(S, chosen, 1)
+    order = np.argsort(-values, axis=1, kind="stable")
+    return np.take_along_axis(chosen, order, 1), np.take_along_axis(values, order, 1)
 
 
 def _empty_result(payload: tuple[str, ...] = ()) -> pd.DataFrame:
@@ -134,17 +129,24 @@ def _kernel(k: int, metric: str = "cosine", payload: tuple[str, ...] = ()):
     return run
 
 
+def block_rows(dim: int, block_bytes: int = BLOCK_BYTES) -> int:
+    """Rows of one side of a group: ``block_bytes`` of float64 vectors."""
+    return max(1, block_bytes // (8 * max(dim, 1)))
+
+
 def plan_blocks(n_queries: int, n_items: int, parallelism: int,
                 query_block_rows: int, item_block_rows: int, n_excluded: int = 0) -> tuple[int, int]:
     """(item blocks C, query groups G).
 
     Item blocks are bounded by ``item_block_rows``; the left side of a group
     (its queries plus their exclusion pairs falling in the block, about
-    (Q + E / C) / G rows) by ``query_block_rows``.  G is at least what
-    spreads the G x C groups over the cluster parallelism, so the join never
-    runs as a single group.  Every item row is shuffled once per query group
-    and every query row once per item block, so neither is raised further.
+    (Q + E / C) / G rows) by ``query_block_rows``.  The G x C groups number
+    about ``GROUPS_PER_SLOT`` for each task slot, so that none waits for a
+    slot that got several.  Every item row is shuffled once per query group
+    and every query row once per item block: Q C + P G rows, so no more
+    groups are made than these bounds ask for.
     """
+    parallelism *= GROUPS_PER_SLOT
     blocks = max(1, math.ceil(n_items / item_block_rows))
     by_memory = math.ceil((n_queries + n_excluded / blocks) / query_block_rows)
     groups = max(by_memory, math.ceil(parallelism / blocks))
@@ -157,8 +159,8 @@ def similarity_topk(
     k: int,
     *,
     exclude: DataFrame | None = None,
-    query_block_rows: int = 200_000,
-    item_block_rows: int = 200_000,
+    query_block_rows: int | None = None,
+    item_block_rows: int | None = None,
     query_groups: int | None = None,
     metric: str = "cosine",
     item_payload: tuple[str, ...] = (),
@@ -194,7 +196,10 @@ def similarity_topk(
     # setting is often much larger and would only inflate item replication.
     parallelism = spark.sparkContext.defaultParallelism
     n_excluded = exclude.where(F.col("iid").isNotNull()).count() if exclude is not None else 0
-    blocks, groups = plan_blocks(q.count(), it.count(), parallelism, query_block_rows, item_block_rows,
+    n_queries, dim = q.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    n_items = it.count()
+    rows = block_rows(dim or 0)
+    blocks, groups = plan_blocks(n_queries, n_items, parallelism, query_block_rows or rows, item_block_rows or rows,
                                  n_excluded=n_excluded)
     if query_groups is not None:
         groups = query_groups

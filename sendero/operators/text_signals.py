@@ -1,12 +1,13 @@
 """Signals from free text.
 
-Comment and enrichment texts are processed whole: tokens are exploded and
-aggregated per (key, bucket) or (key, token) with a map-side partial step.
+Comment and enrichment texts are processed whole, inside their row where the
+result is one of the comment, with a map-side partial step where it is one of
+the user.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sendero.operators.embed import token_bucket, tokens
@@ -33,14 +34,18 @@ def implicit_vectors(inter: DataFrame, dim: int = 64) -> DataFrame:
     """Per user, the mean hashed token vector of the user's comments,
     as sparse rows (id_usuario, bucket, valor).  The mean of count vectors
     is the per-bucket total over the number of comments."""
-    comments = inter.where(F.col("comentario").isNotNull()).select(U, "comentario")
-    n = comments.groupBy(U).agg(F.count(F.lit(1)).alias("c"))
+    # One pass: a comment gives its buckets and one marker (-1) to be counted.
+    buckets = F.transform(tokens(F.col("comentario")), lambda t: token_bucket(t, dim))
     counts = (
-        comments.select(U, F.explode(tokens(F.col("comentario"))).alias("tok"))
-        .groupBy(U, token_bucket(F.col("tok"), dim).alias("bucket"))
+        inter.where(F.col("comentario").isNotNull())
+        .select(U, F.explode(F.concat(F.array(F.lit(-1).cast("bigint")), buckets)).alias("bucket"))
+        .groupBy(U, "bucket")
         .agg(F.count(F.lit(1)).alias("t"))
     )
-    return counts.join(n, U).select(U, "bucket", F.round(F.col("t") / F.col("c"), 6).alias("valor"))
+    # At most dim + 1 rows per user meet in the window.
+    n = F.max(F.when(F.col("bucket") == -1, F.col("t"))).over(Window.partitionBy(U))
+    return counts.withColumn("c", n).where(F.col("bucket") >= 0).select(
+        U, "bucket", F.round(F.col("t") / F.col("c"), 6).alias("valor"))
 
 
 def item_enrichment(place_texts: DataFrame, texts: DataFrame) -> DataFrame:
@@ -56,29 +61,25 @@ def item_enrichment(place_texts: DataFrame, texts: DataFrame) -> DataFrame:
     )
 
 
-def _lexicon(spark):
-    rows = [(w, a) for a, ws in ASPECT_LEXICON.items() for w in ws]
-    return spark.createDataFrame(rows, "palabra string, aspecto string")
-
-
 def aspect_mentions(inter: DataFrame) -> DataFrame:
     """(id_interaccion, url_sitio, aspecto, polaridad) for comments that
     name an aspect; polarity = sign(#positive - #negative words) of the
-    comment.  The lexicon is a fixed small table joined by broadcast."""
-    spark = inter.sparkSession
-    words = inter.where(F.col("comentario").isNotNull()).select(
-        "id_interaccion", URL, F.explode(tokens(F.col("comentario"))).alias("tok")
-    ).select("id_interaccion", URL, clean_token(F.col("tok")).alias("w"))
-    per_comment = words.groupBy("id_interaccion", URL).agg(
-        F.sum(F.col("w").isin(POSITIVE).cast("int")).alias("pos"),
-        F.sum(F.col("w").isin(NEGATIVE).cast("int")).alias("neg"),
-    )
-    mentions = words.join(F.broadcast(_lexicon(spark)), words.w == F.col("palabra")).select(
-        "id_interaccion", URL, "aspecto"
-    ).distinct()
-    return mentions.join(per_comment, ["id_interaccion", URL]).select(
-        "id_interaccion", URL, "aspecto", F.signum(F.col("pos") - F.col("neg")).cast("int").alias("polaridad")
-    )
+    comment.  All of a comment stands in its row, so nothing is shuffled and
+    interactions without a url or a numeric id stay apart."""
+    def strings(values: list[str]):
+        return F.array(*[F.lit(v) for v in values])
+
+    words = F.transform(tokens(F.col("comentario")), clean_token)
+    rows = inter.where(F.col("comentario").isNotNull()).select("id_interaccion", URL, words.alias("_w"))
+
+    def count(values: list[str]):
+        return F.size(F.filter("_w", lambda w: w.isin(values)))
+
+    named = F.array(*[F.when(F.arrays_overlap("_w", strings(ws)), F.lit(a)) for a, ws in ASPECT_LEXICON.items()])
+    return rows.select(
+        "id_interaccion", URL, F.signum(count(POSITIVE) - count(NEGATIVE)).cast("int").alias("polaridad"),
+        F.explode(F.array_compact(named)).alias("aspecto"),
+    ).select("id_interaccion", URL, "aspecto", "polaridad")
 
 
 def site_aspects(mentions: DataFrame) -> DataFrame:
@@ -97,16 +98,13 @@ def geo_grounding(recs: DataFrame, user_texts: DataFrame) -> DataFrame:
                     (F.instr(F.col("contexto"), F.col("ubicacion")) > 0).cast("int").alias("fundamentado"))
 
 
-def narrative_stats(forms: dict[str, DataFrame]) -> DataFrame:
-    """Per narrative form, count, mean/max characters and mean tokens."""
-    out = None
-    for name, df in forms.items():
-        t = F.col("texto")
-        part = df.where(t.isNotNull() & (t != "")).agg(
-            F.count(F.lit(1)).alias("n"),
-            F.round(F.avg(F.length(t)), 4).alias("caracteres_medios"),
-            F.max(F.length(t)).alias("caracteres_max"),
-            F.round(F.avg(F.size(tokens(t))), 4).alias("tokens_medios"),
-        ).select(F.lit(name).alias("forma"), "*")
-        out = part if out is None else out.unionByName(part)
-    return out
+def narrative_stats(texts: DataFrame) -> DataFrame:
+    """Per narrative form (texts: forma, texto), count, mean/max
+    characters and mean tokens."""
+    t = F.col("texto")
+    return texts.where(t.isNotNull() & (t != "")).groupBy("forma").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.round(F.avg(F.length(t)), 4).alias("caracteres_medios"),
+        F.max(F.length(t)).alias("caracteres_max"),
+        F.round(F.avg(F.size(tokens(t))), 4).alias("tokens_medios"),
+    )

@@ -40,8 +40,9 @@ def sql(final: str, *needs: str) -> str:
 
 # --- bindings (FIXTURES.md section 2) ------------------------------------------
 fragment("perfiles", """
-SELECT cast(c.c_custkey as string) AS id_usuario,
-  c.c_name AS nombre,
+SELECT c.c_custkey * 2 + v.bis AS _fila,
+  cast(c.c_custkey as string) AS id_usuario,
+  CASE WHEN v.bis = 1 THEN concat(c.c_name, ' (bis)') ELSE c.c_name END AS nombre,
   cast(18 + c.c_custkey % 60 as int) AS edad,
   CASE c.c_custkey % 3 WHEN 0 THEN 'Femenino' WHEN 1 THEN 'Masculino' ELSE 'Otro' END AS genero,
   n.n_name AS nacionalidad,
@@ -64,6 +65,8 @@ SELECT cast(c.c_custkey as string) AS id_usuario,
 FROM customer c
 JOIN nation n ON c.c_nationkey = n.n_nationkey
 JOIN region r ON n.n_regionkey = r.r_regionkey
+JOIN (SELECT 0 AS bis UNION ALL SELECT 1) v ON v.bis = 0 OR c.c_custkey % 25 = 3
+WHERE c.c_custkey % 50 <> 9
 """)
 
 fragment("interacciones", """
@@ -73,23 +76,30 @@ SELECT e.event_id AS id_interaccion,
   CASE WHEN extract(hour from e.ts) < 12 THEN 'Mañana' WHEN extract(hour from e.ts) < 20 THEN 'Tarde' ELSE 'Noche' END AS hora_dia,
   CASE e.event_id % 2 WHEN 0 THEN 'Móvil' ELSE 'PC' END AS dispositivo_usado,
   concat('site/', cast(p.p_partkey as string)) AS url_sitio,
-  p.p_name AS nombre_sitio,
+  CASE WHEN p.p_partkey % 50 <> 7 THEN p.p_name END AS nombre_sitio,
   p.p_type AS categoria_sitio,
   n.n_name AS ubicacion,
   CASE e.event_type WHEN 'purchase' THEN 'Reserva' WHEN 'signup' THEN 'Favorito' WHEN 'click' THEN 'Click' WHEN 'view' THEN 'Calificación' ELSE 'Comentario' END AS tipo_interaccion,
   CASE WHEN e.event_type = 'view' THEN cast(1 + cast(floor(e.value) as int) % 5 as double) END AS calificacion,
   CASE WHEN e.event_type = 'error' THEN d.text END AS comentario,
   cast(floor(e.value * 10) as bigint) AS tiempo_visita_segundos
-FROM events e
-JOIN part p ON p.p_partkey = cast(regexp_extract(e.props, '([0-9]+)', 1) as bigint)
+FROM (
+  SELECT event_id, ts, user_id, event_type, value, cast(regexp_extract(props, '([0-9]+)', 1) as bigint) AS pk FROM events
+  UNION ALL
+  SELECT 1000000000000 + pk, min(ts), 5, 'click', cast(0 as double), pk
+  FROM (SELECT ts, cast(regexp_extract(props, '([0-9]+)', 1) as bigint) AS pk FROM events) v
+  WHERE pk IS NOT NULL GROUP BY pk
+) e
+JOIN part p ON p.p_partkey = e.pk
 JOIN nation n ON n.n_nationkey = p.p_partkey % 25
-JOIN documents d ON d.doc_id = e.event_id % 200
+LEFT JOIN documents d ON e.event_type = 'error' AND d.doc_id = e.event_id % (SELECT count(*) FROM documents)
 """)
 
 # --- cleaning ---------------------------------------------------------------------
 fragment("prof", """
-SELECT * REPLACE (trim(id_usuario) AS id_usuario) FROM perfiles
+SELECT * EXCLUDE (_fila) REPLACE (trim(id_usuario) AS id_usuario) FROM perfiles
 WHERE trim(id_usuario) <> ''
+QUALIFY row_number() OVER (PARTITION BY trim(id_usuario) ORDER BY _fila) = 1
 """, "perfiles")
 
 fragment("inter", """

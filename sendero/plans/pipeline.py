@@ -19,7 +19,7 @@ from sendero.operators import recommend as R
 from sendero.operators.clean import clean_interactions, clean_profiles
 from sendero.operators.embed import HashedTokenEmbedder
 from sendero.operators.prompts import check_k_n
-from sendero.session import checkpoint_dir, ship_package
+from sendero.session import ship_package, write_once
 from sendero.sources import bindings
 from sendero.sources.csv import read_interactions_csv, read_profiles_csv
 
@@ -39,6 +39,7 @@ class Pipeline:
         self.embedder = embedder or HashedTokenEmbedder()
         self.user_document = user_document or N.full_narrative
         self.blocking = blocking
+        self._retrieved: dict[str, dict[int, DataFrame]] = {}
 
     @classmethod
     def from_frames(cls, spark: SparkSession, profiles: DataFrame, interactions: DataFrame, **kw) -> "Pipeline":
@@ -76,17 +77,9 @@ class Pipeline:
         return clean_interactions(bindings.interacciones(self.spark, self.sf_dir))
 
     # -- aggregates -------------------------------------------------------------
-    @cached_property
-    def summary(self) -> DataFrame:
-        """One scan + one shuffle of the interactions for all small keyed
-        aggregates, materialised once in the shared checkpoint folder so the
-        fact table is not rescanned by each derived table."""
-        checkpoint_dir(self.spark)
-        return A.interaction_summary(self.interactions).checkpoint(eager=True)
-
     @cached_property
     def selector(self) -> DataFrame:
-        return A.summary_sites(self.summary)
+        return write_once(A.place_selector(self.interactions), "selector")
 
     @cached_property
     def catalog(self) -> DataFrame:
@@ -94,7 +87,7 @@ class Pipeline:
 
     @cached_property
     def consumed(self) -> DataFrame:
-        return A.summary_pairs(self.summary)
+        return write_once(A.consumed_sites(self.interactions), "consumed")
 
     @cached_property
     def visitors(self) -> DataFrame:
@@ -102,11 +95,17 @@ class Pipeline:
 
     @cached_property
     def implicit(self) -> DataFrame:
-        return A.implicit_profile(self.interactions, A.summary_frequencies(self.summary))
+        return A.implicit_profile(self.interactions)
 
     # -- narratives -------------------------------------------------------------
     @cached_property
     def user_texts(self) -> DataFrame:
+        """``user_text_rows``, written once: vectors, prompts and envelopes
+        each read their columns of it."""
+        return write_once(self.user_text_rows, "user-texts")
+
+    @cached_property
+    def user_text_rows(self) -> DataFrame:
         """One row per profile: explicit, implicit ('' without history),
         indexed document (N6) and query context (N7)."""
         p = self.profiles.select(
@@ -171,16 +170,33 @@ class Pipeline:
         )
 
     # -- retrieval -------------------------------------------------------------------
+    def _hits(self, kind: str, k: int, retrieve) -> DataFrame:
+        """The first k of each list, from the shortest list retrieved so far
+        that is long enough; else retrieved now, and written once."""
+        held = self._retrieved.setdefault(kind, {})
+        longer = min((x for x in held if x >= k), default=None)
+        if longer is None:
+            held[k] = write_once(retrieve(k), f"hits-{kind}")
+            return held[k]
+        return held[longer] if longer == k else held[longer].where(F.col("rank") <= k)
+
     def topk_places(self, k: int = fixed.DIRECT_TOP_K) -> DataFrame:
-        return R.retrieve_places(
-            self.user_context_vectors, self.place_vectors, self.consumed, self.catalog, k, **self.blocking
-        )
+        return self._hits("places", k, lambda n: self.places_for(self.user_context_vectors, n))
+
+    def places_for(self, user_vectors: DataFrame, k: int) -> DataFrame:
+        return R.retrieve_places(user_vectors, self.place_vectors, self.consumed, self.catalog, k, **self.blocking)
 
     def topk_users(self, k: int = fixed.INVERSE_TOP_K) -> DataFrame:
-        return R.retrieve_users(
-            self.site_context_vectors, self.user_document_vectors, self.visitors,
-            self.user_index_rows, k, **self.blocking
-        )
+        return self._hits("users", k, lambda n: self.users_for(self.site_context_vectors, n))
+
+    def users_for(self, site_vectors: DataFrame, k: int) -> DataFrame:
+        return R.retrieve_users(site_vectors, self.user_document_vectors, self.visitors, self.user_index_rows, k, **self.blocking)
+
+    def topk_places_of(self, users: DataFrame, k: int = fixed.DIRECT_TOP_K) -> DataFrame:
+        """Retrieval for the users in ``users`` (id_usuario) alone: only their
+        texts are embedded and scored."""
+        wanted = self.user_texts.join(users.select(U).distinct(), U, "left_semi")
+        return self.places_for(self.embedder(wanted, U, "contexto"), k)
 
     def recommend_direct(self, k: int = fixed.DIRECT_TOP_K, n: int = fixed.TOP_N) -> DataFrame:
         return R.baseline_direct(self.topk_places(k), check_k_n(k, n))
@@ -189,16 +205,18 @@ class Pipeline:
         return R.baseline_inverse(self.topk_users(k), self.site_contexts, check_k_n(k, n))
 
     def lookup_user(self, user_id: str, k: int = fixed.DIRECT_TOP_K, n: int = fixed.TOP_N) -> DataFrame:
-        """The single-user call of the reference as a filter on the batch
-        plan; an unknown id raises (P2)."""
+        """The single-user call of the reference: that user's text alone is
+        embedded and scored; an unknown id raises (P2)."""
         uid = str(user_id).strip()
-        if self.profiles.where(F.col(U) == uid).limit(1).count() == 0:
+        one = self.user_texts.where(F.col(U) == uid)
+        if one.limit(1).count() == 0:
             raise ValueError(f"user {uid!r} not found")
-        return self.recommend_direct(k, n).where(F.col(U) == uid)
+        return R.baseline_direct(self.places_for(self.embedder(one, U, "contexto"), k), check_k_n(k, n))
 
     def lookup_site(self, url: str, k: int = fixed.INVERSE_TOP_K, n: int = fixed.TOP_N) -> DataFrame:
         """The single-site call (P3): trimmed url, unknown urls raise."""
         key = str(url).strip()
-        if self.selector.where(F.col(URL) == key).limit(1).count() == 0:
+        one = self.site_contexts.where(F.col(URL) == key)
+        if one.limit(1).count() == 0:
             raise ValueError(f"site {key!r} not found")
-        return self.recommend_inverse(k, n).where(F.col(URL) == key)
+        return R.baseline_inverse(self.users_for(self.embedder(one, URL, "contexto"), k), self.site_contexts, check_k_n(k, n))

@@ -69,7 +69,7 @@ def _generate_stub(p: Pipeline) -> DataFrame:
     """M3: batch generation over the prompt table with a caller-supplied
     callable (here the deterministic stub) through mapInPandas."""
     prompts = PR.direct_prompts(p.user_texts, p.topk_places(6), 3)
-    return G.generate(prompts, "id_usuario", G.stub_generator("direct", 3))
+    return G.generate(prompts, "id_usuario", G.stub_generator("direct", 3)).drop("error")
 
 
 def _parsed_sql(key: str, baseline_sql: str, fields: list[str], cand: str, cand_col: str) -> str:
@@ -104,49 +104,59 @@ def _parse_inverse(p: Pipeline) -> DataFrame:
     return G.grounded(items, topk, "url_sitio", "id_usuario")
 
 
-@register("result_envelope", O.sql(f"""
-SELECT u.id_usuario AS user_id, '{fixed.DEFAULT_GENERATOR}' AS modelo_usado, u.contexto AS contexto_usado,
-  c.n_candidatos,
-  c.candidatos_json,
-  r.resultado_json
-FROM user_texts u
-JOIN (SELECT id_usuario, cast(count(*) AS INTEGER) AS n_candidatos,
-        CAST(to_json(list(struct_pack(nombre_sitio := nombre_sitio, categoria_sitio := categoria_sitio,
-          ubicacion := ubicacion, url_sitio := url_sitio, similitud_vectorial := similitud_vectorial) ORDER BY rank)) AS VARCHAR) AS candidatos_json
-      FROM {O.topk_places_fragment(6)} GROUP BY id_usuario) c ON c.id_usuario = u.id_usuario
-JOIN (SELECT id_usuario, CAST(to_json(struct_pack({fixed.DIRECT_RESPONSE_LIST} := list(struct_pack(
-          {', '.join(f'{f} := {f}' for f in fixed.DIRECT_RESPONSE_FIELDS)}) ORDER BY rank))) AS VARCHAR) AS resultado_json
-      FROM ({O.baseline_direct_sql(6, 3)}) GROUP BY id_usuario) r ON r.id_usuario = u.id_usuario
-""", "user_texts", O.topk_places_fragment(6)))
+_ENVELOPE_PLACES = {c: c for c in ("nombre_sitio", "categoria_sitio", "ubicacion", "url_sitio", "similitud_vectorial")}
+_ENVELOPE_USERS = {c: c for c in ("id_usuario", "nombre", "nacionalidad", "tipo_viajero", "presupuesto_viaje",
+                                  "similitud_vectorial", "resumen_perfil")}
+
+
+def _envelope_sql(direction: str, key: str, subjects: str, hits: str, fields: dict[str, str], baseline: str,
+                  answer_list: str, answer_fields: list[str], message: str) -> str:
+    return f"""
+SELECT '{direction}' AS direccion, s.{key} AS sujeto, '{fixed.DEFAULT_GENERATOR}' AS modelo_usado, s.contexto AS contexto_usado,
+  coalesce(c.n, 0) AS n_candidatos, c.j AS candidatos_json, r.j AS resultado_json,
+  CASE WHEN c.n IS NULL THEN '{message}' END AS mensaje
+FROM {subjects} s
+LEFT JOIN (SELECT {key}, cast(count(*) AS INTEGER) AS n, CAST(to_json(list({O.struct_sql(fields)} ORDER BY rank)) AS VARCHAR) AS j
+           FROM {hits} GROUP BY {key}) c ON c.{key} = s.{key}
+LEFT JOIN (SELECT {key}, CAST(to_json(struct_pack({answer_list} := list({O.struct_sql({f: f for f in answer_fields})} ORDER BY rank))) AS VARCHAR) AS j
+           FROM ({baseline}) GROUP BY {key}) r ON r.{key} = s.{key}"""
+
+
+@register("result_envelope", O.sql(
+    _envelope_sql("directa", "id_usuario", "user_texts", O.topk_places_fragment(6), _ENVELOPE_PLACES, O.baseline_direct_sql(6, 3),
+                  fixed.DIRECT_RESPONSE_LIST, fixed.DIRECT_RESPONSE_FIELDS, fixed.NO_PLACE_CANDIDATES)
+    + "\nUNION ALL\n"
+    + _envelope_sql("inversa", "url_sitio", "site_contexts", O.topk_users_fragment(10), _ENVELOPE_USERS, O.baseline_inverse_sql(10, 3),
+                    fixed.INVERSE_RESPONSE_LIST, fixed.INVERSE_RESPONSE_FIELDS, fixed.NO_USER_CANDIDATES),
+    "user_texts", "site_contexts", O.topk_places_fragment(6), O.topk_users_fragment(10)))
 def _result_envelope(p: Pipeline) -> DataFrame:
-    """One envelope per user: model, context, candidates and result."""
-    topk = p.topk_places(6)
-    cands = PR.candidate_json(topk, "id_usuario", {
-        "nombre_sitio": "nombre_sitio", "categoria_sitio": "categoria_sitio", "ubicacion": "ubicacion",
-        "url_sitio": "url_sitio", "similitud_vectorial": "similitud_vectorial"})
-    result = G.responses_from_baseline(R.baseline_direct(topk, 3), "id_usuario", "direct")
-    return (
-        p.user_texts.select(F.col("id_usuario").alias("user_id"), F.col("contexto").alias("contexto_usado"))
-        .join(cands.withColumnRenamed("id_usuario", "user_id").withColumnRenamed("candidates_json", "candidatos_json"), "user_id")
-        .join(result.select(F.col("id_usuario").alias("user_id"), "modelo_usado", F.col("respuesta").alias("resultado_json")), "user_id")
-        .select("user_id", "modelo_usado", "contexto_usado", "n_candidatos", "candidatos_json", "resultado_json")
-    )
+    """One envelope per user and per site, in one schema: model, context,
+    candidates and result, or the message where there are no candidates."""
+    places, users = p.topk_places(6), p.topk_users(10)
+    direct = G.envelopes("directa", "id_usuario", p.user_texts, PR.candidate_json(places, "id_usuario", _ENVELOPE_PLACES),
+                         G.responses_from_baseline(R.baseline_direct(places, 3), "id_usuario", "direct"), fixed.NO_PLACE_CANDIDATES)
+    inverse = G.envelopes("inversa", "url_sitio", p.site_contexts, PR.candidate_json(users, "url_sitio", _ENVELOPE_USERS),
+                          G.responses_from_baseline(R.baseline_inverse(users, p.site_contexts, 3), "url_sitio", "inverse"),
+                          fixed.NO_USER_CANDIDATES)
+    return direct.unionByName(inverse)
 
 
 SWEEP = sorted({(k, n) for n in (3, 5, 10) for k in (n, -(-5 * n // 2), 20)})
 
 
 @register("config_sweep", O.sql(f"""
-SELECT cfg.k AS top_k, cfg.n AS top_n, t.id_usuario, t.rank, t.url_sitio,
-  CASE ntile(3) OVER (PARTITION BY cfg.k, cfg.n, t.id_usuario ORDER BY t.rank)
+SELECT m.modelo, cfg.k AS top_k, cfg.n AS top_n, t.id_usuario, t.rank, t.url_sitio,
+  CASE ntile(3) OVER (PARTITION BY m.modelo, cfg.k, cfg.n, t.id_usuario ORDER BY t.rank)
     WHEN 1 THEN '{fixed.AFFINITY_LEVELS[0]}' WHEN 2 THEN '{fixed.AFFINITY_LEVELS[1]}' ELSE '{fixed.AFFINITY_LEVELS[2]}' END AS nivel_afinidad
 FROM {O.topk_places_fragment(max(k for k, _ in SWEEP))} t
 JOIN (VALUES {', '.join(f'({k}, {n})' for k, n in SWEEP)}) cfg(k, n) ON t.rank <= least(cfg.k, cfg.n)
+CROSS JOIN (VALUES {', '.join(f"('{m}')" for m in fixed.GENERATOR_CHOICES)}) m(modelo)
 """, O.topk_places_fragment(max(k for k, _ in SWEEP))))
 def _config_sweep(p: Pipeline) -> DataFrame:
-    """The baseline at every (K, N) of a grid (K ~ 2.5 N among
-    them), from one retrieval at the largest K; N is capped by K."""
-    return R.config_sweep(p.topk_places(max(k for k, _ in SWEEP)), SWEEP)
+    """The baseline for every model at every (K, N) of a grid
+    (K ~ 2.5 N among them), from one retrieval at the largest K; N is capped
+    by K."""
+    return R.config_sweep(p.topk_places(max(k for k, _ in SWEEP)), SWEEP, list(fixed.GENERATOR_CHOICES))
 
 
 # --- end-to-end generation path (retrieval -> prompt -> generator -> parsed answer) --------------

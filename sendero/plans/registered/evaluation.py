@@ -1,4 +1,4 @@
-"""Registered queries: offline evaluation, knowledge graph, text signals, ALS baseline, calibration and latency."""
+"""Registered queries: offline evaluation, knowledge graph, text signals, ALS baseline and calibration."""
 
 from __future__ import annotations
 
@@ -15,10 +15,9 @@ from sendero.operators import prompts as PR
 from sendero.operators import recommend as R
 from sendero.operators import text_signals as TS
 from sendero.plans import oracle as O
-from sendero.plans import runlog
 from sendero.plans.pipeline import Pipeline
 from sendero.plans.registry import register
-from sendero.plans.registered.answers import SWEEP, _parse_direct, _parsed_sql
+from sendero.plans.registered.answers import SWEEP
 from sendero.sources.tables import table
 
 
@@ -126,14 +125,34 @@ def _metric_novelty(p: Pipeline) -> DataFrame:
     return E.novelty(p.topk_places(EVAL_N), p.consumed)
 
 
+# A table of answers that are not all good, from the baseline lists: of the
+# users whose id leaves this remainder by 7, the answers are no JSON, lack the
+# list, or name a site that was never retrieved first.
+_NO_JSON, _NO_LIST, _INVENTED = 0, 1, 2
+_EXCUSE, _INVENTED_SITE = "Lo siento, no puedo ayudar con eso.", "Sitio inventado"
+
+
+def _mixed_answers(baseline: DataFrame, key: str) -> DataFrame:
+    """(key, modelo_usado, respuesta) of a baseline with ``id_usuario``."""
+    kind = F.col("id_usuario").cast("bigint") % 7
+    named = F.when((kind == _INVENTED) & (F.col("rank") == 1), F.lit(_INVENTED_SITE)).otherwise(F.col("nombre_sitio"))
+    answers = G.responses_from_baseline(baseline.withColumn("nombre_sitio", named), key, "direct")
+    kind = F.element_at(F.split(key, r"\|"), -1).cast("bigint") % 7
+    bad = F.when(kind == _NO_JSON, F.lit(_EXCUSE)).when(
+        kind == _NO_LIST, F.replace(F.col("respuesta"), F.lit(fixed.DIRECT_RESPONSE_LIST), F.lit("otra_lista"))).otherwise(F.col("respuesta"))
+    return answers.withColumn("respuesta", bad)
+
+
 @register("metric_faithfulness", O.sql(f"""
-SELECT count(DISTINCT id_usuario) AS respuestas, count(*) AS items, round(avg(en_candidatos), 6) AS fidelidad
-FROM ({_parsed_sql("id_usuario", O.baseline_direct_sql(6, 3), fixed.DIRECT_RESPONSE_FIELDS,
-                   O.sql(f"SELECT * FROM {O.topk_places_fragment(6)}", O.topk_places_fragment(6)), "nombre_sitio")})"""))
+SELECT count(DISTINCT id_usuario) AS respuestas, count(*) AS items,
+  round(avg(CASE WHEN CAST(id_usuario AS BIGINT) % 7 = {_INVENTED} AND rank = 1 THEN 0 ELSE 1 END), 6) AS fidelidad
+FROM ({O.baseline_direct_sql(6, 3)}) WHERE CAST(id_usuario AS BIGINT) % 7 NOT IN ({_NO_JSON}, {_NO_LIST})"""))
 def _metric_faithfulness(p: Pipeline) -> DataFrame:
-    """Share of parsed answer items that name one of their candidates."""
-    items = _parse_direct(p)
-    return items.agg(
+    """Share of parsed answer items that name one of their candidates,
+    over answers some of which are malformed or name another site."""
+    topk = p.topk_places(6)
+    items, _ = G.parse_responses(_mixed_answers(R.baseline_direct(topk, 3), "id_usuario"), "id_usuario", "direct", 3)
+    return G.grounded(items, topk, "id_usuario", "nombre_sitio").agg(
         F.count_distinct("id_usuario").alias("respuestas"),
         F.count(F.lit(1)).alias("items"),
         F.round(F.avg("en_candidatos"), 6).alias("fidelidad"),
@@ -176,8 +195,8 @@ def _compare_baselines(p: Pipeline) -> DataFrame:
     """Temporal-protocol metrics of the vector baseline against the
     hybrid list (K = 2.5 N retrieved, re-ranked by history-path support)."""
     tp, rel = _protocol_data(p, "temporal")
+    cand = tp.topk_places(RERANK_K)  # the first N of it are the vector list
     vec = E.ranking_metrics(E.user_ranking_stats(tp.topk_places(EVAL_N), rel, p.profiles), EVAL_N, "vectorial")
-    cand = tp.topk_places(RERANK_K)
     rr = GR.graph_rerank(cand, GR.history_paths(tp.interactions, cand), EVAL_N)
     hyb = E.ranking_metrics(E.user_ranking_stats(rr, rel, p.profiles), EVAL_N, "grafo")
     return vec.unionByName(hyb).withColumnRenamed("protocolo", "sistema")
@@ -280,6 +299,21 @@ def _graph_context(p: Pipeline) -> DataFrame:
     return GR.graph_context(GR.history_paths(p.interactions, p.topk_places(6)))
 
 
+@register("prompt_graph", O.sql(f"""
+SELECT l.id_usuario, l.n_candidatos,
+  {render_sql(fixed.DIRECT_PROMPT_TEMPLATE, top_n="'3'", user_context="concat_ws(chr(10), u.contexto, g.contexto_grafo)", candidates_json='l.candidates_json')} AS prompt
+FROM direct_lists l JOIN user_texts u ON u.id_usuario = l.id_usuario
+LEFT JOIN (SELECT id_usuario,
+  concat(string_agg({render_sql(GR.PATH_TEMPLATE, nombre_sitio='nombre_sitio', via='via', nodo='nodo', soporte='soporte')},
+                    '. ' ORDER BY rank, via), '.') AS contexto_grafo
+  FROM graph_paths GROUP BY id_usuario) g ON g.id_usuario = l.id_usuario""", "direct_lists", "user_texts", _paths_fragment()))
+def _prompt_graph(p: Pipeline) -> DataFrame:
+    """The direct prompt with the path sentences in the user's context."""
+    topk = p.topk_places(6)
+    paths = GR.graph_context(GR.history_paths(p.interactions, topk))
+    return PR.direct_prompts(p.user_texts, topk, 3, context=paths).select("id_usuario", "n_candidatos", "prompt")
+
+
 # --- text signals ---------------------------------------------------------------------------------
 @register("implicit_vectors", O.sql(f"""
 SELECT t.id_usuario, t.bucket, round(t.t / n.c, 6) AS valor FROM (
@@ -337,17 +371,13 @@ FROM (SELECT 'explicita' AS forma, narrativa_explicita AS texto FROM user_texts
 WHERE texto IS NOT NULL AND texto <> '' GROUP BY forma""", "user_texts", "place_texts"))
 def _narrative_stats(p: Pipeline) -> DataFrame:
     """Length and token statistics of every narrative form."""
-    t = p.user_texts
-    return TS.narrative_stats({
-        "explicita": t.select(F.col("narrativa_explicita").alias("texto")),
-        "implicita": t.select(F.col("narrativa_implicita").alias("texto")),
-        "documento": t.select(F.col("documento").alias("texto")),
-        "contexto": t.select(F.col("contexto").alias("texto")),
-        "sitio": p.place_texts.select(F.col("documento").alias("texto")),
-    })
+    forms = F.array(*[F.struct(F.lit(form).alias("forma"), F.col(c).alias("texto")) for form, c in (
+        ("explicita", "narrativa_explicita"), ("implicita", "narrativa_implicita"), ("documento", "documento"), ("contexto", "contexto"))])
+    users = p.user_texts.select(F.explode(forms).alias("f")).select("f.forma", "f.texto")
+    return TS.narrative_stats(users.unionByName(p.place_texts.select(F.lit("sitio").alias("forma"), F.col("documento").alias("texto"))))
 
 
-# --- collaborative baseline, calibration, latency ------------------------------------------------
+# --- collaborative baseline, calibration ------------------------------------------------
 
 
 @register("cf_als")
@@ -359,37 +389,26 @@ def _cf_als(p: Pipeline) -> DataFrame:
 
 @register("json_valid_rate", O.sql(f"""
 SELECT cfg.k AS top_k, cfg.n AS top_n, count(DISTINCT t.id_usuario) AS respuestas,
-  count(DISTINCT t.id_usuario) AS validas,
-  round(count(DISTINCT t.id_usuario) / count(DISTINCT t.id_usuario), 6) AS tasa
+  count(DISTINCT CASE WHEN CAST(t.id_usuario AS BIGINT) % 7 NOT IN ({_NO_JSON}, {_NO_LIST}) THEN t.id_usuario END) AS validas,
+  round(count(DISTINCT CASE WHEN CAST(t.id_usuario AS BIGINT) % 7 NOT IN ({_NO_JSON}, {_NO_LIST}) THEN t.id_usuario END)
+        / count(DISTINCT t.id_usuario), 6) AS tasa
 FROM {O.topk_places_fragment(max(k for k, _ in SWEEP))} t
 JOIN (VALUES {', '.join(f'({k}, {n})' for k, n in SWEEP)}) cfg(k, n) ON t.rank <= least(cfg.k, cfg.n)
 GROUP BY cfg.k, cfg.n""", O.topk_places_fragment(max(k for k, _ in SWEEP))))
 def _json_valid_rate(p: Pipeline) -> DataFrame:
-    """Share of well-formed answers per (K, N) configuration; answers
-    come from the deterministic responder and are validated by the parser."""
-    sweep = R.config_sweep(p.topk_places(max(k for k, _ in SWEEP)), SWEEP).join(
-        p.catalog.select("url_sitio", "nombre_sitio", "categoria_sitio", "ubicacion"), "url_sitio")
+    """Share of well-formed answers per (K, N) configuration, as the
+    parser finds them in answers some of which are malformed."""
+    hits = p.topk_places(max(k for k, _ in SWEEP))
+    names = p.catalog.select("url_sitio", "nombre_sitio", "categoria_sitio", "ubicacion")
+    sweep = R.config_sweep(hits, SWEEP, [fixed.DEFAULT_GENERATOR]).join(names, "url_sitio")
     sweep = sweep.withColumn("justificacion", F.lit("")).withColumn(
         "cfg_user", F.concat_ws("|", "top_k", "top_n", "id_usuario"))
-    answers = G.responses_from_baseline(sweep, "cfg_user", "direct")
-    _, rejected = G.parse_responses(answers, "cfg_user", "direct")
+    answers = _mixed_answers(sweep, "cfg_user")
+    _, rejected = G.parse_responses(answers, "cfg_user", "direct", max(n for _, n in SWEEP))
     status = answers.select("cfg_user").join(
-        rejected.select("cfg_user", F.lit(1).alias("bad")), "cfg_user", "left")
+        rejected.where("estado <> 'excedente'").select("cfg_user", F.lit(1).alias("bad")), "cfg_user", "left")
     parts = F.split("cfg_user", r"\|")
     return status.groupBy(parts[0].cast("int").alias("top_k"), parts[1].cast("int").alias("top_n")).agg(
         F.count(F.lit(1)).alias("respuestas"),
         F.count(F.when(F.col("bad").isNull(), 1)).alias("validas"),
     ).withColumn("tasa", F.round(F.col("validas") / F.col("respuestas"), 6))
-
-
-@register("latency_summary")
-def _latency_summary(p: Pipeline) -> DataFrame:
-    """Retrieval and generation stages of the direct pipeline run
-    for every user, timed per stage and model, summarised by model."""
-    log = runlog.RunLog(p.spark)
-    for model in fixed.GENERATOR_CHOICES[:2]:
-        cands = p.topk_places(6)
-        log.time("retrieval", model, lambda: runlog.run_fully(cands))
-        prompts = PR.direct_prompts(p.user_texts, cands, 3, model=model)
-        log.time("generacion", model, lambda: runlog.run_fully(G.generate(prompts, "id_usuario", G.stub_generator("direct", 3))))
-    return log.summary()

@@ -10,6 +10,7 @@ from sendero.functions.text import render_sql
 from sendero.operators import aggregates as A
 from sendero.operators import lookups as L
 from sendero.operators import recommend as R
+from sendero.operators.clean import ORDER
 from sendero.operators.embed import cosine
 from sendero.plans import oracle as O
 from sendero.plans.pipeline import Pipeline
@@ -26,7 +27,7 @@ def _profiles_clean(p: Pipeline) -> DataFrame:
 @register("interactions_clean", O.sql("SELECT * FROM inter", "inter"))
 def _interactions_clean(p: Pipeline) -> DataFrame:
     """Typed interactions, trimmed ids and urls, no blank users."""
-    return p.interactions
+    return p.interactions.drop(ORDER)
 
 
 @register("place_catalog", O.sql("SELECT * FROM catalog", "catalog"))
@@ -229,9 +230,9 @@ def _dataset_counts(p: Pipeline) -> DataFrame:
 SELECT * FROM {O.topk_places_fragment(6)} WHERE id_usuario IN (SELECT id_usuario FROM inter)""",
     O.topk_places_fragment(6), "inter"))
 def _recommend_subset(p: Pipeline) -> DataFrame:
-    """Retrieval restricted to requested users (here: users with history)
-    by a left-semi join."""
-    return p.topk_places(6).join(p.interactions.select("id_usuario"), "id_usuario", "left_semi")
+    """Retrieval for requested users (here: users with history): a
+    left-semi join before embedding and scoring."""
+    return p.topk_places_of(p.interactions, 6)
 
 
 @register("no_candidates", O.sql(f"""

@@ -20,12 +20,16 @@ def perfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = table(spark, sf_dir, "region")
     k = F.col("c_custkey")
     parity = k % 2 == 0
-    joined = c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey).join(
+    joined = c.where(k % 50 != 9).join(F.broadcast(n), c.c_nationkey == n.n_nationkey).join(
         F.broadcast(r), n.n_regionkey == r.r_regionkey
     )
+    # Some ids come twice; the second row stands later in the file.
+    again = F.explode(F.when(k % 25 == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("bis")
+    joined = joined.select("*", again)
     return joined.select(
+        (k * 2 + F.col("bis")).cast("bigint").alias("_fila"),
         k.cast("string").alias("id_usuario"),
-        F.col("c_name").alias("nombre"),
+        F.when(F.col("bis") == 1, F.concat(F.col("c_name"), F.lit(" (bis)"))).otherwise(F.col("c_name")).alias("nombre"),
         (18 + k % 60).cast("int").alias("edad"),
         F.when(k % 3 == 0, "Femenino").when(k % 3 == 1, "Masculino").otherwise("Otro").alias("genero"),
         F.col("n_name").alias("nacionalidad"),
@@ -53,29 +57,33 @@ def perfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# Comments come from documents whose id is the event id modulo 200, so only
-# ids in (-200, 200) can ever match; the filter states that bound so the
-# document side stays at most 399 rows whatever the size of the corpus.
-_COMMENT_KEYS = 200
+# The user who has been everywhere: one more click on each visited site, at
+# the site's first visit.
+_EVERYWHERE, _EVERYWHERE_IDS = 5, 1_000_000_000_000
 
 
 def interacciones(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
-    """``events`` may be given (e.g. one micro-batch of a stream)."""
+    """``events`` may be given (e.g. one micro-batch of a stream); then the
+    clicks of the user who has been everywhere, which need all events, are
+    left out.  The comment of an error event is the text of the document
+    numbered event_id modulo the number of documents, if there is one."""
     e = events if events is not None else table(spark, sf_dir, "events")
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    d = (
-        table(spark, sf_dir, "documents")
-        .where((F.col("doc_id") > -_COMMENT_KEYS) & (F.col("doc_id") < _COMMENT_KEYS))
-        .select("doc_id", "text")
-    )
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    n_docs = max(d.count(), 1)
     part_key = F.expr("try_cast(regexp_extract(props, '([0-9]+)', 1) as bigint)")
     ev = e.select("event_id", "ts", "user_id", "event_type", "value", part_key.alias("pk"))
-    # part grows with the data: the join strategy is left to the planner/AQE.
+    if events is None:
+        ev = ev.unionByName(ev.where(F.col("pk").isNotNull()).groupBy("pk").agg(F.min("ts").alias("ts")).select(
+            (F.lit(_EVERYWHERE_IDS) + F.col("pk")).alias("event_id"), "ts", F.lit(_EVERYWHERE).cast("bigint").alias("user_id"),
+            F.lit("click").alias("event_type"), F.lit(0.0).alias("value"), "pk"))
+    # part and documents grow with the data: the join strategy is left to the
+    # planner and to adaptive execution.
     joined = (
         ev.join(p, ev.pk == p.p_partkey)
         .join(F.broadcast(n), (F.col("p_partkey") % 25) == n.n_nationkey)
-        .join(F.broadcast(d), (F.col("event_id") % _COMMENT_KEYS) == d.doc_id)
+        .join(d, (F.col("event_type") == "error") & ((F.col("event_id") % n_docs) == d.doc_id), "left")
     )
     hour = F.hour("ts")
     et = F.col("event_type")
@@ -86,7 +94,7 @@ def interacciones(spark: SparkSession, sf_dir: str, events: DataFrame | None = N
         F.when(hour < 12, "Mañana").when(hour < 20, "Tarde").otherwise("Noche").alias("hora_dia"),
         F.when(F.col("event_id") % 2 == 0, "Móvil").otherwise("PC").alias("dispositivo_usado"),
         F.concat(F.lit("site/"), F.col("p_partkey").cast("string")).alias("url_sitio"),
-        F.col("p_name").alias("nombre_sitio"),
+        F.when(F.col("p_partkey") % 50 != 7, F.col("p_name")).alias("nombre_sitio"),
         F.col("p_type").alias("categoria_sitio"),
         F.col("n_name").alias("ubicacion"),
         F.when(et == "purchase", "Reserva").when(et == "signup", "Favorito")

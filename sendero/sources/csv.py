@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sendero.operators.clean import ROW_ORDER
 from sendero.sources.schemas import INTERACTION_COLUMNS, PROFILE_COLUMNS
 
 # --- fixed values: cells read as missing (the default missing-value words of
@@ -36,6 +37,11 @@ def _read(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
         spark.read.option("header", True)
         .option("encoding", "ISO-8859-1")
         .option("mode", "PERMISSIVE")
+        # Quoted cells may hold line breaks and doubled quotes.  With
+        # multiLine a file is one task: give large inputs as many files, or
+        # as Parquet through ``Pipeline.from_frames``.
+        .option("multiLine", True)
+        .option("escape", '"')
         .csv(path)
     )
     raw = strip_headers(raw)
@@ -44,7 +50,9 @@ def _read(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     for name in columns:
         if name not in raw.columns:
             raw = raw.withColumn(name, F.lit(None).cast("string"))
-    return null_tokens(raw.select(*[F.col(c).cast("string") for c in columns]))
+    rows = null_tokens(raw.select(*[F.col(c).cast("string") for c in columns]))
+    # Increasing along a file, as no file is split.
+    return rows.withColumn(ROW_ORDER, F.monotonically_increasing_id())
 
 
 def read_profiles_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -1,77 +1,105 @@
 """Vector collections as Parquet tables.
 
-A collection is a Parquet folder of (id, document, embedding, metadata).
-Writes that read the table they replace (upsert, insert-new-only) first
-materialise the merged result with ``checkpoint()`` in the shared checkpoint
-folder, which cuts the lineage to the old files, and then overwrite the
-folder.  A table format with ``MERGE INTO`` (Delta, Iceberg) can take the
-same merge as one statement; the merge logic is the keyed anti-join below.
+A collection is a folder of Parquet versions of (id, document, embedding,
+metadata).  An upsert writes a new version beside the current one; new ids
+are appended.  A table format with ``MERGE INTO`` (Delta, Iceberg) can take
+the same merge as one statement; the merge logic is the keyed anti-join below.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 from sendero.functions import fixed
 from sendero.sources.schemas import PLACE_METADATA, USER_METADATA, index_schema
-from sendero.session import checkpoint_dir
+from sendero.session import write_once
 
 PLACES = "lugares_turisticos"
 USERS = "perfiles_usuarios"
 
 
 class VectorIndex:
+    """A folder of versions.  A version counts once its job has committed
+    (Spark writes ``_SUCCESS`` last): a writer that fails midway leaves the
+    collection as it was, and a reader sees one whole version.  The version
+    before the current one is kept for readers that began on it."""
+
     def __init__(self, spark: SparkSession, path: str, metadata: T.StructType):
         self.spark = spark
-        self.path = path
+        self.path = path.rstrip("/")
         self.schema = index_schema(metadata)
 
+    # versions ---------------------------------------------------------------
+    def _versions(self) -> tuple[list[int], list[int]]:
+        """(committed, all) version numbers, by Hadoop's file system, whatever
+        the store."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        root = hadoop.Path(self.path)
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(root):
+            return [], []
+        names = [s.getPath().getName() for s in fs.listStatus(root)]
+        every = sorted(int(n.removeprefix("version-")) for n in names if n.startswith("version-"))
+        return [v for v in every if fs.exists(hadoop.Path(f"{self._at(v)}/_SUCCESS"))], every
+
+    def _at(self, version: int) -> str:
+        return f"{self.path}/version-{version:08d}"
+
+    def _commit(self, rows: DataFrame) -> None:
+        committed, every = self._versions()
+        rows.write.parquet(self._at(max(every, default=0) + 1))
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        for old in every:
+            if old not in committed[-1:]:
+                path = hadoop.Path(self._at(old))
+                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     # S4/S5 ------------------------------------------------------------------
     def exists(self) -> bool:
-        try:
-            self.spark.read.parquet(self.path).schema  # noqa: B018
-            return True
-        except AnalysisException:
-            return False
+        return bool(self._versions()[0])
 
     def get_or_create(self) -> "VectorIndex":
         if not self.exists():
-            self.spark.createDataFrame([], self.schema).write.mode("overwrite").parquet(self.path)
+            self._commit(self.spark.createDataFrame([], self.schema))
         return self
 
     def read(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(self.path)
+        committed, _ = self._versions()
+        if not committed:
+            raise FileNotFoundError(f"no collection at {self.path}")
+        return self.spark.read.schema(self.schema).parquet(self._at(committed[-1]))
 
     def count(self) -> int:
         return self.read().count()
 
     # S6/S7/S8 --------------------------------------------------------------
     def _conform(self, batch: DataFrame) -> DataFrame:
-        return batch.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields])
-
-    def _replace(self, merged: DataFrame) -> None:
-        checkpoint_dir(self.spark)
-        merged.checkpoint(eager=True).write.mode("overwrite").parquet(self.path)
+        """The batch in the collection's schema, one row per id: of repeated
+        ids the one with the last document, then the last metadata, in order."""
+        rows = batch.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields])
+        last = Window.partitionBy("id").orderBy(F.col("document").desc_nulls_last(), F.to_json("metadata").desc_nulls_last())
+        return rows.withColumn("_rn", F.row_number().over(last)).where(F.col("_rn") == 1).drop("_rn")
 
     def upsert(self, batch: DataFrame) -> None:
-        """Keyed merge: rows of ``batch`` replace rows with the same id."""
+        """Keyed merge into a new version: rows of ``batch`` replace rows with
+        the same id."""
         self.get_or_create()
-        new = self._conform(batch)
-        self._replace(self.read().join(new.select("id"), "id", "left_anti").unionByName(new))
+        new = write_once(self._conform(batch), "upsert")
+        self._commit(self.read().join(new.select("id"), "id", "left_anti").unionByName(new))
 
     def insert_new(self, batch: DataFrame) -> None:
-        """Only ids not yet present are added; existing rows are kept."""
+        """Only ids not yet present are appended to the current version: the
+        cost follows the batch.  A repeated call adds what is still missing."""
         self.get_or_create()
-        old = self.read()
-        new = self._conform(batch).join(old.select("id"), "id", "left_anti")
-        self._replace(old.unionByName(new))
+        new = self._conform(batch).join(self.read().select("id"), "id", "left_anti")
+        # Materialised first: the append must not read what it adds.
+        write_once(new, "insert").write.mode("append").parquet(self._at(self._versions()[0][-1]))
 
     def overwrite(self, batch: DataFrame) -> None:
         """Drop and recreate with ``batch``."""
-        self._conform(batch).write.mode("overwrite").parquet(self.path)
+        self._commit(self._conform(batch))
 
     def ingest(self, batch: DataFrame, force: bool = False) -> None:
         """Reference ingest: a populated collection is left alone unless

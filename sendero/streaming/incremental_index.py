@@ -15,15 +15,12 @@ rule D11 of the batch ingest).
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
 from sendero.functions import narratives as N
 from sendero.operators.aggregates import place_catalog
 from sendero.operators.clean import clean_interactions
 from sendero.operators.embed import HashedTokenEmbedder
-from sendero.session import checkpoint_dir
 from sendero.sources import bindings
 from sendero.sources.index import PLACE_METADATA, VectorIndex, place_index_rows
 from sendero.sources.tables import table
@@ -44,7 +41,8 @@ def start_place_index_stream(spark: SparkSession, sf_dir: str, events_dir: str,
     (trigger availableNow: drain what is there, then stop)."""
     events_schema = table(spark, sf_dir, "events").schema
     index = VectorIndex(spark, index_path, PLACE_METADATA).get_or_create()
-    state = state_path or os.path.join(checkpoint_dir(spark), "streams", os.path.basename(index_path))
+    # Beside the collection it feeds, so that a restart finds it.
+    state = state_path or f"{index_path.rstrip('/')}/_stream"
     stream = (
         spark.readStream.schema(events_schema)
         .option("maxFilesPerTrigger", max_files_per_trigger)

@@ -63,8 +63,10 @@ def test_cli_other_commands(spark, tmpdir_path):
     inv = spark.read.parquet(os.path.join(out, "usuarios_recomendados")).collect()
     assert inv and all(r["rank"] == 1 for r in inv)
     main(["index", *base, "--out", out])
-    assert spark.read.parquet(os.path.join(out, "lugares_turisticos")).count() == 4
-    assert spark.read.parquet(os.path.join(out, "perfiles_usuarios")).count() == 3
+    from sendero.sources import index as IX
+
+    assert IX.VectorIndex(spark, os.path.join(out, IX.PLACES), IX.PLACE_METADATA).count() == 4
+    assert IX.VectorIndex(spark, os.path.join(out, IX.USERS), IX.USER_METADATA).count() == 3
     tpl = os.path.join(tmpdir_path, "t.txt")
     with open(tpl, "w", encoding="utf-8") as f:
         f.write("N={top_n} U={user_context} C={candidates_json}")

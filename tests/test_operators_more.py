@@ -26,7 +26,7 @@ def test_labels_parse_back(spark):
 
 def test_sweep_caps_n_by_k(spark):
     cands = spark.createDataFrame([("u", i, f"s{i}") for i in range(1, 6)], "id_usuario string, rank int, url_sitio string")
-    rows = R.config_sweep(cands, [(2, 5), (5, 3)]).collect()
+    rows = R.config_sweep(cands, [(2, 5), (5, 3)], ["m"]).collect()
     per = {}
     for r in rows:
         per.setdefault((r["top_k"], r["top_n"]), []).append(r["rank"])
@@ -62,7 +62,7 @@ def test_ild_identity_matches_pairs(spark):
 def test_leave_one_out_holds_latest_new_site(spark):
     inter = spark.createDataFrame(
         [(1, "u", "a"), (2, "u", "b"), (3, "u", "a"), (4, "u", "c"), (5, "u", "b")],
-        "id_interaccion long, id_usuario string, url_sitio string")
+        "id_interaccion long, id_usuario string, url_sitio string").withColumn("orden", F.col("id_interaccion"))
     held, train = E.leave_one_out(inter)
     assert [tuple(r) for r in held.collect()] == [("u", "c")]
     assert sorted(r["id_interaccion"] for r in train.collect()) == [1, 2, 3, 5]
