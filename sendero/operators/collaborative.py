@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sendero.operators.similarity import similarity_topk
+from sendero.session import write_once
 
 U = "id_usuario"
 URL = "url_sitio"
@@ -28,7 +29,8 @@ def dense_index(df: DataFrame, col: str, name: str) -> DataFrame:
 
     Distinct keys are checkpointed (fixing their partitions), numbered inside
     each partition, and shifted by the running count of earlier partitions;
-    only one count per partition reaches the driver.
+    only one count per partition reaches the driver.  ALS takes 32-bit ids,
+    so more than 2^31 - 1 distinct values are refused.
     """
     keys = df.select(F.col(col)).distinct().checkpoint(eager=True)
     with_pid = keys.select(col, F.spark_partition_id().alias("pid"))
@@ -39,6 +41,8 @@ def dense_index(df: DataFrame, col: str, name: str) -> DataFrame:
     for pid, c in counts:
         offsets.append((pid, total))
         total += c
+    if total > 2**31 - 1:
+        raise ValueError(f"{total} distinct values of {col}; ALS takes at most 2^31 - 1")
     spark = df.sparkSession
     off = spark.createDataFrame(offsets or [(0, 0)], "pid int, off long")
     return numbered.join(F.broadcast(off), "pid").select(col, (F.col("off") + F.col("rn")).cast("int").alias(name))
@@ -48,6 +52,9 @@ def als_factors(inter: DataFrame, rank: int = 16, max_iter: int = 10, reg: float
                 alpha: float = 1.0, seed: int = 42):
     """(user factors (id_usuario, embedding), item factors (url_sitio, embedding))."""
     counts = inter.where(F.col(URL).isNotNull()).groupBy(U, URL).agg(F.count(F.lit(1)).cast("float").alias("r"))
+    # Written: read three times, and a join whose side is a plain scan can be
+    # split at a site that everybody visits.
+    counts = write_once(counts, "als-counts")
     users = dense_index(counts, U, "u")
     items = dense_index(counts, URL, "i")
     data = counts.join(users, U).join(items, URL).select("u", "i", "r")
@@ -61,8 +68,9 @@ def als_factors(inter: DataFrame, rank: int = 16, max_iter: int = 10, reg: float
     return uf, itf
 
 
-def cf_recommendations(inter: DataFrame, consumed: DataFrame, k: int, **als_params) -> DataFrame:
-    uf, itf = als_factors(inter, **als_params)
+def cf_recommendations(inter: DataFrame, consumed: DataFrame, k: int, factors: tuple[DataFrame, DataFrame] | None = None,
+                       **als_params) -> DataFrame:
+    uf, itf = factors or als_factors(inter, **als_params)
     hits = similarity_topk(
         uf.select(F.col(U).alias("qid"), "embedding"),
         itf.select(F.col(URL).alias("iid"), "embedding"),

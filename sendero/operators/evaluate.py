@@ -145,14 +145,15 @@ def novelty(recs: DataFrame, consumed: DataFrame) -> DataFrame:
     users with history who consumed the item."""
     users = consumed.agg(F.count_distinct(U).alias("nu")).first()["nu"] or 1
     pop = consumed.groupBy(URL).agg(F.count(F.lit(1)).alias("c"))
-    j = recs.select(URL).join(pop, URL, "left").select(
-        (-F.log2(F.coalesce(F.col("c"), F.lit(0)) / F.lit(float(users)))).alias("nov"),
-        F.col("c").isNull().alias("nuevo"),
-    )
+    # Counted by site first: a site that everybody is shown is one row.
+    shown = recs.groupBy(URL).agg(F.count(F.lit(1)).alias("n"))
+    nov = -F.log2(F.col("c") / F.lit(float(users)))
+    j = shown.join(pop, URL, "left")
+    known = F.col("c").isNotNull()
     # Items nobody consumed have infinite self-information; they are counted
     # apart and left out of the mean.
     return j.agg(
-        F.round(F.avg(F.when(~F.col("nuevo"), F.col("nov"))), 6).alias("novedad"),
-        F.sum(F.col("nuevo").cast("int")).alias("sin_historial"),
-        F.count(F.lit(1)).alias("recomendaciones"),
+        F.round(F.try_divide(F.sum(F.when(known, F.col("n") * nov)), F.sum(F.when(known, F.col("n")))), 6).alias("novedad"),
+        F.coalesce(F.sum(F.when(known, 0).otherwise(F.col("n"))), F.lit(0)).cast("bigint").alias("sin_historial"),
+        F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("recomendaciones"),
     )

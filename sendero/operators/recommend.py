@@ -111,18 +111,19 @@ def no_candidates(subjects: DataFrame, key: str, candidates: DataFrame, message:
     )
 
 
-def config_sweep(candidates: DataFrame, grid: list[tuple[int, int]], models: list[str]) -> DataFrame:
+def config_sweep(candidates: DataFrame, grid: list[tuple[int, int]], models: list[str],
+                 carry: tuple[str, ...] = ()) -> DataFrame:
     """Baseline lists for every model and (K, N) of ``grid`` from one
     retrieval at the largest K (exact: the first K of a longer ranking are the
     top K).  The baseline is the same for each model; a caller generates
-    from the rows of a model.
+    from the rows of a model.  ``carry`` names further columns to keep.
     Each candidate row is expanded only into the configurations it belongs
     to (a generator over a literal array, no join)."""
     cfgs = F.array(*[F.struct(F.lit(m).alias("modelo"), F.lit(k).alias("top_k"), F.lit(n).alias("top_n")) for m in models for k, n in grid])
     rows = candidates.select(
-        U, "rank", URL,
+        U, "rank", URL, *carry,
         F.explode(F.filter(cfgs, lambda c: F.col("rank") <= F.least(c["top_k"], c["top_n"]))).alias("cfg"),
-    ).select(F.col("cfg.modelo").alias("modelo"), F.col("cfg.top_k").alias("top_k"), F.col("cfg.top_n").alias("top_n"), U, "rank", URL)
+    ).select(F.col("cfg.modelo").alias("modelo"), F.col("cfg.top_k").alias("top_k"), F.col("cfg.top_n").alias("top_n"), U, "rank", URL, *carry)
     tile = F.ntile(3).over(Window.partitionBy("modelo", "top_k", "top_n", U).orderBy("rank"))
     levels = fixed.AFFINITY_LEVELS
     return rows.withColumn(

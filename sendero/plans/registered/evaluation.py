@@ -399,8 +399,7 @@ def _json_valid_rate(p: Pipeline) -> DataFrame:
     """Share of well-formed answers per (K, N) configuration, as the
     parser finds them in answers some of which are malformed."""
     hits = p.topk_places(max(k for k, _ in SWEEP))
-    names = p.catalog.select("url_sitio", "nombre_sitio", "categoria_sitio", "ubicacion")
-    sweep = R.config_sweep(hits, SWEEP, [fixed.DEFAULT_GENERATOR]).join(names, "url_sitio")
+    sweep = R.config_sweep(hits, SWEEP, [fixed.DEFAULT_GENERATOR], carry=("nombre_sitio", "categoria_sitio", "ubicacion"))
     sweep = sweep.withColumn("justificacion", F.lit("")).withColumn(
         "cfg_user", F.concat_ws("|", "top_k", "top_n", "id_usuario"))
     answers = _mixed_answers(sweep, "cfg_user")

@@ -163,11 +163,14 @@ def test_requested_subjects_alone_are_scored(spark):
 
 def test_als_lists_against_brute_force(spark):
     p = Pipeline(spark, SF_SMALL)
-    recs = CF.cf_recommendations(p.interactions, p.consumed, 10)
+    factors = tuple(x.cache() for x in CF.als_factors(p.interactions))
+    users, items = (f.collect() for f in factors)
+    rows = CF.cf_recommendations(p.interactions, p.consumed, 10, factors).collect()
     consumed = {(r.id_usuario, r.url_sitio) for r in p.consumed.collect()}
-    rows = recs.collect()
     assert rows and not {(r.id_usuario, r.url_sitio) for r in rows} & consumed
-    ranks = {}
-    for r in rows:
-        ranks.setdefault(r.id_usuario, []).append(r["rank"])
-    assert all(sorted(v) == list(range(1, len(v) + 1)) for v in ranks.values())
+    got = {}
+    for r in sorted(rows, key=lambda r: r["rank"]):
+        got.setdefault(r.id_usuario, []).append(r.puntuacion)
+    for u in users:
+        scores = sorted((float(np.dot(u.embedding, i.embedding)) for i in items if (u.id_usuario, i.url_sitio) not in consumed), reverse=True)[:10]
+        assert got.get(u.id_usuario, []) == pytest.approx(scores, abs=1e-4)
