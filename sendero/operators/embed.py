@@ -34,22 +34,20 @@ def tokens(text: Column) -> Column:
 class HashedTokenEmbedder:
     dim: int = 64
 
-    def _rows(self, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        # The buckets are a column of their own, hashed once per row.
+    def __call__(self, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+        """(id, vector), inside the row: no shuffle.  The buckets are the
+        argument of one fold, so each token is hashed once."""
         buckets = F.transform(tokens(F.col(text_col)), lambda t: token_bucket(t, self.dim))
-        return df.where(F.col(text_col).isNotNull()).select(F.col(id_col), buckets.alias("_buckets"))
+        dense = F.aggregate(
+            buckets, F.array_repeat(F.lit(0.0), self.dim),
+            lambda counts, b: F.transform(counts, lambda n, i: F.when(i == b, n + 1.0).otherwise(n)),
+        )
+        return df.where(F.col(text_col).isNotNull()).select(F.col(id_col), dense.alias("embedding"))
 
     def sparse(self, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         """(id, bucket, count) rows of the non-empty buckets."""
-        rows = self._rows(df, id_col, text_col).select(id_col, "_buckets", F.explode(F.array_distinct("_buckets")).alias("bucket"))
-        return rows.select(id_col, "bucket", F.size(F.filter("_buckets", lambda b: b == F.col("bucket"))).cast("long").alias("n"))
-
-    def __call__(self, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        dense = F.transform(
-            F.sequence(F.lit(0), F.lit(self.dim - 1)),
-            lambda i: F.size(F.filter("_buckets", lambda b: b == i)).cast("double"),
-        )
-        return self._rows(df, id_col, text_col).select(F.col(id_col), dense.alias("embedding"))
+        rows = self(df, id_col, text_col).select(id_col, F.posexplode("embedding").alias("bucket", "n"))
+        return rows.where("n > 0").select(id_col, F.col("bucket").cast("long").alias("bucket"), F.col("n").cast("long").alias("n"))
 
 
 @dataclass(frozen=True)

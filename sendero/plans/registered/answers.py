@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from sendero.functions import fixed
 from sendero.functions.text import render_sql

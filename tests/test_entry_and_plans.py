@@ -57,3 +57,29 @@ def test_no_row_at_a_time_python_udf(spark):
     for df in (p.user_texts, p.catalog, p.consumed, p.place_vectors):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_vectors_stay_in_their_row(spark):
+    from sendero.operators.embed import HashedTokenEmbedder
+
+    texts = spark.createDataFrame([("a", "x y x"), ("b", None)], "id string, t string")
+    vectors = HashedTokenEmbedder()(texts, "id", "t")
+    assert "Exchange" not in _plan(vectors)
+    assert [(r.id, sum(r.embedding)) for r in vectors.collect()] == [("a", 3.0)]
+
+
+def test_retrieval_is_planned_once(spark):
+    p = Pipeline(spark, SF_SMALL)
+    long = p.topk_places(6)
+    assert "CoGroup" not in _plan(long) and "CoGroup" not in _plan(p.topk_places(3))
+    assert p.topk_places(3).count() < long.count()
+
+
+def test_no_sort_aggregate_in_the_preparation(spark):
+    p = Pipeline(spark, SF_SMALL)
+    for df in (p.selector, p.consumed, p.user_text_rows, p.user_document_vectors):
+        assert "SortAggregate" not in _plan(df)
