@@ -16,7 +16,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later places of repeated runs of lines are cut out of the texts."""
+    """Later places of repeated runs of lines, and of long lines by themselves,
+    are cut out of the texts."""
     return line_dedup.line_dedup(docs)
 
 

@@ -32,7 +32,8 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = line_dedup.cut_documents(table(spark, sf_dir, "documents"))
+    # As its SQL: runs of two lines. The pipeline cuts long lines alone, too.
+    cut = line_dedup.cut_documents(table(spark, sf_dir, "documents"), long_words=None)
     return cut.select(F.col("_row.doc_id").alias("doc_id"), "text", "n_lines", "n_removed",
                       F.array_join("starts", ",").alias("run_starts"))
 

@@ -339,6 +339,43 @@ def test_line_dedup_against_brute_force(spark, gram, window):
     assert [got[i] for i in range(len(texts))] == slow_lines(texts, gram + window - 1)
 
 
+def slow_long_lines(texts, more_than):
+    """Two-line runs and lines of more than so many words, by brute force."""
+    norm = lambda t: [x for x in (low(x.strip(" \t\n\r\x0b\x0c")) for x in (t or "").split("\n")) if x]
+    seen, out = {}, []
+    for i, t in enumerate(texts):
+        n, gone = norm(t), set()
+        for length in (1, 2):
+            for p in range(len(n) - length + 1):
+                run = tuple(n[p:p + length])
+                if (length == 2 or len(run[0].split()) > more_than) and seen.setdefault(run, (i, p)) != (i, p):
+                    gone.update(range(p, p + length))
+        kept, at = [], 0
+        for line in (t or "").split("\n"):
+            blank = not line.strip(" \t\n\r\x0b\x0c")
+            if blank or at not in gone:
+                kept.append(line)
+            at += not blank
+        out.append("\n".join(kept) if gone else t)
+    return out
+
+
+def test_line_dedup_cuts_long_lines_alone(spark):
+    long = " ".join(f"word{i}" for i in range(51))
+    at, over = " ".join(["w"] * line_dedup.LONG_WORDS), " ".join(["w"] * (line_dedup.LONG_WORDS + 1))
+    texts = [f"head\n{long}\ntail", f"other\n {long.upper()}\nend", long, f"new\n{long}", f"{at}\nx\n{over}", f"{at}\ny\n{over}\ny2\n{over}"]
+    got = {r.doc_id: r.text for r in line_dedup.line_dedup(docs_of(spark, texts)).collect()}
+    assert [got[i] for i in range(6)] == [texts[0], "other\nend", "", "new", texts[4], f"{at}\ny\ny2"]
+    rng = random.Random(14)
+    lines = ["a", "b c", "One two three", "one TWO three ", "four five six seven", "", "e f g\x0bh"]
+    texts = ["\n".join(rng.choice(lines) for _ in range(rng.randrange(6))) for _ in range(40)]
+    rng.shuffle(lines)
+    texts += [f"{x}\n{i}\n{y}" for i, (x, y) in enumerate(zip(lines, lines[1:] + lines[:1]))] + lines + [None]
+    for words in (0, 2, 3, 20):
+        got = {r.doc_id: r.text for r in line_dedup.line_dedup(docs_of(spark, texts), long_words=words).collect()}
+        assert [got[i] for i in range(len(texts))] == slow_long_lines(texts, words)
+
+
 def test_winnowing_guarantee():
     rng = random.Random(11)
     for _ in range(200):
