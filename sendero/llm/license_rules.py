@@ -18,7 +18,8 @@ CONFIDENCE = {TAG: 1.0, VERSIONED: 0.95, GRANT: 0.9, NAME: 0.7}
 
 # Label, keyword, names in words, versions.
 FAMILIES = [
-    ("gpl", "general", ["gnu general public license", "gnu gpl", "general public license"], ["1", "2", "3", "2 0", "3 0"]),
+    ("gpl", "general", ["gnu general public license", "general public license"], ["1", "2", "3", "2 0", "3 0"]),
+    ("gpl", "gpl", ["gnu gpl"], ["1", "2", "3", "2 0", "3 0"]),
     ("lgpl", "lesser", ["gnu lesser general public license", "lesser general public license"], ["2", "2 1", "3", "3 0"]),
     ("lgpl", "library", ["gnu library general public license"], ["2", "2 0"]),
     ("agpl", "affero", ["gnu affero general public license", "affero general public license"], ["1", "3", "3 0"]),

@@ -520,6 +520,16 @@ def test_license_suppression_against_pairs(spark):
                 assert a.kept == (not outranked)
 
 
+def test_license_keywords_stand_in_their_patterns(spark):
+    for r in rules():
+        needed = re.sub(r"\((?:\?:|\?!)[^()]*(?:\([^()]*\)[^()]*)*\)\??", " ", r.pattern)  # without optional parts and lookaheads
+        assert r.keyword in needed.split(), r
+    texts = ["released under the GNU GPL version 3", "GNU GPL", "available under a GNU GPL", "gnu gpl v2.0", "gpl"]
+    got = {r.doc_id: r for r in license_scan.license_scan(docs_of(spark, texts)).collect()}
+    assert [(got[i].labels, got[i].score) for i in range(5)] == [
+        ("gpl,gpl-3", 0.95), ("gpl", 0.7), ("gpl", 0.9), ("gpl-2.0", 0.95), ("", 0.0)]
+
+
 def test_license_edges(odd, none):
     rows = license_scan.license_scan(odd).collect()
     assert len(rows) == 11 and license_scan.license_scan(none).collect() == []
