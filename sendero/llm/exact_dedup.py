@@ -1,14 +1,15 @@
 """Exact deduplication with Patricia-trie owners.
 
 Equal texts (after lower-casing A-Z) get one owner.  Every task first inserts
-the full byte strings of its documents into a compressed radix trie, so a
-text that a third of all rows share leaves a task once.  The terminals are
-dealt out by (length, content hash); there they are merged in a trie again,
-whose terminal nodes store the smallest and largest identifier and the number
-of copies.  As each partition arrives in (length, hash) order, a subtree is
-complete when the order has passed it: beyond ``bound`` bytes the finished
-subtrees are spilled to the output and their memory is freed.  Finally each
-document looks up its owner by (length, SHA-256).
+the full byte strings of its documents, each behind its length and SHA-256,
+into a compressed radix trie, so a text that a third of all rows share leaves
+a task once.  (The trie branches inside that prefix: texts that differ share
+no beginnings in it.)  The terminals are dealt out by (length, content hash);
+there they are merged in a trie again, whose terminal nodes store the smallest
+and largest identifier and the number of copies.  As each partition arrives in
+(length, hash) order, all that the order has passed is complete: beyond
+``bound`` bytes the whole trie is spilled to the output and a new one begun.
+Finally each document looks up its owner by (length, SHA-256).
 
 Defined results: a null text is the empty text; rows without an identifier
 never own a group that has one with an identifier (``keep_id`` is null only
