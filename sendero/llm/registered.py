@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sendero.llm import (decontaminate, exact_dedup, license_scan, line_dedup, lm_score, mixing, quality, secret_scan,
-                         simhash, toxicity)
+from sendero.llm import (decontaminate, exact_dedup, filter_audit, license_scan, line_dedup, lm_score, mixing, quality,
+                         secret_scan, simhash, toxicity)
 from sendero.llm.common import table
 
 
@@ -54,9 +54,13 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), part="source")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_exact_dedup, op2_secret_scan, op3_toxicity, op4_decontamination, op5_simhash, op6_line_dedup, op7_lm_score,
-    op8_quality, op9_mixing, op10_license_scan)}
+    op8_quality, op9_mixing, op10_license_scan, op13_filter_audit)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -139,4 +143,31 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, round(coalesce(s, 0), 6) AS sc
        CASE WHEN len(w) > 0 THEN round(s / len(w), 6) END AS mean_score FROM d LEFT JOIN s USING (r)
 """
 
-ORACLE = {"op1_exact_dedup": _OP1, "op4_decontamination": _OP4, "op6_line_dedup": _OP6, "op7_lm_score": _OP7, "op9_mixing": _OP9}
+_OP13 = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+                  regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+f AS (SELECT part, doc_id, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b,
+             100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d,
+             coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS e FROM d),
+m AS (SELECT part, [a, b, c, d, e] AS fails, doc_id,
+             coalesce(doc_id IN (SELECT doc_id FROM labels WHERE quality = 1), false) AS good,
+             coalesce(doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1), false) AS toxic FROM f),
+n AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY ALL),
+v(x) AS (VALUES (1), (2), (3), (4), (5)),
+p AS (SELECT [a.x, b.x, c.x, d.x, e.x] AS o FROM v a, v b, v c, v d, v e
+      WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT part, array_to_string(list_transform(o, lambda x: chr(CAST(64 + x AS INTEGER))), '') AS filter_order, v.x AS step, o[v.x] AS flt,
+             fails[o[v.x]] AS hit, len(list_filter(o[1:v.x - 1], lambda y: fails[y])) > 0 AS earlier,
+             len(list_filter(fails, lambda y: y)) AS k, n, good, toxic FROM n, p, v),
+g AS (SELECT part, filter_order, step, flt, sum(CASE WHEN NOT hit AND NOT earlier THEN n ELSE 0 END) AS kept,
+             sum(CASE WHEN hit AND NOT earlier THEN n ELSE 0 END) AS removed, sum(CASE WHEN hit AND earlier THEN n ELSE 0 END) AS redundant,
+             sum(CASE WHEN hit AND k = 1 THEN n ELSE 0 END) AS unique_fails,
+             sum(CASE WHEN hit AND NOT earlier THEN good ELSE 0 END) AS good_lost,
+             sum(CASE WHEN hit AND NOT earlier THEN toxic ELSE 0 END) AS toxic_lost FROM s GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, flt) AS BIGINT) AS shapley
+FROM g
+"""
+
+ORACLE = {"op13_filter_audit": _OP13, "op1_exact_dedup": _OP1, "op4_decontamination": _OP4, "op6_line_dedup": _OP6, "op7_lm_score": _OP7, "op9_mixing": _OP9}
