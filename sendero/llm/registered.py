@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sendero.llm import (decontaminate, exact_dedup, filter_audit, license_scan, line_dedup, lm_score, mixing, quality,
-                         secret_scan, simhash, toxicity)
+                         secret_scan, simhash, suffix_dedup, toxicity)
 from sendero.llm.common import table
 
 
@@ -54,13 +54,18 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removal_digests(table(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), part="source")
 
 
 QUERIES = {f.__name__: f for f in (
     op1_exact_dedup, op2_secret_scan, op3_toxicity, op4_decontamination, op5_simhash, op6_line_dedup, op7_lm_score,
-    op8_quality, op9_mixing, op10_license_scan, op13_filter_audit)}
+    op8_quality, op9_mixing, op10_license_scan, op12_suffix_dedup,
+    op13_filter_audit)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -143,6 +148,22 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, round(coalesce(s, 0), 6) AS sc
        CASE WHEN len(w) > 0 THEN round(s / len(w), 6) END AS mean_score FROM d LEFT JOIN s USING (r)
 """
 
+_OP12 = """
+WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS x FROM documents),
+w AS (SELECT doc_id, i, substr(x, 2 * i + 1, 200) AS g FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2 - 99)) AS i FROM d)),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k FROM w) WHERE k > 1),
+ranges AS (SELECT doc_id, i, max(i + 100) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM later),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b
+          FROM (SELECT doc_id, i, sum(CASE WHEN upto IS NULL OR i > upto THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM ranges)
+          GROUP BY doc_id, k),
+cuts AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p FROM spans),
+kept AS (SELECT doc_id, string_agg(substr(x, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) AS head, max(b) AS b,
+                sum(b - a) AS n_removed, count(*) AS n_spans FROM cuts JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(b, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
 _OP13 = r"""
 WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
                   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -170,4 +191,4 @@ SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS B
 FROM g
 """
 
-ORACLE = {"op13_filter_audit": _OP13, "op1_exact_dedup": _OP1, "op4_decontamination": _OP4, "op6_line_dedup": _OP6, "op7_lm_score": _OP7, "op9_mixing": _OP9}
+ORACLE = {"op12_suffix_dedup": _OP12, "op13_filter_audit": _OP13, "op1_exact_dedup": _OP1, "op4_decontamination": _OP4, "op6_line_dedup": _OP6, "op7_lm_score": _OP7, "op9_mixing": _OP9}
