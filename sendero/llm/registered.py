@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sendero.llm import (decontaminate, exact_dedup, filter_audit, license_scan, line_dedup, lm_score, mixing, quality,
-                         secret_scan, simhash, suffix_dedup, toxicity)
+from sendero.llm import (collocations, decontaminate, exact_dedup, filter_audit, license_scan, line_dedup, lm_score, mixing,
+                         quality, secret_scan, simhash, suffix_dedup, toxicity)
 from sendero.llm.common import table
 
 
@@ -54,6 +54,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removal_digests(table(spark, sf_dir, "documents"))
 
@@ -64,8 +68,8 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_exact_dedup, op2_secret_scan, op3_toxicity, op4_decontamination, op5_simhash, op6_line_dedup, op7_lm_score,
-    op8_quality, op9_mixing, op10_license_scan, op12_suffix_dedup,
-    op13_filter_audit)}
+    op8_quality, op9_mixing, op10_license_scan, op11_collocations,
+    op12_suffix_dedup, op13_filter_audit)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -148,6 +152,27 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, round(coalesce(s, 0), 6) AS sc
        CASE WHEN len(w) > 0 THEN round(s / len(w), 6) END AS mean_score FROM d LEFT JOIN s USING (r)
 """
 
+_OP11 = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+q AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+t AS (SELECT lang, sum(len(w)) AS n FROM q GROUP BY lang),
+c AS (SELECT lang, k, phrase, count(*) AS f
+      FROM (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+            FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM q, (VALUES (1), (2), (3), (4), (5)) v(k) WHERE len(w) >= k))
+      GROUP BY lang, k, phrase HAVING count(*) >= 100),
+x AS (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS w FROM c WHERE k > 1),
+y AS (SELECT x.lang, x.phrase, a, cut, l.f AS l, r.f AS r, n, CAST(1000 AS HUGEINT) * a * n // (CAST(l.f AS HUGEINT) * r.f) AS score
+      FROM (SELECT *, unnest(range(1, k)) AS cut FROM x) x JOIN t USING (lang)
+      JOIN c l ON l.lang = x.lang AND l.phrase = array_to_string(w[1:cut], ' ')
+      JOIN c r ON r.lang = x.lang AND r.phrase = array_to_string(w[cut + 1:], ' ')),
+z AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+o AS (SELECT z.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM z
+      WHERE NOT EXISTS (SELECT 1 FROM x b WHERE b.lang = z.lang AND b.a >= z.a AND len(b.phrase) > len(z.phrase)
+                        AND contains(' ' || b.phrase || ' ', ' ' || z.phrase || ' ')))
+SELECT lang, rank, phrase, a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM o WHERE rank <= 2000
+"""
+
 _OP12 = """
 WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS x FROM documents),
 w AS (SELECT doc_id, i, substr(x, 2 * i + 1, 200) AS g FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2 - 99)) AS i FROM d)),
@@ -191,4 +216,4 @@ SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS B
 FROM g
 """
 
-ORACLE = {"op12_suffix_dedup": _OP12, "op13_filter_audit": _OP13, "op1_exact_dedup": _OP1, "op4_decontamination": _OP4, "op6_line_dedup": _OP6, "op7_lm_score": _OP7, "op9_mixing": _OP9}
+ORACLE = {"op11_collocations": _OP11, "op12_suffix_dedup": _OP12, "op13_filter_audit": _OP13, "op1_exact_dedup": _OP1, "op4_decontamination": _OP4, "op6_line_dedup": _OP6, "op7_lm_score": _OP7, "op9_mixing": _OP9}

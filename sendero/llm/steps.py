@@ -16,14 +16,21 @@ from sendero.llm.common import shared_path
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 @contextmanager
-def _shuffle_files_go(spark: SparkSession):
-    before = spark.conf.get(_CLEAN, "false")
-    spark.conf.set(_CLEAN, "true")
+def settings(spark: SparkSession, **values: str):
+    """Settings of the session that hold for the jobs inside."""
+    names = {"clean": _CLEAN, "rows": _ROWS}
+    before = {names[k]: spark.conf.get(names[k]) for k in values}
+    for k, v in values.items():
+        spark.conf.set(names[k], v)
     try:
         yield
     finally:
-        spark.conf.set(_CLEAN, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 class Steps:
@@ -32,13 +39,29 @@ class Steps:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self._paths: dict[int, str] = {}
+        self._tables: dict[int, str] = {}
         self._kept: list[DataFrame] = []
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, wide_rows: bool = False) -> DataFrame:
+        """``wide_rows``: each row is large, so Python workers get them one by one."""
         path = shared_path(self.spark, name)
-        with _shuffle_files_go(self.spark):
+        with settings(self.spark, clean="true", **({"rows": "1"} if wide_rows else {})):
             df.write.option("compression", "zstd").parquet(path)
-        back = self.spark.read.schema(df.schema).parquet(path)
+        return self._remember(self.spark.read.schema(df.schema).parquet(path), path)
+
+    def write_bucketed(self, df: DataFrame, name: str, column: str) -> DataFrame:
+        """As ``write``, in buckets by ``column``: joins on it leave the table
+        where it is."""
+        path = shared_path(self.spark, name)
+        table = path.rsplit("/", 1)[1].replace("-", "_")
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        with settings(self.spark, clean="true"):
+            df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, column).saveAsTable(table)
+        back = self._remember(self.spark.table(table), path)
+        self._tables[id(back)] = table
+        return back
+
+    def _remember(self, back: DataFrame, path: str) -> DataFrame:
         self._paths[id(back)] = path
         self._kept.append(back)
         return back
@@ -47,5 +70,7 @@ class Steps:
         """Delete tables that nothing reads any more."""
         jvm = self.spark._jvm
         for df in tables:
+            if id(df) in self._tables:
+                self.spark.sql(f"DROP TABLE IF EXISTS {self._tables.pop(id(df))}")
             path = jvm.org.apache.hadoop.fs.Path(self._paths.pop(id(df)))
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
