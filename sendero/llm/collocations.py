@@ -44,7 +44,7 @@ MIN_COUNT = 100
 MAX_WORDS = 5
 TOP = 2000
 # Words and separators of one shard, about.
-SHARD_WORDS = 4_000_000
+SHARD_WORDS = 1_500_000
 _CHUNK = 4 << 20  # bytes of a text that are split at a time
 _SEPARATOR = re.compile(rb"[.,;:!?\n-\r]+")
 _END = b"."  # stands for any separator: no word holds one

@@ -25,9 +25,8 @@ def order_of(ids: np.ndarray) -> np.ndarray:
     """Starts of the suffixes in the order of their first DEPTH ids."""
     rank, width = ids.astype(np.int64), 1
     while True:
-        shifted = np.zeros_like(rank)
-        shifted[:-width or None] = rank[width:]
-        key = rank * (rank.max(initial=0) + 1) + shifted
+        key = rank * (rank.max(initial=0) + 1)
+        key[:-width] += rank[width:]
         order = np.argsort(key)
         width *= 2
         if width >= DEPTH:
