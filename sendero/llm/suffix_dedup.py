@@ -146,17 +146,20 @@ class Suffixes:
         self.data, self.at, self.length = data, at, length
         self.rolling = Rolling(data, base)
         self.whole = self.rolling.of(at, length)
+        # The eight bytes at each position as one number.
+        self.wide = np.ndarray(max(len(data) - 7, 0), "<u8", data, strides=(1,)) if length >= 8 else None
 
     def common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Common extension of suffixes that differ: the longest length at
         which their hashes agree, by binary search."""
         a, b = self.at[i], self.at[j]
+        prefix, down = self.rolling.prefix, self.rolling.down
+        from_a, from_b, down_a, down_b = prefix[a], prefix[b], down[a], down[b]
         low, high = np.zeros(len(a), np.int64), np.full(len(a), self.length - 1, np.int64)
-        for _ in range(self.length.bit_length()):
+        for _ in range((self.length - 1).bit_length()):
             mid = (low + high + 1) >> 1
-            same = self.rolling.of(a, mid) == self.rolling.of(b, mid)
-            low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
-            high = np.maximum(high, low)
+            same = (prefix[a + mid] - from_a) * down_a == (prefix[b + mid] - from_b) * down_b
+            low, high = np.where(same, mid, low), np.where(same, high, np.maximum(mid - 1, low))
         return low
 
     def before(self, i: np.ndarray, j: np.ndarray, or_equal: np.ndarray) -> np.ndarray:
@@ -164,6 +167,11 @@ class Suffixes:
         out = (self.whole[i] == self.whole[j])
         apart = np.flatnonzero(~out)
         out &= or_equal
+        if self.wide is not None:  # most differ in their first bytes
+            a, b = (self.wide[self.at[x[apart]]] for x in (i, j))
+            early = a != b
+            out[apart[early]] = a[early].byteswap() < b[early].byteswap()
+            apart = apart[~early]
         i, j = i[apart], j[apart]
         at = self.common(i, j)
         out[apart] = self.data[self.at[i] + at] < self.data[self.at[j] + at]
@@ -200,18 +208,20 @@ class Suffixes:
     def verified(self, order: np.ndarray, follows: np.ndarray) -> bool:
         """Do the bytes of neighbours (``follows``: positions after another of
         their segment) stand in this order, and agree where the hashes do?"""
-        span = np.arange(self.length)
-        for lo in range(0, len(follows), 1 << 15):
-            p = follows[lo:lo + (1 << 15)]
-            i, j = order[p - 1], order[p]
-            a, b = self.data[self.at[i, None] + span], self.data[self.at[j, None] + span]
-            differ = a != b
-            at = differ.argmax(axis=1)
-            row = np.arange(len(p))
-            unequal = differ[row, at]
-            if (unequal == (self.whole[i] == self.whole[j])).any() or (unequal & (a[row, at] > b[row, at])).any():
-                return False
-        return True
+        width = 8 if self.wide is not None else 1
+        values = self.data if self.wide is None else self.wide
+        i, j = order[follows - 1], order[follows]
+        agree = self.whole[i] == self.whole[j]
+        a, b = self.at[i], self.at[j]
+        # The last step may look at some bytes twice.
+        for step in (*range(0, self.length - width, width), self.length - width):
+            x, y = values[a + step], values[b + step]
+            differ = x != y
+            if differ.any():
+                if (x[differ].byteswap() > y[differ].byteswap()).any() or agree[differ].any():
+                    return False
+                a, b, agree = a[~differ], b[~differ], agree[~differ]
+        return bool(agree.all())
 
 
 def repeated_windows(data: np.ndarray, group: np.ndarray, base: np.ndarray, n: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
