@@ -49,7 +49,7 @@ from sendero.llm.steps import Steps
 LENGTH = 100
 GRAM = 24
 # Different pieces around one anchor that are sorted together.
-BLOCK = 20_000
+BLOCK = 4_000
 _BUFFER = 1 << 19  # bytes hashed at a time
 _POSITION = np.uint64((1 << 24) - 1)  # low bits of a window minimum: where it stands
 
