@@ -5,11 +5,12 @@ bidirectional FM-index over word ids each, written once, in buckets by shard.
 Phrases grow by one word a level, to the left and to the right in turn: each
 shard enumerates the extensions of its phrases that are frequent in the whole
 corpus, their counts are summed across shards, and only those that reach the
-minimum go back to the shards (an extension's other end must be frequent,
-too).  So a level costs the occurrences of frequent phrases, not all n-grams.
-Levels are summed by a 64-bit key of language and words; that can let a
-phrase through but never lose one, and the final counts are those of the
-words themselves.
+minimum go back to the shards (from three words on, an extension's other end
+must be frequent, too).  So a level costs the occurrences of frequent phrases,
+not all n-grams.
+Levels are summed by a 64-bit key of language and words, in blocks by bucket of
+keys; that can let a phrase through but never lose one, and the final counts
+are those of the words themselves.
 
 Scores are relational: each cut of a phrase looks up its two parts, and a
 phrase is dropped where an extension by one word has its count (a longer one
@@ -50,10 +51,13 @@ _SEPARATOR = re.compile(rb"[.,;:!?\n-\r]+")
 _END = b"."  # stands for any separator: no word holds one
 
 _INDEX = "shard long, langs array<string>, words binary, lang_of binary, counts binary, forward binary, reverse binary"
-_COUNTED = "shard long, level int, key long, n long"
+_BLOCK = "bucket int, shard long, level int, keys binary, counts binary"
+_FREQUENT = "shard long, level int, key long"
 _PHRASE = "lang string, phrase string, words int, n long"
 # Levels that are summed together, and from which side the words come.
-_LEVELS = ((2,), (3,), (4, 5))
+_LEVELS = ((1, 2), (3,), (4, 5))
+# Buckets of keys for each shuffle partition.
+_BUCKETS = 4
 
 
 def _from_left(level: int) -> bool:
@@ -139,28 +143,38 @@ def _words(row: dict) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     return words, np.frombuffer(row["counts"], np.int64), hashes
 
 
-def _among(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    at = np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1) if len(wanted) else np.zeros(len(keys), int)
-    return wanted[at] == keys if len(wanted) else np.zeros(len(keys), bool)
+def _among(keys: np.ndarray, wanted: np.ndarray | None) -> np.ndarray:
+    if wanted is None or not len(wanted):
+        return np.zeros(len(keys), bool)
+    return wanted[np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)] == keys
 
 
 def _grow(row: dict, levels: tuple[int, ...]) -> Iterator[tuple[int, Phrases]]:
     """The phrases of the shard by level: those the corpus has found frequent,
     then of ``levels`` all that could be."""
-    words, counts, hashes = _words(row)
+    _, counts, hashes = _words(row)
     forward, reverse = (np.frombuffer(row[c], np.int32) if row.get(c) is not None else None for c in ("forward", "reverse"))
     index = WordIndex(counts, hashes, forward, reverse)
     last = max(levels, default=MAX_WORDS)
-    phrases = index.single()
-    for level in range(1, last + 1):
-        if level > 1:
-            left = _from_left(level)
-            phrases = index.extended(phrases, left, intervals=level < last)
+
+    def could_be(level: int, left: bool):
+        def keep(phrases: Phrases) -> np.ndarray:
+            out = np.ones(len(phrases.count), bool)
             if row.get(f"k{level - 1}") is not None:  # the end that was there before is frequent; the other must be
-                phrases = phrases.take(_among(index.without_end(phrases, not left), row[f"k{level - 1}"]))
-        if level not in levels:
-            wanted = row.get(f"k{level}")
-            phrases = phrases.take(_among(phrases.keys, wanted if wanted is not None else np.zeros(0, np.int64)))
+                out &= _among(index.without_end(phrases, not left), row[f"k{level - 1}"])
+            if level not in levels:
+                out[out] = _among(phrases.keys[out], row.get(f"k{level}"))
+            return out
+
+        return keep
+
+    phrases = index.single()
+    if 1 not in levels:
+        phrases = phrases.take(_among(phrases.keys, row.get("k1")))
+    yield 1, phrases
+    for level in range(2, last + 1):
+        left = _from_left(level)
+        phrases = index.extended(phrases, left, could_be(level, left), intervals=level < last)
         yield level, phrases
 
 
@@ -175,32 +189,66 @@ def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
         yield row
 
 
-def _count_words(batches):
-    schema = _schema(_COUNTED)
-    for batch in batches:
-        for row in _rows(batch):
-            _, counts, hashes = _words(row)
-            phrases = WordIndex(counts, hashes).single()
-            yield from _counted(schema, row["shard"], 1, phrases)
-
-
-def _counted(schema: pa.Schema, shard: int, level: int, phrases: Phrases) -> Iterator[pa.RecordBatch]:
-    keys = phrases.keys
-    for lo in range(0, len(keys), 100_000):
-        part = keys[lo:lo + 100_000]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(part), shard)), pa.array(np.full(len(part), level, np.int32)), pa.array(part),
-             pa.array(phrases.count[lo:lo + 100_000])], schema=schema)
+def _count_level(levels: tuple[int, ...], buckets: int):
+    """The counts of a shard, in one block for each bucket of keys."""
+    schema = _schema(_BLOCK)
 
+    def blocks(shard: int, level: int, phrases: Phrases) -> pa.RecordBatch:
+        keys = phrases.keys
+        bucket = (keys.view(np.uint64) >> np.uint64(32)) % np.uint64(buckets)
+        order = np.argsort(bucket)
+        ends = np.cumsum(np.bincount(bucket.astype(np.int64), minlength=buckets))
+        keys, counts = keys[order], phrases.count[order]
+        filled = np.flatnonzero(np.diff(ends, prepend=0))
+        parts = [(ends[i - 1] if i else 0, ends[i]) for i in filled.tolist()]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(filled.astype(np.int32)), pa.array(np.full(len(parts), shard)), pa.array(np.full(len(parts), level, np.int32)),
+             pa.array([keys[a:b].tobytes() for a, b in parts], pa.binary()),
+             pa.array([counts[a:b].tobytes() for a, b in parts], pa.binary())], schema=schema)
 
-def _count_level(levels: tuple[int, ...]):
     def run(batches):
-        schema = _schema(_COUNTED)
         for batch in batches:
             for row in _rows(batch):
                 for level, phrases in _grow(row, levels):
                     if level in levels:
-                        yield from _counted(schema, row["shard"], level, phrases)
+                        yield blocks(row["shard"], level, phrases)
+
+    return run
+
+
+def _sum_buckets(min_count: int):
+    """Of blocks in the order of their buckets, where the sum of a key over
+    all shards reaches the minimum: shard, level and key."""
+    schema = _schema(_FREQUENT)
+
+    def summed(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        keys = np.concatenate([np.frombuffer(k, np.int64) for _, _, k, _ in held])
+        counts = np.concatenate([np.frombuffer(n, np.int64) for _, _, _, n in held])
+        block = np.repeat(np.arange(len(held)), [len(k) // 8 for _, _, k, _ in held])
+        order = np.argsort(keys)
+        sorted_keys = keys[order]
+        new = np.ones(len(keys), bool)
+        new[1:] = sorted_keys[1:] != sorted_keys[:-1]
+        first = np.flatnonzero(new)
+        enough = np.add.reduceat(counts[order], first) >= min_count
+        chosen = order[np.repeat(enough, np.diff(np.append(first, len(keys))))]
+        shards, levels = (np.array([h[i] for h in held]) for i in (0, 1))
+        for lo in range(0, len(chosen), 100_000):
+            at = chosen[lo:lo + 100_000]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(shards[block[at]]), pa.array(levels[block[at]].astype(np.int32)), pa.array(keys[at])], schema=schema)
+
+    def run(batches):
+        held, bucket = [], None
+        for batch in batches:
+            for b, *block in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and b != bucket:
+                    yield from summed(held)
+                    held = []
+                bucket = b
+                held.append(block)
+        if held:
+            yield from summed(held)
 
     return run
 
@@ -228,27 +276,28 @@ def phrase_counts(docs: DataFrame, steps: Steps, min_count: int = MIN_COUNT, sha
     words 0).  Written."""
     source = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), text_or_empty().alias("text"))
     index = steps.write_bucketed(source.mapInArrow(_index(shard_words), _INDEX), "phrase-index", "shard")
-    total = F.sum("n").over(Window.partitionBy("level", "key"))
-
-    def frequent(counted: DataFrame, name: str) -> DataFrame:
-        return steps.write(counted.withColumn("total", total).where(F.col("total") >= min_count).select("shard", "level", "key"), name, wide_rows=True)
-
-    known = [frequent(index.select("shard", "langs", "words", "lang_of", "counts").mapInArrow(_count_words, _COUNTED), "phrase-level")]
+    buckets = _BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known: list[DataFrame] = []
 
-    def with_known(*columns: str) -> DataFrame:
+    def shards(*columns: str) -> DataFrame:
         """The shards with the keys of their frequent phrases by level."""
-        levels = [x for group in ((1,), *_LEVELS)[:len(known)] for x in group]
+        held = index.select("shard", "langs", "words", "lang_of", "counts", *columns)
+        if not known:
+            return held
         found = known[0]
         for more in known[1:]:
             found = found.unionByName(more)
         # No more than the shard has phrases.
-        keys = found.groupBy("shard").agg(*[F.collect_list(F.when(F.col("level") == x, F.col("key"))).alias(f"k{x}") for x in levels])
-        return index.select("shard", "langs", "words", "lang_of", "counts", *columns).join(keys.hint("shuffle_hash"), "shard")
+        keys = found.groupBy("shard").agg(*[F.collect_list(F.when(F.col("level") == x, F.col("key"))).alias(f"k{x}")
+                                            for group in _LEVELS[:len(known)] for x in group])
+        return held.join(keys.hint("shuffle_hash"), "shard")
 
     for levels in _LEVELS:
-        sides = ("forward",) if levels == (2,) else ("forward", "reverse")
-        known.append(frequent(with_known(*sides).mapInArrow(_count_level(levels), _COUNTED), "phrase-level"))
-    spelt = with_known("forward", "reverse").mapInArrow(_spell, _PHRASE)
+        sides = ("forward",) if max(levels) == 2 else ("forward", "reverse")
+        blocks = shards(*sides).mapInArrow(_count_level(levels, buckets), _BLOCK)
+        dealt = blocks.repartition("bucket").sortWithinPartitions("bucket")
+        known.append(steps.write(dealt.mapInArrow(_sum_buckets(min_count), _FREQUENT), "phrase-level", wide_rows=True))
+    spelt = shards("forward", "reverse").mapInArrow(_spell, _PHRASE)
     counts = steps.write(spelt.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")).where(
         (F.col("n") >= min_count) | (F.col("words") == 0)), "phrase-counts", wide_rows=True)
     steps.done(index, *known)

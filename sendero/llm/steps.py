@@ -43,9 +43,9 @@ class Steps:
         self._kept: list[DataFrame] = []
 
     def write(self, df: DataFrame, name: str, wide_rows: bool = False) -> DataFrame:
-        """``wide_rows``: each row is large, so Python workers get them one by one."""
+        """``wide_rows``: rows are large, so Python workers get few at a time."""
         path = shared_path(self.spark, name)
-        with settings(self.spark, clean="true", **({"rows": "1"} if wide_rows else {})):
+        with settings(self.spark, clean="true", **({"rows": "4"} if wide_rows else {})):
             df.write.option("compression", "zstd").parquet(path)
         return self._remember(self.spark.read.schema(df.schema).parquet(path), path)
 

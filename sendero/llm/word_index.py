@@ -16,25 +16,31 @@ import numpy as np
 
 from sendero.llm.rolling import BASES, mixed, powers
 
-# Ids by which suffixes are sorted; phrases of fewer words have their interval.
-DEPTH = 8
+# Ids by which suffixes are sorted; phrases of up to as many words have their
+# interval.
+DEPTH = 6
 _BASE = BASES[0]
 
 
 def order_of(ids: np.ndarray) -> np.ndarray:
     """Starts of the suffixes in the order of their first DEPTH ids."""
-    rank, width = ids.astype(np.int64), 1
+    bits = max(int(ids.max(initial=0)).bit_length(), 1)
+    width = min(max(62 // bits, 1), DEPTH)  # as many ids as one number holds
+    key = np.zeros(len(ids), np.int64)
+    for i in range(width):
+        key <<= bits
+        key[:len(ids) - i] |= ids[i:]
     while True:
-        key = rank * (rank.max(initial=0) + 1)
-        key[:-width] += rank[width:]
         order = np.argsort(key)
-        width *= 2
         if width >= DEPTH:
             return order
         new = np.zeros(len(key), np.int64)
         new[1:] = key[order[1:]] != key[order[:-1]]
-        rank = np.empty_like(rank)
+        rank = np.empty_like(key)
         rank[order] = np.cumsum(new)
+        key = rank * (rank.max(initial=0) + 1)
+        key[:-width] += rank[width:]
+        width *= 2
 
 
 def transform(ids: np.ndarray) -> np.ndarray:
@@ -73,29 +79,31 @@ class WordIndex:
     def __init__(self, counts: np.ndarray, hashes: np.ndarray, forward: np.ndarray | None = None, reverse: np.ndarray | None = None):
         self.counts, self.hashes, self.bwt = counts, hashes, (forward, reverse)
         self.first = np.cumsum(counts) - counts
-        self._last_to_first: list[np.ndarray | None] = [None, None]
 
-    def _step(self, side: int, at: np.ndarray) -> np.ndarray:
-        """Where the suffix one id longer stands in the order."""
-        if self._last_to_first[side] is None:
-            order = np.argsort(self.bwt[side], kind="stable")
-            back = np.empty(len(order), np.int32)
-            back[order] = np.arange(len(order), dtype=np.int32)
-            self._last_to_first[side] = back
-        return self._last_to_first[side][at].astype(np.int64)
+    def _step(self, side: int, word: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Where the suffix that begins with ``word``, one id longer than the
+        one at ``at``, stands in the order."""
+        wanted = np.zeros(len(self.counts), bool)
+        wanted[word] = True
+        stands = np.flatnonzero(wanted[self.bwt[side]])
+        size = len(self.bwt[side])
+        stands = np.sort(self.bwt[side][stands].astype(np.int64) * size + stands)
+        before = word.astype(np.int64) * size
+        return self.first[word] + np.searchsorted(stands, before + at) - np.searchsorted(stands, before)
 
     def single(self) -> Phrases:
         ids = np.arange(1, len(self.counts))
         return Phrases(ids[:, None].astype(np.int32), self.first[1:], self.first[1:], self.counts[1:], self.hashes[1:])
 
-    def extended(self, phrases: Phrases, left: bool, intervals: bool = True) -> Phrases:
-        """All extensions by one word to the left (right).  Without
-        ``intervals`` only their words, counts and hashes."""
+    def extended(self, phrases: Phrases, left: bool, keep=None, intervals: bool = True) -> Phrases:
+        """The extensions by one word to the left (right) that ``keep`` takes
+        (phrases to booleans).  Without ``intervals`` only their words, counts
+        and hashes."""
         side = 0 if left else 1
         begin = phrases.at if left else phrases.reverse_at
         offset = np.cumsum(phrases.count) - phrases.count
         node = np.repeat(np.arange(len(phrases.count)), phrases.count)
-        at = np.arange(len(node)) - offset[node] + begin[node]
+        at = np.arange(len(node)) + (begin - offset)[node]
         key = node * len(self.counts) + self.bwt[side][at]
         order = np.argsort(key)
         key = key[order]
@@ -105,7 +113,7 @@ class WordIndex:
         count = np.diff(np.append(group, len(key)))
         parent, word = np.divmod(key[group], len(self.counts))
         real = np.flatnonzero(word)
-        parent, word = parent[real], word[real]
+        parent, word, group, count = parent[real], word[real], group[real], count[real]
         n = phrases.words.shape[1]
         if left:
             words = np.column_stack([word.astype(np.int32), phrases.words[parent]])
@@ -113,12 +121,17 @@ class WordIndex:
         else:
             words = np.column_stack([phrases.words[parent], word.astype(np.int32)])
             hashed = phrases.hash[parent] * np.uint64(_BASE) + self.hashes[word]
-        own = other = np.zeros(len(real), np.int64)
-        if intervals and len(real):
-            own = self._step(side, np.minimum.reduceat(at[order], group)[real])
-            # Of the other order the part with smaller neighbours comes before.
-            other = (phrases.reverse_at if left else phrases.at)[parent] + group[real] - offset[parent]
-        return Phrases(words, own if left else other, other if left else own, count[real], hashed)
+        found = Phrases(words, np.zeros(len(real), np.int64), np.zeros(len(real), np.int64), count, hashed)
+        if keep is not None:
+            chosen = np.flatnonzero(keep(found))
+            found, parent, word, group = found.take(chosen), parent[chosen], word[chosen], group[chosen]
+        if intervals:
+            # No such word before the first place in the interval, and in the
+            # other order the part with smaller neighbours comes before.
+            own = self._step(side, word, begin[parent])
+            other = (phrases.reverse_at if left else phrases.at)[parent] + group - offset[parent]
+            found.at, found.reverse_at = (own, other) if left else (other, own)
+        return found
 
     def without_end(self, phrases: Phrases, left: bool) -> np.ndarray:
         """Keys of the phrases without their first (last) word."""

@@ -79,6 +79,10 @@ def test_intervals_hold_every_occurrence():
     grams = {k: Counter(tuple(ids[i:i + k].tolist()) for i in range(len(ids) - k + 1) if 0 not in ids[i:i + k]) for k in range(1, 6)}
     phrases = index.single()
     keys = {}
+    # Kept phrases keep the intervals that they had among all.
+    chosen = index.extended(phrases, True, lambda x: x.count > 40)
+    assert 0 < len(chosen.count) < len(grams[2]) and dict(zip(map(tuple, index.extended(chosen, False).words.tolist()),
+        index.extended(chosen, False).count.tolist())) == {g: c for g, c in grams[3].items() if grams[2][g[:2]] > 40}
     for level, left in ((2, True), (3, False), (4, True), (5, False)):
         phrases = index.extended(phrases, left)
         assert dict(zip(map(tuple, phrases.words.tolist()), phrases.count.tolist())) == grams[level]
