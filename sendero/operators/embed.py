@@ -1,13 +1,12 @@
 """Text -> vector steps (V1).  An embedder maps a DataFrame with an id and a
 text column to (id, embedding array<double>).
 
-* ``HashedTokenEmbedder`` - native bag of hashed tokens, fully JVM-side:
-  tokens are ``split(lower(text), ' ')``, each token goes to bucket
+* ``HashedTokenEmbedder`` - bag of hashed tokens: tokens are ``split(lower(text), ' ')``, each token goes to bucket
   ``md5[0:8] mod dim`` and the vector holds token counts.  Integer counts make
   every later dot product exact, so results are reproducible anywhere.
 * ``TableEmbedder`` - join to a precomputed vector table.
 * ``PandasEmbedder`` - a caller-supplied batch function run with
-  ``mapInPandas`` (e.g. a local model); the only Python step.
+  ``mapInPandas`` (e.g. a local model).
 """
 
 from __future__ import annotations
@@ -15,7 +14,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,19 +32,32 @@ def tokens(text: Column) -> Column:
     return F.split(F.lower(text), " ")
 
 
+def _bucket_counts(dim: int):
+    """Counts by bucket of each row's ``_buckets``, as rows of ``dim`` doubles."""
+
+    def run(batches):
+        for batch in batches:
+            ids, buckets = batch.columns
+            sizes = pc.list_value_length(buckets).to_numpy(zero_copy_only=False)
+            cells = np.repeat(np.arange(len(buckets)), sizes) * dim + buckets.flatten().to_numpy()
+            counts = np.bincount(cells, minlength=len(buckets) * dim).astype(np.float64)
+            vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(buckets) + 1, dtype=np.int32) * dim), pa.array(counts))
+            yield pa.RecordBatch.from_arrays([ids, vectors], names=[batch.schema.names[0], "embedding"])
+
+    return run
+
+
 @dataclass(frozen=True)
 class HashedTokenEmbedder:
     dim: int = 64
 
     def __call__(self, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        """(id, vector), inside the row: no shuffle.  The buckets are the
-        argument of one fold, so each token is hashed once."""
-        buckets = F.transform(tokens(F.col(text_col)), lambda t: token_bucket(t, self.dim))
-        dense = F.aggregate(
-            buckets, F.array_repeat(F.lit(0.0), self.dim),
-            lambda counts, b: F.transform(counts, lambda n, i: F.when(i == b, n + 1.0).otherwise(n)),
-        )
-        return df.where(F.col(text_col).isNotNull()).select(F.col(id_col), dense.alias("embedding"))
+        """(id, vector), inside the row: no shuffle.  The buckets are found
+        JVM-side; a batch of them is counted by one ``bincount``."""
+        buckets = F.transform(tokens(F.col(text_col)), lambda t: token_bucket(t, self.dim).cast("int"))
+        rows = df.where(F.col(text_col).isNotNull()).select(F.col(id_col), buckets.alias("_buckets"))
+        kind = rows.schema[id_col].dataType.simpleString()
+        return rows.mapInArrow(_bucket_counts(self.dim), f"`{id_col}` {kind}, embedding array<double>")
 
     def sparse(self, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         """(id, bucket, count) rows of the non-empty buckets."""

@@ -30,14 +30,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sendero.session import checkpoint_dir
+from sendero.session import checkpoint_dir, write_all
 
 RESULT_SCHEMA = "qid string, iid string, sim double, rank int"
 # Cells of one similarity chunk held at a time inside the kernel (~64 MB).
 _CHUNK_CELLS = 8_000_000
 # Bytes of float64 vectors on one side of a group.
 BLOCK_BYTES = 128 << 20
-GROUPS_PER_SLOT = 3
+GROUPS_PER_SLOT = 2
 
 
 def _select_topk(S: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -47,12 +47,19 @@ def _select_topk(S: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     if k == n_cols:
         chosen = np.broadcast_to(np.arange(n_cols), (n_rows, n_cols))
     else:
-        # All above the k-th value, and of those equal to it the first ones:
-        # exactly k columns in each row.
-        kth = np.partition(S, n_cols - k, axis=1)[:, n_cols - k, None]
-        above, equal = S > kth, S == kth
-        free = k - above.sum(axis=1, keepdims=True)
-        chosen = np.nonzero(above | (equal & (equal.cumsum(axis=1) <= free)))[1].reshape(n_rows, k)
+        # The best k + 1, in any order; where the last two of them are equal,
+        # the first columns among the equal ones are taken instead.
+        best = np.argpartition(S, n_cols - k - 1, axis=1)[:, n_cols - k - 1:]
+        values = np.take_along_axis(S, best, 1)
+        chosen = np.take_along_axis(best, np.argsort(-values, axis=1, kind="stable"), 1)
+        kth = np.take_along_axis(S, chosen[:, k - 1:], 1)
+        tied = np.flatnonzero(kth[:, 0] == kth[:, 1])
+        chosen = np.sort(chosen[:, :k], axis=1)
+        if len(tied):
+            T, bar = S[tied], kth[tied, :1]
+            above, equal = T > bar, T == bar
+            free = k - above.sum(axis=1, keepdims=True)
+            chosen[tied] = np.nonzero(above | (equal & (equal.cumsum(axis=1) <= free)))[1].reshape(len(tied), k)
     values = np.take_along_axis(S, chosen, 1)
     order = np.argsort(-values, axis=1, kind="stable")
     return np.take_along_axis(chosen, order, 1), np.take_along_axis(values, order, 1)
@@ -135,7 +142,7 @@ def block_rows(dim: int, block_bytes: int = BLOCK_BYTES) -> int:
 
 
 def plan_blocks(n_queries: int, n_items: int, parallelism: int,
-                query_block_rows: int, item_block_rows: int, n_excluded: int = 0) -> tuple[int, int]:
+                query_block_rows: int, item_block_rows: int, n_excluded: int = 0, k: int = 10) -> tuple[int, int]:
     """(item blocks C, query groups G).
 
     Item blocks are bounded by ``item_block_rows``; the left side of a group
@@ -143,14 +150,22 @@ def plan_blocks(n_queries: int, n_items: int, parallelism: int,
     (Q + E / C) / G rows) by ``query_block_rows``.  The G x C groups number
     about ``GROUPS_PER_SLOT`` for each task slot, so that none waits for a
     slot that got several.  Every item row is shuffled once per query group
-    and every query row once per item block: Q C + P G rows, so no more
-    groups are made than these bounds ask for.
+    and every query row once per item block, and several blocks give k rows
+    per query and block to merge: of the ways to make that many groups the
+    one that moves the fewest rows is taken.
     """
-    parallelism *= GROUPS_PER_SLOT
-    blocks = max(1, math.ceil(n_items / item_block_rows))
-    by_memory = math.ceil((n_queries + n_excluded / blocks) / query_block_rows)
-    groups = max(by_memory, math.ceil(parallelism / blocks))
-    return blocks, max(1, min(groups, max(n_queries, 1)))
+    slots = parallelism * GROUPS_PER_SLOT
+    least = max(1, math.ceil(n_items / item_block_rows))
+
+    def groups_for(blocks: int) -> int:
+        by_memory = math.ceil((n_queries + n_excluded / blocks) / query_block_rows)
+        return max(1, min(max(by_memory, math.ceil(slots / blocks)), max(n_queries, 1)))
+
+    def moved(blocks: int) -> int:
+        return n_queries * blocks * (1 + (k if blocks > 1 else 0)) + n_items * groups_for(blocks)
+
+    blocks = min(range(least, max(least, min(slots, n_items)) + 1), key=moved)
+    return blocks, groups_for(blocks)
 
 
 def similarity_topk(
@@ -179,19 +194,20 @@ def similarity_topk(
         raise ValueError("k must be at least 1")
     spark = queries.sparkSession
     checkpoint_dir(spark)
-    # Both sides are materialised once in the shared checkpoint folder: their
-    # sizes fix the blocking, and the join then reads the checkpoints instead
-    # of recomputing the text and vector pipelines (and restarts from them if
+    # Both sides are written once to the shared folder, side by side: their
+    # sizes fix the blocking, and the join then reads the files instead of
+    # recomputing the text and vector pipelines (and restarts from them if
     # an executor is lost during the quadratic stage).  Vectors travel as
     # float32; the kernel computes in float64.
     # Rows without an id or a vector can never be ranked (D17) and are left out.
-    q = queries.select(F.col("qid").cast("string"), F.col("embedding").cast("array<float>")).where(
-        F.col("qid").isNotNull() & F.col("embedding").isNotNull()).checkpoint(eager=True)
     payload = tuple(item_payload)
-    it = items.select(
-        F.col("iid").cast("string"), F.col("embedding").cast("array<float>"),
-        *[F.col(c).cast("string") for c in payload],
-    ).where(F.col("iid").isNotNull() & F.col("embedding").isNotNull()).checkpoint(eager=True)
+    written = write_all({
+        "queries": queries.select(F.col("qid").cast("string"), F.col("embedding").cast("array<float>")).where(
+            F.col("qid").isNotNull() & F.col("embedding").isNotNull()),
+        "items": items.select(F.col("iid").cast("string"), F.col("embedding").cast("array<float>"),
+                              *[F.col(c).cast("string") for c in payload]).where(F.col("iid").isNotNull() & F.col("embedding").isNotNull()),
+    })
+    q, it = written["queries"], written["items"]
     # Total task slots of the cluster (executor cores); the shuffle-partition
     # setting is often much larger and would only inflate item replication.
     parallelism = spark.sparkContext.defaultParallelism
@@ -200,7 +216,7 @@ def similarity_topk(
     n_items = it.count()
     rows = block_rows(dim or 0)
     blocks, groups = plan_blocks(n_queries, n_items, parallelism, query_block_rows or rows, item_block_rows or rows,
-                                 n_excluded=n_excluded)
+                                 n_excluded=n_excluded, k=k)
     if query_groups is not None:
         groups = query_groups
 

@@ -66,7 +66,6 @@ FROM customer c
 JOIN nation n ON c.c_nationkey = n.n_nationkey
 JOIN region r ON n.n_regionkey = r.r_regionkey
 JOIN (SELECT 0 AS bis UNION ALL SELECT 1) v ON v.bis = 0 OR c.c_custkey % 25 = 3
-WHERE c.c_custkey % 50 <> 9
 """)
 
 fragment("interacciones", """
@@ -89,6 +88,10 @@ FROM (
   SELECT 1000000000000 + pk, min(ts), 5, 'click', cast(0 as double), pk
   FROM (SELECT ts, cast(regexp_extract(props, '([0-9]+)', 1) as bigint) AS pk FROM events) v
   WHERE pk IS NOT NULL GROUP BY pk
+  UNION ALL
+  SELECT 2000000000000 + pk, min(ts), 9000000000 + pk, 'click', cast(0 as double), pk
+  FROM (SELECT ts, cast(regexp_extract(props, '([0-9]+)', 1) as bigint) AS pk FROM events) v
+  WHERE pk % 10 = 1 GROUP BY pk
 ) e
 JOIN part p ON p.p_partkey = e.pk
 JOIN nation n ON n.n_nationkey = p.p_partkey % 25

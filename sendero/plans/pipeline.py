@@ -19,7 +19,7 @@ from sendero.operators import recommend as R
 from sendero.operators.clean import clean_interactions, clean_profiles
 from sendero.operators.embed import HashedTokenEmbedder
 from sendero.operators.prompts import check_k_n
-from sendero.session import ship_package, write_once
+from sendero.session import ship_package, spread, write_all, write_once
 from sendero.sources import bindings
 from sendero.sources.csv import read_interactions_csv, read_profiles_csv
 
@@ -47,7 +47,7 @@ class Pipeline:
         (any column types; they are cleaned and typed here)."""
         p = cls(spark, None, **kw)
         p.__dict__["profiles"] = clean_profiles(profiles)
-        p.__dict__["interactions"] = clean_interactions(interactions)
+        p.__dict__["interactions"] = p.__dict__["commented"] = clean_interactions(interactions)
         return p
 
     @classmethod
@@ -74,8 +74,19 @@ class Pipeline:
 
     @cached_property
     def interactions(self) -> DataFrame:
+        """All interactions; ``comentario`` only in ``commented``."""
+        return clean_interactions(bindings.interacciones(self.spark, self.sf_dir, comments=False))
+
+    @cached_property
+    def commented(self) -> DataFrame:
         return clean_interactions(bindings.interacciones(self.spark, self.sf_dir))
 
+    def prepare(self) -> None:
+        """Write what a retrieval reads, side by side."""
+        made = {"selector": lambda: A.place_selector(self.interactions), "consumed": lambda: A.consumed_sites(self.interactions),
+                "user_texts": lambda: self.user_text_rows}
+        self.__dict__.update(write_all({name: df() for name, df in made.items() if name not in self.__dict__}))
+
     # -- aggregates -------------------------------------------------------------
     @cached_property
     def selector(self) -> DataFrame:
@@ -146,11 +157,11 @@ class Pipeline:
 
     @cached_property
     def user_context_vectors(self) -> DataFrame:
-        return self.embedder(self.user_texts, U, "contexto")
+        return self.embedder(spread(self.user_texts.select(U, "contexto")), U, "contexto")
 
     @cached_property
     def user_document_vectors(self) -> DataFrame:
-        docs = self.user_texts.where(F.trim(F.col("documento")) != "")
+        docs = spread(self.user_texts.select(U, "documento")).where(F.trim(F.col("documento")) != "")
         return self.embedder(docs, U, "documento")
 
     @cached_property
@@ -176,6 +187,7 @@ class Pipeline:
         held = self._retrieved.setdefault(kind, {})
         longer = min((x for x in held if x >= k), default=None)
         if longer is None:
+            self.prepare()
             held[k] = write_once(retrieve(k), f"hits-{kind}")
             return held[k]
         return held[longer] if longer == k else held[longer].where(F.col("rank") <= k)

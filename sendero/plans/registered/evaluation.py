@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sendero.functions import fixed
 from sendero.functions.text import render_sql
 from sendero.operators import collaborative as CF
+from sendero.operators import cooccurrence as CO
 from sendero.operators import evaluate as E
 from sendero.operators import generate as G
 from sendero.operators import graph as GR
+from sendero.operators import path_counts as PC
 from sendero.operators import prompts as PR
 from sendero.operators import recommend as R
 from sendero.operators import text_signals as TS
@@ -37,12 +42,16 @@ def _protocol_data(p: Pipeline, protocol: str):
 
 
 def _metrics(p: Pipeline, n: int = EVAL_N) -> DataFrame:
-    out = None
-    for protocol in O.PROTOCOLS:
+    # What both protocols read is written first; their retrievals then run
+    # side by side.
+    p.selector
+
+    def one(protocol: str) -> DataFrame:
         tp, rel = _protocol_data(p, protocol)
-        m = E.ranking_metrics(E.user_ranking_stats(tp.topk_places(n), rel, p.profiles), n, protocol)
-        out = m if out is None else out.unionByName(m)
-    return out
+        return E.ranking_metrics(E.user_ranking_stats(tp.topk_places(n), rel, p.profiles), n, protocol)
+
+    with ThreadPoolExecutor(len(O.PROTOCOLS)) as pool:
+        return reduce(DataFrame.unionByName, pool.map(one, O.PROTOCOLS))
 
 
 def _metrics_sql(metric: str, n: int = EVAL_N) -> str:
@@ -225,7 +234,7 @@ JOIN (SELECT id_interaccion, url_sitio,
 
 
 def _site_aspects(p: Pipeline) -> DataFrame:
-    return TS.site_aspects(TS.aspect_mentions(p.interactions))
+    return TS.site_aspects(TS.aspect_mentions(p.commented))
 
 
 @register("graph_nodes", O.sql(f"""
@@ -289,6 +298,45 @@ def _graph_paths(p: Pipeline) -> DataFrame:
     return GR.history_paths(p.interactions, p.topk_places(6))
 
 
+# Two hops from a user's visits to what the sites have, a third one to the
+# region of a city or back to a retrieved site with the same.
+PATTERNS = [("VISITO", "UBICADO_EN"), ("VISITO", "PERTENECE_A"), ("VISITO", "OFRECE_ASPECTO"), ("VISITO", "UBICADO_EN", "UBICADO_EN")]
+TO_RETRIEVED = tuple(("VISITO", r, "~" + r) for r in ("UBICADO_EN", "PERTENECE_A", "OFRECE_ASPECTO"))
+_PREFIXES = sorted({(">".join(q[:i]), q[i]) for q in (*PATTERNS, *TO_RETRIEVED) for i in range(len(q))})
+_TEXT = {True: [">".join(q) for q in TO_RETRIEVED], False: [">".join(q) for q in PATTERNS]}
+
+
+@register("graph_paths_k", O.sql(f"""
+SELECT * FROM (
+  WITH RECURSIVE e AS (
+    SELECT DISTINCT id_usuario AS origen, url_sitio AS destino, 'VISITO' AS r FROM inter WHERE url_sitio IS NOT NULL
+    UNION SELECT url_sitio, ubicacion, 'UBICADO_EN' FROM catalog
+    UNION SELECT n.n_name, r.r_name, 'UBICADO_EN' FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey
+          WHERE n.n_name IN (SELECT ubicacion FROM catalog)
+    UNION SELECT url_sitio, categoria_sitio, 'PERTENECE_A' FROM catalog
+    UNION SELECT url_sitio, aspecto, 'OFRECE_ASPECTO' FROM aspect_mentions),
+  steps AS (SELECT origen AS desde, destino AS hasta, r AS paso FROM e WHERE origen IS NOT NULL AND destino IS NOT NULL
+            UNION ALL SELECT destino, origen, '~' || r FROM e WHERE origen IS NOT NULL AND destino IS NOT NULL),
+  allowed(tipo, paso) AS (VALUES {', '.join(f"('{a}', '{b}')" for a, b in _PREFIXES)}),
+  walks AS (
+    SELECT id_usuario AS inicio, '' AS tipo, 0 AS saltos, id_usuario AS nodo FROM prof
+    UNION ALL
+    SELECT w.inicio, CASE WHEN w.tipo = '' THEN s.paso ELSE w.tipo || '>' || s.paso END, w.saltos + 1, s.hasta
+    FROM walks w JOIN steps s ON s.desde = w.nodo JOIN allowed a ON a.tipo = w.tipo AND a.paso = s.paso)
+  SELECT inicio, tipo, saltos, nodo, count(*) AS caminos FROM walks
+  WHERE tipo IN ({', '.join(repr(x) for x in _TEXT[False])})
+     OR (tipo IN ({', '.join(repr(x) for x in _TEXT[True])})
+         AND (inicio, nodo) IN (SELECT (id_usuario, url_sitio) FROM {O.topk_places_fragment(6)}))
+  GROUP BY ALL)""", "prof", "inter", "catalog", "aspect_mentions", O.topk_places_fragment(6)))
+def _graph_paths_k(p: Pipeline) -> DataFrame:
+    """Numbers of paths of two and three hops over the edge table, from
+    every user to what the visited sites have and on to the regions and the
+    retrieved sites."""
+    retrieved = p.topk_places(6).select(F.col("id_usuario").alias("inicio"), F.col("url_sitio").alias("nodo"))
+    return PC.path_counts(_graph_edges(p), p.profiles.select(F.col("id_usuario").alias("inicio")), [*PATTERNS, *TO_RETRIEVED],
+                          retrieved, TO_RETRIEVED)
+
+
 @register("graph_context", O.sql(f"""
 SELECT id_usuario, CAST(count(*) AS INTEGER) AS caminos,
   concat(string_agg({render_sql(GR.PATH_TEMPLATE, nombre_sitio='nombre_sitio', via='via', nodo='nodo', soporte='soporte')},
@@ -324,7 +372,7 @@ JOIN (SELECT id_usuario, count(*) AS c FROM inter WHERE comentario IS NOT NULL G
   ON n.id_usuario = t.id_usuario""", "inter"))
 def _implicit_vectors(p: Pipeline) -> DataFrame:
     """Implicit-only user vectors from whole comment texts."""
-    return TS.implicit_vectors(p.interactions)
+    return TS.implicit_vectors(p.commented)
 
 
 def _enrichment_texts(p: Pipeline) -> DataFrame:
@@ -346,7 +394,7 @@ def _item_enrichment(p: Pipeline) -> DataFrame:
 @register("aspect_polarity", O.sql("SELECT * FROM aspect_mentions", "aspect_mentions"))
 def _aspect_polarity(p: Pipeline) -> DataFrame:
     """Aspect mentions in whole comments with comment polarity."""
-    return TS.aspect_mentions(p.interactions)
+    return TS.aspect_mentions(p.commented)
 
 
 @register("geo_grounding", O.sql(f"""
@@ -380,6 +428,22 @@ def _narrative_stats(p: Pipeline) -> DataFrame:
 # --- collaborative baseline, calibration ------------------------------------------------
 
 
+@register("cf_cooccurrence", O.sql(f"""
+SELECT id_usuario, CAST(rank AS INTEGER) AS rank, url_sitio, puntuacion FROM (
+  WITH v AS (SELECT DISTINCT id_usuario AS u, url_sitio AS i FROM inter WHERE url_sitio IS NOT NULL),
+  c AS (SELECT i, count(*) AS n FROM v GROUP BY i),
+  p AS (SELECT a.i, b.i AS j, count(*) AS n FROM v a JOIN v b ON a.u = b.u AND a.i <> b.i GROUP BY a.i, b.i),
+  near AS (SELECT p.i, j, p.n / sqrt(CAST(x.n * y.n AS DOUBLE)) AS sim FROM p JOIN c x ON x.i = p.i JOIN c y ON y.i = p.j
+           QUALIFY row_number() OVER (PARTITION BY p.i ORDER BY p.n / sqrt(CAST(x.n * y.n AS DOUBLE)) DESC, j) <= {CO.NEIGHBOURS}),
+  s AS (SELECT u, j, round(sum(sim), 6) AS s FROM v JOIN near USING (i) GROUP BY u, j)
+  SELECT u AS id_usuario, j AS url_sitio, s AS puntuacion, row_number() OVER (PARTITION BY u ORDER BY s DESC, j) AS rank
+  FROM s WHERE (u, j) NOT IN (SELECT (u, i) FROM v) AND j IN (SELECT url_sitio FROM catalog))
+WHERE rank <= {EVAL_N}""", "inter", "catalog"))
+def _cf_cooccurrence(p: Pipeline) -> DataFrame:
+    """Top-10 unvisited sites by co-occurrence with the visited ones."""
+    return CO.cooccurrence_recommendations(p.consumed, p.catalog, EVAL_N)
+
+
 @register("cf_als")
 def _cf_als(p: Pipeline) -> DataFrame:
     """E23 (learned variant): implicit ALS factors, exact top-10 by inner

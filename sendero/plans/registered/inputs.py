@@ -27,7 +27,7 @@ def _profiles_clean(p: Pipeline) -> DataFrame:
 @register("interactions_clean", O.sql("SELECT * FROM inter", "inter"))
 def _interactions_clean(p: Pipeline) -> DataFrame:
     """Typed interactions, trimmed ids and urls, no blank users."""
-    return p.interactions.drop(ORDER)
+    return p.commented.drop(ORDER)
 
 
 @register("place_catalog", O.sql("SELECT * FROM catalog", "catalog"))

@@ -109,9 +109,35 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
 
 
+def write_all(tables: dict) -> dict:
+    """``write_once`` for several tables, side by side: small jobs share the
+    cluster instead of waiting for one another."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(max(len(tables), 1)) as pool:
+        jobs = {name: pool.submit(write_once, df, name) for name, df in tables.items()}
+        return {name: job.result() for name, job in jobs.items()}
+
+
+def spread(df):
+    """A written table over all task slots: one with fewer partitions than
+    slots (so a small one) is dealt out anew, a larger one stays as it is."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+
+
 def write_once(df, name: str):
     """Write a derived table to the shared folder and read it back, so that
     every consumer reads the columns it needs instead of planning it anew."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._written = path
+    return back
+
+
+def drop_written(df) -> None:
+    """Delete a table of ``write_once`` that nothing reads any more."""
+    jvm = df.sparkSession._jvm
+    path = jvm.org.apache.hadoop.fs.Path(df._written)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

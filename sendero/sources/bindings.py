@@ -20,7 +20,7 @@ def perfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = table(spark, sf_dir, "region")
     k = F.col("c_custkey")
     parity = k % 2 == 0
-    joined = c.where(k % 50 != 9).join(F.broadcast(n), c.c_nationkey == n.n_nationkey).join(
+    joined = c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey).join(
         F.broadcast(r), n.n_regionkey == r.r_regionkey
     )
     # Some ids come twice; the second row stands later in the file.
@@ -57,34 +57,43 @@ def perfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# The user who has been everywhere: one more click on each visited site, at
-# the site's first visit.
+# Added clicks, at the first visit of a site: of the user who has been
+# everywhere on each visited site, and of users without a profile, one for each
+# tenth site.
 _EVERYWHERE, _EVERYWHERE_IDS = 5, 1_000_000_000_000
+_UNKNOWN, _UNKNOWN_IDS, _UNKNOWN_EVERY = 9_000_000_000, 2_000_000_000_000, 10
 
 
-def interacciones(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+def interacciones(spark: SparkSession, sf_dir: str, events: DataFrame | None = None, comments: bool = True) -> DataFrame:
     """``events`` may be given (e.g. one micro-batch of a stream); then the
-    clicks of the user who has been everywhere, which need all events, are
-    left out.  The comment of an error event is the text of the document
-    numbered event_id modulo the number of documents, if there is one."""
+    added clicks, which need all events, are left out.  The comment of an error
+    event is the text of the document numbered event_id modulo the number of
+    documents, if there is one; without ``comments`` the column is null and
+    the documents are not read."""
     e = events if events is not None else table(spark, sf_dir, "events")
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    n_docs = max(d.count(), 1)
     part_key = F.expr("try_cast(regexp_extract(props, '([0-9]+)', 1) as bigint)")
     ev = e.select("event_id", "ts", "user_id", "event_type", "value", part_key.alias("pk"))
     if events is None:
-        ev = ev.unionByName(ev.where(F.col("pk").isNotNull()).groupBy("pk").agg(F.min("ts").alias("ts")).select(
-            (F.lit(_EVERYWHERE_IDS) + F.col("pk")).alias("event_id"), "ts", F.lit(_EVERYWHERE).cast("bigint").alias("user_id"),
-            F.lit("click").alias("event_type"), F.lit(0.0).alias("value"), "pk"))
+        pk = F.col("pk")
+        everywhere = F.struct((F.lit(_EVERYWHERE_IDS) + pk).alias("event_id"), F.lit(_EVERYWHERE).cast("bigint").alias("user_id"))
+        unknown = F.struct((F.lit(_UNKNOWN_IDS) + pk).alias("event_id"), (F.lit(_UNKNOWN) + pk).alias("user_id"))
+        by = F.when(pk % _UNKNOWN_EVERY == 1, F.array(everywhere, unknown)).otherwise(F.array(everywhere))
+        ev = ev.unionByName(ev.where(pk.isNotNull()).groupBy("pk").agg(F.min("ts").alias("ts")).select("ts", "pk", F.explode(by).alias("by")).select(
+            "by.event_id", "ts", "by.user_id", F.lit("click").alias("event_type"), F.lit(0.0).alias("value"), "pk"))
     # part and documents grow with the data: the join strategy is left to the
     # planner and to adaptive execution.
     joined = (
         ev.join(p, ev.pk == p.p_partkey)
         .join(F.broadcast(n), (F.col("p_partkey") % 25) == n.n_nationkey)
-        .join(d, (F.col("event_type") == "error") & ((F.col("event_id") % n_docs) == d.doc_id), "left")
     )
+    if comments:
+        d = table(spark, sf_dir, "documents").select("doc_id", "text")
+        n_docs = max(d.count(), 1)
+        joined = joined.join(d, (F.col("event_type") == "error") & ((F.col("event_id") % n_docs) == d.doc_id), "left")
+    else:
+        joined = joined.withColumn("text", F.lit(None).cast("string"))
     hour = F.hour("ts")
     et = F.col("event_type")
     return joined.select(

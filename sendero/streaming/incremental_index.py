@@ -28,7 +28,7 @@ from sendero.sources.tables import table
 
 def place_index_batch(spark: SparkSession, sf_dir: str, events: DataFrame, embedder=None) -> DataFrame:
     embedder = embedder or HashedTokenEmbedder()
-    catalog = place_catalog(clean_interactions(bindings.interacciones(spark, sf_dir, events)))
+    catalog = place_catalog(clean_interactions(bindings.interacciones(spark, sf_dir, events, comments=False)))
     texts = catalog.select("url_sitio", "nombre_sitio", "categoria_sitio", "ubicacion",
                            N.place_document().alias("documento"))
     return place_index_rows(texts, embedder(texts, "url_sitio", "documento"))

@@ -142,7 +142,10 @@ def test_ties_are_exact_and_vectorised():
 def test_blocks_follow_the_vector_length():
     assert block_rows(4096) * 4096 * 8 <= 128 << 20 and block_rows(64) > block_rows(4096)
     blocks, groups = plan_blocks(10_000, 10, 8, block_rows(64), block_rows(64))
-    assert blocks == 1 and groups == 24
+    assert blocks == 1 and groups == 16
+    # Few queries against many items: blocks of items instead of copies of them.
+    blocks, groups = plan_blocks(1_000, 15_000, 8, block_rows(64), block_rows(64))
+    assert blocks > 1 and blocks * groups >= 16
 
 
 def test_requested_subjects_alone_are_scored(spark):
