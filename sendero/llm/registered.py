@@ -32,8 +32,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # As its SQL: runs of two lines. The pipeline cuts long lines alone, too.
-    cut = line_dedup.cut_documents(table(spark, sf_dir, "documents"), long_words=None)
+    cut = line_dedup.cut_documents(table(spark, sf_dir, "documents"))
     return cut.select(F.col("_row.doc_id").alias("doc_id"), "text", "n_lines", "n_removed",
                       F.array_join("starts", ",").alias("run_starts"))
 
@@ -109,7 +108,10 @@ runs AS (SELECT r, doc_id, m, p, t || E'\\n' || lead(t) OVER (PARTITION BY r ORD
 later AS (SELECT r, p FROM (SELECT r, p, (doc_id, m, p) AS here,
                  first_value((doc_id, m, p)) OVER (PARTITION BY run ORDER BY doc_id NULLS LAST, m, p) AS first_place
                  FROM runs WHERE run IS NOT NULL) WHERE here IS DISTINCT FROM first_place),
-gone AS (SELECT DISTINCT r, p + k AS p FROM later, (VALUES (0), (1)) v(k)),
+alone AS (SELECT r, p FROM (SELECT r, p, (doc_id, m, p) AS here,
+                 first_value((doc_id, m, p)) OVER (PARTITION BY t ORDER BY doc_id NULLS LAST, m, p) AS first_place
+                 FROM full_lines WHERE len(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+')) > 20) WHERE here IS DISTINCT FROM first_place),
+gone AS (SELECT DISTINCT r, p FROM (SELECT r, p + k AS p FROM later, (VALUES (0), (1)) v(k) UNION ALL SELECT r, p FROM alone)),
 kept AS (SELECT l.r, l.n, l.line, g.r IS NOT NULL AS gone
          FROM lines l LEFT JOIN full_lines f USING (r, n) LEFT JOIN gone g ON g.r = f.r AND g.p = f.p),
 texts AS (SELECT r, string_agg(line, E'\\n' ORDER BY n) FILTER (NOT gone) AS text, count(*) FILTER (gone) AS n_removed FROM kept GROUP BY r),
