@@ -5,12 +5,13 @@ bidirectional FM-index over word ids each, written once, in buckets by shard.
 Phrases grow by one word a level, to the left and to the right in turn: each
 shard enumerates the extensions of its phrases that are frequent in the whole
 corpus, their counts are summed across shards, and only those that reach the
-minimum go back to the shards (from three words on, an extension's other end
+minimum grow on (from three words on, an extension's other end
 must be frequent, too).  So a level costs the occurrences of frequent phrases,
 not all n-grams.
 Levels are summed by a 64-bit key of language and words, in blocks by bucket of
-keys; that can let a phrase through but never lose one, and the final counts
-are those of the words themselves.
+keys, and a shard gets one bit back for each phrase it has counted; a key can
+let a phrase through but never lose one, and the final counts are those of the
+words themselves.
 
 Scores are relational: each cut of a phrase looks up its two parts, and a
 phrase is dropped where an extension by one word has its count (a longer one
@@ -52,7 +53,7 @@ _END = b"."  # stands for any separator: no word holds one
 
 _INDEX = "shard long, langs array<string>, words binary, lang_of binary, counts binary, forward binary, reverse binary"
 _BLOCK = "bucket int, shard long, level int, keys binary, counts binary"
-_FREQUENT = "shard long, level int, key long"
+_FREQUENT = "shard long, level int, bucket int, bits binary"
 _PHRASE = "lang string, phrase string, words int, n long"
 # Levels that are summed together, and from which side the words come.
 _LEVELS = ((1, 2), (3,), (4, 5))
@@ -143,62 +144,73 @@ def _words(row: dict) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     return words, np.frombuffer(row["counts"], np.int64), hashes
 
 
-def _among(keys: np.ndarray, wanted: np.ndarray | None) -> np.ndarray:
-    if wanted is None or not len(wanted):
+def _among(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    if not len(wanted):
         return np.zeros(len(keys), bool)
     return wanted[np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)] == keys
 
 
-def _grow(row: dict, levels: tuple[int, ...]) -> Iterator[tuple[int, Phrases]]:
-    """The phrases of the shard by level: those the corpus has found frequent,
-    then of ``levels`` all that could be."""
-    _, counts, hashes = _words(row)
-    forward, reverse = (np.frombuffer(row[c], np.int32) if row.get(c) is not None else None for c in ("forward", "reverse"))
-    index = WordIndex(counts, hashes, forward, reverse)
-    last = max(levels, default=MAX_WORDS)
+def _by_bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the keys in the order of their buckets; where each bucket
+    ends.  The same for the same keys, so a bit says which key is meant."""
+    bucket = ((keys.view(np.uint64) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+    return np.argsort(bucket, kind="stable"), np.cumsum(np.bincount(bucket, minlength=buckets))
+
 
-    def could_be(level: int, left: bool):
-        def keep(phrases: Phrases) -> np.ndarray:
-            out = np.ones(len(phrases.count), bool)
-            if row.get(f"k{level - 1}") is not None:  # the end that was there before is frequent; the other must be
-                out &= _among(index.without_end(phrases, not left), row[f"k{level - 1}"])
-            if level not in levels:
-                out[out] = _among(phrases.keys[out], row.get(f"k{level}"))
-            return out
+def _frequent(phrases: Phrases, bits: dict[int, bytes], buckets: int) -> np.ndarray:
+    order, ends = _by_bucket(phrases.keys, buckets)
+    out = np.zeros(len(order), bool)
+    for bucket, packed in bits.items():
+        part = order[ends[bucket - 1] if bucket else 0:ends[bucket]]
+        out[part] = np.unpackbits(np.frombuffer(packed, np.uint8), count=len(part))
+    return out
 
-        return keep
 
-    phrases = index.single()
-    if 1 not in levels:
-        phrases = phrases.take(_among(phrases.keys, row.get("k1")))
-    yield 1, phrases
-    for level in range(2, last + 1):
-        left = _from_left(level)
-        phrases = index.extended(phrases, left, could_be(level, left), intervals=level < last)
-        yield level, phrases
+def _grow(row: dict, counted: int | None, buckets: int) -> Iterator[tuple[int, Phrases]]:
+    """The phrases of the shard by level: of the groups of levels before
+    ``counted`` (None: of all) those the corpus has found frequent, of that
+    group all that could be."""
+    _, counts, hashes = _words(row)
+    forward, reverse = (np.frombuffer(row[c], np.int32) if row.get(c) is not None else None for c in ("forward", "reverse"))
+    index = WordIndex(counts, hashes, forward, reverse)
+    bits: dict[int, dict[int, bytes]] = {level: {} for group in _LEVELS for level in group}
+    for x in row.get("found") or ():
+        bits[x["level"]][x["bucket"]] = x["bits"]
+    groups = _LEVELS if counted is None else _LEVELS[:counted + 1]
+    phrases, known = None, None
+    for number, group in enumerate(groups):
+        for level in group:
+            last, left = level == group[-1], _from_left(level)
+            other_end = known if level == group[0] else None
+
+            def keep(found: Phrases) -> np.ndarray:
+                out = np.ones(len(found.count), bool)
+                if other_end is not None:  # the end that was there before is frequent; the other must be
+                    out &= _among(index.without_end(found, not left), other_end)
+                if last and number != counted:
+                    at = np.flatnonzero(out)
+                    out[at] = _frequent(found.take(at), bits[level], buckets)
+                return out
+
+            phrases = index.single() if level == 1 else index.extended(phrases, left, keep, intervals=level < groups[-1][-1])
+            # Levels of one group are counted together, so none waits for the
+            # one before it to be known.
+            yield level, phrases if number == counted or last else phrases.take(np.flatnonzero(_frequent(phrases, bits[level], buckets)))
+        known = np.sort(phrases.keys)
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
     for i in range(batch.num_rows):
-        row = {}
-        for name, column in zip(batch.schema.names, batch.columns):
-            if re.fullmatch(r"k\d", name):
-                row[name] = np.sort(column[i].values.to_numpy()) if column[i].is_valid else None
-            else:
-                row[name] = column[i].as_py()
-        yield row
+        yield {name: column[i].as_py() for name, column in zip(batch.schema.names, batch.columns)}
 
 
-def _count_level(levels: tuple[int, ...], buckets: int):
+def _count_level(counted: int, buckets: int):
     """The counts of a shard, in one block for each bucket of keys."""
     schema = _schema(_BLOCK)
 
     def blocks(shard: int, level: int, phrases: Phrases) -> pa.RecordBatch:
-        keys = phrases.keys
-        bucket = (keys.view(np.uint64) >> np.uint64(32)) % np.uint64(buckets)
-        order = np.argsort(bucket)
-        ends = np.cumsum(np.bincount(bucket.astype(np.int64), minlength=buckets))
-        keys, counts = keys[order], phrases.count[order]
+        order, ends = _by_bucket(phrases.keys, buckets)
+        keys, counts = phrases.keys[order], phrases.count[order]
         filled = np.flatnonzero(np.diff(ends, prepend=0))
         parts = [(ends[i - 1] if i else 0, ends[i]) for i in filled.tolist()]
         return pa.RecordBatch.from_arrays(
@@ -209,65 +221,67 @@ def _count_level(levels: tuple[int, ...], buckets: int):
     def run(batches):
         for batch in batches:
             for row in _rows(batch):
-                for level, phrases in _grow(row, levels):
-                    if level in levels:
+                for level, phrases in _grow(row, counted, buckets):
+                    if level in _LEVELS[counted]:
                         yield blocks(row["shard"], level, phrases)
 
     return run
 
 
 def _sum_buckets(min_count: int):
-    """Of blocks in the order of their buckets, where the sum of a key over
-    all shards reaches the minimum: shard, level and key."""
+    """For each block, one bit a key: does its sum over all shards reach the
+    minimum?  Blocks come in the order of their buckets."""
     schema = _schema(_FREQUENT)
 
-    def summed(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+    def summed(bucket: int, held: list[tuple]) -> pa.RecordBatch:
         keys = np.concatenate([np.frombuffer(k, np.int64) for _, _, k, _ in held])
         counts = np.concatenate([np.frombuffer(n, np.int64) for _, _, _, n in held])
-        block = np.repeat(np.arange(len(held)), [len(k) // 8 for _, _, k, _ in held])
         order = np.argsort(keys)
         sorted_keys = keys[order]
         new = np.ones(len(keys), bool)
         new[1:] = sorted_keys[1:] != sorted_keys[:-1]
         first = np.flatnonzero(new)
-        enough = np.add.reduceat(counts[order], first) >= min_count
-        chosen = order[np.repeat(enough, np.diff(np.append(first, len(keys))))]
-        shards, levels = (np.array([h[i] for h in held]) for i in (0, 1))
-        for lo in range(0, len(chosen), 100_000):
-            at = chosen[lo:lo + 100_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(shards[block[at]]), pa.array(levels[block[at]].astype(np.int32)), pa.array(keys[at])], schema=schema)
+        enough = np.empty(len(keys), bool)
+        enough[order] = np.repeat(np.add.reduceat(counts[order], first) >= min_count, np.diff(np.append(first, len(keys))))
+        parts = np.split(enough, np.cumsum([len(k) // 8 for _, _, k, _ in held])[:-1])
+        return pa.RecordBatch.from_arrays(
+            [pa.array([h[0] for h in held]), pa.array([h[1] for h in held], pa.int32()), pa.array([bucket] * len(held), pa.int32()),
+             pa.array([np.packbits(x).tobytes() for x in parts], pa.binary())], schema=schema)
 
     def run(batches):
         held, bucket = [], None
         for batch in batches:
             for b, *block in zip(*(c.to_pylist() for c in batch.columns)):
                 if held and b != bucket:
-                    yield from summed(held)
+                    yield summed(bucket, held)
                     held = []
                 bucket = b
                 held.append(block)
         if held:
-            yield from summed(held)
+            yield summed(bucket, held)
 
     return run
 
 
-def _spell(batches):
+def _spell(buckets: int):
     """The frequent phrases in words, and each language's total as a phrase of none."""
-    schema = _schema(_PHRASE)
-    for batch in batches:
-        for row in _rows(batch):
-            words = [w.decode("utf-8", "replace") for w in row["words"].split(b"\n")]
-            lang_of, counts = np.frombuffer(row["lang_of"], np.int32), np.frombuffer(row["counts"], np.int64)
-            totals = np.bincount(lang_of[1:], weights=counts[1:], minlength=len(row["langs"])).astype(np.int64)
-            out = [(lang, "", 0, int(n)) for lang, n in zip(row["langs"], totals)]
-            for level, phrases in _grow(row, ()):
-                for ids, n in zip(phrases.words.tolist(), phrases.count.tolist()):
-                    out.append((row["langs"][lang_of[ids[0]]], " ".join([words[i] for i in ids]), level, n))
-            for lo in range(0, len(out), 10_000):
-                columns = zip(*out[lo:lo + 10_000])
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    def run(batches):
+        schema = _schema(_PHRASE)
+        for batch in batches:
+            for row in _rows(batch):
+                words = [w.decode("utf-8", "replace") for w in row["words"].split(b"\n")]
+                lang_of, counts = np.frombuffer(row["lang_of"], np.int32), np.frombuffer(row["counts"], np.int64)
+                totals = np.bincount(lang_of[1:], weights=counts[1:], minlength=len(row["langs"])).astype(np.int64)
+                out = [(lang, "", 0, int(n)) for lang, n in zip(row["langs"], totals)]
+                for level, phrases in _grow(row, None, buckets):
+                    for ids, n in zip(phrases.words.tolist(), phrases.count.tolist()):
+                        out.append((row["langs"][lang_of[ids[0]]], " ".join([words[i] for i in ids]), level, n))
+                for lo in range(0, len(out), 10_000):
+                    columns = zip(*out[lo:lo + 10_000])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    return run
 
 
 def phrase_counts(docs: DataFrame, steps: Steps, min_count: int = MIN_COUNT, shard_words: int = SHARD_WORDS) -> DataFrame:
@@ -280,24 +294,23 @@ def phrase_counts(docs: DataFrame, steps: Steps, min_count: int = MIN_COUNT, sha
     known: list[DataFrame] = []
 
     def shards(*columns: str) -> DataFrame:
-        """The shards with the keys of their frequent phrases by level."""
+        """The shards, with what is known of their phrases."""
         held = index.select("shard", "langs", "words", "lang_of", "counts", *columns)
         if not known:
             return held
         found = known[0]
         for more in known[1:]:
             found = found.unionByName(more)
-        # No more than the shard has phrases.
-        keys = found.groupBy("shard").agg(*[F.collect_list(F.when(F.col("level") == x, F.col("key"))).alias(f"k{x}")
-                                            for group in _LEVELS[:len(known)] for x in group])
-        return held.join(keys.hint("shuffle_hash"), "shard")
+        # One bit for each phrase that the shard has counted.
+        found = found.groupBy("shard").agg(F.collect_list(F.struct("level", "bucket", "bits")).alias("found"))
+        return held.join(found.hint("shuffle_hash"), "shard")
 
-    for levels in _LEVELS:
+    for counted, levels in enumerate(_LEVELS):
         sides = ("forward",) if max(levels) == 2 else ("forward", "reverse")
-        blocks = shards(*sides).mapInArrow(_count_level(levels, buckets), _BLOCK)
+        blocks = shards(*sides).mapInArrow(_count_level(counted, buckets), _BLOCK)
         dealt = blocks.repartition("bucket").sortWithinPartitions("bucket")
         known.append(steps.write(dealt.mapInArrow(_sum_buckets(min_count), _FREQUENT), "phrase-level", wide_rows=True))
-    spelt = shards("forward", "reverse").mapInArrow(_spell, _PHRASE)
+    spelt = shards("forward", "reverse").mapInArrow(_spell(buckets), _PHRASE)
     counts = steps.write(spelt.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")).where(
         (F.col("n") >= min_count) | (F.col("words") == 0)), "phrase-counts", wide_rows=True)
     steps.done(index, *known)
