@@ -48,11 +48,11 @@ def test_toxicity_scores_row_by_row(tables):
 
 
 def test_rare_but_clear_words_are_learnt(spark):
-    """A word in 4 of 240 positives, so in under 2 % of them."""
+    """A word in 6 of some 240 positives."""
     rng = random.Random(1)
     plain = [" ".join(f"p{rng.randrange(50)}" for _ in range(12)) for _ in range(1500)]
     docs = [(i, t + (" horrid" if i % 5 == 0 else "")) for i, t in enumerate(plain)]
-    learnt = [i for i in range(5, 1500, 5) if not _held(i)][:5]
+    learnt = [i for i in range(5, 1500, 5) if not _held(i)][:6]
     docs = [(i, t.replace("horrid", "rareslur") if i in learnt else t) for i, t in docs] + [(5000, "p1 p2 rareslur"), (5001, "p1 p2 p3")]
     labels = [(i, 1, int(i % 5 == 0)) for i in range(1500)]
     scores = {r.doc_id: r.score for r in toxicity.toxicity_scores(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS)).collect()}
