@@ -541,18 +541,19 @@ def test_license_edges(odd, none):
 def test_registered_names_and_oracle():
     from sendero.llm import registered
 
-    assert sorted(int(n[2:].split("_")[0]) for n in registered.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in registered.QUERIES) == list(range(1, 14))
     assert set(registered.ORACLE) <= set(registered.QUERIES)
 
 
-@pytest.mark.parametrize("name", ["op1_exact_dedup", "op4_decontamination", "op6_line_dedup", "op7_lm_score", "op9_mixing"])
+@pytest.mark.parametrize("name", ["op1_exact_dedup", "op4_decontamination", "op6_line_dedup", "op7_lm_score", "op9_mixing",
+                                  "op11_collocations", "op12_suffix_dedup", "op13_filter_audit"])
 def test_registered_against_sql(spark, name):
     import duckdb
 
     from sendero.llm import registered
 
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
     frame = registered.QUERIES[name](spark, SF_SMALL)
     found = con.execute(registered.ORACLE[name])
