@@ -8,10 +8,12 @@ corpus, their counts are summed across shards, and only those that reach the
 minimum grow on (from three words on, an extension's other end
 must be frequent, too).  So a level costs the occurrences of frequent phrases,
 not all n-grams.
-Levels are summed by a 64-bit key of language and words, in blocks by bucket of
-keys, and a shard gets one bit back for each phrase it has counted; a key can
-let a phrase through but never lose one, and the final counts are those of the
-words themselves.
+Levels are summed in blocks by bucket of keys, where a phrase is its language
+and words in two independent 64-bit hashes (among 10^12 different phrases the
+odds of one pair alike in both are below 10^-14; a pair alike in one is told
+apart).  A shard gets one bit back for each phrase it has counted.  Of the
+shards that hold a frequent phrase one, by bucket in turn, also gets the sum and
+spells the phrase, so each phrase is written once and no words are shuffled.
 
 Scores are relational: each cut of a phrase looks up its two parts, and a
 phrase is dropped where an extension by one word has its count (a longer one
@@ -39,6 +41,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sendero.llm.common import text_or_empty
+from sendero.llm.rolling import BASES, mixed, powers
 from sendero.llm.steps import Steps
 from sendero.llm.word_index import Phrases, WordIndex, transform
 
@@ -52,8 +55,8 @@ _SEPARATOR = re.compile(rb"[.,;:!?\n-\r]+")
 _END = b"."  # stands for any separator: no word holds one
 
 _INDEX = "shard long, langs array<string>, words binary, lang_of binary, counts binary, forward binary, reverse binary"
-_BLOCK = "bucket int, shard long, level int, keys binary, counts binary"
-_FREQUENT = "shard long, level int, bucket int, bits binary"
+_BLOCK = "bucket int, shard long, level int, keys binary, checks binary, counts binary"
+_FREQUENT = "shard long, level int, bucket int, bits binary, spelt binary, sums binary"
 _PHRASE = "lang string, phrase string, words int, n long"
 # Levels that are summed together, and from which side the words come.
 _LEVELS = ((1, 2), (3,), (4, 5))
@@ -135,13 +138,21 @@ def _index(shard_words: int):
 
 # --- levels --------------------------------------------------------------------------
 
-def _words(row: dict) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Words, counts and word hashes by id (the hash is of language and word)."""
-    words = row["words"].split(b"\n")
+def _hashes(row: dict, seed: int = 0) -> np.ndarray:
+    """Hashes of language and word by id."""
     lang_of = np.frombuffer(row["lang_of"], np.int32).tolist()
     prefix = [x.encode() + b"\n" for x in row["langs"]]
-    hashes = np.array([xxhash.xxh64_intdigest(prefix[i] + w) for i, w in zip(lang_of, words)], np.uint64)
-    return words, np.frombuffer(row["counts"], np.int64), hashes
+    return np.array([xxhash.xxh64_intdigest(prefix[i] + w, seed) for i, w in zip(lang_of, row["words"].split(b"\n"))], np.uint64)
+
+
+def _checks(phrases: Phrases, hashes: np.ndarray) -> np.ndarray:
+    """A second hash of each phrase, from other hashes of its words."""
+    n = phrases.words.shape[1]
+    up, _ = powers(BASES[1], n + 1)
+    out = np.full(len(phrases.words), n, np.uint64)
+    for i in range(n):
+        out += hashes[phrases.words[:, i]] * up[i]
+    return mixed(out)
 
 
 def _among(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -166,11 +177,22 @@ def _frequent(phrases: Phrases, bits: dict[int, bytes], buckets: int) -> np.ndar
     return out
 
 
+def _spelt(phrases: Phrases, found: dict[int, dict], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the phrases that this shard spells, and their sums."""
+    order, ends = _by_bucket(phrases.keys, buckets)
+    places, sums = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for bucket, x in found.items():
+        part = order[ends[bucket - 1] if bucket else 0:ends[bucket]]
+        places.append(part[np.unpackbits(np.frombuffer(x["spelt"], np.uint8), count=len(part)).astype(bool)])
+        sums.append(np.frombuffer(x["sums"], np.int64))
+    return np.concatenate(places), np.concatenate(sums)
+
+
 def _grow(row: dict, counted: int | None, buckets: int) -> Iterator[tuple[int, Phrases]]:
     """The phrases of the shard by level: of the groups of levels before
     ``counted`` (None: of all) those the corpus has found frequent, of that
     group all that could be."""
-    _, counts, hashes = _words(row)
+    counts, hashes = np.frombuffer(row["counts"], np.int64), _hashes(row)
     forward, reverse = (np.frombuffer(row[c], np.int32) if row.get(c) is not None else None for c in ("forward", "reverse"))
     index = WordIndex(counts, hashes, forward, reverse)
     bits: dict[int, dict[int, bytes]] = {level: {} for group in _LEVELS for level in group}
@@ -208,45 +230,63 @@ def _count_level(counted: int, buckets: int):
     """The counts of a shard, in one block for each bucket of keys."""
     schema = _schema(_BLOCK)
 
-    def blocks(shard: int, level: int, phrases: Phrases) -> pa.RecordBatch:
+    def blocks(shard: int, level: int, phrases: Phrases, hashes: np.ndarray) -> pa.RecordBatch:
         order, ends = _by_bucket(phrases.keys, buckets)
-        keys, counts = phrases.keys[order], phrases.count[order]
+        keys, checks = phrases.keys[order], _checks(phrases, hashes)[order]
+        counts = phrases.count[order].astype(np.int32)  # a shard's words are numbered in 32 bits
         filled = np.flatnonzero(np.diff(ends, prepend=0))
         parts = [(ends[i - 1] if i else 0, ends[i]) for i in filled.tolist()]
         return pa.RecordBatch.from_arrays(
             [pa.array(filled.astype(np.int32)), pa.array(np.full(len(parts), shard)), pa.array(np.full(len(parts), level, np.int32)),
              pa.array([keys[a:b].tobytes() for a, b in parts], pa.binary()),
+             pa.array([checks[a:b].tobytes() for a, b in parts], pa.binary()),
              pa.array([counts[a:b].tobytes() for a, b in parts], pa.binary())], schema=schema)
 
     def run(batches):
         for batch in batches:
             for row in _rows(batch):
+                second = _hashes(row, 1)
                 for level, phrases in _grow(row, counted, buckets):
                     if level in _LEVELS[counted]:
-                        yield blocks(row["shard"], level, phrases)
+                        yield blocks(row["shard"], level, phrases, second)
 
     return run
 
 
 def _sum_buckets(min_count: int):
     """For each block, one bit a key: does its sum over all shards reach the
-    minimum?  Blocks come in the order of their buckets."""
+    minimum?  Of these, one bit a key: is this the block that spells it, and
+    then its sum.  Blocks come in the order of their buckets."""
     schema = _schema(_FREQUENT)
 
     def summed(bucket: int, held: list[tuple]) -> pa.RecordBatch:
-        keys = np.concatenate([np.frombuffer(k, np.int64) for _, _, k, _ in held])
-        counts = np.concatenate([np.frombuffer(n, np.int64) for _, _, _, n in held])
-        order = np.argsort(keys)
-        sorted_keys = keys[order]
-        new = np.ones(len(keys), bool)
-        new[1:] = sorted_keys[1:] != sorted_keys[:-1]
+        # The first block with a key spells it: another shard is first in each bucket.
+        held.sort(key=lambda x: x[:2])
+        turn = xxhash.xxh64_intdigest(bucket.to_bytes(4, "little")) % len(held)
+        held = held[turn:] + held[:turn]
+        keys = np.concatenate([np.frombuffer(h[2], np.int64) for h in held])
+        checks = np.concatenate([np.frombuffer(h[3], np.uint64) for h in held])
+        counts = np.concatenate([np.frombuffer(h[4], np.int32) for h in held])
+        order = np.argsort(keys, kind="stable")
+        new, other = np.ones(len(keys), bool), np.zeros(len(keys), bool)
+        new[1:] = keys[order[1:]] != keys[order[:-1]]
+        other[1:] = checks[order[1:]] != checks[order[:-1]]
+        if (other & ~new).any():  # different phrases with one key
+            order = np.lexsort((checks, keys))
+            new[1:] = (keys[order[1:]] != keys[order[:-1]]) | (checks[order[1:]] != checks[order[:-1]])
         first = np.flatnonzero(new)
-        enough = np.empty(len(keys), bool)
-        enough[order] = np.repeat(np.add.reduceat(counts[order], first) >= min_count, np.diff(np.append(first, len(keys))))
-        parts = np.split(enough, np.cumsum([len(k) // 8 for _, _, k, _ in held])[:-1])
+        sums = np.add.reduceat(counts[order].astype(np.int64), first)
+        frequent = sums >= min_count
+        enough, total = np.empty(len(keys), bool), np.zeros(len(keys), np.int64)
+        enough[order] = np.repeat(frequent, np.diff(np.append(first, len(keys))))
+        total[order[first[frequent]]] = sums[frequent]
+        ends = np.cumsum([len(h[2]) // 8 for h in held])[:-1]
+        parts = [(e, t[e]) for e, t in zip(np.split(enough, ends), np.split(total, ends))]
         return pa.RecordBatch.from_arrays(
             [pa.array([h[0] for h in held]), pa.array([h[1] for h in held], pa.int32()), pa.array([bucket] * len(held), pa.int32()),
-             pa.array([np.packbits(x).tobytes() for x in parts], pa.binary())], schema=schema)
+             pa.array([np.packbits(e).tobytes() for e, _ in parts], pa.binary()),
+             pa.array([np.packbits(t > 0).tobytes() for _, t in parts], pa.binary()),
+             pa.array([t[t > 0].tobytes() for _, t in parts], pa.binary())], schema=schema)
 
     def run(batches):
         held, bucket = [], None
@@ -264,7 +304,8 @@ def _sum_buckets(min_count: int):
 
 
 def _spell(buckets: int):
-    """The frequent phrases in words, and each language's total as a phrase of none."""
+    """The frequent phrases that fall to the shard, in words, and each
+    language's words in it as a phrase of none."""
 
     def run(batches):
         schema = _schema(_PHRASE)
@@ -274,8 +315,12 @@ def _spell(buckets: int):
                 lang_of, counts = np.frombuffer(row["lang_of"], np.int32), np.frombuffer(row["counts"], np.int64)
                 totals = np.bincount(lang_of[1:], weights=counts[1:], minlength=len(row["langs"])).astype(np.int64)
                 out = [(lang, "", 0, int(n)) for lang, n in zip(row["langs"], totals)]
+                found: dict[int, dict[int, dict]] = defaultdict(dict)
+                for x in row["found"] or ():
+                    found[x["level"]][x["bucket"]] = x
                 for level, phrases in _grow(row, None, buckets):
-                    for ids, n in zip(phrases.words.tolist(), phrases.count.tolist()):
+                    places, sums = _spelt(phrases, found[level], buckets)
+                    for ids, n in zip(phrases.words[places].tolist(), sums.tolist()):
                         out.append((row["langs"][lang_of[ids[0]]], " ".join([words[i] for i in ids]), level, n))
                 for lo in range(0, len(out), 10_000):
                     columns = zip(*out[lo:lo + 10_000])
@@ -293,7 +338,7 @@ def phrase_counts(docs: DataFrame, steps: Steps, min_count: int = MIN_COUNT, sha
     buckets = _BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     known: list[DataFrame] = []
 
-    def shards(*columns: str) -> DataFrame:
+    def shards(*columns: str, about: tuple[str, ...] = ("bits",)) -> DataFrame:
         """The shards, with what is known of their phrases."""
         held = index.select("shard", "langs", "words", "lang_of", "counts", *columns)
         if not known:
@@ -302,7 +347,7 @@ def phrase_counts(docs: DataFrame, steps: Steps, min_count: int = MIN_COUNT, sha
         for more in known[1:]:
             found = found.unionByName(more)
         # One bit for each phrase that the shard has counted.
-        found = found.groupBy("shard").agg(F.collect_list(F.struct("level", "bucket", "bits")).alias("found"))
+        found = found.groupBy("shard").agg(F.collect_list(F.struct("level", "bucket", *about)).alias("found"))
         return held.join(found.hint("shuffle_hash"), "shard")
 
     for counted, levels in enumerate(_LEVELS):
@@ -310,11 +355,11 @@ def phrase_counts(docs: DataFrame, steps: Steps, min_count: int = MIN_COUNT, sha
         blocks = shards(*sides).mapInArrow(_count_level(counted, buckets), _BLOCK)
         dealt = blocks.repartition("bucket").sortWithinPartitions("bucket")
         known.append(steps.write(dealt.mapInArrow(_sum_buckets(min_count), _FREQUENT), "phrase-level", wide_rows=True))
-    spelt = shards("forward", "reverse").mapInArrow(_spell(buckets), _PHRASE)
-    counts = steps.write(spelt.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")).where(
-        (F.col("n") >= min_count) | (F.col("words") == 0)), "phrase-counts", wide_rows=True)
+    spelt = steps.write(shards("forward", "reverse", about=("bits", "spelt", "sums")).mapInArrow(_spell(buckets), _PHRASE),
+                        "phrase-counts", wide_rows=True)
     steps.done(index, *known)
-    return counts
+    totals = spelt.where("words = 0").groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
+    return spelt.where("words > 0").unionByName(totals)
 
 
 # --- scores --------------------------------------------------------------------------

@@ -91,3 +91,23 @@ def test_intervals_hold_every_occurrence():
             for end, cut in ((True, slice(1, None)), (False, slice(None, -1))):
                 for words, key in zip(phrases.words.tolist(), index.without_end(phrases, end).tolist()):
                     assert key == keys[level - 1][tuple(words[cut])]
+
+
+def test_different_phrases_with_one_key_are_told_apart():
+    """One shard each spells a frequent phrase, with the sum of all."""
+    import pyarrow as pa
+
+    schema = C._schema(C._BLOCK)
+
+    def block(shard, keys, checks, counts):
+        return (3, shard, 2, np.array(keys, np.int64).tobytes(), np.array(checks, np.uint64).tobytes(), np.array(counts, np.int32).tobytes())
+
+    blocks = [block(0, [5, 7, 9], [1, 1, 4], [60, 30, 1]), block(1, [9, 7, 5], [4, 2, 1], [98, 80, 50]), block(2, [7], [2], [30])]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*blocks), schema)], schema=schema)
+    out, = C._sum_buckets(100)([batch])
+    rows = {r["shard"]: r for r in out.to_pylist()}
+    bits = {s: np.unpackbits(np.frombuffer(r["bits"], np.uint8)).tolist() for s, r in rows.items()}
+    assert bits[0][:3] == [1, 0, 0] and bits[1][:3] == [0, 1, 1] and bits[2][:1] == [1]
+    sums = sorted(n for r in rows.values() for n in np.frombuffer(r["sums"], np.int64).tolist())
+    assert sums == [110, 110]
+    assert sum(int(np.unpackbits(np.frombuffer(r["spelt"], np.uint8)).sum()) for r in rows.values()) == 2
