@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sendero.operators.clean import ROW_ORDER
 from sendero.sources.schemas import INTERACTION_COLUMNS, PROFILE_COLUMNS
+from sendero.sources.split_csv import csv_records
 
 # --- fixed values: cells read as missing (the default missing-value words of
 # pandas' CSV reader, which the reference uses); matched exactly. ---
@@ -32,27 +33,23 @@ def null_tokens(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+_OPTIONS = {"header": "true", "encoding": "ISO-8859-1", "mode": "PERMISSIVE", "multiLine": "true", "escape": '"'}
+
+
 def _read(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    raw = (
-        spark.read.option("header", True)
-        .option("encoding", "ISO-8859-1")
-        .option("mode", "PERMISSIVE")
-        # Quoted cells may hold line breaks and doubled quotes.  With
-        # multiLine a file is one task: give large inputs as many files, or
-        # as Parquet through ``Pipeline.from_frames``.
-        .option("multiLine", True)
-        .option("escape", '"')
-        .csv(path)
-    )
-    raw = strip_headers(raw)
+    """Quoted cells may hold line breaks and doubled quotes.  Files are read in
+    splits (``split_csv``); only their header goes through Spark's reader."""
+    header = spark.read.options(**_OPTIONS).csv(path).columns
+    records = csv_records(spark, path).where(~F.col("first"))
+    cells = ", ".join(f"c{i} string" for i in range(len(header)))
+    cells = F.from_csv("record", cells, {k: v for k, v in _OPTIONS.items() if k != "header"})
+    raw = records.select("row_order", cells.alias("r")).select("row_order", *[F.col(f"r.c{i}") for i in range(len(header))])
+    raw = raw.toDF("row_order", *[c.strip() for c in header])
     # Declared columns absent from the file are added as nulls; every column is
     # read as text and typed by the cleaning step.
-    for name in columns:
-        if name not in raw.columns:
-            raw = raw.withColumn(name, F.lit(None).cast("string"))
-    rows = null_tokens(raw.select(*[F.col(c).cast("string") for c in columns]))
-    # Increasing along a file, as no file is split.
-    return rows.withColumn(ROW_ORDER, F.monotonically_increasing_id())
+    rows = raw.select(*[(F.col(f"`{c}`") if c in raw.columns else F.lit(None).cast("string")).alias(c) for c in columns],
+                      F.col("row_order").alias(ROW_ORDER))
+    return null_tokens(rows)
 
 
 def read_profiles_csv(spark: SparkSession, path: str) -> DataFrame:
