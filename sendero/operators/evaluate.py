@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sendero.operators.clean import ORDER
+from sendero.session import write_once
 
 U = "id_usuario"
 URL = "url_sitio"
@@ -44,6 +45,23 @@ def split_temporal(inter: DataFrame, cutoff) -> DataFrame:
     return inter.select("id_interaccion", U, URL, "fecha_interaccion", part.alias("particion"))
 
 
+def split_by_rank(inter: DataFrame, fraction: float = TRAIN_FRACTION) -> DataFrame:
+    """E1 per user: every interaction with its percent rank by date among those
+    of its user, tagged train below ``fraction``.  Rows of one date share a
+    rank, missing dates come last, a user's only date has rank 0.
+
+    Ranks follow from the counts by user and date, so no task sorts all rows of
+    a user; they are written, so that the join deals rows by user and date."""
+    day = "fecha_interaccion"
+    by_date = Window.partitionBy(U).orderBy(F.col(day).asc_nulls_last())
+    counts = inter.groupBy(U, day).agg(F.count(F.lit(1)).alias("c"))
+    before = F.sum("c").over(by_date.rowsBetween(Window.unboundedPreceding, 0)) - F.col("c")
+    others = F.sum("c").over(Window.partitionBy(U)) - 1
+    ranks = write_once(counts.select(U, F.col(day).alias("_d"), F.when(others > 0, before / others).otherwise(0.0).alias("rango")), "date-ranks")
+    rows = inter.select("id_interaccion", U, URL, day).join(ranks.withColumnRenamed(U, "_u"), (F.col(U) == F.col("_u")) & F.col(day).eqNullSafe(F.col("_d")))
+    return rows.select("id_interaccion", U, URL, day, "rango", F.when(F.col("rango") < fraction, "train").otherwise("test").alias("particion"))
+
+
 def temporal_train(inter: DataFrame, cutoff) -> DataFrame:
     return inter.where(F.col("fecha_interaccion") < F.lit(cutoff))
 

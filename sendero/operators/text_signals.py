@@ -98,6 +98,24 @@ def geo_grounding(recs: DataFrame, user_texts: DataFrame) -> DataFrame:
                     (F.instr(F.col("contexto"), F.col("ubicacion")) > 0).cast("int").alias("fundamentado"))
 
 
+PERCENTILES = (0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
+
+
+def narrative_percentiles(texts: DataFrame) -> DataFrame:
+    """Exact percentiles (linear between neighbours) of the characters and
+    tokens of each narrative form, one row a form and percentile.  Lengths are
+    counted by value first, so a form is aggregated from few rows."""
+    t = F.col("texto")
+    lengths = texts.where(t.isNotNull() & (t != "")).select("forma", F.explode(F.array(
+        F.struct(F.lit("caracteres").alias("medida"), F.length(t).alias("v")),
+        F.struct(F.lit("tokens").alias("medida"), F.size(tokens(t)).alias("v")))).alias("m"))
+    counts = lengths.groupBy("forma", "m.medida", "m.v").agg(F.count(F.lit(1)).alias("n"))
+    at = F.array(*[F.lit(p) for p in PERCENTILES])
+    found = counts.groupBy("forma", "medida").agg(F.percentile("v", at, F.col("n")).alias("p"))
+    pairs = F.explode(F.arrays_zip(at.alias("percentil"), F.col("p").alias("valor")))
+    return found.select("forma", "medida", pairs.alias("x")).select("forma", "medida", "x.percentil", F.round("x.valor", 4).alias("valor"))
+
+
 def narrative_stats(texts: DataFrame) -> DataFrame:
     """Per narrative form (texts: forma, texto), count, mean/max
     characters and mean tokens."""

@@ -74,6 +74,15 @@ def _split_temporal(p: Pipeline) -> DataFrame:
     return E.split_temporal(p.interactions, E.temporal_cutoff(p.interactions))
 
 
+@register("split_by_rank", O.sql(f"""
+SELECT *, CASE WHEN rango < {E.TRAIN_FRACTION} THEN 'train' ELSE 'test' END AS particion FROM (
+  SELECT id_interaccion, id_usuario, url_sitio, fecha_interaccion,
+    percent_rank() OVER (PARTITION BY id_usuario ORDER BY fecha_interaccion NULLS LAST) AS rango FROM inter)""", "inter"))
+def _split_by_rank(p: Pipeline) -> DataFrame:
+    """Every interaction tagged train/test by its rank among its user's."""
+    return E.split_by_rank(p.interactions)
+
+
 @register("split_leave_one_out", O.sql("SELECT * FROM rel_loo", "rel_loo"))
 def _split_leave_one_out(p: Pipeline) -> DataFrame:
     """Per user, the held-out site (latest first-time visit)."""
@@ -407,22 +416,43 @@ def _geo_grounding(p: Pipeline) -> DataFrame:
     return TS.geo_grounding(p.topk_places(6), p.user_texts)
 
 
-@register("narrative_stats", O.sql("""
-SELECT forma, count(*) AS n, round(avg(length(texto)), 4) AS caracteres_medios,
-  CAST(max(length(texto)) AS INTEGER) AS caracteres_max,
-  round(avg(len(string_split(lower(texto), ' '))), 4) AS tokens_medios
-FROM (SELECT 'explicita' AS forma, narrativa_explicita AS texto FROM user_texts
+_FORMS_SQL = """(SELECT 'explicita' AS forma, narrativa_explicita AS texto FROM user_texts
       UNION ALL SELECT 'implicita', narrativa_implicita FROM user_texts
       UNION ALL SELECT 'documento', documento FROM user_texts
       UNION ALL SELECT 'contexto', contexto FROM user_texts
-      UNION ALL SELECT 'sitio', documento FROM place_texts)
-WHERE texto IS NOT NULL AND texto <> '' GROUP BY forma""", "user_texts", "place_texts"))
-def _narrative_stats(p: Pipeline) -> DataFrame:
-    """Length and token statistics of every narrative form."""
+      UNION ALL SELECT 'sitio', documento FROM place_texts)"""
+
+
+def _forms(p: Pipeline) -> DataFrame:
     forms = F.array(*[F.struct(F.lit(form).alias("forma"), F.col(c).alias("texto")) for form, c in (
         ("explicita", "narrativa_explicita"), ("implicita", "narrativa_implicita"), ("documento", "documento"), ("contexto", "contexto"))])
     users = p.user_texts.select(F.explode(forms).alias("f")).select("f.forma", "f.texto")
-    return TS.narrative_stats(users.unionByName(p.place_texts.select(F.lit("sitio").alias("forma"), F.col("documento").alias("texto"))))
+    return users.unionByName(p.place_texts.select(F.lit("sitio").alias("forma"), F.col("documento").alias("texto")))
+
+
+@register("narrative_stats", O.sql(f"""
+SELECT forma, count(*) AS n, round(avg(length(texto)), 4) AS caracteres_medios,
+  CAST(max(length(texto)) AS INTEGER) AS caracteres_max,
+  round(avg(len(string_split(lower(texto), ' '))), 4) AS tokens_medios
+FROM {_FORMS_SQL}
+WHERE texto IS NOT NULL AND texto <> '' GROUP BY forma""", "user_texts", "place_texts"))
+def _narrative_stats(p: Pipeline) -> DataFrame:
+    """Length and token statistics of every narrative form."""
+    return TS.narrative_stats(_forms(p))
+
+
+_POINTS_SQL = f"CAST([{', '.join(map(str, TS.PERCENTILES))}] AS DOUBLE[])"
+
+
+@register("narrative_percentiles", O.sql(f"""
+SELECT forma, medida, percentil, round(valor, 4) AS valor FROM (
+  SELECT forma, medida, unnest({_POINTS_SQL}) AS percentil, unnest(quantile_cont(v, [{', '.join(map(str, TS.PERCENTILES))}])) AS valor FROM (
+    SELECT forma, 'caracteres' AS medida, CAST(length(texto) AS DOUBLE) AS v FROM {_FORMS_SQL} WHERE texto <> ''
+    UNION ALL SELECT forma, 'tokens', CAST(len(string_split(lower(texto), ' ')) AS DOUBLE) FROM {_FORMS_SQL} WHERE texto <> '')
+  GROUP BY forma, medida)""", "user_texts", "place_texts"))
+def _narrative_percentiles(p: Pipeline) -> DataFrame:
+    """Percentiles of characters and tokens of every narrative form."""
+    return TS.narrative_percentiles(_forms(p))
 
 
 # --- collaborative baseline, calibration ------------------------------------------------
