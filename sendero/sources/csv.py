@@ -17,11 +17,6 @@ NULL_TOKENS = [
 ]
 
 
-def strip_headers(df: DataFrame) -> DataFrame:
-    """Header names with surrounding blanks trimmed."""
-    return df.toDF(*[c.strip() for c in df.columns])
-
-
 def null_tokens(df: DataFrame) -> DataFrame:
     """Missing-value words in text columns become nulls (one projection)."""
     out = []
