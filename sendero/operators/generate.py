@@ -32,6 +32,23 @@ def response_schema(kind: str) -> str:
     return f"{name} array<struct<{', '.join(f'{f}: string' for f in fields)}>>"
 
 
+def answer_rows(generator: Generator, pdf: pd.DataFrame) -> tuple[list, list]:
+    """(answers, errors) of a batch: where the call fails, its rows are
+    called one by one."""
+
+    def one(row: pd.DataFrame):
+        try:
+            return list(generator(row))[0], None
+        except Exception as failed:  # noqa: BLE001
+            return None, f"{type(failed).__name__}: {failed}"
+
+    try:
+        return list(generator(pdf)), [None] * len(pdf)
+    except Exception:  # noqa: BLE001  whatever the caller's client raises
+        rows = [one(pdf.iloc[i:i + 1]) for i in range(len(pdf))]
+        return [r for r, _ in rows], [e for _, e in rows]
+
+
 def generate(prompts: DataFrame, key: str, generator: Generator) -> DataFrame:
     """M3: (key, modelo_usado, respuesta, error) for every prompt row.
 
@@ -46,17 +63,8 @@ def generate(prompts: DataFrame, key: str, generator: Generator) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            try:
-                out, errors = list(generator(pdf)), [None] * len(pdf)
-            except Exception:  # noqa: BLE001  whatever the caller's client raises
-                out, errors = zip(*[one(pdf.iloc[i:i + 1]) for i in range(len(pdf))])
-            yield pd.DataFrame({key: pdf[key], "modelo_usado": pdf["modelo_usado"], "respuesta": list(out), "error": list(errors)})
-
-    def one(row: pd.DataFrame):
-        try:
-            return list(generator(row))[0], None
-        except Exception as failed:  # noqa: BLE001
-            return None, f"{type(failed).__name__}: {failed}"
+            out, errors = answer_rows(generator, pdf)
+            yield pd.DataFrame({key: pdf[key], "modelo_usado": pdf["modelo_usado"], "respuesta": out, "error": errors})
 
     return prompts.mapInPandas(run, f"`{key}` string, modelo_usado string, respuesta string, error string")
 

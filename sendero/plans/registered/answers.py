@@ -5,15 +5,18 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from sendero.functions import fixed
 from sendero.functions.text import render_sql
 from sendero.operators import generate as G
+from sendero.operators import ledger as L
 from sendero.operators import prompts as PR
 from sendero.operators import recommend as R
 from sendero.plans import oracle as O
 from sendero.plans.pipeline import Pipeline
 from sendero.plans.registry import register
+from sendero.session import drop_written, scratch_path, write_once
 
 
 # --- prompts, generation, answers ------------------------------------------------------------
@@ -23,10 +26,13 @@ O.candidate_json_fragment("direct_lists", O.topk_places_fragment(6), "id_usuario
 O.candidate_json_fragment("inverse_lists", O.topk_users_fragment(10), "url_sitio", PR.INVERSE_FIELDS)
 
 
-@register("prompt_direct", O.sql(f"""
+O.fragment("direct_prompt_rows", f"""
 SELECT l.id_usuario, '{fixed.DEFAULT_GENERATOR}' AS modelo_usado, '{_OPTIONS_JSON}' AS opciones, l.n_candidatos, l.candidates_json,
   {render_sql(fixed.DIRECT_PROMPT_TEMPLATE, top_n="'3'", user_context='u.contexto', candidates_json='l.candidates_json')} AS prompt
-FROM direct_lists l JOIN user_texts u ON u.id_usuario = l.id_usuario""", "direct_lists", "user_texts"))
+FROM direct_lists l JOIN user_texts u ON u.id_usuario = l.id_usuario""", "direct_lists", "user_texts")
+
+
+@register("prompt_direct", O.sql("SELECT * FROM direct_prompt_rows", "direct_prompt_rows"))
 def _prompt_direct(p: Pipeline) -> DataFrame:
     """Direct prompt of every user (K=6, N=3)."""
     return PR.direct_prompts(p.user_texts, p.topk_places(6), 3)
@@ -71,6 +77,63 @@ def _generate_stub(p: Pipeline) -> DataFrame:
     return G.generate(prompts, "id_usuario", G.stub_generator("direct", 3)).drop("error")
 
 
+# Sixteen answers as a model might give them, good and bad; which of them are
+# well formed is for the parser here, and for DuckDB's JSON functions in the SQL.
+_LIST = fixed.DIRECT_RESPONSE_LIST
+LITERAL_ANSWERS = [
+    f'{{"{_LIST}": [{{"nombre_sitio": "Uno", "categoria_sitio": "c", "ubicacion": "u", "nivel_afinidad": "a", "justificacion": "j"}}]}}',
+    f'{{"{_LIST}": [{{"nombre_sitio": "Uno"}}, {{"nombre_sitio": "Dos"}}, {{"nombre_sitio": "Tres"}}]}}',
+    f'{{"{_LIST}": [{{"nombre_sitio": "1"}}, {{"nombre_sitio": "2"}}, {{"nombre_sitio": "3"}}, {{"nombre_sitio": "4"}}, {{"nombre_sitio": "5"}}]}}',
+    f'{{"{_LIST}": [{{"nombre_sitio": 5, "ubicacion": null}}]}}',
+    f'{{"nota": "con texto", "{_LIST}": [{{"nombre_sitio": "Ávila", "justificacion": "cerca, \\"bien\\""}}]}}',
+    f'{{"{_LIST}": []}}',
+    f'{{"{_LIST}": null}}',
+    f'{{"{_LIST}": "Uno, Dos"}}',
+    f'{{"{_LIST}": {{"nombre_sitio": "Uno"}}}}',
+    f'{{"{_LIST}": [1, 2, 3]}}',
+    f'{{"{_LIST}": [{{"nombre_sitio": "Uno"}}, "Dos"]}}',
+    f'{{"otra": [{{"nombre_sitio": "Uno"}}]}}',
+    '[{"nombre_sitio": "Uno"}]',
+    f'{{"{_LIST}": [{{"nombre_sitio": "Uno"}}',
+    "Lo siento, no puedo ayudar con eso.",
+    "",
+]
+SAMPLING = [json.dumps(fixed.GENERATION_OPTIONS | {"temperature": t}, separators=(",", ":"), sort_keys=True) for t in (0.1, 0.7, 1.0)]
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+@register("generation_ledger", O.sql(f"""
+SELECT * FROM (
+WITH asked AS (SELECT id_usuario, modelo_usado, o.opciones, md5(prompt || chr(10) || o.opciones) AS h FROM direct_prompt_rows
+               CROSS JOIN (VALUES {', '.join(f'({_quoted(o)})' for o in SAMPLING)}) o(opciones)),
+texts(d, respuesta) AS (VALUES {', '.join(f"('{n:x}', {_quoted(a)})" for n, a in enumerate(LITERAL_ANSWERS))}),
+judged AS (SELECT d, CASE WHEN json_valid(respuesta) THEN json_extract(respuesta, '$.{_LIST}') END AS l FROM texts),
+status AS (SELECT d, coalesce(json_type(l) = 'ARRAY' AND json_array_length(l) > 0 AND
+             len(list_filter(json_extract(l, '$[*]'), lambda x: json_type(x) <> 'OBJECT')) = 0, false) AS ok, json_array_length(l) AS n FROM judged)
+SELECT modelo_usado, opciones, count(*) AS respuestas, count(*) FILTER (WHERE ok) AS validas,
+  count(*) FILTER (WHERE ok AND n > 3) AS con_excedente, round(avg(CASE WHEN ok THEN 1 ELSE 0 END), 6) AS tasa,
+  (SELECT count(DISTINCT h) FROM asked) AS enviadas, CAST(0 AS BIGINT) AS enviadas_otra_vez
+FROM asked a JOIN status s ON s.d = substr(a.h, 1, 1) GROUP BY modelo_usado, opciones)""", "direct_prompt_rows"))
+def _generation_ledger(p: Pipeline) -> DataFrame:
+    """Every user's prompt at three sampling options through the
+    ledger, twice: what the second run sends again, and the share of
+    well-formed answers by option, from what is stored."""
+    prompts = write_once(L.sweep_options(PR.direct_prompts(p.user_texts, p.topk_places(6), 3), SAMPLING).withColumn(
+        "pregunta", F.concat_ws("|", "id_usuario", "opciones")), "swept-prompts")
+    ledger = L.AnswerLedger(p.spark, scratch_path(p.spark, "ledger"))
+    generator = L.literal_generator(LITERAL_ANSWERS)
+    sent, again = ledger.ask(prompts, generator), ledger.ask(prompts, generator)
+    answers = write_once(ledger.answers(prompts, "pregunta"), "answers")
+    drop_written(prompts)
+    ledger.delete()
+    _, rejected = G.parse_responses(answers, "pregunta", "direct", 3)
+    return L.validity_by_option(answers, rejected, "pregunta").withColumns(
+        {"enviadas": F.lit(sent).cast("bigint"), "enviadas_otra_vez": F.lit(again).cast("bigint")})
+
+
 def _parsed_sql(key: str, baseline_sql: str, fields: list[str], cand: str, cand_col: str) -> str:
     cols = ", ".join(f"b.{f}" for f in fields)
     return f"""
