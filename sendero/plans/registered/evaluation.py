@@ -5,24 +5,27 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sendero.functions import fixed
-from sendero.functions.text import render_sql
+from sendero.functions.text import render, render_sql
 from sendero.operators import collaborative as CF
 from sendero.operators import cooccurrence as CO
 from sendero.operators import evaluate as E
 from sendero.operators import generate as G
 from sendero.operators import graph as GR
+from sendero.operators import grounding as GD
 from sendero.operators import path_counts as PC
 from sendero.operators import prompts as PR
 from sendero.operators import recommend as R
 from sendero.operators import text_signals as TS
+from sendero.operators.recommend import DIRECT_REASON
 from sendero.plans import oracle as O
 from sendero.plans.pipeline import Pipeline
 from sendero.plans.registry import register
 from sendero.plans.registered.answers import SWEEP
+from sendero.session import write_once
 from sendero.sources.tables import table
 
 
@@ -416,6 +419,42 @@ def _geo_grounding(p: Pipeline) -> DataFrame:
     return TS.geo_grounding(p.topk_places(6), p.user_texts)
 
 
+_NEARBY = " Cerca de {siguiente}."
+
+
+def _words_sql(c: str) -> str:
+    return f"' ' || trim(regexp_replace(lower({c}), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', ' ', 'g')) || ' '"
+
+
+@register("justification_grounding", O.sql(f"""
+SELECT id_usuario, posicion, count(n) AS n_nombrados, count(n) FILTER (WHERE NOT ok) AS n_no_declarados,
+  coalesce(string_agg(trim(n), '; ' ORDER BY trim(n)) FILTER (WHERE NOT ok), '') AS no_declarados,
+  CAST(count(n) FILTER (WHERE NOT ok) = 0 AS INTEGER) AS fundamentado
+FROM (
+  WITH names AS (SELECT DISTINCT {_words_sql('x')} AS n FROM (
+                   SELECT nombre_sitio AS x FROM catalog UNION ALL SELECT ubicacion FROM catalog)
+                 WHERE regexp_matches(x, '[\\p{{L}}\\p{{M}}\\p{{N}}]')),
+  listed AS (SELECT *, lead(nombre_sitio) OVER (PARTITION BY id_usuario ORDER BY rank) AS siguiente FROM {O.topk_places_fragment(6)}),
+  items AS (SELECT id_usuario, CAST(rank AS INTEGER) AS posicion,
+              {_words_sql(render_sql(DIRECT_REASON + _NEARBY, categoria_sitio='categoria_sitio', ubicacion='ubicacion', siguiente='siguiente'))} AS j,
+              {_words_sql("concat_ws(' . ', nombre_sitio, ubicacion)")} AS own FROM listed WHERE rank <= 3),
+  ctx AS (SELECT id_usuario AS u, {_words_sql("coalesce(contexto, '')")} AS c FROM user_texts),
+  hits AS (SELECT i.*, n FROM items i JOIN names ON contains(i.j, n))
+  SELECT i.id_usuario, i.posicion, h.n, coalesce(contains(h.own, h.n) OR contains(c.c, h.n), false) AS ok
+  FROM items i LEFT JOIN hits h USING (id_usuario, posicion) LEFT JOIN ctx c ON c.u = i.id_usuario)
+GROUP BY id_usuario, posicion""", O.topk_places_fragment(6), "user_texts", "catalog"))
+def _justification_grounding(p: Pipeline) -> DataFrame:
+    """The places that the justifications of the first three items name
+    (each also names the next candidate), and those that neither the user's
+    context nor the item itself declares."""
+    topk = p.topk_places(6)
+    following = F.lead("nombre_sitio").over(Window.partitionBy("id_usuario").orderBy("rank"))
+    items = topk.withColumn("siguiente", following).where("rank <= 3").select(
+        "id_usuario", F.col("rank").cast("int").alias("posicion"), "nombre_sitio", "ubicacion",
+        render(DIRECT_REASON + _NEARBY, **{c: F.col(c) for c in ("categoria_sitio", "ubicacion", "siguiente")}).alias("justificacion"))
+    return GD.ground_justifications(items, p.user_texts, write_once(GD.place_dictionary(p.catalog), "place-names"))
+
+
 _FORMS_SQL = """(SELECT 'explicita' AS forma, narrativa_explicita AS texto FROM user_texts
       UNION ALL SELECT 'implicita', narrativa_implicita FROM user_texts
       UNION ALL SELECT 'documento', documento FROM user_texts
