@@ -7,6 +7,7 @@ from itertools import combinations
 import pytest
 
 from sendero.operators.cooccurrence import cooccurrence_recommendations, site_pairs
+from sendero.operators import path_counts as paths_module
 from sendero.operators.path_counts import path_counts
 
 VISITS = {"u1": ["a", "b", "c"], "u2": ["a", "b"], "u3": ["b", "c", "d"], "u4": ["d"], "all": list("abcdefgh"), "u5": ["e", "f", "a"]}
@@ -60,3 +61,42 @@ def test_paths_are_counted_not_listed(spark):
                    ("u1", "V>L>~L", 3, "s3"): 2, ("u2", "V>L>~L", 3, "s1"): 1}
     with pytest.raises(ValueError):
         path_counts(frame, starts, [("V",), ("V", "L")], targets, (("V",),))
+
+
+def _join_rows(frame):
+    """Rows that the joins of an executed frame gave."""
+    frame.collect()
+
+    def walk(node):
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return walk(node.executedPlan())
+        if "QueryStage" in name:
+            return walk(node.plan())
+        own = node.metrics().get("numOutputRows").get().value() if "Join" in name else 0
+        return own + sum(walk(node.children().apply(i)) for i in range(node.children().size()))
+
+    return walk(frame._jdf.queryExecution().executedPlan())
+
+
+def test_a_city_of_many_sites_is_not_spread_over_its_visitors(spark, monkeypatch):
+    users, sites = 60, 200
+    edges = [(f"u{i}", "s0", "V") for i in range(users)] + [(f"s{i}", "c", "L") for i in range(sites)]
+    frame = spark.createDataFrame(edges, "origen string, destino string, relacion string")
+    starts = spark.createDataFrame([(f"u{i}",) for i in range(users)], "inicio string")
+    targets = spark.createDataFrame([(f"u{i}", f"s{i + 1}") for i in range(users)] * 2, "inicio string, nodo string")
+    kinds, rows, write = [], [], paths_module.write_once
+
+    def watched(df, name):
+        if name == "graph-steps":
+            kinds.extend(r.paso for r in df.select("paso").distinct().collect())
+        if name == "frontier":
+            rows.append(_join_rows(df))
+        return write(df, name)
+
+    monkeypatch.setattr(paths_module, "write_once", watched)
+    got = path_counts(frame, starts, [("V", "L"), ("V", "L", "~L")], targets, (("V", "L", "~L"),)).collect()
+    assert sorted((r.inicio, r.nodo) for r in got if r.tipo == "V>L>~L") == sorted((f"u{i}", f"s{i + 1}") for i in range(users))
+    assert all(r.caminos == 1 for r in got) and len(got) == 2 * users
+    # Nobody asks for "~V"; the third hop meets a step per target, not per site and user.
+    assert sorted(kinds) == ["L", "V", "~L"] and max(rows) <= 4 * users
