@@ -149,3 +149,23 @@ def test_null_ids_and_vectors_are_ignored(spark):
     assert rows == [("a", "x", 1)]
     with pytest.raises(ValueError):
         similarity_topk(q, i, 0)
+
+
+def test_a_full_group_stays_small_in_a_worker():
+    import tracemalloc
+
+    from sendero.operators.similarity import BLOCK_BYTES, block_rows, plan_blocks
+
+    rng = np.random.default_rng(9)
+    k, n_items = 20, 400
+    # Many more queries than slots: groups are bounded by bytes, hits included.
+    blocks, groups = plan_blocks(5_400_000, n_items, 12, block_rows(64, hits=k), block_rows(64, hits=1), k=k)
+    n = -(-5_400_000 // groups)
+    assert blocks == 1 and n * (8 * 64 + 200 * k) <= BLOCK_BYTES
+    left = pd.DataFrame({"qid": [f"q{i}" for i in range(n)], "embedding": list(rng.random((n, 64), dtype=np.float32)), "ex": None})
+    right = pd.DataFrame({"iid": [f"i{i:04d}" for i in range(n_items)], "embedding": list(rng.random((n_items, 64), dtype=np.float32))})
+    tracemalloc.start()
+    out = _kernel(k)((0, 0), left, right)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(out) == n * k and peak < 120 << 20
