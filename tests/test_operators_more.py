@@ -117,3 +117,21 @@ def test_custom_batch_embedder(spark):
     rows = spark.createDataFrame([("u1", "a"), ("u2", "b")], "id string, k string")
     got = TableEmbedder(vecs, "k")(rows, "id").collect()
     assert [(r["id"], r["embedding"]) for r in got] == [("u1", [1.0, 2.0])]
+
+
+def test_protocols_read_written_interactions(spark):
+    from sendero.plans.pipeline import Pipeline
+    from sendero.plans.registered import evaluation as V
+
+    p = Pipeline(spark, "/root/testdata/sf0.001")
+    plain = p.interactions
+    p.keep_interactions()
+    assert sorted(map(str, p.interactions.collect())) == sorted(map(str, plain.collect()))
+    tp, held = V._protocol_data(p, "leave_one_out")
+    # Parsing, joins with parts and the held-out pairs are done once, not by each reader.
+    for frame in (p.interactions, tp.interactions, held):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Scan parquet") == 1 and "Join" not in plan and "events.parquet" not in plan
+    want_held, want_train = V.E.leave_one_out(plain)
+    assert sorted(map(str, held.collect())) == sorted(map(str, want_held.collect()))
+    assert sorted(map(str, tp.interactions.collect())) == sorted(map(str, want_train.collect()))
