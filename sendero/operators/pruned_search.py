@@ -12,6 +12,10 @@ result is that of the full comparison, by certificate, and the number of
 pairs that were compared is returned with it.  Excluded pairs are masked
 before counting to k.
 
+Where the bounds leave a query more than a share WIDE of all pairs, it is
+compared with all items by the blocked join at once: there a query is shuffled
+once per block of many thousand items, not once per small block.
+
 Pivots are a sample of at most MAX_PIVOTS items and blocks number at most
 MAX_BLOCKS and one per pivot, whatever the table's size (a block then grows),
 so what every task gets of them is bounded; items and queries move by shuffle.
@@ -26,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sendero.operators.similarity import RESULT_SCHEMA, _kernel, block_rows
+from sendero.operators.similarity import RESULT_SCHEMA, _kernel, block_rows, similarity_topk
 from sendero.session import drop_written, write_all, write_once
 
 MAX_PIVOTS = 1024
@@ -35,6 +39,9 @@ REFERENCES = 32
 BLOCK_ROWS = 256
 # Blocks that a query visits in each round; then all that are still possible.
 ROUNDS = (2, 6, 24)
+# Queries with more than this share of the items still possible are compared
+# with all of them.
+WIDE = 0.25
 # What rounding may add to a similarity or take from it.
 SLACK = 1e-9
 _BOUND_CELLS = 4_000_000
@@ -86,31 +93,48 @@ def _deal(pivots: np.ndarray, references: int):
     return run
 
 
+def _ordered(batches, blocks: Blocks):
+    """Parts of the batches with, for each query, the blocks in the order of
+    their bounds and which of them are unseen and possible.  Queries carry how
+    many they have seen and their k-th similarity."""
+    for batch in batches:
+        step = max(1, _BOUND_CELLS // max(len(blocks.number), 1))
+        for lo in range(0, batch.num_rows, step):
+            part = batch.slice(lo, step)
+            bound = blocks.bounds(_matrix(part.column("embedding")))
+            order = np.argsort(-bound, axis=1, kind="stable")
+            seen = np.arange(bound.shape[1])[None, :] < part.column("seen").to_numpy()[:, None]
+            kth = part.column("kth").fill_null(-2.0).to_numpy(zero_copy_only=False)[:, None]
+            yield part, order, seen, ~seen & (np.take_along_axis(bound, order, 1) + SLACK >= kth)
+
+
+def _possible(blocks: Blocks):
+    """How many items of unseen blocks are possible for a query, and how many
+    it has been compared with: if any are possible, those of all blocks seen,
+    whose bounds are no lower."""
+    schema = pa.schema([("qid", pa.string()), ("possible", pa.int64()), ("met", pa.int64())])
+
+    def run(batches):
+        for part, order, seen, open_ in _ordered(batches, blocks):
+            size = blocks.size[order]
+            yield pa.RecordBatch.from_arrays([part.column("qid"), pa.array((size * open_).sum(axis=1)), pa.array((size * seen).sum(axis=1))], schema=schema)
+
+    return run
+
+
 def _visits(blocks: Blocks, upto: int | None):
-    """The blocks that each query goes to next.  Queries carry how many they
-    have seen and their k-th similarity."""
+    """The blocks that each query goes to next."""
     schema = pa.schema([("qid", pa.string()), ("embedding", pa.list_(pa.float32())), ("blk", pa.int64()), ("n", pa.int64())])
 
     def run(batches):
-        for batch in batches:
-            step = max(1, _BOUND_CELLS // max(len(blocks.number), 1))
-            for lo in range(0, batch.num_rows, step):
-                part = batch.slice(lo, step)
-                bound = blocks.bounds(_matrix(part.column("embedding")))
-                order = np.argsort(-bound, axis=1, kind="stable")
-                place = np.arange(bound.shape[1])[None, :]
-                seen = part.column("seen").to_numpy()[:, None]
-                kth = part.column("kth").fill_null(-2.0).to_numpy(zero_copy_only=False)[:, None]
-                next_ = (place >= seen) & (np.take_along_axis(bound, order, 1) + SLACK >= kth)
-                if upto is not None:
-                    next_ &= place < upto
-                row, at = np.nonzero(next_)
-                block, rows = order[row, at], pa.array(row)
-                for a in range(0, len(row), 10_000):
-                    b = a + 10_000
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column("qid").take(rows[a:b]), part.column("embedding").take(rows[a:b]),
-                         pa.array(blocks.number[block[a:b]]), pa.array(blocks.size[block[a:b]])], schema=schema)
+        for part, order, _, next_ in _ordered(batches, blocks):
+            row, at = np.nonzero(next_[:, :upto])
+            block, rows = order[row, at], pa.array(row)
+            for a in range(0, len(row), 10_000):
+                b = a + 10_000
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("qid").take(rows[a:b]), part.column("embedding").take(rows[a:b]),
+                     pa.array(blocks.number[block[a:b]]), pa.array(blocks.size[block[a:b]])], schema=schema)
 
     return run
 
@@ -150,7 +174,7 @@ def pruned_topk(queries: DataFrame, items: DataFrame, k: int, *, exclude: DataFr
     if not n_queries or not n_items:
         return empty, 0, n_queries * n_items
     placed, blocks = _build(it, n_items, block_size)
-    groups = -(-n_queries // block_rows(len(blocks.references[0])))
+    groups = -(-n_queries // block_rows(len(blocks.references[0]), hits=k))
     group = F.pmod(F.xxhash64("qid"), F.lit(groups)).cast("int").alias("grp")
     masked = None
     if exclude is not None:
@@ -159,7 +183,7 @@ def pruned_topk(queries: DataFrame, items: DataFrame, k: int, *, exclude: DataFr
     right = placed.select("iid", "embedding", "blk", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"))
     state = q.select("qid", "embedding", F.lit(0).cast("long").alias("seen"), F.lit(None).cast("double").alias("kth"))
     best = Window.partitionBy("qid").orderBy(F.desc("sim"), F.asc("iid"))
-    hits, compared, seen = empty, 0, 0
+    hits, compared, seen, whole, left_over = empty, 0, 0, [], q
     for upto in (*rounds, None):
         visits = write_once(state.mapInArrow(_visits(blocks, upto), "qid string, embedding array<float>, blk long, n long"), "visits")
         pairs_now, visited = visits.agg(F.sum("n"), F.count(F.lit(1))).first()
@@ -178,10 +202,29 @@ def pruned_topk(queries: DataFrame, items: DataFrame, k: int, *, exclude: DataFr
         seen = upto or seen
         if upto is not None:
             full = hits.where(F.col("rank") == k).select("qid", F.col("sim").alias("kth"))
-            state = q.join(full, "qid", "left").select("qid", "embedding", F.lit(seen).cast("long").alias("seen"), "kth")
+            state = left_over.select("qid", "embedding").join(full, "qid", "left").select("qid", "embedding", F.lit(seen).cast("long").alias("seen"), "kth")
             if seen >= len(blocks.number):
                 break
-    for done in (masked, placed, q, it):
+            open_ = write_once(state.mapInArrow(_possible(blocks), "qid string, possible long, met long").where("possible > 0"), "possible")
+            # Queries without possible blocks are done.
+            state = write_once(state.join(open_.where(F.col("possible") <= WIDE * n_items), "qid", "left_semi"), "state")
+            if left_over is not q:
+                drop_written(left_over)
+            left_over = state
+            many = open_.where(F.col("possible") > WIDE * n_items)
+            n_many, met = many.agg(F.count(F.lit(1)), F.sum("met")).first()
+            if n_many:
+                # All their pairs, so what they have met so far is replaced.
+                asked = q.join(many, "qid", "left_semi")
+                few = None if exclude is None else pairs.join(many, "qid", "left_semi")
+                compared += n_many * n_items - met
+                whole.append(write_once(similarity_topk(asked, it, k, exclude=few).select("qid", "iid", "sim", "rank"), "whole"))
+                before, hits = hits, write_once(hits.join(many, "qid", "left_anti"), "hits")
+                drop_written(before)
+            drop_written(open_)
+    for part in whole:
+        hits = hits.unionByName(part)
+    for done in (masked, placed, q, it, left_over if left_over is not q else None):
         if done is not None:
             drop_written(done)
     return hits, compared, n_queries * n_items

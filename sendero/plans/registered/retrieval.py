@@ -87,25 +87,27 @@ def _vectors(p: Pipeline) -> DataFrame:
     return table(p.spark, p.sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("id"), "embedding")
 
 
-def _cases(p: Pipeline) -> dict[str, tuple[DataFrame, DataFrame, DataFrame, int]]:
-    """Queries, items, excluded pairs and k of the three retrievals."""
+CASES = ("topk_places", "topk_users", "vector_neighbours")
+
+
+def _case(p: Pipeline, case: str) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Queries, items, excluded pairs and k of one of the three retrievals."""
+    if case == "vector_neighbours":
+        emb = _vectors(p)
+        return (emb.select(F.col("id").alias("qid"), "embedding"), emb.select(F.col("id").alias("iid"), "embedding"),
+                emb.select(F.col("id").alias("qid"), F.col("id").alias("iid")), 10)
     p.prepare()
-    emb = _vectors(p)
-    users, sites = p.user_context_vectors, p.site_context_vectors
-    return {
-        "topk_places": (users.select(F.col("id_usuario").alias("qid"), "embedding"),
-                        p.place_vectors.select(F.col("url_sitio").alias("iid"), "embedding"),
-                        p.consumed.select(F.col("id_usuario").alias("qid"), F.col("url_sitio").alias("iid")), 6),
-        "topk_users": (sites.select(F.col("url_sitio").alias("qid"), "embedding"),
-                       p.user_document_vectors.select(F.col("id_usuario").alias("iid"), "embedding"),
-                       p.visitors.select(F.col("url_sitio").alias("qid"), F.col("id_usuario").alias("iid")), 10),
-        "vector_neighbours": (emb.select(F.col("id").alias("qid"), "embedding"), emb.select(F.col("id").alias("iid"), "embedding"),
-                              emb.select(F.col("id").alias("qid"), F.col("id").alias("iid")), 10),
-    }
+    if case == "topk_places":
+        return (p.user_context_vectors.select(F.col("id_usuario").alias("qid"), "embedding"),
+                p.place_vectors.select(F.col("url_sitio").alias("iid"), "embedding"),
+                p.consumed.select(F.col("id_usuario").alias("qid"), F.col("url_sitio").alias("iid")), 6)
+    return (p.site_context_vectors.select(F.col("url_sitio").alias("qid"), "embedding"),
+            p.user_document_vectors.select(F.col("id_usuario").alias("iid"), "embedding"),
+            p.visitors.select(F.col("url_sitio").alias("qid"), F.col("id_usuario").alias("iid")), 10)
 
 
 def _pruned(p: Pipeline, case: str) -> DataFrame:
-    queries, items, exclude, k = _cases(p)[case]
+    queries, items, exclude, k = _case(p, case)
     return pruned_topk(queries, items, k, exclude=exclude)[0]
 
 
@@ -135,7 +137,8 @@ def _ann_topk_recall(p: Pipeline) -> DataFrame:
     """V7: for each retrieval the share of the full comparison's hits that the
     pruned search finds, and the share of all pairs that it compares."""
     out = None
-    for case, (queries, items, exclude, k) in _cases(p).items():
+    for case in CASES:
+        queries, items, exclude, k = _case(p, case)
         hits, compared, pairs = pruned_topk(queries, items, k, exclude=exclude)
         full = similarity_topk(queries, items, k, exclude=exclude)
         both = full.select("qid", "iid", F.col("rank").alias("r")).join(hits.select("qid", "iid", "rank"), ["qid", "iid"], "left")

@@ -57,3 +57,29 @@ def test_bounds_hold_for_every_member():
     bound = blocks.bounds(q)
     for b in range(4):
         assert ((q @ x[parts == b].T).max(axis=1) <= bound[:, b] + 1e-9).all()
+
+
+def test_vectors_without_clusters_go_to_the_blocked_join(spark, monkeypatch):
+    from sendero.operators import pruned_search as S
+
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(20, 24))
+    # Half of the queries lie by a tight cluster, half anywhere.
+    items = np.concatenate([_clustered(rng, 600, centres), rng.normal(size=(900, 24))])
+    queries = np.concatenate([_clustered(rng, 30, centres), rng.normal(size=(30, 24))])
+    excluded = [(f"q{i}", f"i{j:04d}") for i in range(0, 60, 7) for j in range(0, 1500, 3)]
+    q, i, e = _frames(spark, queries, items, excluded)
+    visited, write = [], S.write_once
+
+    def watched(df, name):
+        out = write(df, name)
+        if name == "visits":
+            visited.append(out.count())
+        return out
+
+    monkeypatch.setattr(S, "write_once", watched)
+    hits, compared, pairs = pruned_topk(q, i, 5, exclude=e, block_size=16)
+    got = sorted((r.qid, r.iid, r["rank"]) for r in hits.collect())
+    assert got == sorted((r.qid, r.iid, r["rank"]) for r in similarity_topk(q, i, 5, exclude=e).collect())
+    # Not a copy of a query for each of the small blocks.
+    assert pairs == 60 * 1500 and compared <= pairs and sum(visited) < 60 * 40

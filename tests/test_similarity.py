@@ -169,3 +169,12 @@ def test_a_full_group_stays_small_in_a_worker():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(out) == n * k and peak < 120 << 20
+
+
+def test_select_topk_wide_rows_with_ties():
+    rng = np.random.default_rng(4)
+    for S in (rng.integers(0, 40, (5, 6001)) / 40.0, rng.random((5, 6001)), np.where(rng.random((5, 6001)) < 0.9995, -np.inf, 0.5)):
+        idx, vals = _select_topk(S.copy(), 9)
+        want = [sorted(range(6001), key=lambda j: (-row[j], j))[:9] for row in S]
+        finite = np.isfinite(vals)
+        assert (vals == np.take_along_axis(S, np.array(want), 1)).all() and (idx[finite] == np.array(want)[finite]).all()
