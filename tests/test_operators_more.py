@@ -135,3 +135,19 @@ def test_protocols_read_written_interactions(spark):
     want_held, want_train = V.E.leave_one_out(plain)
     assert sorted(map(str, held.collect())) == sorted(map(str, want_held.collect()))
     assert sorted(map(str, tp.interactions.collect())) == sorted(map(str, want_train.collect()))
+
+
+def test_diversity_makes_no_row_per_vector_element(spark):
+    rng = np.random.default_rng(2)
+    vec = {f"s{i}": rng.random(16) for i in range(6)}
+    lists = {"a": ["s0", "s1", "s2"], "b": ["s3", "s4"], "one": ["s5"], "none": ["x", "y"], "part": ["s0", "x"]}
+    vectors = spark.createDataFrame([(s, v.tolist()) for s, v in vec.items()], "url_sitio string, embedding array<double>")
+    recs = spark.createDataFrame([(u, s) for u, sites in lists.items() for s in sites], "id_usuario string, url_sitio string")
+    frame = E.intra_list_diversity(recs, vectors)
+    assert "Generate" not in frame._jdf.queryExecution().executedPlan().toString()
+    want = []
+    for sites in (x for x in lists.values() if len(x) > 1 and any(s in vec for s in x)):
+        total = sum(vec[s] / np.linalg.norm(vec[s]) for s in sites if s in vec)
+        want.append(1 - (total @ total - len(sites)) / (len(sites) * (len(sites) - 1)))
+    row = frame.first()
+    assert row.usuarios == 3 and abs(row.diversidad - sum(want) / 3) < 1e-6
