@@ -27,8 +27,9 @@ U = "id_usuario"
 URL = "url_sitio"
 SEGMENT = 256
 NEIGHBOURS = 20
-# Pairs that a task holds before it adds them up.
-_HELD = 4_000_000
+# Pairs that a task holds before it adds them up (adding up takes them several
+# times over).
+_HELD = 1_000_000
 
 
 def _pairs(batches):

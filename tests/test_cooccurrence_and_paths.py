@@ -100,3 +100,21 @@ def test_a_city_of_many_sites_is_not_spread_over_its_visitors(spark, monkeypatch
     assert all(r.caminos == 1 for r in got) and len(got) == 2 * users
     # Nobody asks for "~V"; the third hop meets a step per target, not per site and user.
     assert sorted(kinds) == ["L", "V", "~L"] and max(rows) <= 4 * users
+
+
+def test_pairs_are_added_up_in_little_memory():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from sendero.operators.cooccurrence import _pairs
+
+    rng = np.random.default_rng(1)
+    lists = [np.sort(rng.choice(20_000, 256, replace=False)) for _ in range(200)]
+    batch = pa.record_batch({"first": pa.array(lists), "second": pa.array(lists), "same": pa.array([True] * 200)})
+    tracemalloc.start()
+    total = sum(pa.compute.sum(b.column("n")).as_py() for b in _pairs([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert total == 200 * 256 * 255 // 2 and peak < 120 << 20
