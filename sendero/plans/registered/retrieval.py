@@ -10,6 +10,7 @@ from sendero.operators.similarity import similarity_topk
 from sendero.plans import oracle as O
 from sendero.plans.pipeline import Pipeline
 from sendero.plans.registry import register
+from sendero.session import write_all
 from sendero.sources.tables import table
 
 
@@ -139,6 +140,9 @@ def _ann_topk_recall(p: Pipeline) -> DataFrame:
     out = None
     for case in CASES:
         queries, items, exclude, k = _case(p, case)
+        # Texts are embedded once for both searches.
+        written = write_all({"queries": queries, "items": items, "exclude": exclude})
+        queries, items, exclude = written["queries"], written["items"], written["exclude"]
         hits, compared, pairs = pruned_topk(queries, items, k, exclude=exclude)
         full = similarity_topk(queries, items, k, exclude=exclude)
         both = full.select("qid", "iid", F.col("rank").alias("r")).join(hits.select("qid", "iid", "rank"), ["qid", "iid"], "left")
