@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sendero.operators.similarity import RESULT_SCHEMA, block_rows, dealt, excluded_cells, excluded_rows, no_vector, plan_blocks
+from sendero.operators.similarity import RESULT_SCHEMA, block_rows, dealt, excluded_rows, no_vector, plan_blocks
 from sendero.operators.topk_kernel import Side, nearest
 from sendero.session import drop_written, write_all, write_once
 
@@ -205,8 +205,11 @@ def _search(blocks: Blocks, k: int, rounds: tuple[int, ...]):
         q_ids, i_ids = asking["qid"].combine_chunks(), right["iid"].combine_chunks()
         order = np.empty(len(right), np.int64)
         order[pc.sort_indices(i_ids).to_numpy()] = np.arange(len(right))
-        out_of = left.filter(pc.is_valid(left["ex"])).select(["qid", "ex"]).to_pandas()
-        ex_q, ex_i = excluded_cells(out_of, q_ids.to_pandas().to_numpy(), i_ids.to_pandas().to_numpy()) if len(out_of) else 2 * (np.empty(0, np.int64),)
+        out_of = left.filter(pc.is_valid(left["ex"]))
+        ex_q = pc.index_in(out_of["qid"], value_set=q_ids)
+        ex_i = pc.index_in(out_of["ex"], value_set=right["num"].combine_chunks())
+        both = pc.and_(pc.is_valid(ex_q), pc.is_valid(ex_i))
+        ex_q, ex_i = (x.filter(both).to_numpy().astype(np.int64) for x in (ex_q, ex_i))
         numbers, sizes = np.unique(right["blk"].to_numpy(), return_counts=True)
         here = blocks.some(numbers)
         queries, items = Side(_rows(asking["embedding"])), Side(_rows(right["embedding"]))
@@ -235,16 +238,17 @@ def _build(items: DataFrame, n_items: int, block_size: int, n_shards: int) -> tu
     chosen = items.orderBy(F.xxhash64("iid"), "iid").limit(n_pivots).select("embedding").toArrow()
     pivots = _matrix(chosen.column("embedding").combine_chunks())
     references = pivots[:REFERENCES]
-    near = write_once(items.mapInArrow(_deal(pivots[_neighbours_adjoin(pivots)]), "iid string, embedding array<float>, cell int"), "cells")
+    near = write_once(items.mapInArrow(_deal(pivots[_neighbours_adjoin(pivots)]), "iid string, embedding array<float>, cell int").withColumn(
+        "num", F.monotonically_increasing_id()), "cells")
     rows = max(block_size, -(-n_items // MAX_BLOCKS))
     # At most MAX_PIVOTS rows.
     cells = sorted((cell, -(-n // rows)) for cell, n in near.groupBy("cell").count().collect())
     starts = np.cumsum([0] + [parts for _, parts in cells])
     parts = spark.createDataFrame(pa.table({"cell": pa.array([c for c, _ in cells], pa.int32()), "parts": pa.array([n for _, n in cells], pa.int32()), "start": pa.array(starts[:-1])}))
     block = F.col("start") + F.pmod(F.xxhash64("iid"), F.col("parts"))
-    placed = near.join(F.broadcast(parts), "cell").select("iid", "embedding", block.alias("blk"))
+    placed = near.join(F.broadcast(parts), "cell").select("iid", "embedding", "num", block.alias("blk"))
     ranges = [f(F.col(name)[j]).alias(f"{name}{j}") for name, f in (("least", F.min), ("most", F.max)) for j in range(len(references))]
-    found = placed.mapInArrow(_ranges(references, int(starts[-1])), "blk long, n long, least array<double>, most array<double>")
+    found = placed.select("embedding", "blk").mapInArrow(_ranges(references, int(starts[-1])), "blk long, n long, least array<double>, most array<double>")
     table = found.groupBy("blk").agg(F.sum("n").alias("n"), *ranges).orderBy("blk").toArrow()
     side = {name: np.column_stack([table.column(f"{name}{j}").to_numpy() for j in range(len(references))]) for name in ("least", "most")}
     number, size = table.column("blk").to_numpy(), table.column("n").to_numpy()
@@ -283,16 +287,18 @@ def pruned_topk(queries: DataFrame, items: DataFrame, k: int, *, exclude: DataFr
     group = F.pmod(F.xxhash64("qid"), F.lit(groups)).cast("int").alias("grp")
     masked = None
     if pairs is not None:
-        masked = write_once(pairs.join(placed.select("iid", "shard"), "iid") if several else pairs.withColumn("shard", F.lit(0)), "masked")
+        # The item by its number: those whom queries exclude may lie together
+        # in one shard, and their ids would take ten times the memory.
+        masked = write_once(pairs.join(placed.select("iid", "shard", "num"), "iid").select("qid", "num", "shard"), "masked")
     right = placed.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
 
     def search(asking: DataFrame, first: bool) -> DataFrame:
         """Hits, written, and a row for each task's pairs."""
         routed = asking.mapInArrow(_routes(blocks, first), "qid string, embedding array<float>, kth double, shard int, near long")
-        left = routed.select("qid", "embedding", "kth", "near", F.lit(None).cast("string").alias("ex"), "shard", group)
+        left = routed.select("qid", "embedding", "kth", "near", F.lit(None).cast("long").alias("ex"), "shard", group)
         if masked is not None:
             none = (F.lit(None).cast(t).alias(c) for c, t in (("kth", "double"), ("near", "long")))
-            left = left.unionByName(masked.select("qid", no_vector(), *none, F.col("iid").alias("ex"), "shard", group))
+            left = left.unionByName(masked.select("qid", no_vector(), *none, F.col("num").alias("ex"), "shard", group))
         left, items = (dealt(side, "shard", n_groups) for side in (left, right))
         found = left.groupBy("shard", "grp").cogroup(items.groupBy("shard", "grp")).applyInArrow(_search(blocks, k, rounds), RESULT_SCHEMA)
         return write_once(found, "hits")
